@@ -36,3 +36,25 @@ def op4_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
     from rangeflow.llm.packing import pack
 
     return pack(table(spark, sf_dir, "documents"), tokenizer_path())
+
+
+OP9_SQL = r"""
+WITH RECURSIVE w AS (
+  SELECT doc_id, regexp_extract_all(translate(text, 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'), '[^\x20\x09-\x0D]+') AS ws FROM documents
+), s AS (
+  SELECT doc_id, CASE WHEN ws IS NULL OR len(ws) = 0 THEN [] WHEN len(ws) < 5 THEN [array_to_string(ws, ' ')]
+    ELSE list_distinct([array_to_string(ws[i:i+4], ' ') FOR i IN range(1, len(ws) - 3)]) END AS sh FROM w
+), n AS (SELECT doc_id, len(sh) AS n FROM s), g AS (SELECT doc_id, unnest(sh) AS x FROM s),
+p AS (SELECT a.doc_id AS a, b.doc_id AS b, count(*) AS c FROM g a JOIN g b USING (x) WHERE a.doc_id < b.doc_id GROUP BY ALL),
+l AS (SELECT p.a, p.b FROM p JOIN n na ON na.doc_id = p.a JOIN n nb ON nb.doc_id = p.b WHERE 100 * c >= 80 * (na.n + nb.n - c)),
+e AS (SELECT a, b FROM l UNION SELECT b, a FROM l),
+r(doc_id, near) AS (SELECT doc_id, doc_id FROM n UNION SELECT r.doc_id, e.b FROM r JOIN e ON e.a = r.near)
+SELECT n.doc_id, n.n::BIGINT AS n_shingles, min(r.near) AS component_id FROM n JOIN r USING (doc_id) GROUP BY ALL
+"""
+
+
+@query("op9_ngram_jaccard", OP9_SQL)
+def op9_ngram_jaccard(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from rangeflow.llm.jaccard import near_duplicates
+
+    return near_duplicates(table(spark, sf_dir, "documents"))
