@@ -88,3 +88,10 @@ def op3_decontamination(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs = table(spark, sf_dir, "documents").select("doc_id", "text")
     found = with_contamination(docs, table(spark, sf_dir, "benchmark"))
     return found.select("doc_id", *[own(c).alias(c) for c in ("n_words", "n_hit", "n_items", "items_sha256", "contaminated")])
+
+
+@query("op7_pii")
+def op7_pii(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from rangeflow.llm.pii import find
+
+    return find(table(spark, sf_dir, "documents"))
