@@ -95,3 +95,12 @@ def op7_pii(spark: SparkSession, sf_dir: str) -> DataFrame:
     from rangeflow.llm.pii import find
 
     return find(table(spark, sf_dir, "documents"))
+
+
+@query("op1_quality")
+def op1_quality(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from rangeflow.llm.quality import with_quality
+    from rangeflow.llm.rows import own
+
+    scored = with_quality(table(spark, sf_dir, "documents").select("doc_id", "text"))
+    return scored.select("doc_id", *[own(c).alias(c) for c in ("posterior", "score", "keep")])
