@@ -313,3 +313,25 @@ def _open_pairs(lists: DataFrame, labels: DataFrame, num: int, den: int) -> Data
         & _fits(F.col("o_n"), F.col("o_pos"), F.col("n"), F.col("pos"), num, den)
     )
     return met.select(F.least("o_id", "id").alias("a"), F.greatest("o_id", "id").alias("b")).distinct()
+
+
+#: Ids of documents to drop are broadcast up to this many, and joined by a shuffle beyond.
+BROADCAST_IDS = 1_000_000
+
+
+def keep_one(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", **how) -> DataFrame:
+    """``docs`` without the near-duplicates of a document with a smaller id; texts that link with nothing all stay.
+
+    Of rows that repeat both id and text one stays.  Rows with a null id stay.
+    """
+    scratch = Scratch(docs.sparkSession)
+    named = scratch.write(near_duplicates(docs, id_col=id_col, text_col=text_col, **how), "named")
+    gone = named.where(F.col(id_col) != F.col("component_id")).select(id_col).distinct()
+    repeated = named.groupBy(id_col).count().where("count > 1").select(id_col)
+    gone, repeated = scratch.write(gone, "gone"), scratch.write(repeated, "repeated")
+    kept = docs.join(F.broadcast(gone) if gone.count() <= BROADCAST_IDS else gone, id_col, "left_anti")
+    if repeated.isEmpty():
+        return kept.select(*docs.columns)
+    single = kept.join(repeated, id_col, "left_anti")
+    again = kept.join(repeated, id_col, "left_semi").dropDuplicates([id_col, text_col])
+    return single.select(*docs.columns).unionByName(again.select(*docs.columns))
