@@ -104,3 +104,10 @@ def op1_quality(spark: SparkSession, sf_dir: str) -> DataFrame:
 
     scored = with_quality(table(spark, sf_dir, "documents").select("doc_id", "text"))
     return scored.select("doc_id", *[own(c).alias(c) for c in ("posterior", "score", "keep")])
+
+
+@query("op8_sharding")
+def op8_sharding(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from rangeflow.llm.sharding import hilbert_shards
+
+    return hilbert_shards(table(spark, sf_dir, "documents"))
