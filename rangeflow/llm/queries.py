@@ -111,3 +111,10 @@ def op8_sharding(spark: SparkSession, sf_dir: str) -> DataFrame:
     from rangeflow.llm.sharding import hilbert_shards
 
     return hilbert_shards(table(spark, sf_dir, "documents"))
+
+
+@query("op10_fingerprints")
+def op10_fingerprints(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from rangeflow.llm.fingerprint import compare_with_next
+
+    return compare_with_next(table(spark, sf_dir, "documents"))
