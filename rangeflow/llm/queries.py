@@ -5,6 +5,7 @@ from __future__ import annotations
 from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
 ORACLES: dict[str, str] = {}
@@ -118,3 +119,17 @@ def op10_fingerprints(spark: SparkSession, sf_dir: str) -> DataFrame:
     from rangeflow.llm.fingerprint import compare_with_next
 
     return compare_with_next(table(spark, sf_dir, "documents"))
+
+
+@query("op2_toxicity")
+def op2_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from rangeflow.llm.rows import own
+    from rangeflow.llm.toxicity import train, with_toxicity
+
+    docs = table(spark, sf_dir, "documents").select("doc_id", "text")
+    part = F.crc32(F.col("doc_id").cast("string").cast("binary")) % 5
+    field = train(docs, table(spark, sf_dir, "labels").where(part != 0))
+    scored = with_toxicity(docs, field)
+    return scored.select(
+        "doc_id", F.coalesce(part == 0, F.lit(False)).alias("held_out"), own("score").alias("score"), (own("score") >= 0.5).cast("int").alias("predicted"), own("spans").alias("spans")
+    )
