@@ -133,3 +133,15 @@ def op2_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
     return scored.select(
         "doc_id", F.coalesce(part == 0, F.lit(False)).alias("held_out"), own("score").alias("score"), (own("score") >= 0.5).cast("int").alias("predicted"), own("spans").alias("spans")
     )
+
+
+@query("op6_language_id")
+def op6_language_id(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from rangeflow.llm.langid import train, with_language
+    from rangeflow.llm.rows import own
+
+    docs = table(spark, sf_dir, "documents").select("doc_id", "text", "lang")
+    part = F.crc32(F.col("doc_id").cast("string").cast("binary")) % 3
+    machines = train(docs.where(part != 1))
+    found = with_language(docs.select("doc_id", "text"), machines)
+    return found.select("doc_id", F.coalesce(part == 1, F.lit(False)).alias("held_out"), own("lang_pred").alias("lang_pred"), own("score").alias("score"))

@@ -144,13 +144,13 @@ class Field:
     def score(self, m: np.ndarray, bounds: np.ndarray) -> np.ndarray:
         return sigmoid(self.evidence(m, bounds) @ self.calibration[:2] + self.calibration[2])
 
-    def calibrate(self, seen: np.ndarray, toxic: np.ndarray, rounds: int = 400) -> None:
-        """A logistic curve over the texts' evidence."""
+    def calibrate(self, seen: np.ndarray, toxic: np.ndarray, weight: np.ndarray, rounds: int = 400) -> None:
+        """A logistic curve over the texts' evidence; weights restore the labels' shares before sampling."""
         centre, spread = seen.mean(axis=0), seen.std(axis=0) + 1e-6
         z = (seen - centre) / spread
         c, total = np.zeros(3), np.full(3, 1e-6)
         for _ in range(rounds):
-            gap = toxic - sigmoid(z @ c[:2] + c[2])
+            gap = weight * (toxic - sigmoid(z @ c[:2] + c[2]))
             g = np.append(gap @ z, gap.sum()) / len(toxic) - 1e-3 * np.append(c[:2], 0)
             total += g * g
             c = c + 0.5 * g / np.sqrt(total)
@@ -212,7 +212,8 @@ def train(docs: DataFrame, labels: DataFrame, id_col: str = "doc_id", text_col:
     slots = np.concatenate(parts, axis=1)
     field.fit(slots, bounds, toxic_tokens(slots, bounds, label))
     m = field.marginals(field.potentials(slots), bounds)[0]
-    field.calibrate(field.evidence(m, bounds), label.astype(np.float64))
+    share = np.where(label, counts.get(1, 0) / max(1, label.sum()), counts.get(0, 0) / max(1, (~label).sum()))
+    field.calibrate(field.evidence(m, bounds), label.astype(np.float64), share / share.mean())
     return field
 
 
