@@ -145,3 +145,10 @@ def op6_language_id(spark: SparkSession, sf_dir: str) -> DataFrame:
     machines = train(docs.where(part != 1))
     found = with_language(docs.select("doc_id", "text"), machines)
     return found.select("doc_id", F.coalesce(part == 1, F.lit(False)).alias("held_out"), own("lang_pred").alias("lang_pred"), own("score").alias("score"))
+
+
+@query("op5_chat_formatting")
+def op5_chat_formatting(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from rangeflow.llm.chat import format_chats
+
+    return format_chats(table(spark, sf_dir, "conversations"))
