@@ -1,0 +1 @@
+"""Species-occurrence analytics as Spark DataFrame jobs."""
