@@ -7,6 +7,7 @@ import math
 import pandas as pd
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
 from rangeflow.functions.scalars import coarser_cell, degree_centre, degree_key, map_grade, map_strength, place_band, wilson
 from rangeflow.functions.text import any_of, name_key, record_key
@@ -296,7 +297,7 @@ def unnest_verdicts(rows: DataFrame, arms: str = "arms") -> DataFrame:
     return rows.select(*[c for c in rows.columns if c != arms], F.explode(arms).alias("a")).select(*[c for c in rows.columns if c != arms], "a.*")
 
 
-@F.pandas_udf("double")
+@F.pandas_udf(T.DoubleType())
 def upper_tail(z: pd.Series) -> pd.Series:
     """One-sided normal tail."""
     return z.map(lambda v: None if v is None or v != v else 0.5 * math.erfc(v / math.sqrt(2)))

@@ -84,8 +84,8 @@ def guild_table(raw: DataFrame, genus: str = "GENUS", lifestyle: str = "primary_
 
 def id_list(text: DataFrame, column: str = "value") -> DataFrame:
     """SRC6: ids of a comma list or of lines; ``#`` starts a comment."""
-    part = F.explode(F.split(F.regexp_replace(column, "#.*$", ""), ","))
-    return text.select(F.trim(part).alias("id")).where("id rlike '^[0-9]+$'").select(F.col("id").cast("long").alias("id")).distinct()
+    parts = text.select(F.explode(F.split(F.regexp_replace(column, "#.*$", ""), ",")).alias("id"))
+    return parts.select(F.trim("id").alias("id")).where("id rlike '^[0-9]+$'").select(F.col("id").cast("long").alias("id")).distinct()
 
 
 def read_id_list(spark: SparkSession, path: str) -> DataFrame:
