@@ -340,8 +340,10 @@ def resolve_names(asked: DataFrame, names: DataFrame, renames: DataFrame, hops:
             break
         moved = tried.join(moves, "key", "left").drop("key")
         go = F.col("found").isNull() & F.col("next").isNotNull()
-        state = cut(moved.select("name", F.when(go, F.col("next")).otherwise(F.col("at")).alias("at"), "found", "how", (F.col("hops") + go.cast("int")).alias("hops")))
-        if state.where("found is null").isEmpty() or moved.where(go).isEmpty():
+        state = cut(moved.select("name", F.when(go, F.col("next")).otherwise(F.col("at")).alias("at"), "found", "how", (F.col("hops") + go.cast("int")).alias("hops"), go.alias("_go")))
+        moving = not state.where("_go").isEmpty()
+        state = state.drop("_go")
+        if not moving:
             break
     return asked.select("name").join(state.select("name", "found", "how", "hops"), "name", "left")
 
