@@ -23,6 +23,7 @@ from rangeflow.functions.scalars import map_grade, skill
 from rangeflow.functions.scalars import tier as tier_of
 
 from rangeflow.operators.aggs import paired_arms, pass_rates
+from rangeflow.operators.lineage import cut
 from rangeflow.operators.joins import accessible_sites, nearest_in_space, within
 from rangeflow.operators.topk import background_sample, hash_order, shifted_null, sweep_sample, unit_hash
 from rangeflow.operators.windows import auc, boyce, sequential_p
@@ -106,7 +107,7 @@ def spatial_folds(sites: DataFrame, k: int = FOLDS, block_km: float = BLOCK_KM,
     """
     size = block_km * 1000.0
     block = F.concat_ws(":", F.floor(F.col("x") / size).cast("string"), F.floor(F.col("y") / size).cast("string"))
-    rows = sites.withColumn("block", block)
+    rows = cut(sites.withColumn("block", block))
     blocks = rows.groupBy("taxon", "block").agg(F.count_if(F.col("presence") == 1).cast("int").alias("found"))
     order = F.array_sort(F.collect_list(F.struct((-F.col("found")).alias("minus"), hash_order(F.lit(seed), F.col("block")).alias("o"), "block", "found")))
     listed = blocks.groupBy("taxon").agg(order.alias("blocks"))
@@ -125,7 +126,7 @@ def spatial_folds(sites: DataFrame, k: int = FOLDS, block_km: float = BLOCK_KM,
         )
 
     dealt = listed.select("taxon", F.explode(F.aggregate("blocks", zero, deal, lambda s: s["out"])).alias("d")).select("taxon", "d.block", "d.fold")
-    return rows.join(dealt, ["taxon", "block"])
+    return cut(rows.join(dealt, ["taxon", "block"]))
 
 
 def random_folds(rows: DataFrame, k: int = FOLDS, seed: int = 1, key: str = "site") -> DataFrame:
@@ -333,7 +334,7 @@ def cross_validated_scores(training: DataFrame, bands: list[str], by: list[str],
 
 def cross_validate(training: DataFrame, bands: list[str], by: list[str], min_presences: int = 2, **how) -> DataFrame:
     """MOD11: per group the mean over folds of AUC and Boyce, folds with too few detections apart, and how many were scored."""
-    held = cross_validated_scores(training, bands, by, **how)
+    held = cut(cross_validated_scores(training, bands, by, **how))
     enough = held.groupBy(*by, "fold").agg(F.count_if(F.col("presence") == 1).alias("n1")).where(F.col("n1") >= min_presences).drop("n1")
     held = held.join(enough, [*by, "fold"])
     a, b = auc(held, [*by, "fold"]), boyce(held, [*by, "fold"])
@@ -347,12 +348,10 @@ def pooled_boyce(held: DataFrame, by: list[str]) -> DataFrame:
 
 def tune(training: DataFrame, bands: list[str], by: list[str], ridges: list[float]) -> DataFrame:
     """MOD12: per group the candidate with the best mean blocked AUC, the first on ties."""
-    spark = training.sparkSession
     out = None
     for k, ridge in enumerate(ridges):
-        one = cross_validate(training, bands, by, ridge=ridge).select(*by, F.lit(k).alias("candidate"), F.lit(float(ridge)).alias("ridge"), "auc")
+        one = cut(cross_validate(training, bands, by, ridge=ridge)).select(*by, F.lit(k).alias("candidate"), F.lit(float(ridge)).alias("ridge"), "auc")
         out = one if out is None else out.unionByName(one)
-    assert spark is not None
     return out.groupBy(*by).agg(F.max_by(F.struct("ridge", "auc"), F.struct("auc", -F.col("candidate"))).alias("b")).select(*by, "b.ridge", "b.auc")
 
 
@@ -381,7 +380,7 @@ def choose_bandwidth(training: DataFrame, bandwidths: list[float], by: list[str]
     train = training.where("presence = 1").join(folds, by).where("fold <> held").select(*by, F.col("held").alias("fold"), "x", "y")
     out = None
     for h in bandwidths:
-        scored = kernel_scores(training, train, h, [*by, "fold"])
+        scored = cut(kernel_scores(training, train, h, [*by, "fold"]))
         one = auc(scored, [*by, "fold"]).groupBy(*by).agg(F.avg("auc").alias("auc")).withColumn("bandwidth_km", F.lit(float(h)))
         out = one if out is None else out.unionByName(one)
     return out.groupBy(*by).agg(F.max_by("bandwidth_km", F.struct("auc", -F.col("bandwidth_km"))).alias("bandwidth_km"), F.max("auc").alias("auc"))
@@ -406,8 +405,9 @@ def null_test(training: DataFrame, bands: list[str], draws: int = NULLS, design:
 
     All draws of all taxa are groups of one cross-validation job.
     """
-    observed = cross_validate(training, bands, ["taxon"], **how).select("taxon", F.col("auc").alias("observed"), "boyce")
-    nulls = cross_validate(null_tables(training, draws, design, seed), bands, ["taxon", "draw"], **how).select("taxon", "draw", F.col("auc").alias("null_score"))
+    observed = cut(cross_validate(training, bands, ["taxon"], **how).select("taxon", F.col("auc").alias("observed"), "boyce"))
+    nulls = cross_validate(cut(null_tables(training, draws, design, seed)), bands, ["taxon", "draw"], **how).select("taxon", "draw", F.col("auc").alias("null_score"))
+    nulls = cut(nulls)
     met = nulls.join(observed.select("taxon", "observed"), "taxon")
     spread = met.groupBy("taxon").agg(F.avg("null_score").alias("auc_mean"), F.stddev_samp("null_score").alias("auc_sd"), F.count("null_score").alias("reps"))
     p = sequential_p(met, ["taxon"], stop_after)
@@ -495,7 +495,7 @@ def run_arms(training: DataFrame, arms: dict[str, dict]) -> DataFrame:
     for name, arm in arms.items():
         rows = design_rows(training, arm.get("design", "sites"))
         one = cross_validate(rows, arm["bands"], ["taxon"], ridge=arm.get("ridge", 0.01), pairs=arm.get("pairs", False))
-        one = one.select("taxon", F.lit(name).alias("arm"), "auc", "boyce", "folds_scored")
+        one = cut(one.select("taxon", F.lit(name).alias("arm"), "auc", "boyce", "folds_scored"))
         out = one if out is None else out.unionByName(one)
     return out
 
@@ -537,9 +537,7 @@ def fit_taxa(training: DataFrame, bands: list[str], low: int = 20, draws: int =
     training: taxon, site, presence, x, y, records and the bands.  Too few detections or blocks refuse a taxon; a model that cannot
     be scored has failed.
     """
-    from rangeflow.operators.lineage import cut
-
-    folded = cut(spatial_folds(training, FOLDS, block_km, seed))
+    folded = spatial_folds(training, FOLDS, block_km, seed)
     found = folded.where("presence = 1").groupBy("taxon").agg(F.count("*").alias("presences"), F.count_distinct("block").alias("blocks"))
     gate = F.when(F.col("presences") < low, "too few sites").when(F.col("blocks") < min_blocks, "too few blocks")
     taxa = training.select("taxon").distinct().join(found, "taxon", "left").na.fill(0, ["presences", "blocks"]).withColumn("reason", gate)

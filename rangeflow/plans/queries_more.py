@@ -11,6 +11,7 @@ from rangeflow.operators import cells as C
 from rangeflow.operators import setops as SO
 from rangeflow.operators import topk as K
 from rangeflow.operators import windows as W
+from rangeflow.operators.lineage import checkpoint_folder, cut
 from rangeflow.plans import model as M
 from rangeflow.plans.queries import _TAXA, _taxa, query, r
 from rangeflow.plans.queries_aggs import _avg_rank
@@ -381,7 +382,7 @@ def training(spark, d):
     taxon = F.element_at(F.array(F.lit("east"), F.lit("west"), F.lit("any")), (F.col("id") % 3 + 1).cast("int"))
     seen = (taxon == "any") | ((taxon == "east") & (F.col("b1") > 0)) | ((taxon == "west") & (F.col("b1") < -1))
     pts = found.withColumn("taxon", taxon).where(seen & (F.col("id") % 5 == 0)).select("taxon", "site")
-    return M.training_table(pts, sites, BANDS, 400, 2000)
+    return cut(M.training_table(pts, cut(sites), BANDS, 400, 2000))
 
 
 @query("mod1_training_table")
@@ -518,8 +519,6 @@ def stm1_stream(spark, d):
     name = "rangeflow_" + os.urandom(6).hex()
     rows = spark.readStream.schema(schema).option("pathGlobFilter", "*.parquet").parquet(f"{d}/events.parquet*")
     counts = T.windowed_counts(rows, "ts", "event_type")
-    from rangeflow.operators.lineage import checkpoint_folder
-
     q = counts.writeStream.outputMode("complete").format("memory").queryName(name).option("checkpointLocation", f"{checkpoint_folder(spark)}/{name}").trigger(availableNow=True).start()
     q.awaitTermination()
     return spark.table(name).select(F.col("day").cast("date").cast("string").alias("day"), "event_type", "n")
