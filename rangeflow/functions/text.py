@@ -54,7 +54,7 @@ def regular_ranks(name: Column | str) -> Column:
         stop = F.least(F.size(w) - 1, F.coalesce(F.get(quoted, F.lit(0)), F.size(w)))
         return F.array_join(F.transform(w, lambda x, i: F.when((i >= 2) & (i < stop), F.coalesce(F.try_element_at(spelling, x), x)).otherwise(x)), " ")
 
-    return F.when(_col(name).isNotNull(), bind(F.split(_col(name), " "), words))
+    return bind(_col(name), lambda v: F.when(v.isNotNull(), bind(F.split(v, " "), words)))
 
 
 def strip_authors(name: Column | str) -> Column:
@@ -80,8 +80,11 @@ def strip_authors(name: Column | str) -> Column:
         cut = F.aggregate(F.sequence(F.lit(3), last), first, step, lambda s: F.array_join(F.slice(w, 1, s["keep"]), " "))
         return F.when((last >= 3) & w[1].rlike(epithet), cut)
 
-    whole = x.rlike(_CODE) | x.rlike("[0-9]")
-    return F.when(whole, x).otherwise(F.coalesce(bind(F.split(x, " "), fold), x))
+    def cut(v: Column) -> Column:
+        whole = v.rlike(_CODE) | v.rlike("[0-9]")
+        return F.when(whole, v).otherwise(F.coalesce(bind(F.split(v, " "), fold), v))
+
+    return bind(x, cut)
 
 
 def name_key(name: Column | str) -> Column:

@@ -46,11 +46,16 @@ def sequence_names(records: DataFrame, sequences: DataFrame, links: DataFrame, p
 
 def dna_names(records: DataFrame, names: DataFrame, keep_unnamed: bool = False) -> DataFrame:
     """JOI2: records with ``record_name``, the name their sequences agree on as ``scientific_name`` (null: left out) and ``name_status``."""
-    cleaned = names.select("id", F.trim("species_name").alias("n")).where("n <> ''").distinct().withColumn("k", name_key("n"))
+    cleaned = names.select("id", F.trim("species_name").alias("n")).where("n <> ''").distinct()
+    # keys are worked out once per spelling, of which there are few beside the records
+    keys = cleaned.select("n").union(records.select(F.trim("scientific_name"))).where("n is not null").distinct().withColumn("k", name_key("n"))
+    cleaned = cleaned.join(keys, "n")
     sets = cleaned.groupBy("id").agg(F.array_sort(F.collect_set("n")).alias("_seqs"), F.count_distinct("k").alias("_kinds"))
     record = F.trim(F.col("record_name"))
     own = records.withColumnRenamed("scientific_name", "record_name").join(sets, "id", "left")
     own = own.withColumn("_name", F.when(F.array_contains("_seqs", record), record).otherwise(F.col("_seqs")[0]))
+    own = own.join(keys.select(F.col("n").alias("_name"), F.col("k").alias("_name_key")), "_name", "left")
+    own = own.withColumn("_record", record).join(keys.select(F.col("n").alias("_record"), F.col("k").alias("_record_key")), "_record", "left").drop("_record")
     first_word = lambda c: F.lower(F.regexp_replace(c, " .*$", ""))
     status = (
         F.when(F.col("_seqs").isNull(), LABEL_NONE)
@@ -58,14 +63,14 @@ def dna_names(records: DataFrame, names: DataFrame, keep_unnamed: bool = False)
         .when(~F.col("_name").contains(" "), LABEL_SEQUENCE_GENUS)
         .when(record.isNull() | ~F.coalesce(record, F.lit("")).contains(" "), LABEL_RECORD_GENUS)
         .when(record == F.col("_name"), LABEL_SAME)
-        .when(name_key(record) == name_key("_name"), LABEL_SPELLING)
+        .when(F.col("_record_key") == F.col("_name_key"), LABEL_SPELLING)
         .when(first_word(record) != first_word(F.col("_name")), LABEL_OTHER_GENUS)
         .otherwise(LABEL_OTHER_SPECIES)
     )
     out = own.withColumn("name_status", status)
     unnamed = F.col("record_name") if keep_unnamed else F.lit(None).cast("string")
     name = F.when(F.col("name_status").isin(LABEL_DISAGREE, LABEL_SEQUENCE_GENUS), None).when(F.col("name_status") == LABEL_NONE, unnamed).otherwise(F.col("_name"))
-    return out.withColumn("scientific_name", name).drop("_seqs", "_kinds", "_name")
+    return out.withColumn("scientific_name", name).drop("_seqs", "_kinds", "_name", "_name_key", "_record_key")
 
 
 def first_validated(slots: DataFrame, n: int = 3) -> DataFrame:
