@@ -68,7 +68,7 @@ def win5(spark, d):
     return W.latest_per_key(table(spark, d, "events"), ["user_id"], ["ts", "event_id"]).select("user_id", "event_type", "event_id")
 
 
-@query("win6_auc", f"WITH s AS ({SCORED_SQL}) SELECT lang, round((sum(ar) FILTER (WHERE presence = 1) - n1 * (n1 + 1) / 2.0) / (n1 * n0), 6)::DOUBLE AS auc FROM (SELECT *, {_avg_rank('score', 'lang')} AS ar, count(*) FILTER (WHERE presence = 1) OVER (PARTITION BY lang) AS n1, count(*) FILTER (WHERE presence = 0) OVER (PARTITION BY lang) AS n0 FROM s) GROUP BY lang, n1, n0")
+@query("win6_auc", f"WITH s AS ({SCORED_SQL}) SELECT lang, round((sum(ar) FILTER (WHERE presence = 1) - n1 * (n1 + 1) / 2.0) / nullif(n1 * n0, 0), 6)::DOUBLE AS auc FROM (SELECT *, {_avg_rank('score', 'lang')} AS ar, count(*) FILTER (WHERE presence = 1) OVER (PARTITION BY lang) AS n1, count(*) FILTER (WHERE presence = 0) OVER (PARTITION BY lang) AS n0 FROM s) GROUP BY lang, n1, n0")
 def win6(spark, d):
     return W.auc(scored_documents(spark, d), ["lang"]).withColumn("auc", r("auc"))
 
