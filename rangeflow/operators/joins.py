@@ -7,6 +7,9 @@ optimiser, which broadcasts them by their measured size.
 
 from __future__ import annotations
 
+import math
+
+import pandas as pd
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
@@ -166,30 +169,51 @@ def within(left: DataFrame, right: DataFrame, distance: float, by: list[str] | N
     return met.withColumn("d2", d2).where(F.col("d2") <= distance * distance).drop("_i", "_j")
 
 
-def thin_by_distance(points: DataFrame, distance: float, key: str = "cell", weight: str = "records", x: str = "x", y: str = "y", rounds: int = 64) -> DataFrame:
+def _thin_tile(distance: float):
+    """Rows of one tile and its rim after the greedy rule, as far as they are settled; rows that are out go."""
+
+    def run(rows: pd.DataFrame) -> pd.DataFrame:
+        rows = rows.sort_values(["w", "k", "x", "y"], ascending=[False, True, True, True], ignore_index=True)
+        state, met = rows["s"].to_numpy().copy(), ({}, {})  # by square: places of open points, of centres
+        limit = distance * distance
+        for n, (x, y, own) in enumerate(zip(rows["x"].tolist(), rows["y"].tolist(), rows["own"].tolist(), strict=True)):
+            i, j = math.floor(x / distance), math.floor(y / distance)
+
+            def near(places: dict) -> bool:
+                return any((x - u) ** 2 + (y - v) ** 2 < limit for a, b in _AROUND for u, v in places.get((i + a, j + b), ()))
+
+            if state[n] == 0 and near(met[1]):
+                state[n] = 2
+                continue
+            if state[n] == 0 and own and not near(met[0]):
+                state[n] = 1
+            met[state[n]].setdefault((i, j), []).append((x, y))
+        return rows.assign(s=state)[rows["own"] & (state < 2)][["k", "w", "x", "y", "s"]]
+
+    return run
+
+
+def thin_by_distance(points: DataFrame, distance: float, key: str = "cell", weight: str = "records", x: str = "x", y: str = "y", tile: int = 8) -> DataFrame:
     """JOI9: the greedy centres, busiest first, ties by key: a point is one if no centre of higher rank is nearer than the distance.
 
-    Same set as the sequential rule: in each round an open point that outranks all open neighbours is a centre, and its
-    neighbours are out.  Rounds are checkpointed; at most the longest falling chain of neighbours decides how many there are.
+    Same set as the sequential rule: in each round every tile (``tile`` distances wide, seen with a rim of one distance)
+    settles the points whose open neighbours of higher rank it can settle, until no point is open.  The first open point of
+    all is settled in each round, so it ends; falling chains of neighbours cost a round per tile that they enter.  Rounds are
+    checkpointed.  Points without a place have no neighbours; rows without a key are no points.
     """
     from rangeflow.operators.lineage import cut
 
-    base = cut(points.select(key, weight, x, y))
-    near = within(base, base, distance, x=x, y=y).where((F.col(key) != F.col(f"r_{key}")) & (F.col("d2") < distance * distance))
-    beats = (F.col(f"r_{weight}") > F.col(weight)) | ((F.col(f"r_{weight}") == F.col(weight)) & (F.col(f"r_{key}") < F.col(key)))
-    edges = cut(near.select(F.col(key).alias("k"), F.col(f"r_{key}").alias("o"), beats.alias("loses")))
-    state = cut(base.select(F.col(key).alias("k"), F.lit(0).alias("s")))  # 0 open, 1 centre, 2 out
-    for _ in range(rounds):
-        open_ = state.where("s = 0").select("k")
-        if open_.isEmpty():
-            break
-        live = edges.join(open_, "k").join(open_.withColumnRenamed("k", "o"), "o")
-        lost = live.where("loses").select("k").distinct()
-        centres = open_.join(lost, "k", "left_anti").withColumn("c", F.lit(1))
-        out = edges.join(centres, "k").select(F.col("o").alias("k")).distinct().withColumn("n", F.lit(2))
-        new = F.when(F.col("s") != 0, F.col("s")).when(F.col("c") == 1, 1).when(F.col("n") == 2, 2).otherwise(0)
-        state = cut(state.join(centres, "k", "left").join(out, "k", "left").select("k", new.alias("s")))
-    return points.join(state.where("s = 1").select(F.col("k").alias(key)), key, "left_semi")
+    base = points.where(F.col(key).isNotNull()).select(F.col(key).alias("k"), F.col(weight).alias("w"), F.col(x).cast("double").alias("x"), F.col(y).cast("double").alias("y"))
+    nowhere = F.coalesce(F.isnan("x"), F.lit(True)) | F.coalesce(F.isnan("y"), F.lit(True)) | F.col("x").isNull() | F.col("y").isNull()
+    state = cut(base.where(~nowhere).withColumn("s", F.lit(0)))  # 0 open, 1 centre
+    size, rim = tile * distance, 1.01 * distance
+    at = lambda a, b: F.struct(F.floor((F.col("x") + a) / size).alias("ti"), F.floor((F.col("y") + b) / size).alias("tj"))
+    home, seen = at(0, 0), F.array_distinct(F.array(*[at(a * rim, b * rim) for a, b in _AROUND]))
+    while not state.where("s = 0").isEmpty():
+        tiles = state.select("*", F.explode(seen).alias("t")).select(*state.columns, "t.*", (F.col("t") == home).alias("own"))
+        state = cut(tiles.groupBy("ti", "tj").applyInPandas(_thin_tile(distance), state.schema))
+    chosen = state.select("k").unionByName(base.where(nowhere).select("k"))
+    return points.join(chosen.withColumnRenamed("k", key), key, "left_semi")
 
 
 def attach_sites(cells: DataFrame, centres: DataFrame, distance: float, key: str = "cell", x: str = "x", y: str = "y") -> DataFrame:

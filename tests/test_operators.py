@@ -25,6 +25,12 @@ def test_thinning_equals_the_greedy_rule(spark):
     assert {r["cell"] for r in got} == {k for k, *_ in chosen}
 
 
+def test_thinning_of_an_even_strip_decides_every_point(spark):
+    rows = [(k, 1, 10.0 * k, 0.0) for k in range(134)]  # every second one is a centre, one a round: 67 rounds
+    got = J.thin_by_distance(spark.createDataFrame(rows, "cell long, records int, x double, y double"), 15.0).select("cell").collect()
+    assert {r["cell"] for r in got} == set(range(0, 134, 2))
+
+
 def test_nearest_is_exact(spark):
     rng = np.random.default_rng(4)
     q, t = rng.uniform(0, 1e6, (40, 2)), rng.uniform(0, 1e6, (15, 2))
