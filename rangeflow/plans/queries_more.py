@@ -381,8 +381,8 @@ def training(spark, d):
     found = p.join(sites.select("site", "b1"), F.col("site") == F.col("cell20"))
     taxon = F.element_at(F.array(F.lit("east"), F.lit("west"), F.lit("any")), (F.col("id") % 3 + 1).cast("int"))
     seen = (taxon == "any") | ((taxon == "east") & (F.col("b1") > 0)) | ((taxon == "west") & (F.col("b1") < -1))
-    pts = found.withColumn("taxon", taxon).where(seen & (F.col("id") % 5 == 0)).select("taxon", "site")
-    return cut(M.training_table(pts, cut(sites), BANDS, 400, 2000))
+    pts = found.withColumn("taxon", taxon).where(seen).select("taxon", "site")
+    return cut(M.training_table(pts, cut(sites), BANDS))
 
 
 @query("mod1_training_table")
@@ -393,12 +393,12 @@ def mod1(spark, d):
 @query("mod2_effort_designs")
 def mod2(spark, d):
     t = training(spark, d)
-    return M.balanced_weights(M.effort_mode(M.design_rows(t, "per-record", 5), "covariate"), ["taxon"]).groupBy("taxon", "presence").agg(F.count("*").alias("rows"), r(F.sum("weight"), 3).alias("weight"))
+    return M.balanced_weights(M.effort_mode(M.design_rows(t, "per-record"), "covariate"), ["taxon"]).groupBy("taxon", "presence").agg(F.count("*").alias("rows"), r(F.sum("weight"), 3).alias("weight"))
 
 
 @query("mod3_spatial_folds")
 def mod3(spark, d):
-    return M.spatial_folds(training(spark, d), 5, 300).select("taxon", "site", "block", "fold")
+    return M.spatial_folds(training(spark, d)).select("taxon", "site", "block", "fold")
 
 
 @query("mod3_block_size")
@@ -424,19 +424,19 @@ def mod5(spark, d):
 
 @query("mod6_boosted_trees")
 def mod6(spark, d):
-    t = M.spatial_folds(_one(spark, d), 5, 300)
-    return M.fit_boosted(t, BANDS, 10)(t).select("site", "score")
+    t = M.spatial_folds(_one(spark, d))
+    return M.fit_boosted(t, BANDS)(t).select("site", "score")
 
 
 @query("mod7_forest")
 def mod7(spark, d):
     t = _one(spark, d)
-    return M.fit_forest(t, BANDS, 20)(t).select("site", "score")
+    return M.fit_forest(t, BANDS)(t).select("site", "score")
 
 
 @query("mod8_small_ensemble")
 def mod8(spark, d):
-    return M.fit_small_ensemble(M.spatial_folds(training(spark, d), 4, 300), BANDS)
+    return M.fit_small_ensemble(M.spatial_folds(training(spark, d)), BANDS)
 
 
 @query("mod9_detection_model")
@@ -447,34 +447,34 @@ def mod9(spark, d):
 
 @query("mod10_kernel_baseline")
 def mod10(spark, d):
-    return M.choose_bandwidth(M.spatial_folds(training(spark, d), 4, 300), [100.0, 200.0], ["taxon"])
+    return M.choose_bandwidth(M.spatial_folds(training(spark, d)), [100.0, 200.0], ["taxon"])
 
 
 @query("mod11_cross_validation")
 def mod11(spark, d):
-    return M.cross_validate(M.spatial_folds(training(spark, d), 4, 300), BANDS, ["taxon"])
+    return M.cross_validate(M.spatial_folds(training(spark, d)), BANDS, ["taxon"])
 
 
 @query("mod12_tuning")
 def mod12(spark, d):
-    return M.tune(M.spatial_folds(training(spark, d), 4, 300), BANDS, ["taxon"], [0.001, 0.1])
+    return M.tune(M.spatial_folds(training(spark, d)), BANDS, ["taxon"], [0.001, 0.1])
 
 
 @query("mod13_null_test")
 def mod13(spark, d):
-    return M.null_test(M.spatial_folds(training(spark, d), 4, 300), BANDS, 9)
+    return M.null_test(M.spatial_folds(training(spark, d)), BANDS)
 
 
 @query("mod14_importance")
 def mod14(spark, d):
-    return M.permutation_importance(M.spatial_folds(training(spark, d), 4, 300), BANDS, ["taxon"], 2, groups={"place": ["b1", "b2"]})
+    return M.permutation_importance(M.spatial_folds(training(spark, d)), BANDS, ["taxon"], groups={"place": ["b1", "b2"]})
 
 
 @query("mod15_applicability")
 def mod15(spark, d):
-    t = M.spatial_folds(_one(spark, d), 4, 300)
+    t = M.spatial_folds(_one(spark, d))
     cells = _sites(spark, d).select(F.col("site").alias("cell"), (F.col("x") / 1e6).alias("b1"), (F.col("y") / 1e6).alias("b2"))
-    return M.applicability(t, cells, ["b1", "b2"], pair_sites=200)[0].select("cell", "index", "inside")
+    return M.applicability(t, cells, ["b1", "b2"])[0].select("cell", "index", "inside")
 
 
 _STUDY = {"all": {"bands": BANDS}, "one": {"bands": ["b1"]}, "pairs": {"bands": BANDS, "pairs": True}}
@@ -482,12 +482,12 @@ _STUDY = {"all": {"bands": BANDS}, "one": {"bands": ["b1"]}, "pairs": {"bands":
 
 @query("mod16_arms")
 def mod16(spark, d):
-    return M.run_arms(M.spatial_folds(training(spark, d), 4, 300), _STUDY)
+    return M.run_arms(M.spatial_folds(training(spark, d)), _STUDY)
 
 
 @query("mod17_study")
 def mod17(spark, d):
-    t = M.spatial_folds(training(spark, d), 4, 300)
+    t = M.spatial_folds(training(spark, d))
     return M.run_study(t.groupBy("taxon").agg(F.count_if(F.col("presence") == 1).alias("cells")), t, _STUDY, "all")[1]
 
 
@@ -499,7 +499,7 @@ def mod18(spark, d):
 
 @query("mod19_fit_taxa")
 def mod19(spark, d):
-    return M.fit_taxa(training(spark, d), BANDS, 20, 5, min_blocks=3, block_km=300)
+    return M.fit_taxa(training(spark, d), BANDS)
 
 
 # ---- streams ----------------------------------------------------------------------------

@@ -2,6 +2,9 @@ import duckdb
 import pytest
 
 import __spark_entry__ as entry
+from pyspark.sql import functions as F
+from rangeflow.plans import model as M
+from rangeflow.plans.stand_ins import points
 
 DIR = "/root/testdata/sf0.001"
 TABLES = "region nation customer supplier part orders lineitem events documents embeddings pages benchmark labels conversations".split()
@@ -39,3 +42,20 @@ def test_every_oracle_has_a_query():
 @pytest.mark.parametrize("name", ["mod3_spatial_folds", "mod11_cross_validation"])
 def test_models_run(spark, name):
     assert entry.queries()[name](spark, DIR).columns
+
+
+def test_training_keeps_every_detection(spark):
+    p = points(spark, DIR).where("cell20 is not null")
+    x = p.groupBy("cell20").agg(F.avg("x").alias("mean_x"))
+    seen = "id % 3 = 2 or id % 3 = 0 and mean_x > 0 or id % 3 = 1 and mean_x < -1e6"
+    want = p.join(x, "cell20").where(seen).select(F.col("id") % 3, "cell20").distinct().count()
+    assert entry.queries()["mod1_training_table"](spark, DIR).where("presence = 1").count() == want
+
+
+def test_learners_take_the_librarys_procedures(spark, monkeypatch):
+    seen = {}
+    monkeypatch.setattr(M, "null_test", lambda *a, **k: seen.update(null=(a[2:], k)))
+    monkeypatch.setattr(M, "fit_taxa", lambda *a, **k: seen.update(taxa=(a[2:], k)))
+    for name in ("mod13_null_test", "mod19_fit_taxa"):
+        entry.queries()[name](spark, DIR)
+    assert seen == {"null": ((), {}), "taxa": ((), {})}
