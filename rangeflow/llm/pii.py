@@ -2,8 +2,10 @@
 
 Emails, addresses, cards and phones that match their format are the seeds.  The words around seeds, and around other
 identifier-like strings, are lexical patterns; Spark scores the graph of patterns and instances in rounds: a pattern is as
-sure as the mean score of the different instances it meets, an instance becomes as sure as its sure patterns make it.  Unseen
-identifiers of sure patterns, of a plausible shape for the pattern's kind, are added to the seeds' spans.
+sure as the mean score of the different instances it meets, an instance becomes as sure as its sure patterns make it.  Sure
+instances are seeds of the next round, until a round finds none; strings that could be of a pattern's kind and are not sure yet
+are unknown to it, others count as misses.  Identifiers of sure patterns, of a plausible shape for the pattern's kind, are
+added to the seeds' spans.
 """
 
 from __future__ import annotations
@@ -23,7 +25,6 @@ from rangeflow.llm.store import Scratch
 from rangeflow.llm.text import text_pieces
 
 KINDS = ("email", "ip", "card", "phone")
-ROUNDS = 2
 #: A pattern counts with this many different seeds and this mean score; an instance with this score.
 MIN_SEEDS, SURE_PATTERN, SURE_INSTANCE = 5, 0.7, 0.8
 #: Discovered spans are broadcast to the texts up to this many rows, and joined by a shuffle beyond.
@@ -167,31 +168,38 @@ def discover(scanned: DataFrame, scratch: Scratch) -> DataFrame:
     mention = scratch.write(mention, "mentions")
     edges = mention.select("surface", "shape", "kind", F.explode("patterns").alias("pattern"))
     edges = scratch.write(edges.groupBy("pattern", "surface", "kind").agg(F.first("shape").alias("shape")), "edges")
-    scores = None  # of instances without a format: (surface, guess, score)
-    sure = instances = None
-    for k in range(ROUNDS):
-        known = edges.select("pattern", "surface", F.col("kind").alias("guess"), F.lit(1.0).alias("score"), (F.col("kind") >= 0).alias("seed"))
-        if scores is not None:
-            open_ = known.where(~F.col("seed")).drop("guess", "score").join(scores, "surface", "left")
-            open_ = open_.select("pattern", "surface", F.coalesce("guess", F.lit(-1)).alias("guess"), F.coalesce("score", F.lit(0.0)).alias("score"), "seed")
-            known = known.where("seed").unionByName(open_)
-        by_kind = known.groupBy("pattern", "guess").agg(F.sum("score").alias("weight"), F.count("*").alias("met"), F.count_if("seed").alias("seeds"))
-        ranked = by_kind.groupBy("pattern").agg(
-            F.sum("met").alias("met"), F.max_by(F.struct("guess", "weight", "seeds"), F.when(F.col("guess") >= 0, F.col("weight")).otherwise(-1.0)).alias("best")
-        )
-        ranked = ranked.select("pattern", F.col("best.guess").alias("guess"), (F.col("best.weight") / F.col("met")).alias("sure"), F.col("best.seeds").alias("seeds"))
-        sure = scratch.write(ranked.where((F.col("guess") >= 0) & (F.col("seeds") >= MIN_SEEDS) & (F.col("sure") >= SURE_PATTERN)), f"sure{k}")
-        digits = F.regexp_extract("shape", "([0-9]+)$", 1).cast("int")
+    digits = F.regexp_extract("shape", "([0-9]+)$", 1).cast("int")
+    could = [digits.between(*_DIGITS[k]) & (F.col("shape").startswith("at") if k == "email" else F.col("shape").startswith("d")) for k in KINDS]
+    accepted, k = None, 0  # sure instances without a format: (surface, guess, score)
+    while True:
+        known = edges.select("*", F.when(F.col("kind") >= 0, F.col("kind")).alias("guess"), F.when(F.col("kind") >= 0, 1.0).alias("score"))
+        if accepted is not None:
+            open_ = known.where("kind < 0").drop("guess", "score").join(accepted, "surface", "left").select(*known.columns)
+            known = known.where("kind >= 0").unionByName(open_)
+        counts = [F.count("guess").alias("met")]
+        for n, fits in enumerate(could):
+            own = F.col("guess") == n
+            counts += [F.count_if(own).alias(f"seeds{n}"), F.coalesce(F.sum(F.when(own, F.col("score"))), F.lit(0.0)).alias(f"weight{n}"), F.count_if(F.col("guess").isNull() & ~fits).alias(f"misses{n}")]
+        kinds = [F.struct(F.col(f"weight{n}").alias("weight"), F.lit(n).alias("guess"), F.col(f"seeds{n}").alias("seeds"), (F.col("met") + F.col(f"misses{n}")).alias("met")) for n in range(len(KINDS))]
+        ranked = known.groupBy("pattern").agg(*counts).select("pattern", F.array_max(F.array(*kinds)).alias("b"))
+        ranked = ranked.where(f"b.seeds >= {MIN_SEEDS}").select("pattern", "b.guess", (F.col("b.weight") / F.col("b.met")).alias("sure"))
+        sure = scratch.write(ranked.where(F.col("sure") >= SURE_PATTERN), f"sure{k}")
         fits = F.lit(False)
-        for n, name in enumerate(KINDS):
-            ok = digits.between(*_DIGITS[name]) & (F.col("shape").startswith("at") if name == "email" else F.col("shape").startswith("d"))
+        for n, ok in enumerate(could):
             fits = fits | ((F.col("guess") == n) & ok)
         met = edges.where("kind < 0").join(sure, "pattern").where(fits)
+        if accepted is not None:
+            met = met.join(accepted.select("surface"), "surface", "left_anti")
         votes = met.groupBy("surface", "guess").agg((1 - F.exp(F.sum(F.log(F.greatest(1 - F.col("sure"), F.lit(1e-6)))))).alias("score"))
         best = votes.groupBy("surface").agg(F.max_by(F.struct("guess", "score"), F.struct("score", "guess")).alias("b"))
-        instances = scratch.write(best.select("surface", "b.guess", "b.score"), f"instances{k}")
-        scores = instances
-    accepted = instances.where(F.col("score") >= SURE_INSTANCE)
+        new = scratch.write(best.select("surface", "b.guess", "b.score").where(F.col("score") >= SURE_INSTANCE), f"new{k}")
+        # what is sure stays sure, so each round but the last adds one at least and the rounds end
+        if accepted is not None and new.isEmpty():
+            break
+        accepted = new if accepted is None else scratch.write(accepted.unionByName(new), f"accepted{k}")
+        if accepted.isEmpty():
+            break
+        k += 1
     found = mention.where("kind < 0").join(accepted, "surface")
     return found.select("row", "id", "digest", "start", F.col("guess").alias("kind"), "end")
 

@@ -195,6 +195,17 @@ def test_patterns_discover_identifiers(spark):
     assert all(got[k].startswith("phone:") for k in (60, 61)) and got[62] == ""
 
 
+def test_discovery_goes_on_until_nothing_is_new(spark):
+    phone = lambda k: f"2125550{k}"
+    half = [f"please call {'+1 212 555 %04d' % k} {'abcdefgh'[k % 8]}" for k in range(20)] + [f"please call {phone(100 + k)}" for k in range(20)]
+    hops = [f"{word} {phone(100 + k)}" for word, at in (("ring", range(20)), ("reach", range(20, 40))) for k in at]
+    hops += [f"ring {phone(100 + k)}" for k in range(20, 40)] + [f"reach {phone(100 + k)}" for k in range(40, 60)]
+    other = [f"order {phone(300 + k)}" for k in range(20)]
+    texts = half + hops + other
+    got = [r["spans"] for r in sorted(pii.find(frame(spark, texts)).collect(), key=lambda r: r["doc_id"])]
+    assert all(s.startswith("phone:") for s in got[: len(half) + len(hops)]) and not any(got[len(half) + len(hops) :])
+
+
 def test_shards_are_even_and_follow_the_curve(spark):
     rng = random.Random(6)
     docs = frame(spark, [None, ""] + ["same text"] * 40 + [prose(rng, rng.randint(1, 50)) for _ in range(61)])
