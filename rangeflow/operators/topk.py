@@ -123,6 +123,22 @@ def background_sample(pool: DataFrame, n: int, seed: int = 1, by: tuple[str, ...
     return pool.withColumn("_o", hash_order(F.lit(seed), F.col(key))).withColumn("_k", F.row_number().over(w)).where(F.col("_k") <= n).drop("_o", "_k")
 
 
+def _match(near: DataFrame, key: list[str]) -> DataFrame | None:
+    """One-to-one pairs of each group, nearest first, until no pair is open: in each round a group's nearest open pair is taken at least."""
+    from rangeflow.operators.lineage import cut
+
+    taken, open_ = None, near.dropna(subset=[*key, "from_site", "site"])
+    while True:
+        p = Window.partitionBy(*key, "from_site").orderBy("d2", "site")
+        s = Window.partitionBy(*key, "site").orderBy("d2", "from_site")
+        best = open_.withColumns({"_p": F.row_number().over(p), "_s": F.row_number().over(s)}).where("_p = 1 and _s = 1").select(*key, "n", "from_site", "site", "d2")
+        best = cut(best)
+        if best.isEmpty():
+            return taken
+        taken = best if taken is None else taken.unionByName(best)
+        open_ = cut(open_.join(best.select(*key, "from_site"), [*key, "from_site"], "left_anti").join(best.select(*key, "site"), [*key, "site"], "left_anti"))
+
+
 def shifted_null(detections: DataFrame, sites: DataFrame, draws: int, seed: int = 1, tries: int = 20, snap_km: float = SNAP_KM, far_share: float = FAR_SHARE) -> DataFrame:
     """TOP6: each taxon's detections rotated and moved to a random site, each snapped to a free site: (taxon, draw, site, try).
 
@@ -147,16 +163,7 @@ def shifted_null(detections: DataFrame, sites: DataFrame, draws: int, seed: int
     )
     near = cut(within(moved, sites.select("site", "x", "y"), snap_km * 1000.0).select("taxon", "draw", "try", "n", "from_site", F.col("r_site").alias("site"), "d2"))
     key = ["taxon", "draw", "try"]
-    taken, open_ = None, near
-    for _ in range(6):
-        p = Window.partitionBy(*key, "from_site").orderBy("d2", "site")
-        s = Window.partitionBy(*key, "site").orderBy("d2", "from_site")
-        best = open_.withColumns({"_p": F.row_number().over(p), "_s": F.row_number().over(s)}).where("_p = 1 and _s = 1").select(*key, "n", "from_site", "site", "d2")
-        best = cut(best)
-        if best.isEmpty():
-            break
-        taken = best if taken is None else taken.unionByName(best)
-        open_ = cut(open_.join(best.select(*key, "from_site"), [*key, "from_site"], "left_anti").join(best.select(*key, "site"), [*key, "site"], "left_anti"))
+    taken = _match(near, key)
     if taken is None:
         return near.select("taxon", "draw", "site", "try").limit(0)
     score = taken.groupBy(*key).agg((1 - F.count("*") / F.first("n")).alias("lost"))

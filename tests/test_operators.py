@@ -40,6 +40,12 @@ def test_nearest_is_exact(spark):
         assert abs(got[k] - np.sqrt(((t - p) ** 2).sum(axis=1)).min()) < 1e-6
 
 
+def test_matching_goes_on_until_no_pair_is_open(spark):
+    rows = [("t", 1, 1, 8, k, k, 2.0 * k) for k in range(8)] + [("t", 1, 1, 8, k, k - 1, 2.0 * k - 1) for k in range(1, 8)]  # one pair a round
+    near = spark.createDataFrame(rows, "taxon string, draw int, try int, n long, from_site long, site long, d2 double")
+    assert {(r["from_site"], r["site"]) for r in K._match(near, ["taxon", "draw", "try"]).collect()} == {(k, k) for k in range(8)}
+
+
 def test_auc_and_boyce_against_numpy(spark):
     rng = np.random.default_rng(5)
     score, label = np.round(rng.normal(size=300), 1), (rng.random(300) < 0.3).astype(int)
