@@ -16,7 +16,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from rangeflow.llm.text import PIECE_BYTES, U64, mix, pieces, running_sums, span_hashes, string_buffers, text_pieces
+from rangeflow.llm.text import PIECE_BYTES, U64, mix, pieces, span_hashes, string_buffers, text_pieces
 
 SMALLEST, NORMAL, LARGEST = 32, 64, 256
 _BEFORE, _AFTER = np.uint32(0x7F << 25), np.uint32(0x1F << 27)
@@ -61,7 +61,7 @@ def chunk_sets(data: np.ndarray, offsets: np.ndarray) -> list[np.ndarray]:
         return [np.zeros(0, dtype=U64)] * (len(offsets) - 1)
     begin = np.array(start, dtype=np.int64)
     end = np.append(begin[1:], offsets[-1])
-    key = (span_hashes(running_sums(data), begin, end) >> U64(16) << U64(16)) | (end - begin).astype(U64)
+    key = (span_hashes(data, begin, end) >> U64(16) << U64(16)) | (end - begin).astype(U64)
     return [np.unique(key[i:j]) for i, j in zip(row[:-1], row[1:], strict=True)]
 
 

@@ -1,23 +1,29 @@
-"""N-gram Jaccard self-join by T-occurrence search with DivideSkip's split of short and long inverted lists.
+"""N-gram Jaccard self-join by T-occurrence search (DivideSkip).
 
-Two sets of shingles with Jaccard similarity t or more share at least T = t / (1 + t) * (|A| + |B|) shingles.  A set keeps a
-fixed order of its shingles, those of short inverted lists first and those of long lists last; setting aside all but its
-first |A| - ceil(t |A|) + 1 shingles, it must still meet every partner in one of the rest.  The lists of these shingles are
-merged in sorted runs (a bucket of lists per task), the lists set aside are never merged: candidates reach the required
-overlap by binary probes of the whole sets.
+Two sets of shingles with Jaccard similarity t or more share at least T = t / (1 + t) * (|A| + |B|) shingles: a document reaches
+the required overlap with a query when it occurs in T of the query's inverted lists.  DivideSkip sets the query's L longest
+lists aside, merges the short ones on a heap, and keeps documents that occur T - L times there; only these are looked up, by
+binary probes, in the long lists.
 
-Hot groups: equal sets are one node; a list yields links to its smallest node only, and pairs of nodes that these links
+The corpus is searched in two steps.  Its index posts each set's |A| - L shortest lists only, with the largest L that loses
+nothing (least T - 1): a partner then occurs there once at least.  Pairs that these lists give are shipped as sets, and every
+query is answered over blocks of its candidates by a heap merge of short lists and binary probes of long ones.
+
+Hot groups: equal sets are one node; a list yields pairs with its smallest node only, and pairs of nodes that the links found
 leave in different components are then searched in full.  So no list emits all its pairs, and no link between different
 components is lost.
 """
 
 from __future__ import annotations
 
+import heapq
 from collections.abc import Iterator
+from math import log2
 
 import numpy as np
 import pandas as pd
 import pyarrow as pa
+from pyspark import TaskContext
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
@@ -25,12 +31,21 @@ from rangeflow.llm.graph import components
 from rangeflow.llm.store import Scratch
 from rangeflow.llm.text import U64, Words, byte_table, mix, text_pieces, window_hashes
 
-#: Counters of the frequency sketch, a fixed 4 MB: they only choose the order of shingles, never what is found.
-SKETCH_BITS = 20
+#: The frequency sketch has one counter for so many bytes of text, between 2^16 and 2^26 of them; it only chooses the order of
+#: shingles, never what is found.  Counters are added up in parts of SKETCH_PART.
+SKETCH_BYTES, SKETCH_LEAST, SKETCH_MOST = 256, 16, 26
 SKETCH_PART = 1 << 14
-#: Shingle occurrences of short lists per bucket, and members that one task row holds beside a set.
+_FLUSH = 1 << 22
+#: Shingle occurrences of short lists per bucket.
 BUCKET_ROWS = 400_000
-MEMBERS = 64
+#: Lists with more than this share of all long-list occurrences are joined by a broadcast: there are at most so many of them.
+HOT_LISTS = 10_000
+#: Candidates of one query that are searched at once, the shingles they may hold together, and candidates of one shipped group.
+BLOCK, BLOCK_SHINGLES, GROUP = 64, 1 << 22, 4096
+#: Rows of a list that meet in one task, in the search of pairs left open.
+LIST_ROWS = 4096
+#: DivideSkip's weight of the longest list in L = T / (MU * log2(longest) + 1).
+MU = 0.01
 
 
 def _sets(column: pa.Array, words: str, width: int) -> Iterator[np.ndarray]:
@@ -43,63 +58,100 @@ def _sets(column: pa.Array, words: str, width: int) -> Iterator[np.ndarray]:
             yield np.unique(h[bound[k] : bound[k + 1]])
 
 
-def profile(docs: DataFrame, width: int, words: str) -> DataFrame:
+def sketch_bits(text_bytes: int) -> int:
+    """Counters of the sketch, as a power of two, for a table of this many bytes of text."""
+    return int(min(SKETCH_MOST, max(SKETCH_LEAST, (max(1, text_bytes) // SKETCH_BYTES).bit_length())))
+
+
+def _counters(slots: np.ndarray) -> pa.RecordBatch:
+    """A task's counted slots in parts: the places of a part one by one, or all its counters where that is shorter."""
+    part, place = slots // SKETCH_PART, slots % SKETCH_PART
+    order = np.argsort(part, kind="stable")
+    cut = np.flatnonzero(np.diff(part[order], prepend=-1))
+    bodies, dense = [], []
+    for places in np.split(place[order], cut[1:]):
+        dense.append(len(places) >= 2 * SKETCH_PART)
+        bodies.append((np.bincount(places, minlength=SKETCH_PART).astype("<u4") if dense[-1] else places.astype("<u2")).tobytes())
+    none = pa.nulls(len(cut), pa.int64())
+    return pa.RecordBatch.from_arrays([none, none, none, none, pa.array(part[order][cut].astype(np.int32)), pa.array(dense), pa.array(bodies, pa.binary())], names=_PROFILE)
+
+
+_PROFILE = ["id", "n", "one", "two", "part", "dense", "counts"]
+
+
+def profile(docs: DataFrame, width: int, words: str, bits: int) -> DataFrame:
     """Per text: id, number of shingles, 128-bit digest of the set; and, tagged by ``part``, each task's shingle counts."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        counts = np.zeros(1 << SKETCH_BITS, dtype=np.int32)
+        seen, n_seen = [], 0
         for batch in batches:
             n, one, two = [], [], []
             for s in _sets(batch.column(1), words, width):
                 n.append(len(s))
                 one.append(np.add.reduce(s, dtype=U64))
                 two.append(np.bitwise_xor.reduce(mix(s)) if len(s) else U64(0))
-                np.add.at(counts, (s >> U64(64 - SKETCH_BITS)).astype(np.int64), 1)
+                seen.append((s >> U64(64 - bits)).astype(np.int32))
+                n_seen += len(s)
+                if n_seen >= _FLUSH:
+                    yield _counters(np.concatenate(seen))
+                    seen, n_seen = [], 0
             rows = len(n)
             yield pa.RecordBatch.from_arrays(
                 [batch.column(0), pa.array(np.array(n, dtype=np.int64)), pa.array(np.array(one, dtype=U64).view(np.int64)),
-                 pa.array(np.array(two, dtype=U64).view(np.int64)), pa.nulls(rows, pa.int32()), pa.nulls(rows, pa.binary())],
-                names=["id", "n", "one", "two", "part", "counts"],
+                 pa.array(np.array(two, dtype=U64).view(np.int64)), pa.nulls(rows, pa.int32()), pa.nulls(rows, pa.bool_()), pa.nulls(rows, pa.binary())],
+                names=_PROFILE,
             )
-        if counts.any():
-            held = counts.reshape(-1, SKETCH_PART)
-            some = np.flatnonzero(held.any(axis=1))
-            none = pa.nulls(len(some), pa.int64())
-            yield pa.RecordBatch.from_arrays(
-                [none, none, none, none, pa.array(some.astype(np.int32)), pa.array([held[k].tobytes() for k in some], pa.binary())],
-                names=["id", "n", "one", "two", "part", "counts"],
-            )
+        if n_seen:
+            yield _counters(np.concatenate(seen))
 
-    return docs.mapInArrow(run, "id long, n long, one long, two long, part int, counts binary")
+    return docs.mapInArrow(run, "id long, n long, one long, two long, part int, dense boolean, counts binary")
 
 
-def sketch(tagged: DataFrame) -> np.ndarray:
-    """Levels of the sketch's counters: 0 for short lists, more for longer ones."""
+def sketch(tagged: DataFrame, bits: int) -> np.ndarray:
+    """Levels of the sketch's counters: 0 for short lists, more for longer ones; one byte each (64 MB at most).
 
-    def add(parts: pd.DataFrame) -> pd.DataFrame:
-        total = np.zeros(SKETCH_PART, dtype=np.int64)
-        for held in parts["counts"]:
-            total += np.frombuffer(held, dtype=np.int32)
-        return pd.DataFrame({"part": parts["part"].iloc[:1], "counts": [total.tobytes()]})
+    Each part's counts are added up as they stream by, a batch at a time.
+    """
+    mean = (tagged.agg(F.sum("n")).first()[0] or 0) / (1 << bits)
 
-    total = np.zeros(1 << SKETCH_BITS, dtype=np.int64)
-    for r in tagged.where("part is not null").select("part", "counts").groupBy("part").applyInPandas(add, "part int, counts binary").collect():
-        total[r["part"] * SKETCH_PART : (r["part"] + 1) * SKETCH_PART] = np.frombuffer(r["counts"], dtype=np.int64)
-    mean = total.mean()
-    over = total - mean - max(64.0, 6 * np.sqrt(mean))
-    return np.where(over > 0, 1 + np.log2(np.maximum(over, 1)), 0).astype(np.uint8)
+    def level(part: int, total: np.ndarray) -> pa.RecordBatch:
+        over = total - mean - max(64.0, 6 * np.sqrt(mean))
+        levels = np.where(over > 0, 1 + np.log2(np.maximum(over, 1)), 0).astype(np.uint8)
+        return pa.RecordBatch.from_arrays([pa.array([part], pa.int32()), pa.array([levels.tobytes()], pa.binary())], names=["part", "levels"])
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        part, total = None, np.zeros(0)
+        for batch in batches:
+            for p, dense, held in zip(batch.column(0).to_pylist(), batch.column(1).to_pylist(), batch.column(2), strict=True):
+                if p != part:
+                    if part is not None:
+                        yield level(part, total)
+                    part, total = p, np.zeros(SKETCH_PART, dtype=np.int64)
+                body = np.frombuffer(held.as_buffer(), dtype="<u4" if dense else "<u2")
+                total += body if dense else np.bincount(body, minlength=SKETCH_PART)
+        if part is not None:
+            yield level(part, total)
+
+    parts = tagged.where("part is not null").select("part", "dense", "counts").repartition("part").sortWithinPartitions("part")
+    out = np.zeros(1 << bits, dtype=np.uint8)
+    for r in parts.mapInArrow(run, "part int, levels binary").collect():
+        out[r["part"] * SKETCH_PART : (r["part"] + 1) * SKETCH_PART] = np.frombuffer(r["levels"], dtype=np.uint8)
+    return out
 
 
 def prefixes(docs: DataFrame, levels: np.ndarray, width: int, words: str, num: int, den: int) -> DataFrame:
-    """Per text: the first |A| - ceil(t |A|) + 1 shingles in the common order, and how many of them have short lists."""
-    shared = docs.sparkSession.sparkContext.broadcast(levels)
+    """Per text: its |A| - L shortest lists in the common order, L = ceil(t |A|) - 1, and how many of them are short.
+
+    The levels are broadcast: one byte a counter, at most 64 MB.
+    """
+    shared, shift = docs.sparkSession.sparkContext.broadcast(levels), U64(64 - (len(levels).bit_length() - 1))
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         level = shared.value
         for batch in batches:
             n, light, heads = [], [], []
             for s in _sets(batch.column(1), words, width):
-                own = level[(s >> U64(64 - SKETCH_BITS)).astype(np.int64)]
+                own = level[(s >> shift).astype(np.int64)]
                 keep = len(s) - -(-num * len(s) // den) + 1 if len(s) else 0
                 order = np.argsort(own, kind="stable")[:keep]
                 n.append(len(s))
@@ -185,8 +237,12 @@ def _fits(n1: Column, p1: Column, n2: Column, p2: Column, num: int, den: int) ->
     return (shared * (num + den) >= num * (n1 + n2)) & (F.least(n1, n2) * den >= F.greatest(n1, n2) * num)
 
 
-def inverted_lists(heads: DataFrame, num: int, den: int) -> DataFrame:
-    """Occurrences in lists of two nodes or more: short lists merged by bucket, long ones (hot shingles) row by row."""
+def inverted_lists(heads: DataFrame, num: int, den: int, scratch: Scratch) -> DataFrame:
+    """Occurrences in lists of two nodes or more: short lists merged by bucket, long ones (hot shingles) row by row.
+
+    The few longest lists meet their smallest node by a broadcast of at most HOT_LISTS rows, the rest by a shuffle, so that no
+    task gets more than a small share of the occurrences.
+    """
     total = heads.agg(F.sum("light")).first()[0] or 0
     buckets = max(8, -(-total // BUCKET_ROWS))
     short = (
@@ -195,56 +251,115 @@ def inverted_lists(heads: DataFrame, num: int, den: int) -> DataFrame:
         .groupBy("bucket")
         .applyInPandas(lambda pdf: pd.concat(list(_merge_lists(iter([pdf])))), _LISTS)
     )
-    long_rows = heads.where(F.size("grams") > F.col("light")).select(
+    rows = heads.where(F.size("grams") > F.col("light")).select(
         "id", "n", "light", F.posexplode(F.slice("grams", F.col("light") + 1, F.size("grams") - F.col("light"))).alias("k", "gram")
     )
-    long_rows = long_rows.select("gram", "id", "n", (F.col("light") + F.col("k")).cast("int").alias("pos")).distinct()
-    lead = (
-        long_rows.groupBy("gram")
-        .agg(F.count("*").alias("size"), F.min(F.struct("id", "n", "pos")).alias("lead"))
-        .where("size > 1")
-        .select("gram", "size", F.col("lead.id").alias("leader"), F.col("lead.n").alias("leader_n"), F.col("lead.pos").alias("leader_pos"))
-    )
-    return short.unionByName(long_rows.join(lead, "gram"))
-
+    rows = rows.select("gram", "id", "n", (F.col("light") + F.col("k")).cast("int").alias("pos"))
+    lead = rows.groupBy("gram").agg(F.count("*").alias("size"), F.min(F.struct("id", "n", "pos")).alias("lead")).where("size > 1")
+    lead = lead.select("gram", "size", F.col("lead.id").alias("leader"), F.col("lead.n").alias("leader_n"), F.col("lead.pos").alias("leader_pos"))
+    lead = scratch.write(lead, "long_lists")
+    bound = max(1000, (lead.agg(F.sum("size")).first()[0] or 0) // HOT_LISTS)
+    hot = F.broadcast(lead.where(F.col("size") > bound))
+    rest = rows.join(hot.select("gram"), "gram", "left_anti").join(lead.where(F.col("size") <= bound), "gram")
+    columns = _LISTS.replace(" long", "").replace(" int", "").split(", ")
+    return short.unionByName(rows.join(hot, "gram").select(*columns)).unionByName(rest.select(*columns))
+
+
+def reaching(query: np.ndarray, members: list[np.ndarray], num: int, den: int) -> np.ndarray:
+    """Which members occur in so many of the query's inverted lists that their similarity is num / den or more.
+
+    DivideSkip over the members: the L longest lists are set aside, the others are merged on a heap, and members with T - L
+    occurrences there are looked up in the long lists.
+    """
+    sizes = np.array([len(m) for m in members])
+    need = -(-num * (len(query) + sizes) // (num + den))
+    every, who = np.concatenate(members), np.repeat(np.arange(len(members)), sizes)
+    at = np.minimum(np.searchsorted(query, every), len(query) - 1)
+    same = query[at] == every
+    lists, doc = at[same], who[same]
+    order = np.argsort(lists, kind="stable")  # each list goes by member
+    lists, doc = lists[order], doc[order]
+    length = np.bincount(lists, minlength=len(query))
+    begin = np.cumsum(length) - length
+    longest, least = int(length.max()), int(need.min())
+    aside = max(0, min(least - 1, int(least / (MU * log2(max(longest, 1)) + 1))))
+    by_length = np.argsort(length, kind="stable")
+    short, long = by_length[: len(query) - aside], by_length[len(query) - aside :]
+    short = short[length[short] > 0]
+    merged = np.fromiter(heapq.merge(*[doc[begin[g] : begin[g] + length[g]].tolist() for g in short.tolist()]), dtype=np.int64)
+    count = np.bincount(merged, minlength=len(members))
+    open_ = np.flatnonzero(count >= need - aside)
+    key = lists * len(members) + doc
+    step = max(1, _FLUSH // max(1, len(open_)))
+    for a in range(0, len(long) if len(open_) and len(key) else 0, step):
+        probe = long[a : a + step, None] * len(members) + open_
+        found = key[np.minimum(np.searchsorted(key, probe), len(key) - 1)] == probe
+        count[open_] += found.sum(axis=0)
+    return count >= need
+
+
+def _grouped(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """Sorted pairs with the number of a group of GROUP pairs that are shipped together."""
+    at = TaskContext.get().partitionId() << 33
+    for batch in batches:
+        n = batch.num_rows
+        yield pa.RecordBatch.from_arrays([*batch.columns, pa.array((np.arange(at, at + n) & ((1 << 33) - 1)) // GROUP + (at >> 33 << 33))], names=["a", "b", "part"])
+        at += n
+
+
+def verified(docs: DataFrame, pairs: DataFrame, width: int, words: str, num: int, den: int, scratch: Scratch, name: str) -> DataFrame:
+    """Those of the pairs (a, b) whose whole sets reach the similarity: every a is a query over its candidates b.
+
+    Sets are worked out once for each node and shipped; a group holds one query's set and up to GROUP candidates' sets, so a
+    hot node's candidates spread over tasks.
+    """
+    ids = pairs.select(F.col("a").alias("id")).union(pairs.select("b")).distinct()
 
-def _verify(docs: DataFrame, pairs: DataFrame, width: int, words: str, num: int, den: int) -> DataFrame:
-    """Those of the pairs (a, b) whose whole sets reach the similarity, by binary probes of one set in the other.
+    def hashed(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            bodies = [s.tobytes() for s in _sets(batch.column(1), words, width)]
+            yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(bodies, pa.binary())], names=["id", "body"])
 
-    A task row holds a's text and at most about MEMBERS partners' texts, so a hot node's partners spread over tasks.
-    """
-    parts = pairs.groupBy("a").agg(F.ceil(F.count("*") / MEMBERS).alias("parts"))
-    dealt = pairs.join(parts, "a").withColumn("part", F.expr("pmod(xxhash64(b), parts)")).select("a", "b", "part")
+    sets = scratch.write(docs.join(ids, "id", "left_semi").select("id", "text").mapInArrow(hashed, "id long, body binary"), f"{name}_sets")
+    dealt = pairs.select("a", "b").repartitionByRange("a", "b").sortWithinPartitions("a", "b").mapInArrow(_grouped, "a long, b long, part long")
+    dealt = scratch.write(dealt, f"{name}_groups")
     wanted = dealt.select(F.col("b").alias("id"), "a", "part", F.lit(1).alias("role")).unionByName(
         dealt.select(F.col("a").alias("id"), "a", "part").distinct().withColumn("role", F.lit(0))
     )
-    texts = docs.join(wanted.hint("shuffle_hash"), "id").select("a", "part", "role", "id", "text")
-    texts = texts.repartition("a", "part").sortWithinPartitions("a", "part", "role")
+    shipped = sets.join(wanted, "id").select("a", "part", "role", "id", "body").repartition("a", "part").sortWithinPartitions("a", "part", "role")
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        key, own = None, []
+        key, queries, ids, members, size = None, [], [], [], 0
+
+        def linked() -> pa.RecordBatch:
+            hit = np.zeros(len(ids), dtype=bool)
+            for query in queries:
+                hit |= reaching(query, members, num, den)
+            found = np.array(ids, dtype=np.int64)[hit]
+            return pa.RecordBatch.from_arrays([pa.array(np.full(len(found), key[0])), pa.array(found)], names=["a", "b"])
+
         for batch in batches:
-            a, part, role, ids = (batch.column(k).to_numpy() for k in range(4))
-            left, right = [], []
-            for k, s in enumerate(_sets(batch.column(4), words, width)):
+            a, part, role, node = (batch.column(k).to_numpy() for k in range(4))
+            for k, held in enumerate(batch.column(4)):
+                body = np.frombuffer(held.as_buffer(), dtype=U64)
+                if (a[k], part[k]) != key or len(ids) >= BLOCK or size + len(body) > BLOCK_SHINGLES:
+                    if ids and queries:
+                        yield linked()
+                    ids, members, size = [], [], 0
                 if (a[k], part[k]) != key:
-                    key, own = (a[k], part[k]), []
-                if role[k] == 0:
-                    own.append(s)
+                    key, queries = (a[k], part[k]), []
+                if not len(body):
                     continue
-                for o in own:
-                    few, many = (s, o) if len(s) < len(o) else (o, s)
-                    if not len(few):
-                        continue
-                    at = np.searchsorted(many, few)
-                    same = int((many[np.minimum(at, len(many) - 1)] == few).sum())
-                    if den * same >= num * (len(s) + len(o) - same):
-                        left.append(a[k])
-                        right.append(ids[k])
-                        break
-            yield pa.RecordBatch.from_arrays([pa.array(left, pa.int64()), pa.array(right, pa.int64())], names=["a", "b"])
+                if role[k] == 0:
+                    queries.append(body.copy())
+                else:
+                    ids.append(node[k])
+                    members.append(body.copy())
+                    size += len(body)
+        if ids and queries:
+            yield linked()
 
-    return texts.mapInArrow(run, "a long, b long")
+    return shipped.mapInArrow(run, "a long, b long")
 
 
 def near_duplicates(
@@ -263,28 +378,32 @@ def near_duplicates(
     component's name while another id is there.  Repeated rows are equal sets; an id that stands for two different texts is
     one document that links by either.
     """
-    spark = docs.sparkSession
-    scratch = Scratch(spark)
+    scratch = Scratch(docs.sparkSession)
     base = docs.select(F.col(id_col).cast("long").alias("id"), F.col(text_col).alias("text"))
-    tagged = scratch.write(profile(base, width, words), "profile")
+    bits = sketch_bits(base.agg(F.sum(F.octet_length("text"))).first()[0] or 0)
+    tagged = scratch.write(profile(base, width, words, bits), "profile")
     own = tagged.where("part is null").select("id", "n", "one", "two")
     nodes = own.where("n > 0").groupBy("one", "two", "n").agg(F.min("id").alias("node"))
     nodes = scratch.write(nodes, "nodes")
-    levels = sketch(tagged)
-    keep = nodes.where("node is not null").select(F.col("node").alias("id")).distinct()
-    heads = scratch.write(prefixes(base, levels, width, words, num, den).where("n > 0").join(keep, "id", "left_semi"), "heads")
-    lists = scratch.write(inverted_lists(heads, num, den), "lists")
+    levels = sketch(tagged, bits)
+    copies = own.where("n > 0").join(nodes, ["one", "two", "n"]).where("id <> node").select("id").distinct()
+    copies = copies.join(nodes.select(F.col("node").alias("id")), "id", "left_anti")
+    heads = prefixes(base.where("id is not null"), levels, width, words, num, den).where("n > 0")
+    heads = scratch.write(heads.join(scratch.write(copies, "copies"), "id", "left_anti"), "heads")
+    lists = scratch.write(inverted_lists(heads, num, den, scratch), "lists")
 
     starred = lists.where(F.col("id") != F.col("leader")).where(_fits(F.col("n"), F.col("pos"), F.col("leader_n"), F.col("leader_pos"), num, den))
     pairs = scratch.write(starred.select(F.col("leader").alias("a"), F.col("id").alias("b")).distinct(), "star_pairs")
-    links = scratch.write(_verify(base, pairs, width, words, num, den), "star_links")
+    links = scratch.write(verified(base, pairs, width, words, num, den, scratch, "star"), "star_links")
     labels = components(links, scratch, "star")
 
     open_pairs = scratch.write(_open_pairs(lists, labels, num, den).join(pairs, ["a", "b"], "left_anti"), "open_pairs")
     if not open_pairs.isEmpty():
-        more = scratch.write(_verify(base, open_pairs, width, words, num, den), "open_links")
+        more = scratch.write(verified(base, open_pairs, width, words, num, den, scratch, "open"), "open_links")
         if not more.isEmpty():
             labels = components(links.unionByName(more), scratch, "all")
+    for name in ("heads", "copies", "lists", "long_lists", "star_sets", "star_groups", "star_pairs", "open_sets", "open_groups", "open_pairs"):
+        scratch.drop(name)
     named = nodes.join(labels, "node", "left").select("one", "two", "n", F.coalesce("component", "node").alias("component_id"))
     full = own.where("n > 0").join(named, ["one", "two", "n"]).select("id", "n", "component_id")
     result = full.unionByName(own.where("n = 0").select("id", "n", F.col("id").alias("component_id")))
@@ -295,19 +414,22 @@ def _open_pairs(lists: DataFrame, labels: DataFrame, num: int, den: int) -> Data
     """Pairs of one list in different components, other than with the list's leader.
 
     Only nodes outside a list's commonest component are paired with the rest, so a list that is one component gives none.
+    Rows of a list are dealt to tasks by LIST_ROWS; the minority meets each of these parts.
     """
+    parts = (F.col("size") / LIST_ROWS).cast("long")
+    every = F.explode(F.sequence(F.lit(0), parts).cast("array<long>")).alias("deal")
     seen = lists.where("size > 2").join(labels.withColumnRenamed("node", "id"), "id", "left")
-    seen = seen.withColumn("component", F.coalesce("component", "id")).select("gram", "id", "n", "pos", "leader", "component")
-    counts = seen.groupBy("gram", "component").agg(F.count("*").alias("members"))
+    seen = seen.withColumn("component", F.coalesce("component", "id")).select("gram", "size", "id", "n", "pos", "leader", "component")
+    counts = seen.groupBy("gram", "size", "component").agg(F.count("*").alias("members"))
     mixed = (
-        counts.groupBy("gram")
+        counts.groupBy("gram", "size")
         .agg(F.count("*").alias("kinds"), F.max_by("component", F.struct("members", "component")).alias("most"))
         .where("kinds > 1")
-        .select("gram", "most")
+        .select("gram", "most", every)
     )
-    rows = seen.join(mixed, "gram").where("id <> leader")
-    o = rows.where("component <> most").select("gram", *[F.col(c).alias(f"o_{c}") for c in ("id", "n", "pos", "component")])
-    met = o.join(rows, "gram").where(
+    rows = seen.withColumn("deal", F.expr(f"pmod(xxhash64(id), cast(size / {LIST_ROWS} as long) + 1)")).join(mixed, ["gram", "deal"]).where("id <> leader")
+    o = rows.where("component <> most").select("gram", every, *[F.col(c).alias(f"o_{c}") for c in ("id", "n", "pos", "component")])
+    met = o.join(rows, ["gram", "deal"]).where(
         (F.col("o_component") != F.col("component"))
         & ((F.col("component") == F.col("most")) | (F.col("o_id") < F.col("id")))
         & _fits(F.col("o_n"), F.col("o_pos"), F.col("n"), F.col("pos"), num, den)

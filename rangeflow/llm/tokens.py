@@ -13,11 +13,11 @@ import json
 import numpy as np
 from tokenizers import Tokenizer
 
-from rangeflow.llm.text import U64, mix, running_sums, span_hashes
+from rangeflow.llm.text import U64, mix, span_hashes
 
 _NONE = np.int32(2**31 - 1)
 _LONGEST = 48
-_KEPT_UNITS = 1 << 20
+_KEPT_UNITS, _KEPT_BYTES = 1 << 20, 32 << 20
 SPACE, LETTER, DIGIT, MARK, OTHER = range(5)
 
 
@@ -57,6 +57,7 @@ class WordBpe:
         self._index((left << 16) | right)
         self.made = np.array([vocab[a + b] for a, b in pairs], dtype=np.int32)
         self.table = _classes()
+        self.seed = 0
         self.reset()
 
     def _index(self, keys: np.ndarray) -> None:
@@ -99,6 +100,10 @@ class WordBpe:
         return out.reshape(keys.shape)
 
     def reset(self) -> None:
+        """Forgets the units seen."""
+        self.held = np.zeros(0, dtype=np.uint8)
+        self.held_at = np.zeros(0, dtype=np.int64)
+        self.held_size = np.zeros(0, dtype=np.int64)
         self.keys = np.zeros(0, dtype=U64)
         self.at = np.zeros(0, dtype=np.int64)
         self.size = np.zeros(0, dtype=np.int64)
@@ -194,9 +199,12 @@ class WordBpe:
         return low, start, end, kind[start] != OTHER
 
     def texts(self, data: np.ndarray, offsets: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
-        """Ids of all rows of a piece one after another, and the n + 1 bounds of the rows."""
+        """Ids of all rows of a piece one after another, and the n + 1 bounds of the rows.
+
+        Units are looked up by hash and compared by their bytes; should two units share a hash, all begins anew with another one.
+        """
         low, start, end, plain = self.units(data, offsets)
-        key = span_hashes(running_sums(low), start, end)
+        key = span_hashes(low, start, end, self.seed)
         key[~plain] = mix(key[~plain])
         distinct, first, which = np.unique(key, return_index=True, return_inverse=True)
         known = np.searchsorted(self.keys, distinct)
@@ -204,20 +212,36 @@ class WordBpe:
         inside = known < len(self.keys)
         new[inside] = self.keys[known[inside]] != distinct[inside]
         if new.any():
-            if len(self.keys) > _KEPT_UNITS:
+            if len(self.keys) > _KEPT_UNITS or len(self.held) > _KEPT_BYTES:
                 self.reset()
                 new[:] = True
             some = first[new]
             counts, flat = self._encode(low, start[some], end[some], plain[some])
             at = len(self.flat) + np.cumsum(counts) - counts
+            size = end[some] - start[some]
+            held_at = len(self.held) + np.cumsum(size) - size
+            self.held = np.concatenate([self.held, low[_runs(start[some], size)]])
             keys = np.concatenate([self.keys, distinct[new]])
             order = np.argsort(keys, kind="stable")
             self.keys = keys[order]
             self.at = np.concatenate([self.at, at])[order]
             self.size = np.concatenate([self.size, counts])[order]
+            self.held_at = np.concatenate([self.held_at, held_at])[order]
+            self.held_size = np.concatenate([self.held_size, size])[order]
             self.flat = np.concatenate([self.flat, flat])
             known = np.searchsorted(self.keys, distinct)
-        at, size = self.at[known][which], self.size[known][which]
+        unit = known[which]
+        size = end - start
+        if not np.array_equal(self.held_size[unit], size) or not np.array_equal(self.held[_runs(self.held_at[unit], size)], low[_runs(start, size)]):
+            self.seed += 1
+            self.reset()
+            return self.texts(data, offsets)
+        at, size = self.at[unit], self.size[unit]
         upto = np.concatenate([[0], np.cumsum(size)])
-        ids = self.flat[np.repeat(at - upto[:-1], size) + np.arange(upto[-1])]
-        return ids, upto[np.searchsorted(start, offsets)]
+        return self.flat[_runs(at, size)], upto[np.searchsorted(start, offsets)]
+
+
+def _runs(at: np.ndarray, size: np.ndarray) -> np.ndarray:
+    """The indices of runs of ``size`` places from ``at`` on, one after another."""
+    upto = np.cumsum(size) - size
+    return np.repeat(at - upto, size) + np.arange(int(size.sum()))
