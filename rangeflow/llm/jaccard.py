@@ -6,8 +6,9 @@ lists aside, merges the short ones on a heap, and keeps documents that occur T -
 binary probes, in the long lists.
 
 The corpus is searched in two steps.  Its index posts each set's |A| - L shortest lists only, with the largest L that loses
-nothing (least T - 1): a partner then occurs there once at least.  Pairs that these lists give are shipped as sets, and every
-query is answered over blocks of its candidates by a heap merge of short lists and binary probes of long ones.
+nothing (least T - 1): a partner then occurs there once at least.  Pairs that these lists give, and that small bitmaps of the
+sets do not refute, are shipped as sets; every query is answered over blocks of its candidates by a heap merge of short lists
+and binary probes of long ones.
 
 Hot groups: equal sets are one node; a list yields pairs with its smallest node only, and pairs of nodes that the links found
 leave in different components are then searched in full.  So no list emits all its pairs, and no link between different
@@ -40,8 +41,8 @@ _FLUSH = 1 << 22
 BUCKET_ROWS = 400_000
 #: Lists with more than this share of all long-list occurrences are joined by a broadcast: there are at most so many of them.
 HOT_LISTS = 10_000
-#: Candidates of one query that are searched at once, the shingles they may hold together, and candidates of one shipped group.
-BLOCK, BLOCK_SHINGLES, GROUP = 64, 1 << 22, 4096
+#: Candidates of one query that are searched at once, the bytes they may hold together, and candidates of one shipped group.
+BLOCK, BLOCK_BYTES, GROUP = 64, 32 << 20, 4096
 #: Rows of a list that meet in one task, in the search of pairs left open.
 LIST_ROWS = 4096
 #: DivideSkip's weight of the longest list in L = T / (MU * log2(longest) + 1).
@@ -140,7 +141,7 @@ def sketch(tagged: DataFrame, bits: int) -> np.ndarray:
 
 
 def prefixes(docs: DataFrame, levels: np.ndarray, width: int, words: str, num: int, den: int) -> DataFrame:
-    """Per text: its |A| - L shortest lists in the common order, L = ceil(t |A|) - 1, and how many of them are short.
+    """Per text: its |A| - L shortest lists in the common order, L = ceil(t |A|) - 1, how many of them are short, and a bitmap.
 
     The levels are broadcast: one byte a counter, at most 64 MB.
     """
@@ -149,8 +150,9 @@ def prefixes(docs: DataFrame, levels: np.ndarray, width: int, words: str, num: i
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         level = shared.value
         for batch in batches:
-            n, light, heads = [], [], []
+            n, light, heads, maps = [], [], [], []
             for s in _sets(batch.column(1), words, width):
+                maps.append(bitmap(s))
                 own = level[(s >> shift).astype(np.int64)]
                 keep = len(s) - -(-num * len(s) // den) + 1 if len(s) else 0
                 order = np.argsort(own, kind="stable")[:keep]
@@ -160,11 +162,41 @@ def prefixes(docs: DataFrame, levels: np.ndarray, width: int, words: str, num: i
             sizes = np.concatenate([[0], np.cumsum([len(h) for h in heads])]).astype(np.int32)
             flat = np.concatenate(heads) if heads else np.zeros(0, np.int64)
             yield pa.RecordBatch.from_arrays(
-                [batch.column(0), pa.array(n, pa.int32()), pa.array(light, pa.int32()), pa.ListArray.from_arrays(pa.array(sizes), pa.array(flat))],
-                names=["id", "n", "light", "grams"],
+                [batch.column(0), pa.array(n, pa.int32()), pa.array(light, pa.int32()), pa.ListArray.from_arrays(pa.array(sizes), pa.array(flat)), pa.array(maps, pa.binary())],
+                names=["id", "n", "light", "grams", "map"],
             )
 
-    return docs.mapInArrow(run, "id long, n int, light int, grams array<long>")
+    return docs.mapInArrow(run, "id long, n int, light int, grams array<long>, map binary")
+
+
+def bitmap(s: np.ndarray) -> bytes:
+    """A set's size, and a bitmap of two to four bits a shingle, by the low bits of their hashes."""
+    width = 1 << max(6, int(2 * len(s) - 1).bit_length() if len(s) else 0)
+    bits = np.zeros(width, dtype=bool)
+    bits[(s & U64(width - 1)).astype(np.int64)] = True
+    return len(s).to_bytes(8, "little") + np.packbits(bits, bitorder="little").tobytes()
+
+
+def may_reach(query: bytes, members: list[bytes], num: int, den: int) -> np.ndarray:
+    """Which members' bitmaps allow the similarity: a bit that only one set has is a shingle that only it has.  Loses no link."""
+    out = np.zeros(len(members), dtype=bool)
+    n, own = int.from_bytes(query[:8], "little"), np.frombuffer(query, np.uint64, offset=8)
+    folded = {len(own): own}
+
+    def fold(x: np.ndarray, size: int) -> np.ndarray:
+        while len(x) > size:
+            x = x[: len(x) // 2] | x[len(x) // 2 :]
+        return x
+
+    for k, body in enumerate(members):
+        m, other = int.from_bytes(body[:8], "little"), np.frombuffer(body, np.uint64, offset=8)
+        size = min(len(own), len(other))
+        if size not in folded:
+            folded[size] = fold(own, size)
+        a, b = folded[size], fold(other, size)
+        lone, lone_b = int(np.bitwise_count(a & ~b).sum()), int(np.bitwise_count(b & ~a).sum())
+        out[k] = min(n - lone, m - lone_b) * (num + den) >= num * (n + m)
+    return out
 
 
 def _blocks(buckets: int):
@@ -298,35 +330,31 @@ def reaching(query: np.ndarray, members: list[np.ndarray], num: int, den: int) -
     return count >= need
 
 
-def _grouped(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    """Sorted pairs with the number of a group of GROUP pairs that are shipped together."""
-    at = TaskContext.get().partitionId() << 33
+def _wanted(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """What sorted pairs (a, b) want shipped: (id, a, part, role), a query (role 0) once for each group of GROUP pairs in a row."""
+    task, at, last = TaskContext.get().partitionId() << 33, 0, None
     for batch in batches:
-        n = batch.num_rows
-        yield pa.RecordBatch.from_arrays([*batch.columns, pa.array((np.arange(at, at + n) & ((1 << 33) - 1)) // GROUP + (at >> 33 << 33))], names=["a", "b", "part"])
-        at += n
-
-
-def verified(docs: DataFrame, pairs: DataFrame, width: int, words: str, num: int, den: int, scratch: Scratch, name: str) -> DataFrame:
-    """Those of the pairs (a, b) whose whole sets reach the similarity: every a is a query over its candidates b.
-
-    Sets are worked out once for each node and shipped; a group holds one query's set and up to GROUP candidates' sets, so a
-    hot node's candidates spread over tasks.
+        a, b = batch.column(0).to_numpy(), batch.column(1).to_numpy()
+        part = (np.arange(at, at + len(a)) // GROUP) + task
+        new = np.ones(len(a), dtype=bool)
+        new[1:] = (a[1:] != a[:-1]) | (part[1:] != part[:-1])
+        if len(a):
+            new[0] = (a[0], part[0]) != last
+            last = (a[-1], part[-1])
+        at += len(a)
+        columns = [np.concatenate(c) for c in ((b, a[new]), (a, a[new]), (part, part[new]))]
+        role = np.repeat(np.array([1, 0], dtype=np.int32), [len(a), int(new.sum())])
+        yield pa.RecordBatch.from_arrays([*map(pa.array, columns), pa.array(role)], names=["id", "a", "part", "role"])
+
+
+def _searched(bodies: DataFrame, pairs: DataFrame, judge) -> DataFrame:
+    """Those of the pairs (a, b) that ``judge`` (query, members: which of them) accepts; bodies: id, body.
+
+    A group ships one query's body and up to GROUP candidates' bodies, so a hot node's candidates spread over tasks; a task
+    holds a block of them.
     """
-    ids = pairs.select(F.col("a").alias("id")).union(pairs.select("b")).distinct()
-
-    def hashed(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
-            bodies = [s.tobytes() for s in _sets(batch.column(1), words, width)]
-            yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(bodies, pa.binary())], names=["id", "body"])
-
-    sets = scratch.write(docs.join(ids, "id", "left_semi").select("id", "text").mapInArrow(hashed, "id long, body binary"), f"{name}_sets")
-    dealt = pairs.select("a", "b").repartitionByRange("a", "b").sortWithinPartitions("a", "b").mapInArrow(_grouped, "a long, b long, part long")
-    dealt = scratch.write(dealt, f"{name}_groups")
-    wanted = dealt.select(F.col("b").alias("id"), "a", "part", F.lit(1).alias("role")).unionByName(
-        dealt.select(F.col("a").alias("id"), "a", "part").distinct().withColumn("role", F.lit(0))
-    )
-    shipped = sets.join(wanted, "id").select("a", "part", "role", "id", "body").repartition("a", "part").sortWithinPartitions("a", "part", "role")
+    wanted = pairs.select("a", "b").repartitionByRange("a", "b").sortWithinPartitions("a", "b").mapInArrow(_wanted, "id long, a long, part long, role int")
+    shipped = bodies.join(wanted, "id").select("a", "part", "role", "id", "body").repartition("a", "part").sortWithinPartitions("a", "part", "role")
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         key, queries, ids, members, size = None, [], [], [], 0
@@ -334,27 +362,25 @@ def verified(docs: DataFrame, pairs: DataFrame, width: int, words: str, num: int
         def linked() -> pa.RecordBatch:
             hit = np.zeros(len(ids), dtype=bool)
             for query in queries:
-                hit |= reaching(query, members, num, den)
+                hit |= judge(query, members)
             found = np.array(ids, dtype=np.int64)[hit]
             return pa.RecordBatch.from_arrays([pa.array(np.full(len(found), key[0])), pa.array(found)], names=["a", "b"])
 
         for batch in batches:
             a, part, role, node = (batch.column(k).to_numpy() for k in range(4))
-            for k, held in enumerate(batch.column(4)):
-                body = np.frombuffer(held.as_buffer(), dtype=U64)
-                if (a[k], part[k]) != key or len(ids) >= BLOCK or size + len(body) > BLOCK_SHINGLES:
+            for k, body in enumerate(batch.column(4)):
+                body = body.as_py()
+                if (a[k], part[k]) != key or len(ids) >= BLOCK or size + len(body) > BLOCK_BYTES:
                     if ids and queries:
                         yield linked()
                     ids, members, size = [], [], 0
                 if (a[k], part[k]) != key:
                     key, queries = (a[k], part[k]), []
-                if not len(body):
-                    continue
                 if role[k] == 0:
-                    queries.append(body.copy())
+                    queries.append(body)
                 else:
                     ids.append(node[k])
-                    members.append(body.copy())
+                    members.append(body)
                     size += len(body)
         if ids and queries:
             yield linked()
@@ -362,6 +388,25 @@ def verified(docs: DataFrame, pairs: DataFrame, width: int, words: str, num: int
     return shipped.mapInArrow(run, "a long, b long")
 
 
+def verified(docs: DataFrame, heads: DataFrame, pairs: DataFrame, width: int, words: str, num: int, den: int, scratch: Scratch, name: str) -> DataFrame:
+    """Those of the pairs (a, b) whose whole sets reach the similarity: every a is a query over its candidates b.
+
+    Bitmaps are shipped first and leave few pairs but the links; the sets of these are worked out once for each node and shipped.
+    """
+    maps = heads.select("id", F.col("map").alias("body"))
+    likely = scratch.write(_searched(maps, pairs, lambda q, m: may_reach(q, m, num, den)), f"{name}_likely")
+    ids = likely.select(F.col("a").alias("id")).union(likely.select("b")).distinct()
+
+    def hashed(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            bodies = [s.tobytes() for s in _sets(batch.column(1), words, width)]
+            yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(bodies, pa.binary())], names=["id", "body"])
+
+    sets = scratch.write(docs.join(ids, "id", "left_semi").select("id", "text").mapInArrow(hashed, "id long, body binary").where("body <> X''"), f"{name}_sets")
+    as_set = lambda body: np.frombuffer(body, dtype=U64)
+    return _searched(sets, likely, lambda q, m: reaching(as_set(q), [as_set(x) for x in m], num, den))
+
+
 def near_duplicates(
     docs: DataFrame,
     width: int = 5,
@@ -394,15 +439,15 @@ def near_duplicates(
 
     starred = lists.where(F.col("id") != F.col("leader")).where(_fits(F.col("n"), F.col("pos"), F.col("leader_n"), F.col("leader_pos"), num, den))
     pairs = scratch.write(starred.select(F.col("leader").alias("a"), F.col("id").alias("b")).distinct(), "star_pairs")
-    links = scratch.write(verified(base, pairs, width, words, num, den, scratch, "star"), "star_links")
+    links = scratch.write(verified(base, heads, pairs, width, words, num, den, scratch, "star"), "star_links")
     labels = components(links, scratch, "star")
 
     open_pairs = scratch.write(_open_pairs(lists, labels, num, den).join(pairs, ["a", "b"], "left_anti"), "open_pairs")
     if not open_pairs.isEmpty():
-        more = scratch.write(verified(base, open_pairs, width, words, num, den, scratch, "open"), "open_links")
+        more = scratch.write(verified(base, heads, open_pairs, width, words, num, den, scratch, "open"), "open_links")
         if not more.isEmpty():
             labels = components(links.unionByName(more), scratch, "all")
-    for name in ("heads", "copies", "lists", "long_lists", "star_sets", "star_groups", "star_pairs", "open_sets", "open_groups", "open_pairs"):
+    for name in ("heads", "copies", "lists", "long_lists", "star_pairs", "open_pairs", *[f"{k}_{n}" for k in ("star", "open") for n in ("likely", "sets", "links")]):
         scratch.drop(name)
     named = nodes.join(labels, "node", "left").select("one", "two", "n", F.coalesce("component", "node").alias("component_id"))
     full = own.where("n > 0").join(named, ["one", "two", "n"]).select("id", "n", "component_id")
