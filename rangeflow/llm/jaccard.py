@@ -44,7 +44,7 @@ HOT_LISTS = 10_000
 #: Candidates of one query that are searched at once, the bytes they may hold together, and candidates of one shipped group.
 BLOCK, BLOCK_BYTES, GROUP = 64, 32 << 20, 4096
 #: Rows of a list that meet in one task, in the search of pairs left open.
-LIST_ROWS = 4096
+LIST_ROWS = 512
 #: DivideSkip's weight of the longest list in L = T / (MU * log2(longest) + 1).
 MU = 0.01
 
@@ -212,7 +212,7 @@ def _blocks(buckets: int):
             order = np.argsort(bucket, kind="stable")
             every, bucket = every[order], bucket[order]
             cut = np.flatnonzero(np.diff(bucket, prepend=-1))
-            bodies = [x.tobytes() for x in np.split(every, cut[1:])]
+            bodies = [_planes(x) for x in np.split(every, cut[1:])]
             return pa.RecordBatch.from_arrays([pa.array(bucket[cut]), pa.array(bodies, pa.binary())], names=["bucket", "rows"])
 
         for batch in batches:
@@ -239,6 +239,16 @@ def _blocks(buckets: int):
     return run
 
 
+def _planes(x: np.ndarray) -> bytes:
+    """Occurrences byte plane by byte plane: the many zero bytes lie together, which the shuffle's compression takes away."""
+    return np.ascontiguousarray(x.view(np.uint8).reshape(len(x), -1).T).tobytes()
+
+
+def _unplaned(body: bytes) -> np.ndarray:
+    planes = np.frombuffer(body, dtype=np.uint8).reshape(_OCCURRENCE.itemsize, -1)
+    return np.ascontiguousarray(planes.T).view(_OCCURRENCE).ravel()
+
+
 _OCCURRENCE = np.dtype([("gram", "<i8"), ("id", "<i8"), ("n", "<i4"), ("pos", "<i4")])
 _LISTS = "gram long, id long, n int, pos int, size long, leader long, leader_n int, leader_pos int"
 
@@ -247,7 +257,7 @@ def _merge_lists(blocks: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
     """Merges each bucket's runs and keeps the lists of two nodes or more, each with its smallest node."""
     for pdf in blocks:
         for _, one in pdf.groupby("bucket"):
-            x = np.concatenate([np.frombuffer(r, dtype=_OCCURRENCE) for r in one["rows"]])
+            x = np.concatenate([_unplaned(r) for r in one["rows"]])
             x = x[np.lexsort((x["id"], x["gram"]))]
             first = np.ones(len(x), dtype=bool)
             first[1:] = (x["gram"][1:] != x["gram"][:-1]) | (x["id"][1:] != x["id"][:-1])
@@ -442,12 +452,12 @@ def near_duplicates(
     links = scratch.write(verified(base, heads, pairs, width, words, num, den, scratch, "star"), "star_links")
     labels = components(links, scratch, "star")
 
-    open_pairs = scratch.write(_open_pairs(lists, labels, num, den).join(pairs, ["a", "b"], "left_anti"), "open_pairs")
+    open_pairs = scratch.write(_open_pairs(lists, labels, num, den, scratch).join(pairs, ["a", "b"], "left_anti"), "open_pairs")
     if not open_pairs.isEmpty():
         more = scratch.write(verified(base, heads, open_pairs, width, words, num, den, scratch, "open"), "open_links")
         if not more.isEmpty():
             labels = components(links.unionByName(more), scratch, "all")
-    for name in ("heads", "copies", "lists", "long_lists", "star_pairs", "open_pairs", *[f"{k}_{n}" for k in ("star", "open") for n in ("likely", "sets", "links")]):
+    for name in ("heads", "copies", "lists", "long_lists", "star_pairs", "open_pairs", "mixed", *[f"{k}_{n}" for k in ("star", "open") for n in ("likely", "sets", "links")]):
         scratch.drop(name)
     named = nodes.join(labels, "node", "left").select("one", "two", "n", F.coalesce("component", "node").alias("component_id"))
     full = own.where("n > 0").join(named, ["one", "two", "n"]).select("id", "n", "component_id")
@@ -455,7 +465,7 @@ def near_duplicates(
     return result.select(F.col("id").alias(id_col), F.col("n").alias("n_shingles"), "component_id")
 
 
-def _open_pairs(lists: DataFrame, labels: DataFrame, num: int, den: int) -> DataFrame:
+def _open_pairs(lists: DataFrame, labels: DataFrame, num: int, den: int, scratch: Scratch) -> DataFrame:
     """Pairs of one list in different components, other than with the list's leader.
 
     Only nodes outside a list's commonest component are paired with the rest, so a list that is one component gives none.
@@ -465,14 +475,12 @@ def _open_pairs(lists: DataFrame, labels: DataFrame, num: int, den: int) -> Data
     every = F.explode(F.sequence(F.lit(0), parts).cast("array<long>")).alias("deal")
     seen = lists.where("size > 2").join(labels.withColumnRenamed("node", "id"), "id", "left")
     seen = seen.withColumn("component", F.coalesce("component", "id")).select("gram", "size", "id", "n", "pos", "leader", "component")
-    counts = seen.groupBy("gram", "size", "component").agg(F.count("*").alias("members"))
-    mixed = (
-        counts.groupBy("gram", "size")
-        .agg(F.count("*").alias("kinds"), F.max_by("component", F.struct("members", "component")).alias("most"))
-        .where("kinds > 1")
-        .select("gram", "most", every)
-    )
-    rows = seen.withColumn("deal", F.expr(f"pmod(xxhash64(id), cast(size / {LIST_ROWS} as long) + 1)")).join(mixed, ["gram", "deal"]).where("id <> leader")
+    kinds = seen.groupBy("gram", "size").agg(F.min("component").alias("low"), F.max("component").alias("high")).where("low < high")
+    seen = seen.withColumn("deal", F.expr(f"pmod(xxhash64(id), cast(size / {LIST_ROWS} as long) + 1)"))
+    mixed = scratch.write(seen.join(kinds.select("gram", every), ["gram", "deal"]), "mixed")
+    counts = mixed.groupBy("gram", "size", "component").agg(F.count("*").alias("members"))
+    most = counts.groupBy("gram", "size").agg(F.max_by("component", F.struct("members", "component")).alias("most")).select("gram", "most", every)
+    rows = mixed.join(most, ["gram", "deal"]).where("id <> leader")
     o = rows.where("component <> most").select("gram", every, *[F.col(c).alias(f"o_{c}") for c in ("id", "n", "pos", "component")])
     met = o.join(rows, ["gram", "deal"]).where(
         (F.col("o_component") != F.col("component"))
