@@ -65,16 +65,22 @@ def sketch_bits(text_bytes: int) -> int:
 
 
 def _counters(slots: np.ndarray) -> pa.RecordBatch:
-    """A task's counted slots in parts: the places of a part one by one, or all its counters where that is shorter."""
+    """A task's counted slots in parts: the places of a part one by one, or four bits a counter where that is shorter (and the rest one by one)."""
     part, place = slots // SKETCH_PART, slots % SKETCH_PART
     order = np.argsort(part, kind="stable")
     cut = np.flatnonzero(np.diff(part[order], prepend=-1))
-    bodies, dense = [], []
-    for places in np.split(place[order], cut[1:]):
-        dense.append(len(places) >= 2 * SKETCH_PART)
-        bodies.append((np.bincount(places, minlength=SKETCH_PART).astype("<u4") if dense[-1] else places.astype("<u2")).tobytes())
-    none = pa.nulls(len(cut), pa.int64())
-    return pa.RecordBatch.from_arrays([none, none, none, none, pa.array(part[order][cut].astype(np.int32)), pa.array(dense), pa.array(bodies, pa.binary())], names=_PROFILE)
+    rows: list[tuple[int, bool, bytes]] = []
+    for k, places in zip(part[order][cut].tolist(), np.split(place[order], cut[1:]), strict=True):
+        if len(places) > SKETCH_PART // 4:
+            counts = np.bincount(places, minlength=SKETCH_PART)
+            low = np.minimum(counts, 15).astype(np.uint8)
+            rows.append((k, True, (low[0::2] | low[1::2] << 4).tobytes()))
+            places = np.repeat(np.arange(SKETCH_PART), counts - low)
+        if len(places):
+            rows.append((k, False, places.astype("<u2").tobytes()))
+    none = pa.nulls(len(rows), pa.int64())
+    parts, dense, bodies = zip(*rows, strict=True)
+    return pa.RecordBatch.from_arrays([none, none, none, none, pa.array(parts, pa.int32()), pa.array(dense), pa.array(bodies, pa.binary())], names=_PROFILE)
 
 
 _PROFILE = ["id", "n", "one", "two", "part", "dense", "counts"]
@@ -128,8 +134,8 @@ def sketch(tagged: DataFrame, bits: int) -> np.ndarray:
                     if part is not None:
                         yield level(part, total)
                     part, total = p, np.zeros(SKETCH_PART, dtype=np.int64)
-                body = np.frombuffer(held.as_buffer(), dtype="<u4" if dense else "<u2")
-                total += body if dense else np.bincount(body, minlength=SKETCH_PART)
+                body = np.frombuffer(held.as_buffer(), dtype=np.uint8 if dense else "<u2")
+                total += np.stack([body & 15, body >> 4], axis=1).ravel() if dense else np.bincount(body, minlength=SKETCH_PART)
         if part is not None:
             yield level(part, total)
 
