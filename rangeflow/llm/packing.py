@@ -1,10 +1,13 @@
 """Hierarchical multi-length packing of documents into context windows.
 
-Each document goes to the smallest context tier that holds it (the largest tier takes the longer ones, cut at window
-ends).  Within a tier the documents follow one another without gaps, so every window of a tier is exactly full; the few
-tokens left over at the end of the tiers fill one another's gaps in windows of the longest size.  Places come from prefix
-sums: running totals inside each input partition, and totals of the partitions before it.  No rows are shuffled but one
-total per partition and tier, and no group of rows meets in a task.
+Each document goes to the smallest context tier that holds it; what is longer than the longest tier fills whole windows
+first, and its rest goes to a tier.  A tier's windows begin with its own documents, longest first; the gap that is left is
+filled from shorter tiers with whole documents (one, or two, that fit exactly, else the longest that fits), and only a gap
+that no document fits is filled with a cut one.  Every window is exactly full.
+
+A task packs its rows in a stock of bounded size, so that small documents are at hand to fill gaps; what is left at its end,
+less than one window, is its tail.  The tails of all tasks follow one another in windows of the longest tier.  Windows are
+numbered, and dealt to step groups, by prefix sums of one small row per task and tier; no rows are shuffled but these.
 """
 
 from __future__ import annotations
@@ -15,7 +18,7 @@ from collections.abc import Iterator
 import numpy as np
 import pyarrow as pa
 from pyspark import TaskContext
-from pyspark.sql import DataFrame, SparkSession, Window
+from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from rangeflow.llm.store import Scratch
@@ -25,88 +28,153 @@ TIERS = (512, 1024, 2048, 4096)
 END_ID = 2
 #: Windows of one step group hold about this many tokens together.
 STEP_TOKENS = 1 << 19
+#: Tokens that a task keeps in stock to choose from.
+STOCK_TOKENS = 1 << 20
 #: Lane totals (one per input partition and tier) are broadcast up to this many rows, and joined by a shuffle beyond.
 BROADCAST_LANES = 1 << 18
 
-_TOKENS = "lane long, row long, {id} {id_type}, tier int, lane_start long, n_tokens long, ids binary"
-_PIECES = (
-    "{id} {id_type}, start long, length long, ids_crc32 long, doc_tokens long, sequence_id long, offset long, tier int, step_group long"
-)
+TAIL = 0
+_PACKED = "id {id_type}, start long, length long, ids_crc32 long, doc_tokens long, lane long, tier int, window long, offset long, ids binary"
+_PIECES = ["start", "length", "ids_crc32", "doc_tokens", "sequence_id", "offset", "tier", "step_group"]
+
+
+class Stock:
+    """Pieces of documents by length, and the windows made of them.  A piece is (row, start, ids, tokens of its document)."""
+
+    def __init__(self, tiers: tuple[int, ...] = TIERS):
+        self.tiers = sorted(tiers, reverse=True)
+        self.by_size: list[list] = [[] for _ in range(self.tiers[0] + 1)]
+        self.there = np.zeros(self.tiers[0] + 1, dtype=bool)
+        self.tokens = 0
+
+    def put(self, piece: tuple) -> None:
+        n = len(piece[2])
+        if n:
+            self.by_size[n].append(piece)
+            self.there[n] = True
+            self.tokens += n
+
+    def take(self, n: int) -> tuple:
+        piece = self.by_size[n].pop()
+        self.there[n] = bool(self.by_size[n])
+        self.tokens -= n
+        return piece
+
+    def longest(self, above: int, upto: int) -> int:
+        """The largest length there is in (above, upto]; 0 for none."""
+        some = np.flatnonzero(self.there[above + 1 : upto + 1])
+        return int(some[-1]) + above + 1 if len(some) else 0
+
+    def add(self, row: object, ids: np.ndarray) -> Iterator[tuple[int, list]]:
+        """Takes a document in; yields the whole windows of one that is too long."""
+        at, longest = 0, self.tiers[0]
+        while len(ids) - at >= longest:
+            yield longest, [(row, at, ids[at : at + longest], len(ids))]
+            at += longest
+        self.put((row, at, ids[at:].copy(), len(ids)))
+
+    def fill(self, gap: int) -> tuple[list, int]:
+        """Whole pieces for a gap, and what is left of it."""
+        out = []
+        while gap:
+            if self.there[gap]:
+                return [*out, self.take(gap)], 0
+            both = np.flatnonzero(self.there[1:gap] & self.there[1:gap][::-1]) + 1
+            both = both[(both * 2 != gap) | (np.array([len(self.by_size[k]) > 1 for k in both.tolist()], dtype=bool) if gap % 2 == 0 else True)]
+            if len(both):
+                k = int(both[-1])
+                return [*out, self.take(k), self.take(gap - k)], 0
+            n = self.longest(0, gap)
+            if not n:
+                break
+            out.append(self.take(n))
+            gap -= n
+        return out, gap
+
+    def windows(self, keep: int) -> Iterator[tuple[int, list]]:
+        """(tier, pieces) of full windows, until at most ``keep`` tokens are in stock; a window that cannot be filled goes back."""
+        for tier, below in zip(self.tiers, [*self.tiers[1:], 0], strict=True):
+            while self.tokens > keep:
+                n = self.longest(below, tier)
+                if not n:
+                    break
+                first = self.take(n)
+                more, gap = self.fill(tier - n)
+                pieces = [first, *more]
+                if gap:
+                    larger = np.flatnonzero(self.there[gap + 1 :])
+                    if not len(larger):
+                        for piece in pieces:
+                            self.put(piece)
+                        return
+                    row, start, ids, total = self.take(int(larger[0]) + gap + 1)
+                    pieces.append((row, start, ids[:gap], total))
+                    self.put((row, start + gap, ids[gap:], total))
+                yield tier, pieces
+
+    def rest(self) -> list:
+        """All pieces left, longest first."""
+        return [piece for pieces in reversed(self.by_size) for piece in pieces]
+
+
+def pack_lanes(docs: DataFrame, tokenizer: str, tiers: tuple[int, ...] = TIERS, stock_tokens: int = STOCK_TOKENS) -> DataFrame:
+    """Pieces of every whole text of (id, text) in the full windows of its task (lane), and the lane's tail with its ids (tier TAIL)."""
+    kind = dict(docs.dtypes)["id"]
 
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        from rangeflow.llm.tokens import WordBpe
 
-def tokenize(docs: DataFrame, tokenizer: str, tiers: tuple[int, ...] = TIERS, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
-    """Token ids (16-bit, with the end id) of every whole text, its tier, and its place in its lane.
+        bpe, lane, stock = WordBpe(tokenizer), TaskContext.get().partitionId(), Stock(tiers)
+        made, rows = dict.fromkeys([TAIL, *tiers], 0), []
 
-    A lane is what one task reads of one tier; null text counts as empty and still has the end id.
-    """
-    schema = _TOKENS.format(id=id_col, id_type=dict(docs.dtypes)[id_col])
+        def lay(tier: int, pieces: list) -> None:
+            at = 0
+            for row, start, ids, total in pieces:
+                body = ids.astype("<u4")
+                rows.append((row, start, len(ids), zlib.crc32(body), total, lane, tier, made[tier], at, body.tobytes() if tier == TAIL else None))
+                at += len(ids)
+            made[tier] += 1
 
-    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        from rangeflow.llm.tokens import WordBpe
+        def out() -> pa.RecordBatch:
+            columns = list(zip(*rows, strict=True))
+            rows.clear()
+            arrays = [pa.array(c, t) for c, t in zip(columns, [id_type, *[pa.int64()] * 5, pa.int32(), pa.int64(), pa.int64(), pa.binary()], strict=True)]
+            return pa.RecordBatch.from_arrays(arrays, names=["id", "start", "length", "ids_crc32", "doc_tokens", "lane", "tier", "window", "offset", "ids"])
 
-        bpe, lane, row = WordBpe(tokenizer), TaskContext.get().partitionId(), 0
-        total = dict.fromkeys(tiers, 0)
+        id_type = None
         for batch in batches:
+            id_type = batch.schema.field(0).type
+            names = batch.column(0).to_pylist()
             for a, b, data, offsets in text_pieces(batch.column(1)):
                 ids, bound = bpe.texts(data, offsets)
-                n = np.diff(bound) + 1
-                tier = np.array(tiers)[np.minimum(np.searchsorted(tiers, n), len(tiers) - 1)]
-                begin = np.zeros(len(n), dtype=np.int64)
-                for t in tiers:
-                    mine = tier == t
-                    upto = np.cumsum(n[mine])
-                    begin[mine] = total[t] + upto - n[mine]
-                    total[t] += int(upto[-1]) if len(upto) else 0
-                whole = np.insert(ids, bound[1:], END_ID).astype("<u2")
-                cuts = np.concatenate([[0], np.cumsum(n)])
-                held = pa.Array.from_buffers(pa.binary(), b - a, [None, pa.py_buffer((cuts * 2).astype(np.int32).tobytes()), pa.py_buffer(whole.tobytes())])
-                yield pa.RecordBatch.from_arrays(
-                    [pa.array(np.full(b - a, lane)), pa.array(np.arange(row, row + b - a)), batch.column(0).slice(a, b - a),
-                     pa.array(tier.astype(np.int32)), pa.array(begin), pa.array(n.astype(np.int64)), held],
-                    names=["lane", "row", id_col, "tier", "lane_start", "n_tokens", "ids"],
-                )
-                row += b - a
-
-    return docs.select(id_col, text_col).mapInArrow(run, schema)
-
-
-def lane_starts(tokens: DataFrame) -> DataFrame:
-    """Where each lane begins in its tier's stream of tokens: one small row per input partition and tier."""
-    lanes = tokens.groupBy("tier", "lane").agg(F.sum("n_tokens").alias("lane_tokens"))
+                whole = np.insert(ids, bound[1:], END_ID)
+                cuts = bound + np.arange(len(bound))
+                for k in range(b - a):
+                    for window in stock.add(names[a + k], whole[cuts[k] : cuts[k + 1]]):
+                        lay(*window)
+                    if stock.tokens > stock_tokens:
+                        for window in stock.windows(stock_tokens // 2):
+                            lay(*window)
+                    if len(rows) > 8192:
+                        yield out()
+        for window in stock.windows(0):
+            lay(*window)
+            if len(rows) > 8192:
+                yield out()
+        if stock.tokens:
+            lay(TAIL, stock.rest())
+        if rows:
+            yield out()
+
+    return docs.mapInArrow(run, _PACKED.format(id_type=kind))
+
+
+def lane_starts(packed: DataFrame) -> DataFrame:
+    """Per tier and lane the windows (tail: tokens) of the lanes before it: one small row per input partition and tier."""
+    size = F.when(F.first("tier") == TAIL, F.sum("length")).otherwise(F.max("window") + 1)
+    lanes = packed.groupBy("tier", "lane").agg(size.alias("lane_size"), F.sum("length").alias("lane_tokens"))
     before = Window.partitionBy("tier").orderBy("lane").rowsBetween(Window.unboundedPreceding, -1)
-    return lanes.withColumn("lane_base", F.coalesce(F.sum("lane_tokens").over(before), F.lit(0)))
-
-
-class Layout:
-    """Where each tier's stream lies among the windows, from the tiers' totals alone."""
-
-    def __init__(self, totals: dict[int, int], tiers: tuple[int, ...] = TIERS, step_tokens: int = STEP_TOKENS):
-        self.longest = max(tiers)
-        self.full, self.first, self.tail = {}, {}, {}
-        windows = rest = 0
-        for t in sorted(tiers, reverse=True):  # the longest tier's own rest comes first, shorter tiers fill its gap
-            n = totals.get(t, 0)
-            self.full[t], self.first[t], self.tail[t] = n // t, windows, rest
-            windows += n // t
-            rest += n % t
-        self.tail_window = windows
-        self.groups = max(1, -(-sum(totals.values()) // step_tokens))
-
-    def cut(self, tier: int, at: int, n: int) -> Iterator[tuple[int, int, int, int, int, int]]:
-        """(start in the document, length, window, offset there, the window's size, step group) of n tokens at a place of a tier's stream."""
-        done = 0
-        while done < n:
-            p = at + done
-            k = p // tier
-            if k < self.full[tier]:
-                offset, size, window, group = p % tier, tier, self.first[tier] + k, k % self.groups
-            else:
-                q = self.tail[tier] + p - self.full[tier] * tier
-                k, offset, size = q // self.longest, q % self.longest, self.longest
-                window, group = self.tail_window + k, k % self.groups
-            length = min(size - offset, n - done)
-            yield done, length, window, offset, size, group
-            done += length
+    return lanes.withColumn("lane_base", F.coalesce(F.sum("lane_size").over(before), F.lit(0)))
 
 
 def pack(
@@ -116,38 +184,50 @@ def pack(
     step_tokens: int = STEP_TOKENS,
     id_col: str = "doc_id",
     text_col: str = "text",
+    stock_tokens: int = STOCK_TOKENS,
 ) -> DataFrame:
     """Pieces of all documents in windows of the tiers' sizes.
 
-    ``ids_crc32`` is over the piece's ids as little-endian 32-bit numbers.  Only the last one or two windows can be shorter
-    than their size.  ``step_group`` deals each tier's windows round robin, so that training steps have equal numbers of
-    windows of every tier.  Null and empty texts have one token, the end id.  Repeated rows and ids are packed row by row.
-    An empty table gives no rows.
+    ``ids_crc32`` is over the piece's ids as little-endian 32-bit numbers.  Only the last window can be shorter than its size.
+    ``step_group`` deals each tier's windows round robin, so that training steps have equal numbers of windows of every tier, but
+    for one.  Null and empty texts have one token, the end id.  Repeated rows and ids are packed row by row.  An empty table
+    gives no rows; other columns are left out.
     """
-    spark: SparkSession = docs.sparkSession
-    scratch = Scratch(spark)
-    tokens = scratch.write(tokenize(docs, tokenizer, tiers, id_col, text_col), "tokens")
-    lanes = scratch.write(lane_starts(tokens), "lanes")
-    totals = {r["tier"]: int(r["n"]) for r in lanes.groupBy("tier").agg(F.sum("lane_tokens").alias("n"), F.count("*").alias("lanes")).collect()}
-    layout = Layout(totals, tiers, step_tokens)
+    scratch = Scratch(docs.sparkSession)
+    packed = scratch.write(pack_lanes(docs.select(F.col(id_col).alias("id"), F.col(text_col).alias("text")), tokenizer, tiers, stock_tokens), "packed")
+    lanes = scratch.write(lane_starts(packed), "lanes")
+    totals = {r["tier"]: (int(r["n"]), int(r["tokens"])) for r in lanes.groupBy("tier").agg(F.sum("lane_size").alias("n"), F.sum("lane_tokens").alias("tokens")).collect()}
+    first, windows, longest = {}, 0, max(tiers)  # where each tier's windows are numbered from
+    for tier in sorted(tiers, reverse=True):
+        first[tier] = windows
+        windows += totals.get(tier, (0, 0))[0]
+    dealt = totals.get(longest, (0, 0))[0]
+    groups = max(1, -(-sum(t for _, t in totals.values()) // step_tokens))
     starts = lanes.select("tier", "lane", "lane_base")
     if lanes.count() <= BROADCAST_LANES:
         starts = F.broadcast(starts)
-    schema = _PIECES.format(id=id_col, id_type=dict(docs.dtypes)[id_col])
-    names = ["start", "length", "ids_crc32", "doc_tokens", "sequence_id", "offset", "tier", "step_group"]
+    placed = packed.join(starts, ["tier", "lane"])
 
-    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    number = F.col("lane_base") + F.col("window")
+    base = F.element_at(F.create_map(*[F.lit(x) for pair in first.items() for x in pair]), F.col("tier")).cast("long")
+    full = placed.where(F.col("tier") != TAIL).select("id", "start", "length", "ids_crc32", "doc_tokens", (base + number).alias("sequence_id"), "offset", "tier", (number % groups).alias("step_group"))
+
+    def cut(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            tier, place, counts = (batch.column(k).to_numpy() for k in (1, 2, 3))
             doc, rows = [], []
-            for i, (t, at, n, held) in enumerate(zip(tier.tolist(), place.tolist(), counts.tolist(), batch.column(4), strict=True)):
-                ids = np.frombuffer(held.as_buffer(), dtype="<u2")
-                for start, length, window, offset, size, group in layout.cut(t, at, n):
+            for i, (start, total, place, held) in enumerate(zip(*(batch.column(k).to_pylist() for k in range(1, 5)), strict=True)):
+                ids = np.frombuffer(held, dtype="<u4")
+                at = 0
+                while at < len(ids):
+                    window, offset = divmod(place + at, longest)
+                    part = ids[at : at + longest - offset]
                     doc.append(i)
-                    rows.append((start, length, zlib.crc32(ids[start : start + length].astype("<u4")), n, window, offset, size, group))
-            columns = np.array(rows, dtype=np.int64).reshape(-1, len(names)).T
-            arrays = [pa.array(c.astype(np.int32) if name == "tier" else c) for name, c in zip(names, columns, strict=True)]
-            yield pa.RecordBatch.from_arrays([batch.column(0).take(pa.array(doc, pa.int64())), *arrays], names=[id_col, *names])
-
-    placed = tokens.join(starts, ["tier", "lane"]).select(id_col, "tier", (F.col("lane_base") + F.col("lane_start")).alias("place"), "n_tokens", "ids")
-    return placed.mapInArrow(run, schema)
+                    rows.append((start + at, len(part), zlib.crc32(part), total, windows + window, offset, longest, (dealt + window) % groups))
+                    at += len(part)
+            columns = np.array(rows, dtype=np.int64).reshape(-1, len(_PIECES)).T
+            arrays = [pa.array(c.astype(np.int32) if name == "tier" else c) for name, c in zip(_PIECES, columns, strict=True)]
+            yield pa.RecordBatch.from_arrays([batch.column(0).take(pa.array(doc, pa.int64())), *arrays], names=["id", *_PIECES])
+
+    tails = placed.where(F.col("tier") == TAIL).select("id", "start", "doc_tokens", (F.col("lane_base") + F.col("offset")).alias("place"), "ids")
+    rest = tails.mapInArrow(cut, full.schema)
+    return full.unionByName(rest).withColumnRenamed("id", id_col)
