@@ -7,6 +7,7 @@ every dimension, which lets readers skip them by any of them.
 
 from __future__ import annotations
 
+import uuid
 from collections.abc import Callable
 from functools import reduce
 
@@ -18,8 +19,6 @@ from rangeflow.llm.store import Scratch
 
 #: Bits of each dimension's bins.
 BITS = 4
-#: Different values of a text dimension that are binned in order; one with more is binned by hash.
-ORDERED_VALUES = 4096
 #: Totals of sorted partitions are broadcast up to this many rows, and joined by a shuffle beyond.
 BROADCAST_PARTITIONS = 1 << 18
 
@@ -69,23 +68,41 @@ def hilbert_index(dimensions: list[Column], bits: int = BITS) -> Column:
     return _bind(_bind(point, gray), interleave)
 
 
-def bins(df: DataFrame, name: str, bits: int = BITS) -> Column:
-    """Bin of a column's value, in order and of about equal counts; null is in the first bin."""
+def _placed(ordered: DataFrame, scratch: Scratch, weight: str | None = None) -> tuple[DataFrame, int]:
+    """Rows of a table sorted by ranges with ``before``, the rows (or the weight) ahead of each; and the total.
+
+    Running numbers within each partition, on top of the partitions' totals: one small row per partition.
+    """
+    at = F.monotonically_increasing_id()
+    parted = scratch.write(ordered.select("*", F.shiftright(at, 33).alias("part"), at.bitwiseAND(F.lit((1 << 33) - 1)).alias("place")), f"ordered_{weight or 'rows'}_{uuid.uuid4().hex[:8]}")
+    parts = parted.groupBy("part").agg(F.count("*").alias("n") if weight is None else F.sum(weight).alias("n"))
+    ahead = Window.orderBy("part").rowsBetween(Window.unboundedPreceding, -1)
+    parts = scratch.write(parts.select("part", F.coalesce(F.sum("n").over(ahead), F.lit(0)).alias("base"), "n"), f"parts_{uuid.uuid4().hex[:8]}")
+    known = parts.agg(F.sum("n"), F.count("*")).first()
+    side = F.broadcast(parts.select("part", "base")) if known[1] <= BROADCAST_PARTITIONS else parts.select("part", "base")
+    own = F.col("place")
+    if weight is not None:
+        own = F.coalesce(F.sum(weight).over(Window.partitionBy("part").orderBy("place").rowsBetween(Window.unboundedPreceding, -1)), F.lit(0))
+    return parted.withColumn("own", own).join(side, "part").withColumn("before", F.col("base") + F.col("own")).drop("own", "base", "place"), int(known[0] or 0)
+
+
+def bins(df: DataFrame, name: str, scratch: Scratch, bits: int = BITS) -> Column:
+    """Bin of a column's value, in order and of about equal counts; null is in the first bin.
+
+    Texts are cut at the values where the running count of the sorted distinct values passes a bin's share: 2^bits values at
+    most come to the driver, however many there are.
+    """
     kind = df.schema[name].dataType
     if isinstance(kind, T.NumericType):
         cuts = df.select(F.percentile_approx(name, [k / (1 << bits) for k in range(1, 1 << bits)], 10_000)).first()[0] or []
         below = [F.when(F.col(name) > F.lit(c), 1).otherwise(0) for c in sorted(set(cuts))]
         return reduce(lambda a, b: a + b, below, F.lit(0))
     text = F.col(name).cast("string")
-    counts = df.groupBy(text.alias("value")).count().where("value is not null")
-    some = counts.limit(ORDERED_VALUES + 1).collect()
-    if len(some) > ORDERED_VALUES:
-        return F.coalesce(F.pmod(F.xxhash64(text), F.lit(1 << bits)).cast("int"), F.lit(0))
-    total, seen, starts = sum(r["count"] for r in some), 0, {}
-    for r in sorted(some, key=lambda r: r["value"]):
-        starts.setdefault(seen * (1 << bits) // max(total, 1), r["value"])
-        seen += r["count"]
-    below = [F.when(text >= F.lit(v), F.lit(b)).otherwise(F.lit(0)) for b, v in starts.items()]
+    counts = df.groupBy(text.alias("value")).agg(F.count("*").alias("n")).where("value is not null")
+    placed, total = _placed(counts.repartitionByRange("value").sortWithinPartitions("value"), scratch, "n")
+    bin_ = F.expr(f"cast(before * {1 << bits} div {max(total, 1)} as int)")
+    starts = placed.groupBy(bin_.alias("bin")).agg(F.min("value").alias("value")).collect()
+    below = [F.when(text >= F.lit(r["value"]), F.lit(r["bin"])).otherwise(F.lit(0)) for r in starts]
     return F.coalesce(F.greatest(F.lit(0), F.lit(0), *below), F.lit(0))
 
 
@@ -109,17 +126,10 @@ def hilbert_shards(
     narrow = docs.select(F.col(id_col).alias("id"), size.alias("size"), checksum.alias("text_crc32"), *[F.col(d).alias(f"by_{d}") for d in others])
     narrow = scratch.write(narrow, "narrow")
     named = [f"by_{d}" for d in others] + (["size"] if "size" in dimensions else [])
-    placed = narrow.select("id", "size", "text_crc32", hilbert_index([bins(narrow, d) for d in named]).alias("curve"))
-    ordered = placed.repartitionByRange("curve", "text_crc32", "id").sortWithinPartitions("curve", "text_crc32", "id", "size")
-    at = F.monotonically_increasing_id()
-    ordered = scratch.write(ordered.select("*", F.shiftright(at, 33).alias("part"), at.bitwiseAND(F.lit((1 << 33) - 1)).alias("place")), "ordered")
-    parts = ordered.groupBy("part").agg(F.count("*").alias("n"))
-    before = Window.orderBy("part").rowsBetween(Window.unboundedPreceding, -1)
-    parts = scratch.write(parts.select("part", F.coalesce(F.sum("n").over(before), F.lit(0)).alias("base"), "n"), "parts")
-    known = parts.agg(F.sum("n"), F.count("*")).first()
-    total = known[0] or 0
-    side = F.broadcast(parts.select("part", "base")) if known[1] <= BROADCAST_PARTITIONS else parts.select("part", "base")
-    rank = ordered.join(side, "part").withColumn("rank", F.col("base") + F.col("place"))
+    placed = narrow.select("id", "size", "text_crc32", hilbert_index([bins(narrow, d, scratch) for d in named]).alias("curve"))
+    order = ["curve", "text_crc32", "id", "size"]
+    rank, total = _placed(placed.repartitionByRange(*order).sortWithinPartitions(*order), scratch)
+    rank = rank.withColumnRenamed("before", "rank")
     shard = F.expr(f"cast(rank * {shards} div {max(total, 1)} as int)")
     ranked = rank.withColumn("shard", shard)
     return ranked.select(
