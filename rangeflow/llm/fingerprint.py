@@ -13,17 +13,18 @@ from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame
+from pyspark import TaskContext
+from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from rangeflow.llm.text import PIECE_BYTES, U64, mix, pieces, span_hashes, string_buffers, text_pieces
+from rangeflow.llm.store import Scratch
+from rangeflow.llm.text import U64, mix, span_hashes, text_pieces
 
 SMALLEST, NORMAL, LARGEST = 32, 64, 256
 _BEFORE, _AFTER = np.uint32(0x7F << 25), np.uint32(0x1F << 27)
 _GEAR = (mix(np.arange(1, 257, dtype=U64) * U64(0xA24BAED4963EE407)) >> U64(32)).astype(np.uint32)
 #: Bytes of text in one range of ids.
 RANGE_BYTES = 16 << 20
-MOST_RANGES = 1 << 16
 
 
 def _ends(data: np.ndarray) -> tuple[list[int], list[int]]:
@@ -82,7 +83,7 @@ def containment(own: np.ndarray, other: np.ndarray) -> float:
 
 
 def fingerprints(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
-    """Per row: id and fingerprint of the whole text (null: empty).  No shuffle."""
+    """Per row: id and fingerprint of the whole text (null: empty).  Repeated rows each have theirs; no rows give none.  No shuffle."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
@@ -92,79 +93,94 @@ def fingerprints(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text"
     return docs.select(id_col, text_col).mapInArrow(run, f"{id_col} {dict(docs.dtypes)[id_col]}, fingerprint string")
 
 
-def in_order(docs: DataFrame) -> DataFrame:
-    """(range, extra, key, id, text) of rows (id, text) dealt out in ranges of ids and sorted by id, then text.
+def _compared(now: bytes, then: bytes) -> tuple[int, str, np.ndarray]:
+    """(code points, SHA-256 of the edited text, its bytes) of a text and the next one."""
+    x, y = np.frombuffer(now, np.uint8), np.frombuffer(then, np.uint8)
+    points = np.flatnonzero((x & 0xC0) != 0x80)
+    half = len(points) // 2
+    if half:
+        starts = np.flatnonzero((y & 0xC0) != 0x80)
+        x = np.concatenate([x[: points[len(points) - half]], y[: starts[half]] if len(starts) > half else y])
+    return len(points), hashlib.sha256(x.tobytes()).hexdigest(), x
+
+
+_NAMES = ["id", "part", "edge", "n_chars", "edited_sha256", "fingerprint", "edited_fingerprint", "near_edited", "near_next", "text"]
+_KINDS = "part int, edge int, n_chars long, edited_sha256 string, fingerprint binary, edited_fingerprint binary, near_edited double, near_next double, text string"
+FIRST, LAST = 0, 1
+
+
+def _results(pairs: list[tuple], id_type: pa.DataType) -> pa.RecordBatch:
+    """Finished rows of (id, text, chunks, next text, next chunks)."""
+    seen = [_compared(now, then) for _, now, _, then, _ in pairs]
+    new = chunk_sets(np.concatenate([e for _, _, e in seen]), np.concatenate([[0], np.cumsum([len(e) for _, _, e in seen])]))
+    n, blank = len(pairs), pa.nulls(len(pairs), pa.int32())
+    return pa.RecordBatch.from_arrays(
+        [pa.array([p[0] for p in pairs], id_type), blank, blank, pa.array([k for k, _, _ in seen], pa.int64()), pa.array([h for _, h, _ in seen]),
+         pa.array([p[2].astype(">u8").tobytes() for p in pairs], pa.binary()), pa.array([c.astype(">u8").tobytes() for c in new], pa.binary()),
+         pa.array([containment(p[2], c) for p, c in zip(pairs, new, strict=True)]), pa.array([containment(p[2], p[4]) for p in pairs]), pa.nulls(n, pa.string())],
+        names=_NAMES,
+    )
 
-    The first row of each range also ends the range before it (``extra`` 1), and the very first row ends the last range, so
-    every row finds its successor in its own range.  One shuffle of the texts.
-    """
-    keyed = docs.select(F.coalesce(F.col("id").cast("long"), F.lit(-(1 << 63))).alias("key"), "id", "text")
-    total = keyed.agg(F.sum(F.octet_length("text"))).first()[0] or 0
-    n = int(min(MOST_RANGES, max(1, total // RANGE_BYTES)))
-    cuts = keyed.agg(F.percentile_approx("key", [k / n for k in range(1, n)], 10 * n)).first()[0] if n > 1 else []
-    cuts = sorted(set(cuts or []))
-    place = F.size(F.filter(F.lit(cuts), lambda c: c <= F.col("key"))) if cuts else F.lit(0)
-    keyed = keyed.withColumn("range", place)
-    heads = keyed.groupBy("range").agg(F.min("key").alias("key")).orderBy("range").collect()  # one small row per range
-    before = [(heads[k]["key"], heads[k - 1]["range"]) for k in range(len(heads))]
-    side = F.broadcast(docs.sparkSession.createDataFrame(before, "key long, before int"))
-    both = F.array(
-        F.struct(F.col("range").alias("range"), F.lit(0).alias("extra")),
-        F.when(F.col("before").isNotNull(), F.struct(F.col("before").alias("range"), F.lit(1).alias("extra"))),
-    )
-    dealt = keyed.join(side, "key", "left").select("key", "id", "text", F.explode(F.array_compact(both)).alias("to"))
-    dealt = dealt.select("to.range", "to.extra", "key", "id", "text")
-    return dealt.repartitionByRange(max(n, 1), "range").sortWithinPartitions("range", "extra", "key", "text")
+
+def _edge(part: int, edge: int, name: object, text: bytes, id_type: pa.DataType) -> pa.RecordBatch:
+    columns = {"id": pa.array([name], id_type), "part": pa.array([part], pa.int32()), "edge": pa.array([edge], pa.int32()), "text": pa.array([text.decode("utf-8", "replace")])}
+    kinds = [id_type, pa.int32(), pa.int32(), pa.int64(), pa.string(), pa.binary(), pa.binary(), pa.float64(), pa.float64(), pa.string()]
+    return pa.RecordBatch.from_arrays([columns.get(c, pa.nulls(1, k)) for c, k in zip(_NAMES, kinds, strict=True)], names=_NAMES)
 
 
 def compare_with_next(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
     """Per row: n_chars, the fingerprints of its text and of its edited text, and their likenesses.
 
     The edited text has the last floor(n_chars / 2) code points replaced by as many first ones (or all) of the next row's text,
-    by ascending id, then text (a null id comes first; the first row follows the last).  Null text counts as empty.
+    by ascending id (of any type that has an order; rows of one id by a hash of the text; a null id comes first; the first row
+    follows the last).  Null text counts as empty.  Repeated rows each have their row; an empty table gives none; other columns
+    are left out.
+
+    Rows are dealt out in ranges and sorted; a range's rows meet their successors as they stream by.  Its first and its last row
+    are handed on, two a range, and the last rows meet the next range's first ones by a small join.
     """
-    rows = in_order(docs.select(F.col(id_col).alias("id"), F.col(text_col).alias("text")))
-    kind = dict(docs.dtypes)[id_col]
-    names = [id_col, "n_chars", "edited_sha256", "fingerprint", "edited_fingerprint", "near_edited", "near_next"]
-    types = [None, pa.int64(), *[pa.string()] * 3, pa.float64(), pa.float64()]
+    scratch = Scratch(docs.sparkSession)
+    rows = docs.select(F.col(id_col).alias("id"), F.coalesce(F.col(text_col), F.lit("")).alias("text"))
+    total = rows.agg(F.sum(F.octet_length("text"))).first()[0] or 0
+    keyed = rows.select("id", F.xxhash64("text").alias("h"), F.monotonically_increasing_id().alias("row"), "text")
+    order = ["id", "h", "row"]
+    ranged = keyed.repartitionByRange(max(1, total // RANGE_BYTES), *order).sortWithinPartitions(*order).select("id", "text")
+    kind = dict(rows.dtypes)["id"]
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        held = None  # (range, id, text bytes, fingerprint) of the row whose successor comes next
+        part, held, id_type = TaskContext.get().partitionId(), None, None  # held: (id, text, chunks) of the row whose successor comes next
         for batch in batches:
-            ranges, extras = batch.column(0).to_numpy(), batch.column(1).to_numpy()
-            ids = batch.column(3)
-            data, offsets = string_buffers(batch.column(4))
-            for a, b in pieces(offsets, PIECE_BYTES):
-                body = [data[offsets[k] : offsets[k + 1]] for k in range(a, b)]
-                own = chunk_sets(data[offsets[a] : offsets[b]], offsets[a : b + 1] - offsets[a])
-                here = [(ranges[k], ids[k].as_py(), extras[k], x, c) for k, x, c in zip(range(a, b), body, own, strict=True)]
+            id_type = batch.schema.field(0).type
+            names = batch.column(0).to_pylist()
+            for a, b, data, offsets in text_pieces(batch.column(1)):
+                own = chunk_sets(data, offsets)
+                here = [(names[a + k], data[offsets[k] : offsets[k + 1]].tobytes(), own[k]) for k in range(b - a)]
+                if held is None:
+                    yield _edge(part, FIRST, here[0][0], here[0][1], id_type)
                 chain = ([held] if held is not None else []) + here
-                done, edited = [], []
-                for now, then in zip(chain[:-1], chain[1:], strict=True):
-                    if now[0] != then[0] or now[2]:
-                        continue
-                    x, y = now[3], then[3]
-                    points = np.flatnonzero((x & 0xC0) != 0x80)
-                    half = len(points) // 2
-                    keep = x[: points[len(points) - half]] if half else x
-                    if half:
-                        starts = np.flatnonzero((y & 0xC0) != 0x80)
-                        y = y[: starts[half]] if len(starts) > half else y
-                        keep = np.concatenate([keep, y])
-                    done.append((now, then, len(points)))
-                    edited.append(keep)
-                held = tuple(v.copy() if k == 3 else v for k, v in enumerate(chain[-1]))
-                if not done:
-                    continue
-                sizes = np.concatenate([[0], np.cumsum([len(e) for e in edited])])
-                new = chunk_sets(np.concatenate(edited), sizes)
-                out = [
-                    (now[1], n, hashlib.sha256(e.tobytes()).hexdigest(), as_text(now[4]), as_text(c), containment(now[4], c), containment(now[4], then[4]))
-                    for (now, then, n), e, c in zip(done, edited, new, strict=True)
-                ]
-                columns = list(zip(*out, strict=True))
-                arrays = [pa.array(c, t or batch.schema.field(3).type) for c, t in zip(columns, types, strict=True)]
-                yield pa.RecordBatch.from_arrays(arrays, names=names)
-
-    schema = f"{id_col} {kind}, n_chars long, edited_sha256 string, fingerprint string, edited_fingerprint string, near_edited double, near_next double"
-    return rows.mapInArrow(run, schema)
+                held = chain[-1]
+                if len(chain) > 1:
+                    yield _results([(*now, *then[1:]) for now, then in zip(chain[:-1], chain[1:], strict=True)], id_type)
+        if held is not None:
+            yield _edge(part, LAST, held[0], held[1], id_type)
+
+    def last(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            id_type = batch.schema.field(0).type
+            for name, now, then in zip(batch.column(0).to_pylist(), batch.column(1).to_pylist(), batch.column(2).to_pylist(), strict=True):
+                x, y = now.encode(), then.encode()
+                own, other = (chunk_sets(np.frombuffer(t, np.uint8), np.array([0, len(t)]))[0] for t in (x, y))
+                yield _results([(name, x, own, y, other)], id_type)
+
+    schema = f"id {kind}, {_KINDS}"
+    found = scratch.write(ranged.mapInArrow(run, schema), "found")
+    edges = found.where("edge is not null")
+    parts = edges.where(F.col("edge") == FIRST).select("part")  # one small row a range
+    ahead = F.lead("part").over(Window.orderBy("part"))
+    begin = parts.agg(F.min("part")).first()[0] or 0
+    follows = parts.select("part", F.coalesce(ahead, F.lit(begin)).alias("next"))
+    heads = edges.where(F.col("edge") == FIRST).select(F.col("part").alias("next"), F.col("text").alias("then"))
+    met = edges.where(F.col("edge") == LAST).join(follows, "part").join(heads, "next").select("id", "text", "then")
+    done = found.where("edge is null").unionByName(met.mapInArrow(last, schema))
+    as_hex = [F.lower(F.hex(c)).alias(c) for c in ("fingerprint", "edited_fingerprint")]
+    return done.select(F.col("id").alias(id_col), "n_chars", "edited_sha256", *as_hex, "near_edited", "near_next")
