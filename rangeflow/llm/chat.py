@@ -27,6 +27,9 @@ START, SYSTEM, USER, ASSISTANT = range(4)
 ROLES = {SYSTEM: "system", USER: "user", ASSISTANT: "assistant"}
 #: Role names that mean the same.
 ALIASES = {"system": SYSTEM, "user": USER, "human": USER, "assistant": ASSISTANT, "gpt": ASSISTANT, "bot": ASSISTANT, "model": ASSISTANT}
+#: Bytes of turns in one range.
+RANGE_BYTES = 32 << 20
+#: Costs of a repair.
 MERGE, INSERT, RELABEL, RELABEL_SYSTEM, NAME_UNKNOWN = 1.0, 1.5, 2.0, 3.0, 0.5
 _LEGAL = {(START, SYSTEM), (START, USER), (SYSTEM, USER), (USER, ASSISTANT), (ASSISTANT, USER)}
 #: Empty turns that make a step legal, and those that end a conversation.
@@ -110,13 +113,13 @@ def _runs(batches: Iterator[pa.RecordBatch]) -> Iterator[tuple[object, pa.Record
         for k in range(1, len(ids) + 1):
             if k == len(ids) or ids[k] != ids[a]:
                 if held and ids[a] != key:
-                    yield key, pa.Table.from_batches(held).combine_chunks(), False
+                    yield key, pa.Table.from_batches(held), False
                     held = []
                 key = ids[a]
                 held.append(batch.slice(a, k - a))
                 a = k
     if held:
-        yield key, pa.Table.from_batches(held).combine_chunks(), True
+        yield key, pa.Table.from_batches(held), True
 
 
 def _ends(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -163,16 +166,22 @@ def format_chats(conversations: DataFrame, conv_col: str = "conv_id", turn_col:
     """Per input turn: the conversation, the turn, ``seen_role``, ``role``, ``action`` (keep, relabel, merge, relabel+merge),
     ``inserted`` (roles of empty turns before it), ``appended`` (after a conversation's last turn) and ``rendered``.
 
-    The ``rendered`` pieces of a conversation in order of turns are its chat text.  Turns go by number, then role, then text
-    (nulls first); rows with a null conversation are one conversation; null text is empty; a null or unknown role is free to
-    be any.  A conversation of any length, or repeated rows, are cut into ranges like all others.
+    The ``rendered`` pieces of a conversation in order of turns are its chat text.  Turns go by number, then role, then a hash of
+    the text (nulls first); rows with a null conversation are one conversation; null text is empty; a null or unknown role is
+    free to be any.  Rows are numbered before they are dealt out, so a conversation of any length, a turn that many rows share,
+    and repeated rows are cut into ranges like all others.  An empty table gives no rows; other columns are left out.
     """
     spark = conversations.sparkSession
     folder = shared_folder(spark)
     if spark.sparkContext.getCheckpointDir() is None:
         spark.sparkContext.setCheckpointDir(folder)
-    order = [conv_col, turn_col, role_col, text_col]
-    rows = conversations.select(*order).repartitionByRange(*order[:2]).sortWithinPartitions(*order).checkpoint()
+    columns = [conv_col, turn_col, role_col, text_col]
+    size = F.coalesce(F.octet_length(text_col), F.lit(0)) + 64
+    ranges = max(spark.sparkContext.defaultParallelism, (conversations.agg(F.sum(size)).first()[0] or 0) // RANGE_BYTES)
+    numbered = conversations.select(*[F.col(c).alias(f"c{k}") for k, c in enumerate(columns)]).withColumns({"h": F.xxhash64("c3"), "row": F.monotonically_increasing_id()})
+    order = ["c0", "c1", "c2", "h", "row"]
+    dealt = numbered.repartitionByRange(ranges, *order).sortWithinPartitions(*order)
+    rows = dealt.select(*[F.col(f"c{k}").alias(c) for k, c in enumerate(columns)]).checkpoint()
     kinds = dict(rows.dtypes)
     ends = rows.mapInArrow(_ends, f"part int, conv {kinds[conv_col]}, cost array<double>").collect()  # two small rows per partition
     shared = spark.sparkContext.broadcast(_boundaries(ends))
@@ -205,10 +214,10 @@ def format_chats(conversations: DataFrame, conv_col: str = "conv_id", turn_col:
             held.append(pa.table([table.column(0), table.column(1), table.column(2), pa.array(out_roles), pa.array(actions), pa.array(inserted, lists), pa.array(appended, lists), pa.array(rendered)], names=names))
             size += len(seen)
             if size > 4096:
-                yield from pa.concat_tables(held).combine_chunks().to_batches()
+                yield from pa.concat_tables(held).to_batches()
                 held, size = [], 0
         if held:
-            yield from pa.concat_tables(held).combine_chunks().to_batches()
+            yield from pa.concat_tables(held).to_batches()
 
     schema = f"{conv_col} {kinds[conv_col]}, {turn_col} {kinds[turn_col]}, seen_role string, role string, action string, inserted array<string>, appended array<string>, rendered string"
     return rows.mapInArrow(run, schema)

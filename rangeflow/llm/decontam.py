@@ -4,8 +4,8 @@ A pattern is a window of 13 consecutive words of a benchmark item (a shorter ite
 each pattern length, a shift table over blocks of two words tells how far a block lies from the nearest pattern end; a block
 in no pattern lets the search skip every window that holds it.  Blocks are probed at the stride of that longest skip,
 so each window holds exactly one probe; probes that hit give candidate ends, the hash bucket of the candidate's suffix block
-selects test windows, and the words' bytes are compared.  The benchmark is broadcast in blocks of a checked size; all rows
-meet all blocks in narrow passes, so nothing is shuffled and no key can be hot.
+selects test windows, and the words' bytes are compared.  The benchmark is broadcast in blocks of a checked size, as flat arrays
+of about five times its bytes; all rows meet all blocks in narrow passes, so nothing is shuffled and no key can be hot.
 """
 
 from __future__ import annotations
@@ -18,11 +18,12 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from rangeflow.llm.rows import OWN, own, with_text_columns
+from rangeflow.llm.store import Scratch
 from rangeflow.llm.text import U64, Words, byte_table, mix, string_buffers, text_pieces, window_hashes
 
 WINDOW = 13
 #: Bytes of benchmark text broadcast at once; more are searched for in further narrow passes over the documents.
-BLOCK_BYTES = 16 << 20
+BLOCK_BYTES = 8 << 20
 _SHIFT_BITS = 18
 
 
@@ -41,58 +42,52 @@ def _joined(words: Words) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
 
 
 class Patterns:
-    """Shift tables and suffix buckets of one block of the benchmark."""
+    """Shift tables and suffix buckets of one block of the benchmark, in flat arrays.
+
+    ``names`` are the items; of each pattern length there are the shift table, and for every window its hash (sorted, so that
+    windows of one hash are a bucket), where it begins and ends in ``joined``, and its item.
+    """
 
     def __init__(self, ids: list, texts: list[str | None], width: int = WINDOW):
-        self.width = width
+        self.names = [str(i) for i in ids]
         data, offsets = string_buffers(pa.array(texts, pa.string()))
         words = Words(data, offsets, byte_table("alnum"))
         h = words.hashes()
-        joined, start, end = _joined(words)
+        self.joined, start, end = _joined(words)
+        begin, count = words.row[:-1], np.diff(words.row)
         self.groups: dict[int, dict] = {}
-        for item, text_row in enumerate(zip(words.row[:-1], words.row[1:], strict=True)):
-            a, b = map(int, text_row)
-            if a == b:
-                continue
-            m = min(width, b - a)
-            group = self.groups.setdefault(m, {"rows": {}, "hashes": []})
-            for k in range(a, b - m + 1):
-                body = joined[start[k] : end[k + m - 1]].tobytes()
-                if body not in group["rows"]:
-                    group["rows"][body] = set()
-                    group["hashes"].append(h[k : k + m])
-                group["rows"][body].add(ids[item])
-        for m, group in self.groups.items():
-            self._tables(m, group)
+        for m in sorted({min(width, n) for n in count.tolist()} - {0}):
+            mine = np.flatnonzero(np.minimum(count, width) == m)
+            windows = count[mine] - m + 1
+            item = np.repeat(mine, windows)
+            first = np.repeat(begin[mine] - (np.cumsum(windows) - windows), windows) + np.arange(int(windows.sum()))
+            self.groups[m] = self._tables(m, h, first, start[first], end[first + m - 1], item)
 
     @staticmethod
     def blocks(hashes: np.ndarray, size: int) -> np.ndarray:
         return mix(hashes) if size == 1 else mix(hashes[..., :-1] * U64(3) + (hashes[..., 1:] ^ U64(0x5851F42D4C957F2D)) * U64(5))
 
-    def _tables(self, m: int, group: dict) -> None:
+    def _tables(self, m: int, h: np.ndarray, first: np.ndarray, start: np.ndarray, end: np.ndarray, item: np.ndarray) -> dict:
         size = min(2, m)
-        table = np.stack(group["hashes"])
-        block = (self.blocks(table, size) >> U64(64 - _SHIFT_BITS)).astype(np.int64)
+        block = (self.blocks(h, size) >> U64(64 - _SHIFT_BITS)).astype(np.int64)
         skip = np.full(1 << _SHIFT_BITS, m - size + 1, dtype=np.int16)
         for j in range(m - size + 1):
-            np.minimum.at(skip, block[:, j], m - size - j)
-        whole = window_hashes(table.ravel(), np.arange(0, table.size + 1, m), m)[0]
-        order = np.argsort(whole)
-        bodies = list(group["rows"])
-        items = [sorted(group["rows"][b], key=str) for b in bodies]
-        group.update(size=size, skip=skip, keys=whole[order], bodies=[bodies[k] for k in order], items=[items[k] for k in order], hashes=None, rows=None)
-
-    def search(self, m: int, h: np.ndarray, bounds: np.ndarray, joined: np.ndarray, start: np.ndarray, end: np.ndarray) -> tuple[np.ndarray, list[int]]:
-        """First words of the occurrences of patterns of m words, and which pattern each is."""
+            np.minimum.at(skip, block[first + j], m - size - j)
+        whole = _hash_of(h, first, m)
+        order = np.argsort(whole, kind="stable")
+        return {"size": size, "skip": skip, "keys": whole[order], "start": start[order].astype(np.int32), "end": end[order].astype(np.int32), "item": item[order].astype(np.int32)}
+
+    def search(self, m: int, h: np.ndarray, bounds: np.ndarray, joined: np.ndarray, start: np.ndarray, end: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+        """First words of the occurrences of patterns of m words, and the item of each (one row for each item that has the pattern)."""
         g = self.groups[m]
         size, skip = g["size"], g["skip"]
         stride = m - size + 1
         counts = np.diff(bounds)
         probes = np.where(counts >= m, (counts - size) // stride + 1, 0)
         upto = np.cumsum(probes) - probes
-        total = int(probes.sum())
+        total, none = int(probes.sum()), np.zeros(0, np.int64)
         if not total:
-            return np.zeros(0, np.int64), []
+            return none, none
         row = np.repeat(np.arange(len(counts)), probes)
         at = bounds[row] + (np.arange(total) - upto[row]) * stride
         slot = (self.blocks(h, size) >> U64(64 - _SHIFT_BITS)).astype(np.int64)
@@ -107,12 +102,27 @@ class Patterns:
         first = first[inside]
         first = first[skip[slot[first + m - size]] == 0]
         if not len(first):
-            return first, []
-        whole = window_hashes(h[first[:, None] + np.arange(m)].ravel(), np.arange(0, len(first) * m + 1, m), m)[0]
-        k = np.minimum(np.searchsorted(g["keys"], whole), len(g["keys"]) - 1)
-        same = np.flatnonzero(g["keys"][k] == whole)
-        found = [(int(first[i]), int(k[i])) for i in same if joined[start[first[i]] : end[first[i] + m - 1]].tobytes() == g["bodies"][k[i]]]
-        return np.array([f for f, _ in found], dtype=np.int64), [p for _, p in found]
+            return none, none
+        whole = _hash_of(h, first, m)
+        low, high = (np.searchsorted(g["keys"], whole, side=s) for s in ("left", "right"))
+        run = high - low  # a bucket: all windows of one hash
+        first = np.repeat(first, run)
+        window = np.repeat(low - (np.cumsum(run) - run), run) + np.arange(int(run.sum()))
+        same = [
+            joined[a:b].tobytes() == self.joined[c:d].tobytes()
+            for a, b, c, d in zip(start[first].tolist(), end[first + m - 1].tolist(), g["start"][window].tolist(), g["end"][window].tolist(), strict=True)
+        ]
+        same = np.array(same, dtype=bool)
+        return first[same], g["item"][window[same]].astype(np.int64)
+
+
+def _hash_of(h: np.ndarray, first: np.ndarray, m: int) -> np.ndarray:
+    """Hashes of the runs of m words from each first word on."""
+    out = np.zeros(len(first), dtype=U64)
+    for a in range(0, len(first), 1 << 16):
+        some = first[a : a + (1 << 16)]
+        out[a : a + (1 << 16)] = window_hashes(h[some[:, None] + np.arange(m)].ravel(), np.arange(0, len(some) * m + 1, m), m)[0]
+    return out
 
 
 _FIELDS = "n_words long; hits binary; items array<string>; n_hit long"
@@ -132,12 +142,12 @@ def _scan(patterns) -> object:
                 joined, start, end = _joined(words)
                 edge = np.zeros(len(words) + 1, dtype=np.int64)
                 met: dict[int, set] = {}
-                for m, g in known.groups.items():
+                for m in known.groups:
                     first, which = known.search(m, h, bounds, joined, start, end)
                     np.add.at(edge, first, 1)
                     np.add.at(edge, first + m, -1)
-                    for r, p in zip((np.searchsorted(bounds, first, side="right") - 1).tolist(), which, strict=True):
-                        met.setdefault(r, set()).update(map(str, g["items"][p]))
+                    for r, p in zip((np.searchsorted(bounds, first, side="right") - 1).tolist(), which.tolist(), strict=True):
+                        met.setdefault(r, set()).add(known.names[p])
                 covered = np.cumsum(edge[:-1]) > 0
                 n_words += np.diff(bounds).tolist()
                 for r in range(b - a):
@@ -162,7 +172,7 @@ def _benchmark_blocks(benchmark: DataFrame, item_col: str, text_col: str) -> Ite
     total = sized.agg(F.sum(F.octet_length("text"))).first()[0] or 0
     n = max(1, -(-total // BLOCK_BYTES))
     for k in range(n):
-        rows = (sized if n == 1 else sized.where(F.expr(f"pmod(xxhash64(text), {n}) = {k}"))).collect()
+        rows = (sized if n == 1 else sized.where(F.expr(f"pmod(xxhash64(item, text), {n}) = {k}"))).collect()
         yield [r["item"] for r in rows], [r["text"] for r in rows]
 
 
@@ -178,11 +188,18 @@ def with_contamination(
     """``docs`` with ``OWN``-prefixed columns n_words, n_hit, n_items, items_sha256, contaminated.
 
     A word is hit when it lies in any occurrence of a window; a text is contaminated when n_hit > 0 and share * n_hit >= n_words.
-    Null text has no words.  Items without words, or null, have no windows.  Equal items all count.  Rows stay where they are.
+    Null text has no words.  Items without words, or null, have no windows.  Equal items all count.  Rows stay where they are,
+    repeated ones and extra columns too; an empty table gives no rows.  Where the benchmark takes several blocks, what each
+    pass finds is written before the next, and its block leaves the executors.
     """
     spark = docs.sparkSession
-    out = None
-    for ids, texts in _benchmark_blocks(benchmark, item_col, item_text_col):
+    out, scratch, shared = None, Scratch(spark), None
+    for k, (ids, texts) in enumerate(_benchmark_blocks(benchmark, item_col, item_text_col)):
+        if out is not None:
+            out = scratch.write(out, f"pass{k}")
+            shared.unpersist()
+            if k > 1:
+                scratch.drop(f"pass{k - 1}")
         shared = spark.sparkContext.broadcast(Patterns(ids, texts, width))
         if out is None:
             out = with_text_columns(docs, _FIELDS, _scan(shared), [F.col(text_col)])

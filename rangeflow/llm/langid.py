@@ -14,12 +14,13 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from rangeflow.llm.linear import BITS, Sparse, fit, gram_rows, gram_slots, row_sums, sigmoid
+from rangeflow.llm.linear import BITS, SAMPLE_BYTES, Sparse, fit, gram_rows, gram_slots, row_sums, sigmoid
 from rangeflow.llm.rows import with_text_columns
 from rangeflow.llm.text import byte_table, text_pieces
 
-#: Labelled texts of each language that the machines are fitted on, at most about.
-SAMPLE_ROWS = 500
+#: Labelled texts of each language that the machines are fitted on, at most about (twice as many of all together), of at most
+#: SAMPLE_BYTES bytes; and languages, those with the most texts first.
+SAMPLE_ROWS, MOST_LANGUAGES = 500, 128
 GRAM_SCALE = 30.0
 UNKNOWN = "und"
 #: Families of common languages by ISO 639-1 code; any other language is a family of its own.
@@ -85,15 +86,14 @@ class Machines:
 
 
 def train(labelled: DataFrame, text_col: str = "text", lang_col: str = "lang", id_col: str = "doc_id") -> Machines | None:
-    """Machines from texts with a language: at most about SAMPLE_ROWS of each, by a hash of the id."""
+    """Machines from texts with a language: at most about SAMPLE_ROWS of each, by a hash of the id and the text; None without any."""
     known = labelled.where(F.col(lang_col).isNotNull() & F.col(text_col).isNotNull())
-    counts = known.groupBy(lang_col).count().collect()  # one row per language
+    counts = known.groupBy(lang_col).count().orderBy(F.desc("count"), lang_col).limit(MOST_LANGUAGES).collect()
     if not counts:
         return None
-    pick = F.lit(False)
-    for r in counts:
-        share = int(1_000_000 * SAMPLE_ROWS / r["count"]) + 1
-        pick = pick | ((F.col(lang_col) == r[lang_col]) & (F.pmod(F.xxhash64(F.col(id_col), F.lit("lang")), F.lit(1_000_000)) < share))
+    share = F.element_at(F.create_map(*[F.lit(x) for r in counts for x in (r[lang_col], int(1_000_000 * SAMPLE_ROWS / r["count"]) + 1)]), F.col(lang_col))
+    fits = known.where(F.octet_length(text_col) <= SAMPLE_BYTES)
+    chosen = fits.where(F.pmod(F.xxhash64(F.col(id_col), F.xxhash64(text_col), F.lit("lang")), F.lit(1_000_000)) < share).limit(2 * SAMPLE_ROWS * len(counts))
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
@@ -104,13 +104,17 @@ def train(labelled: DataFrame, text_col: str = "text", lang_col: str = "lang", i
                     names=["lang", "slots", "shares"],
                 )
 
-    found = known.where(pick).select(F.col(lang_col).alias("lang"), text_col).mapInArrow(run, "lang string, slots binary, shares binary").toArrow()
+    found = chosen.select(F.col(lang_col).alias("lang"), text_col).mapInArrow(run, "lang string, slots binary, shares binary").toArrow()
     rows = [(r["lang"], np.frombuffer(r["slots"], np.int32).astype(np.int64), np.frombuffer(r["shares"], np.float32)) for r in found.to_pylist()]
     return Machines(rows) if rows else None
 
 
 def with_language(docs: DataFrame, machines: Machines | None, text_col: str = "text") -> DataFrame:
-    """``docs`` with ``OWN``-prefixed columns lang_pred and score; ``und`` and 0 for a null text or one without letters."""
+    """``docs`` with ``OWN``-prefixed columns lang_pred and score; ``und`` and 0 for a null text or one without letters.
+
+    Equal texts are named alike; of equal votes the first language by code wins; repeated rows and extra columns stay as they
+    are; an empty table gives no rows.
+    """
     shared = docs.sparkSession.sparkContext.broadcast(machines)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[list[pa.Array]]:

@@ -41,12 +41,20 @@ def sigmoid(z: np.ndarray) -> np.ndarray:
     return 1 / (1 + np.exp(-np.clip(z, -40, 40)))
 
 
-def sample_by_hash(docs: DataFrame, id_col: str, rows: int, total: int | None = None) -> DataFrame:
-    """About ``rows`` rows of the table, the same ones each time, by a hash of the id; all of them where there are fewer."""
-    total = docs.count() if total is None else total
+#: Bytes of the longest text that a sample takes, so that what is fitted on is bounded in rows and bytes.
+SAMPLE_BYTES = 1 << 15
+
+
+def sampled(docs: DataFrame, id_col: str, text_col: str, rows: int, total: int, salt: str) -> DataFrame:
+    """About ``rows`` of ``total`` rows, twice as many at most, the same ones each time: by a hash of the id and the text.
+
+    Only texts of at most SAMPLE_BYTES bytes are taken.  The limit binds only where one row is repeated many times.
+    """
+    fits = docs.where(F.coalesce(F.octet_length(text_col), F.lit(0)) <= SAMPLE_BYTES)
     if total <= rows:
-        return docs
-    return docs.where(F.pmod(F.xxhash64(F.col(id_col), F.lit("sample")), F.lit(1_000_000)) < int(1_000_000 * rows / total) + 1)
+        return fits.limit(2 * rows)
+    share = int(1_000_000 * rows / total) + 1
+    return fits.where(F.pmod(F.xxhash64(F.col(id_col), F.xxhash64(text_col), F.lit(salt)), F.lit(1_000_000)) < share).limit(2 * rows)
 
 
 class Sparse:

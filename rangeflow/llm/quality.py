@@ -14,7 +14,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from rangeflow.llm.linear import BITS, Sparse, fit, gram_rows, gram_slots, named_slot, row_sums, sample_by_hash, sigmoid
+from rangeflow.llm.linear import BITS, Sparse, fit, gram_rows, gram_slots, named_slot, row_sums, sampled, sigmoid
 from rangeflow.llm.rows import OWN, own, with_text_columns
 from rangeflow.llm.text import Words, byte_table, text_pieces
 
@@ -133,7 +133,7 @@ def train(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", sampl
     """(label model over all texts, scorer's weights, bias)."""
     counts = docs.select(text_col).mapInArrow(_codes, "code long").groupBy("code").count().collect()
     model = LabelModel(np.array([r["code"] for r in counts], dtype=np.int64), np.array([r["count"] for r in counts], dtype=np.float64))
-    some = sample_by_hash(docs, id_col, sample_rows, sum(r["count"] for r in counts)).select(text_col)
+    some = sampled(docs, id_col, text_col, sample_rows, sum(r["count"] for r in counts), "sample").select(text_col)
     rows = some.mapInArrow(_features, "code long, slots array<int>, values array<float>").toArrow()
     target = model.posterior(rows["code"].to_numpy()) if rows.num_rows else np.zeros(0)
     x = Sparse([np.array(s.as_py(), np.int64) for s in rows["slots"]], [np.array(v.as_py()) for v in rows["values"]], 1 << BITS)

@@ -13,6 +13,8 @@ def shared_folder(spark: SparkSession) -> str:
     """The session's checkpoint folder; a local one is made only where none is set, as in tests."""
     folder = spark.conf.get("spark.checkpoint.dir", None)
     if not folder:
+        if not spark.sparkContext.master.startswith("local"):
+            raise ValueError("set spark.checkpoint.dir to a folder that the driver and all executors share")
         folder = "file://" + tempfile.mkdtemp(prefix="rangeflow-")
         spark.conf.set("spark.checkpoint.dir", folder)
     return folder

@@ -16,7 +16,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from rangeflow.llm.linear import row_sums, sigmoid
+from rangeflow.llm.linear import SAMPLE_BYTES, row_sums, sigmoid
 from rangeflow.llm.rows import with_text_columns
 from rangeflow.llm.text import U64, Words, byte_table, text_pieces
 
@@ -185,13 +185,18 @@ def toxic_tokens(slots: np.ndarray, bounds: np.ndarray, toxic: np.ndarray) -> np
 
 
 def train(docs: DataFrame, labels: DataFrame, id_col: str = "doc_id", text_col: str = "text", label_col: str = "toxic") -> Field:
-    """The field, from labelled texts: at most about SAMPLE_TOXIC and SAMPLE_CLEAN of them, by a hash of the id."""
+    """The field, from labelled texts of at most SAMPLE_BYTES bytes: about SAMPLE_TOXIC and SAMPLE_CLEAN of them, by a hash of the id.
+
+    Twice as many at most, in labels (which bounds what is broadcast) and in texts.
+    """
     counts = {r[label_col]: r["count"] for r in labels.where(F.col(label_col).isin(0, 1)).groupBy(label_col).count().collect()}
-    pick = F.lit(False)
+    pick, hashed = F.lit(False), F.pmod(F.xxhash64(F.col(id_col), F.lit("toxic")), F.lit(1_000_000))
     for label, most in ((1, SAMPLE_TOXIC), (0, SAMPLE_CLEAN)):
         share = min(1_000_000, int(1_000_000 * most / max(1, counts.get(label, 0))) + 1)
-        pick = pick | ((F.col(label_col) == label) & (F.pmod(F.xxhash64(F.col(id_col), F.lit("toxic")), F.lit(1_000_000)) < share))
-    some = labels.where(pick).groupBy(id_col).agg(F.max(label_col).alias("label"))  # at most about 3,000 rows
+        pick = pick | ((F.col(label_col) == label) & (hashed < share))
+    most = 2 * (SAMPLE_TOXIC + SAMPLE_CLEAN)
+    some = labels.where(pick).groupBy(id_col).agg(F.max(label_col).alias("label")).limit(most)
+    fits = docs.where(F.octet_length(text_col) <= SAMPLE_BYTES)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
@@ -202,7 +207,7 @@ def train(docs: DataFrame, labels: DataFrame, id_col: str = "doc_id", text_col:
                 parts = [held[:, i:j].tobytes() for i, j in zip(words.row[:-1], words.row[1:], strict=True)]
                 yield pa.RecordBatch.from_arrays([pa.array(label[a:b], pa.int32()), pa.array(parts, pa.binary())], names=["label", "slots"])
 
-    found = docs.join(F.broadcast(some), id_col).select(text_col, F.col("label").cast("int").alias("label")).mapInArrow(run, "label int, slots binary").toArrow()
+    found = fits.join(F.broadcast(some), id_col).select(text_col, F.col("label").cast("int").alias("label")).limit(most).mapInArrow(run, "label int, slots binary").toArrow()
     field = Field()
     if not found.num_rows:
         return field
@@ -220,7 +225,8 @@ def train(docs: DataFrame, labels: DataFrame, id_col: str = "doc_id", text_col:
 def with_toxicity(docs: DataFrame, field: Field, text_col: str = "text") -> DataFrame:
     """``docs`` with ``OWN``-prefixed columns score (0 to 1) and spans (code points of runs of tokens that are rather toxic).
 
-    Texts without words (null, empty) have the score of no evidence, and no spans.
+    Texts without words (null, empty) have the score of no evidence, and no spans.  Equal texts score equally; repeated rows and
+    extra columns stay as they are; an empty table gives no rows.
     """
     shared = docs.sparkSession.sparkContext.broadcast(field)
     span = pa.list_(pa.struct([("start", pa.int32()), ("end", pa.int32())]))
