@@ -11,6 +11,7 @@ added to the seeds' spans.
 from __future__ import annotations
 
 import re
+from bisect import bisect_left, bisect_right
 from collections.abc import Iterator
 
 import numpy as np
@@ -87,7 +88,7 @@ def _likely(text: str, taken: list[tuple[int, int, int]]) -> list[tuple[int, int
         for m in like.finditer(text):
             s = m.group()
             digits = sum(c in "0123456789" for c in s)
-            if (k == 0 and not 6 <= digits <= 24) or (k == 1 and (digits < 4 or len(s) > 40 or digits == len(s))):
+            if (k == 0 and digits < 6) or (k == 1 and (digits < 4 or digits == len(s))):
                 continue
             if busy.find(1, m.start(), m.end()) >= 0:
                 continue
@@ -102,18 +103,24 @@ def _shape(s: str) -> str:
     return ("at" if "at)" in s or "at]" in s or "@" in s else "x" if letters else "d") + str(digits)
 
 
-def _patterns(text: str, a: int, b: int) -> list[str]:
-    """Lexical patterns of a mention: the word or two before it, and the word after it."""
-    left = [m.group().lower() for m in _WORD.finditer(text, max(0, a - 40), a)]
-    right = _WORD.search(text, b, min(len(text), b + 24))
-    out = []
-    if left:
-        out.append("l " + left[-1])
-    if len(left) > 1:
-        out.append("l " + " ".join(left[-2:]))
-    if right:
-        out.append("r " + right.group().lower())
-    return out
+class _Context:
+    """The words of a text, found once, and the lexical patterns of its mentions."""
+
+    def __init__(self, text: str):
+        words = [(m.start(), m.end(), m.group().lower()) for m in _WORD.finditer(text)]
+        self.start, self.end, self.word = ([w[k] for w in words] for k in range(3))
+
+    def patterns(self, a: int, b: int) -> list[str]:
+        """The whole word or two before a mention, however far, and the whole word after it."""
+        k, j = bisect_right(self.end, a), bisect_left(self.start, b)
+        out = []
+        if k:
+            out.append("l " + self.word[k - 1])
+        if k > 1:
+            out.append("l " + self.word[k - 2] + " " + self.word[k - 1])
+        if j < len(self.word):
+            out.append("r " + self.word[j])
+        return out
 
 
 _SPAN = "array<struct<start:int,kind:int,end:int>>"
@@ -145,9 +152,11 @@ def scan(docs: DataFrame) -> DataFrame:
                     base = base_spans(text)
                     spans[a + k] = [{"start": s, "kind": kind, "end": e} for s, kind, e in base]
                     every = [(s, e, kind) for s, kind, e in base] + [(s, e, -1) for s, e in _likely(text, base)]
-                    mentions[a + k] = [
-                        {"start": s, "end": e, "kind": kind, "shape": _shape(text[s:e]), "surface": text[s:e], "patterns": _patterns(text, s, e)} for s, e, kind in every
-                    ]
+                    if every:
+                        near = _Context(text)
+                        mentions[a + k] = [
+                            {"start": s, "end": e, "kind": kind, "shape": _shape(text[s:e]), "surface": text[s:e], "patterns": near.patterns(s, e)} for s, e, kind in every
+                        ]
             yield pa.RecordBatch.from_arrays(
                 [pa.array(np.arange(row, row + len(batch))), batch.column(0), batch.column(2), pa.array(spans, _ARROW_SPAN), pa.array(mentions, _ARROW_MENTION)],
                 names=["row", "id", "digest", "base", "mentions"],
@@ -158,8 +167,8 @@ def scan(docs: DataFrame) -> DataFrame:
     return docs.select("id", "text", F.xxhash64("text").alias("digest")).mapInArrow(run, f"row long, id {kind}, digest long, base {_SPAN}, mentions {_MENTION}")
 
 
-#: Digits that an instance of a kind can have.
-_DIGITS = {"email": (0, 40), "ip": (4, 12), "card": (12, 19), "phone": (7, 15)}
+#: Digits that an instance of a kind can have: those of the kind's format, and local phone numbers of seven and more.
+_DIGITS = {"email": (0, 1 << 30), "ip": (4, 12), "card": (12, 19), "phone": (7, 15)}
 
 
 def discover(scanned: DataFrame, scratch: Scratch) -> DataFrame:
@@ -211,7 +220,8 @@ def _listed(spans, names) -> object:
 def find(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
     """Per row: id, n_email, n_ip, n_card, n_phone, base_sha256, spans (kind:start:end by start, kind as listed, then end).
 
-    Null text counts as empty.  Repeated rows each have their row.  Kinds may overlap; discovered spans never overlap a base one.
+    Null text counts as empty.  Repeated rows each have their row; an empty table gives none; other columns are left out.  Kinds
+    may overlap; discovered spans never overlap a base one.
     """
     scratch = Scratch(docs.sparkSession)
     base = docs.select(F.col(id_col).alias("id"), F.col(text_col).alias("text"))
@@ -230,7 +240,8 @@ def find(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> Dat
 def redact(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
     """``docs`` with every found span replaced by its kind in angle brackets; other columns, and texts without spans, as they are.
 
-    Overlapping spans become one, of the first one's kind.  Null text stays null.
+    Overlapping spans become one, of the first one's kind.  Null text stays null; repeated rows are redacted alike; an empty table
+    gives no rows.
     """
     scratch = Scratch(docs.sparkSession)
     scanned = scratch.write(scan(docs.select(F.col(id_col).alias("id"), F.col(text_col).alias("text"))), "scanned")
