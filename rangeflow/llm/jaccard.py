@@ -36,13 +36,13 @@ from rangeflow.llm.text import U64, Words, byte_table, mix, text_pieces, window_
 #: shingles, never what is found.  Counters are added up in parts of SKETCH_PART.
 SKETCH_BYTES, SKETCH_LEAST, SKETCH_MOST = 256, 16, 26
 SKETCH_PART = 1 << 14
-_FLUSH = 1 << 22
+_FLUSH = 1 << 21
 #: Shingle occurrences of short lists per bucket.
 BUCKET_ROWS = 400_000
 #: Lists with more than this share of all long-list occurrences are joined by a broadcast: there are at most so many of them.
 HOT_LISTS = 10_000
 #: Candidates of one query that are searched at once, the bytes they may hold together, and candidates of one shipped group.
-BLOCK, BLOCK_BYTES, GROUP = 64, 32 << 20, 4096
+BLOCK, BLOCK_BYTES, GROUP = 64, 8 << 20, 4096
 #: Rows of a list that meet in one task, in the search of pairs left open.
 LIST_ROWS = 512
 #: DivideSkip's weight of the longest list in L = T / (MU * log2(longest) + 1).

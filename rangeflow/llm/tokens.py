@@ -17,7 +17,7 @@ from rangeflow.llm.text import U64, mix, span_hashes
 
 _NONE = np.int32(2**31 - 1)
 _LONGEST = 48
-_KEPT_UNITS, _KEPT_BYTES = 1 << 20, 32 << 20
+_KEPT_UNITS, _KEPT_BYTES = 1 << 19, 8 << 20
 SPACE, LETTER, DIGIT, MARK, OTHER = range(5)
 
 
