@@ -4,13 +4,16 @@ from __future__ import annotations
 
 import tempfile
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import DataFrame, SparkSession, Window
+from pyspark.sql import functions as F
 
 
 def checkpoint_folder(spark: SparkSession) -> str:
     """The folder that the cluster names; a local one is made only where none is set, as in tests."""
     folder = spark.conf.get("spark.checkpoint.dir", None)
     if not folder:
+        if not spark.sparkContext.master.startswith("local"):
+            raise ValueError("set spark.checkpoint.dir to a folder that the driver and all executors share")
         folder = "file://" + tempfile.mkdtemp(prefix="rangeflow-")
         spark.conf.set("spark.checkpoint.dir", folder)
     return folder.rstrip("/")
@@ -22,3 +25,13 @@ def cut(df: DataFrame) -> DataFrame:
     if context.getCheckpointDir() is None:
         context.setCheckpointDir(checkpoint_folder(df.sparkSession))
     return df.checkpoint()
+
+
+def numbered(df: DataFrame, order: list[str], out: str) -> DataFrame:
+    """Rows numbered from 1 in an order, without one task for all: ranges are sorted, and get their totals' running sum (a row a range)."""
+    at = F.monotonically_increasing_id()
+    rows = df.repartitionByRange(*order).sortWithinPartitions(*order)
+    rows = cut(rows.select("*", F.shiftright(at, 33).alias("_part"), at.bitwiseAND(F.lit((1 << 33) - 1)).alias("_place")))
+    before = Window.orderBy("_part").rowsBetween(Window.unboundedPreceding, -1)
+    base = rows.groupBy("_part").agg(F.count("*").alias("_n")).select("_part", F.coalesce(F.sum("_n").over(before), F.lit(0)).alias("_base"))
+    return rows.join(base, "_part").withColumn(out, (F.col("_base") + F.col("_place") + 1).cast("int")).drop("_part", "_place", "_base")

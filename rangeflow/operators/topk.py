@@ -146,15 +146,15 @@ def shifted_null(detections: DataFrame, sites: DataFrame, draws: int, seed: int
     arithmetic, snapping a join on squares, and one-to-one matching goes by rounds in which a point takes its nearest free site
     when it is the site's nearest point.  The first try with few far points wins, else the best one.
     """
-    from rangeflow.operators.lineage import cut
+    from rangeflow.operators.lineage import cut, numbered
 
     centre = detections.groupBy("taxon").agg(F.avg("x").alias("cx"), F.avg("y").alias("cy"), F.count("*").alias("n"))
     plan = centre.select("*", F.explode(F.sequence(F.lit(1), F.lit(draws))).alias("draw")).select("*", F.explode(F.sequence(F.lit(1), F.lit(tries))).alias("try"))
     parts = [F.lit(seed), F.col("taxon"), F.col("draw"), F.col("try")]
     total = sites.count()
-    numbered = sites.select("x", "y", F.row_number().over(Window.partitionBy(F.lit(0)).orderBy(hash_order(F.lit(seed), F.col("site")), "site")).alias("pick"))
+    picks = numbered(sites.select("x", "y", "site", hash_order(F.lit(seed), F.col("site")).alias("_o")), ["_o", "site"], "pick")
     plan = plan.withColumns({"angle": 2 * math.pi * unit_hash(*parts, F.lit("a")), "pick": (F.floor(unit_hash(*parts, F.lit("s")) * total) + 1).cast("int")})
-    plan = plan.join(numbered.select("pick", F.col("x").alias("tx"), F.col("y").alias("ty")), "pick")
+    plan = plan.join(picks.select("pick", F.col("x").alias("tx"), F.col("y").alias("ty")), "pick")
     dx, dy = F.col("x") - F.col("cx"), F.col("y") - F.col("cy")
     moved = detections.withColumnRenamed("site", "from_site").join(plan, "taxon")
     moved = moved.select(
@@ -179,12 +179,16 @@ def cluster_bootstrap(rows: DataFrame, cluster: str, values: list[str], reps: in
     """
     by = [strata] if strata else []
     sums = rows.groupBy(*by, cluster).agg(F.count("*").alias("_c"), *[F.sum(v).alias(v) for v in values])
-    w = Window.partitionBy(*by).orderBy(cluster) if by else Window.partitionBy(F.lit(0)).orderBy(cluster)
-    numbered = sums.withColumn("_k", F.row_number().over(w))
-    size = numbered.groupBy(*by).agg(F.max("_k").alias("_n"))
+    if by:
+        listed = sums.withColumn("_k", F.row_number().over(Window.partitionBy(*by).orderBy(cluster)))
+    else:
+        from rangeflow.operators.lineage import numbered
+
+        listed = numbered(sums, [cluster], "_k")
+    size = listed.groupBy(*by).agg(F.max("_k").alias("_n"))
     slots = size.select("*", F.explode(F.sequence(F.lit(1), F.lit(reps))).alias("rep")).select("*", F.explode(F.sequence(F.lit(1), F.col("_n"))).alias("slot"))
     pick = (F.floor(unit_hash(F.lit(seed), *[F.col(b) for b in by], F.col("rep"), F.col("slot")) * F.col("_n")) + 1).cast("int")
-    drawn = slots.withColumn("_k", pick).join(numbered.drop("_n"), [*by, "_k"])
+    drawn = slots.withColumn("_k", pick).join(listed, [*by, "_k"])
     means = drawn.groupBy("rep").agg(*[(F.sum(v) / F.sum("_c")).alias(v) for v in values])
     out = F.array(*[F.struct(F.lit(v).alias("value"), F.avg(v).alias("mean"), F.percentile(v, 0.025).alias("low"), F.percentile(v, 0.975).alias("high")) for v in values])
     return means.agg(out.alias("o")).select(F.explode("o").alias("o")).select("o.*").withColumn("above_zero", F.col("low") > 0)

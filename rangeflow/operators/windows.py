@@ -113,7 +113,7 @@ def spearman(df: DataFrame, by: list[str], a: str, b: str) -> DataFrame:
 def boyce(df: DataFrame, by: list[str], score: str = "score", label: str = "presence", windows: int = 100, width: float = 0.1) -> DataFrame:
     """WIN10: continuous Boyce index: Spearman of the windows' middles and their presence-to-background ratios.
 
-    Scores are counted by value first and every value meets the windows it lies in, at most ``windows`` of them.
+    Scores are counted by value first and every value meets the windows it lies in, about ``windows * width`` of them.
     """
     known = df.where(F.col(score).isNotNull() & ~F.isnan(F.col(score).cast("double")))
     n1, n0 = F.count_if(F.col(label) == 1), F.count_if(F.col(label) == 0)
@@ -121,7 +121,11 @@ def boyce(df: DataFrame, by: list[str], score: str = "score", label: str = "pres
     span = F.lit(width) * (F.col("hi") - F.col("lo"))
     begin = F.col("lo") + (F.col("hi") - span - F.col("lo")) * F.col("w") / (windows - 1)
     values = known.groupBy(*by, F.col(score).alias("v")).agg(n1.alias("p"), n0.alias("b")).join(ends, by)
-    met = values.select("*", F.explode(F.sequence(F.lit(0), F.lit(windows - 1))).alias("w")).withColumns({"begin": begin, "span": span})
+    # the windows that can hold a value, by arithmetic and one to each side; the comparison below decides
+    step = (F.col("hi") - F.col("lo")) * (1 - width) / (windows - 1)
+    since = F.greatest(F.lit(0), F.floor((F.col("v") - span - F.col("lo")) / step) - 1).cast("int")
+    until = F.least(F.lit(windows - 1), F.ceil((F.col("v") - F.col("lo")) / step) + 1).cast("int")
+    met = values.select("*", F.explode(F.sequence(since, until)).alias("w")).withColumns({"begin": begin, "span": span})
     met = met.where((F.col("v") >= F.col("begin")) & (F.col("v") <= F.col("begin") + F.col("span")))
     ratio = (F.sum("p") / F.first("n1")) / F.nullif(F.sum("b") / F.first("n0"), F.lit(0.0))
     bins = met.groupBy(*by, "w").agg(ratio.alias("ratio"), F.first(F.col("begin") + F.col("span") / 2).alias("middle")).where("ratio is not null")

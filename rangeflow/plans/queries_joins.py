@@ -72,11 +72,11 @@ def joi3(spark, d):
 
 @query(
     "joi4_coordinate_override",
-    f"""{WITH_OCC}, b AS (SELECT number, coalesce(gps_lat, CASE WHEN {_HALF} <= 5000 THEN (north + south) / 2 END) AS la, coalesce(gps_lng, CASE WHEN {_HALF} <= 5000 THEN (east + west) / 2 END) AS lo FROM ({_BOXES} AND o_orderkey < 5000))
+    f"""{WITH_OCC}, b AS (SELECT number, coalesce(gps_lat, CASE WHEN {_HALF} <= 5000 THEN (north + south) / 2 END) AS la, coalesce(gps_lng, CASE WHEN {_HALF} <= 5000 THEN (east + west) / 2 END) AS lo FROM ({_BOXES.replace('o_orderkey % 5000', 'o_orderkey')}))
  SELECT id, round(coalesce(la, latitude), 6) AS latitude, round(coalesce(lo, longitude), 6) AS longitude FROM occ LEFT JOIN b ON source = 'MO Observations' AND number = observation_id""",
 )
 def joi4(spark, d):
-    one = table(spark, d, "orders").where("o_orderkey < 5000 and o_orderkey % 3 = 1")
+    one = table(spark, d, "orders").where("o_orderkey % 3 = 1")
     k, c = F.col("o_orderkey"), F.col("o_custkey")
     five = k % 5 == 0
     boxes = one.select(
@@ -134,10 +134,10 @@ def joi9(spark, d):
 
 @query(
     "joi10_accessible_area",
-    f"{_CELLS}, det AS (SELECT DISTINCT regexp_extract(scientific_name, '^[A-Z][a-z]+') AS taxon, x, y FROM pts WHERE id % 40 = 0 AND cell5 IS NOT NULL) SELECT DISTINCT d.taxon, b.cell FROM det d JOIN busy b ON pow(d.x - b.x, 2) + pow(d.y - b.y, 2) <= 150000.0::DOUBLE * 150000",
+    f"{_CELLS}, det AS (SELECT DISTINCT regexp_extract(scientific_name, '^[A-Z][a-z]+') AS taxon, x, y FROM pts WHERE cell5 IS NOT NULL) SELECT DISTINCT d.taxon, b.cell FROM det d JOIN busy b ON pow(d.x - b.x, 2) + pow(d.y - b.y, 2) <= 150000.0::DOUBLE * 150000",
 )
 def joi10(spark, d):
-    det = points(spark, d).where("id % 40 = 0 and cell5 is not null").select(X.taxon_genus("scientific_name").alias("taxon"), "x", "y")
+    det = points(spark, d).where("cell5 is not null").select(X.taxon_genus("scientific_name").alias("taxon"), "x", "y")
     return J.accessible_sites(_busy(spark, d).select("cell", "x", "y"), det, 150).select("taxon", "cell")
 
 
@@ -166,12 +166,12 @@ def joi12(spark, d):
     return J.held_out_distances(s).select("q", "fold", r("distance", 3).alias("distance"))
 
 
-_ASK = "SELECT c_custkey AS point, 20 + CAST(c_custkey % 40 AS DOUBLE) AS lat, -150 + CAST(c_custkey % 90 AS DOUBLE) AS lng FROM customer WHERE c_custkey % 25 = 0"
+_ASK = "SELECT c_custkey AS point, 20 + CAST(c_custkey % 40 AS DOUBLE) AS lat, -150 + CAST(c_custkey % 90 AS DOUBLE) AS lng FROM customer"
 
 
 def _ask(spark, d):
     k = F.col("c_custkey")
-    return table(spark, d, "customer").where("c_custkey % 25 = 0").select(k.alias("point"), (20 + (k % 40).cast("double")).alias("lat"), (-150 + (k % 90).cast("double")).alias("lng"))
+    return table(spark, d, "customer").select(k.alias("point"), (20 + (k % 40).cast("double")).alias("lat"), (-150 + (k % 90).cast("double")).alias("lng"))
 
 
 _GENUS_CELLS = "gc AS (SELECT regexp_extract(scientific_name, '^[A-Z][a-z]+') AS taxon, latitude AS lat, longitude AS lng, count(*) AS records FROM occ GROUP BY ALL)"
@@ -194,14 +194,14 @@ def joi13(spark, d):
     "joi14_what_grows_here",
     f"""{WITH_POINTS}, idx AS (SELECT DISTINCT cell20 AS cell, id % 30 AS model, CAST(50 + (cell20 + id % 30) % 51 AS TINYINT) AS rank FROM pts WHERE cell20 IS NOT NULL),
  m AS (SELECT range AS model, CAST(range % 12 AS VARCHAR) AS taxon FROM range(30)), f AS (SELECT taxon, count(*) AS fitted FROM m GROUP BY 1),
- p AS (SELECT DISTINCT custkey AS point, cell20 AS cell FROM pts WHERE cell20 IS NOT NULL AND custkey % 10 = 0)
+ p AS (SELECT DISTINCT custkey AS point, cell20 AS cell FROM pts WHERE cell20 IS NOT NULL)
  SELECT point, taxon, round(sum(rank) / (100.0::DOUBLE * any_value(fitted)), 6) AS score, count(*) FILTER (WHERE rank >= 90) AS agree, count(*) AS models FROM p JOIN idx USING (cell) JOIN m USING (model) JOIN f USING (taxon) GROUP BY 1, 2""",
 )
 def joi14(spark, d):
     p = points(spark, d).where("cell20 is not null")
     idx = p.select(F.col("cell20").alias("cell"), (F.col("id") % 30).alias("model")).distinct().withColumn("rank", (50 + (F.col("cell") + F.col("model")) % 51).cast("tinyint"))
     models = spark.range(30).select(F.col("id").alias("model"), (F.col("id") % 12).cast("string").alias("taxon"))
-    ask = p.where("custkey % 10 = 0").select(F.col("custkey").alias("point"), F.col("latitude").alias("lat"), F.col("longitude").alias("lng")).distinct()
+    ask = p.select(F.col("custkey").alias("point"), F.col("latitude").alias("lat"), F.col("longitude").alias("lng")).distinct()
     return J.what_grows_here(ask, idx, models).withColumn("score", r("score"))
 
 

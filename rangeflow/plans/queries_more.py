@@ -17,6 +17,7 @@ from rangeflow.plans.queries import _TAXA, _taxa, query, r
 from rangeflow.plans.queries_aggs import _avg_rank
 from rangeflow.plans.queries_joins import _CAND, _INDEX, _STATE, candidates
 from rangeflow.plans.stand_ins import MAP_SQL, SCORED_SQL, WITH_OCC, WITH_POINTS, map_values, occurrences, points, scored_documents, table
+from rangeflow.sources import tables as IO
 from rangeflow.streaming import streams as T
 
 # ---- windows ------------------------------------------------------------------
@@ -514,14 +515,35 @@ def stm1(spark, d):
 
 @query("stm1_streamed_counts", "SELECT CAST(CAST(ts AS DATE) AS VARCHAR) AS day, event_type, count(*) AS n FROM events GROUP BY 1, 2")
 def stm1_stream(spark, d):
-    """The events table as a file stream, counted by day and kept in memory; equal to the batch answer."""
+    """The events table as a file stream, counted by day; the last batch's counts are files in the shared folder."""
     schema = table(spark, d, "events").schema
-    name = "rangeflow_" + os.urandom(6).hex()
+    folder = f"{checkpoint_folder(spark)}/rangeflow_{os.urandom(6).hex()}"
     rows = spark.readStream.schema(schema).option("pathGlobFilter", "*.parquet").parquet(f"{d}/events.parquet*")
     counts = T.windowed_counts(rows, "ts", "event_type")
-    q = counts.writeStream.outputMode("complete").format("memory").queryName(name).option("checkpointLocation", f"{checkpoint_folder(spark)}/{name}").trigger(availableNow=True).start()
+    keep = lambda batch, _: batch.write.mode("overwrite").parquet(f"{folder}/counts")
+    q = counts.writeStream.outputMode("complete").foreachBatch(keep).option("checkpointLocation", f"{folder}/state").trigger(availableNow=True).start()
     q.awaitTermination()
-    return spark.table(name).select(F.col("day").cast("date").cast("string").alias("day"), "event_type", "n")
+    return spark.read.parquet(f"{folder}/counts").select(F.col("day").cast("date").cast("string").alias("day"), "event_type", "n")
+
+
+@query("src3_tsv_scan", "SELECT o_orderkey AS id, CAST(o_custkey AS VARCHAR) AS observation_id, o_orderpriority AS scientific_name FROM orders")
+def src3(spark, d):
+    """The orders as tab-separated text, written and scanned again by the occurrence schema."""
+    o = table(spark, d, "orders").select(F.col("o_orderkey").alias("id"), F.col("o_custkey").cast("string").alias("observation_id"), F.col("o_orderpriority").alias("scientific_name"))
+    path = f"{checkpoint_folder(spark)}/rangeflow_{os.urandom(6).hex()}"
+    rows = o.select(*[F.col(f.name) if f.name in o.columns else F.lit(None).cast("string").alias(f.name) for f in IO.OCCURRENCE_SCHEMA.fields])
+    IO.write_tsv_gz(rows, path)
+    return IO.read_tsv(spark, path).select(F.col("id").cast("long").alias("id"), "observation_id", "scientific_name")
+
+
+@query("src4_json_and_parquet", "SELECT c_custkey, c_name, round(c_acctbal, 2) AS balance FROM customer")
+def src4(spark, d):
+    """The customers as gzip JSON lines and as compact Parquet, read back; only rows that both hold alike are given."""
+    c = table(spark, d, "customer").select("c_custkey", "c_name", F.round("c_acctbal", 2).alias("balance"))
+    path = f"{checkpoint_folder(spark)}/rangeflow_{os.urandom(6).hex()}"
+    IO.write_json(c, f"{path}/json")
+    IO.write_compact(c, f"{path}/parquet")
+    return spark.read.schema(c.schema).json(f"{path}/json").intersect(spark.read.parquet(f"{path}/parquet"))
 
 
 @query("stm2_retraction", f"SELECT record FROM ({_LEDGER}) WHERE reason = 'moved' OR reason IS NULL AND record % 11 = 0")

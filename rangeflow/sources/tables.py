@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+from datetime import date
+
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
@@ -40,7 +42,7 @@ def read_occurrences_jdbc(spark: SparkSession, url: str, table: str, low: int, h
 
 def updated_since(df: DataFrame, since: str, column: str = "updated_at") -> DataFrame:
     """SRC2: rows updated on or after a date (``YYYY-MM-DD``, checked)."""
-    T.DateType().toInternal(__import__("datetime").date.fromisoformat(since))
+    date.fromisoformat(since)
     return df.where(F.col(column) >= F.lit(since).cast("date"))
 
 
