@@ -98,3 +98,36 @@ def test_empty_inputs(spark):
     df = spark.createDataFrame([], "g string, score double, presence int")
     assert W.auc(df, ["g"]).count() == 0
     assert A.waterfall(df.withColumn("source", F.col("g")), [("a", F.lit(True))]).where("source is not null").count() == 0
+
+
+def test_kernels_equal_numpy_and_far_sites_do_not_tie(spark):
+    import numpy as np
+
+    from rangeflow.plans.model import kernel_scores
+
+    rng = np.random.default_rng(1)
+    found = [("t", float(x), float(y)) for x, y in rng.uniform(0, 3e5, (30, 2))]
+    asked = [("t", k, float(x), float(y)) for k, (x, y) in enumerate(rng.uniform(-3e6, 3e6, (60, 2)))] + [("none", 99, 0.0, 0.0)]
+    q = spark.createDataFrame(asked, "taxon string, site long, x double, y double")
+    got = {r["site"]: r["score"] for r in kernel_scores(q, spark.createDataFrame(found, "taxon string, x double, y double"), 50.0, ["taxon"]).collect()}
+    place = np.array([f[1:] for f in found])
+    for _, k, x, y in asked[:-1]:
+        e = -((place - [x, y]) ** 2).sum(axis=1) / (2 * 50_000.0**2)
+        assert abs(got[k] - (e.max() + np.log(np.exp(e - e.max()).sum()))) < 1e-9 * max(1, abs(e.max()))
+    assert got[99] is None and len(set(got.values())) == len(got)
+
+
+def test_rows_are_numbered_in_order(spark):
+    from rangeflow.operators.lineage import numbered
+
+    rows = numbered(spark.range(1000).selectExpr("(id * 7919) % 1009 as v", "id"), ["v", "id"], "k").collect()
+    assert [r["v"] for r in sorted(rows, key=lambda r: r["k"])] == sorted(r["v"] for r in rows) and {r["k"] for r in rows} == set(range(1, 1001))
+    assert numbered(spark.range(0).selectExpr("id"), ["id"], "k").count() == 0
+
+
+def test_thinning_of_a_long_falling_chain(spark):
+    from rangeflow.operators.joins import thin_by_distance
+
+    rows = [(k, 1000 - k, 0.6 * k, 0.0) for k in range(400)]
+    got = thin_by_distance(spark.createDataFrame(rows, "cell long, records int, x double, y double"), 1.0).collect()
+    assert sorted(r["cell"] for r in got) == list(range(0, 400, 2))
