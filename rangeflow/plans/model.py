@@ -6,11 +6,14 @@ cap) are fitted by one grouped-map job; models of one large table by ``pyspark.m
 
 from __future__ import annotations
 
+import os
 from collections.abc import Callable
 from itertools import combinations
+from multiprocessing.pool import ThreadPool
 
 import numpy as np
 import pandas as pd
+from pyspark import inheritable_thread_target
 from pyspark.ml.classification import GBTClassifier, LogisticRegression, RandomForestClassifier
 from pyspark.ml.feature import VectorAssembler
 from pyspark.ml.functions import vector_to_array
@@ -23,7 +26,7 @@ from rangeflow.functions.scalars import map_grade, skill
 from rangeflow.functions.scalars import tier as tier_of
 
 from rangeflow.operators.aggs import paired_arms, pass_rates
-from rangeflow.operators.lineage import cut
+from rangeflow.operators.lineage import checkpoint_folder, cut
 from rangeflow.operators.joins import accessible_sites, nearest_in_space, within
 from rangeflow.operators.topk import background_sample, hash_order, shifted_null, sweep_sample, unit_hash
 from rangeflow.operators.windows import auc, boyce, sequential_p
@@ -31,6 +34,11 @@ from rangeflow.operators.windows import auc, boyce, sequential_p
 BACKGROUND, FOLDS, BLOCK_KM, NULLS, STOP_AFTER = 10_000, 5, 200, 99, 5
 BLOCK_FLOOR_KM, BLOCK_CEILING_KM = 50, 300
 MAX_CORRELATION = 0.7
+RIDGE = 0.01
+
+#: A learner of the studies: fits a table on some bands and returns what adds ``score`` to a table's rows.
+Scorer = Callable[[DataFrame], DataFrame]
+Learner = Callable[[DataFrame, list[str]], Scorer]
 
 
 # ---- tables -------------------------------------------------------------------
@@ -154,6 +162,25 @@ def prune_correlated(training: DataFrame, bands: list[str], limit: float = MAX_C
     return [bands[k] for k in kept]
 
 
+def prune_by_taxon(training: DataFrame, bands: list[str], limit: float = MAX_CORRELATION) -> DataFrame:
+    """MOD4: (taxon, kept): each taxon's bands that vary and stay under the limit, in the given order, as many as its detections allow.
+
+    One aggregation with partial sums gives all correlations; the greedy keep folds over a taxon's bands x bands array.
+    """
+    pair = {(a, b): F.try_divide(F.covar_pop(a, b), F.stddev_pop(a) * F.stddev_pop(b)) for a, b in combinations(bands, 2)}  # null beside a constant
+    matrix = [pair.get((a, b), pair.get((b, a), F.lit(1.0))) for a in bands for b in bands]
+    spread = F.array(*[F.stddev_pop(b) for b in bands])
+    stats = training.groupBy("taxon").agg(F.array(*matrix).alias("_m"), spread.alias("_sd"), F.count_if(F.col("presence") == 1).alias("_n"))
+    most = F.greatest(F.lit(5), F.floor(F.col("_n") / 4).cast("int"))
+
+    def keep(kept: Column, k: Column) -> Column:
+        apart = F.forall(kept, lambda j: F.coalesce(F.abs(F.get("_m", k * len(bands) + j)) < limit, F.lit(False)))
+        return F.when((F.get("_sd", k) > 0) & apart & (F.size(kept) < most), F.concat(kept, F.array(k))).otherwise(kept)
+
+    kept = F.aggregate(F.sequence(F.lit(0), F.lit(len(bands) - 1)), F.array().cast("array<int>"), keep)
+    return stats.select("taxon", F.transform(kept, lambda k: F.get(F.array(*map(F.lit, bands)), k)).alias("kept"))
+
+
 def predictor_cap(presences: int) -> int:
     """MOD4: predictors a model of n detections can have."""
     return max(5, presences // 4)
@@ -170,7 +197,7 @@ def limit_hosts(bands: list[str], means: dict[str, float], cap: int, share: floa
 
 
 def presence_features(df: DataFrame, bands: list[str], bounds: dict[str, tuple[float, float]], quadratic: bool = True, product: bool = False, hinges: int = 0) -> tuple[DataFrame, list[str]]:
-    """MOD5: linear, quadratic, product and hinge features of bands scaled to 0..1 and clamped to the training range."""
+    """MOD5: linear, quadratic, product and hinge features (rising from a knot and falling to one) of bands scaled to 0..1, clamped to the training range."""
     scaled = {}
     for b in bands:
         lo, hi = bounds[b]
@@ -185,6 +212,7 @@ def presence_features(df: DataFrame, bands: list[str], bounds: dict[str, tuple[f
         for k in range(hinges):
             knot = k / hinges
             more |= {f"h_{b}_{k}": F.greatest(F.lit(0.0), (F.col(f"l_{b}") - knot) / (1 - knot))}
+            more |= {f"r_{b}_{k}": F.greatest(F.lit(0.0), 1 - F.col(f"l_{b}") * hinges / (k + 1))}
     return out.withColumns(more), [*names, *more]
 
 
@@ -229,11 +257,12 @@ def _probability(model, bands: list[str]) -> Callable[[DataFrame], DataFrame]:
 
 
 def fit_boosted(training: DataFrame, bands: list[str], rounds: int = 100, depth: int = 3, held: str | None = "fold", seed: int = 1) -> Callable[[DataFrame], DataFrame]:
-    """MOD6: boosted trees with balanced weights, stopped early on one inner fold where there is one."""
+    """MOD6: boosted trees with balanced weights, stopped early on the first of the training folds where there are several."""
     rows = balanced_weights(training, ["taxon"]) if "taxon" in training.columns else training.withColumn("weight", F.lit(1.0))
     gbt = GBTClassifier(featuresCol="_f", labelCol="presence", weightCol="weight", maxIter=rounds, maxDepth=depth, seed=seed)
-    if held and held in training.columns:
-        rows = rows.withColumn("_held", F.col(held) == 1)
+    ends = rows.agg(F.min(held).alias("low"), F.max(held).alias("high")).first() if held and held in training.columns else None
+    if ends and ends["low"] != ends["high"]:
+        rows = rows.withColumn("_held", F.col(held) == ends["low"])
         gbt = gbt.setValidationIndicatorCol("_held")
     return _probability(gbt.fit(_assembler(bands).transform(rows)), bands)
 
@@ -251,8 +280,8 @@ def fit_detection(training: DataFrame, bands: list[str], ridge: float = 0.01) ->
     model = glr.fit(_assembler(bands).transform(training.withColumn("presence", F.col("presence").cast("double"))))
 
     def score(df: DataFrame) -> DataFrame:
-        held = _assembler(bands).transform(df.withColumn("effort", F.lit(0.0)).withColumn("presence", F.lit(0.0)))
-        return model.transform(held).withColumn("score", F.col("prediction")).select("site", "score").join(df, "site")
+        rows = df.select(F.struct(*df.columns).alias("_row"), *bands, F.lit(0.0).alias("effort"), F.lit(0.0).alias("presence"))
+        return model.transform(_assembler(bands).transform(rows)).select("_row.*", F.col("prediction").alias("score"))
 
     return score
 
@@ -285,48 +314,114 @@ def _scale(train: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
     return train.mean(axis=0), np.where(sd > 0, sd, 1.0)
 
 
-def _small_fit_score(train: pd.DataFrame, test: pd.DataFrame, bands: list[str], ridge: float, pairs: bool) -> np.ndarray:
-    """Scores of the test rows: one ridge model, or the ensemble of all pairs weighted by Somers' D."""
-    y = train["presence"].to_numpy(float)
+def _area(score: np.ndarray, y: np.ndarray) -> float:
+    """Area under the curve from average ranks; NaN where a class is empty."""
     n1 = y.sum()
-    if n1 == 0 or n1 == len(y) or not len(test):
-        return np.full(len(test), np.nan)
-    w = np.where(y == 1, len(y) / (2 * n1), len(y) / (2 * (len(y) - n1)))
-    a, b = train[bands].to_numpy(float), test[bands].to_numpy(float)
-    mean, sd = _scale(a)
-    a, b = (a - mean) / sd, np.clip((b - mean) / sd, ((a - mean) / sd).min(axis=0), ((a - mean) / sd).max(axis=0))
-
-    def one(cols: list[int]) -> tuple[np.ndarray, np.ndarray]:
-        beta = ridge_logistic(_design(a[:, cols], True), y, w, ridge)
-        s = lambda z: 1 / (1 + np.exp(-np.clip(_design(z[:, cols], True) @ beta, -30, 30)))
-        return s(a), s(b)
-
-    if not pairs or len(bands) < 2:
-        return one(list(range(len(bands))))[1]
-    total, weight = np.zeros(len(b)), 0.0
-    for i, j in combinations(range(len(bands)), 2):
-        own, held = one([i, j])
-        r = pd.Series(own).rank().to_numpy()
-        d = max(0.0, 2 * ((r[y == 1].sum() - n1 * (n1 + 1) / 2) / (n1 * (len(y) - n1))) - 1)
-        total += d * held
-        weight += d
-    return total / weight if weight > 0 else np.full(len(b), np.nan)
-
-
-def cross_validated_scores(training: DataFrame, bands: list[str], by: list[str], ridge: float = 0.01, pairs: bool = False, fold: str = "fold") -> DataFrame:
+    if n1 == 0 or n1 == len(y):
+        return np.nan
+    return (pd.Series(score).rank().to_numpy()[y == 1].sum() - n1 * (n1 + 1) / 2) / (n1 * (len(y) - n1))
+
+
+def _small_fit(train: pd.DataFrame, bands: list[str], ridge: float, pairs: bool, fold: str = "fold") -> Callable[[pd.DataFrame], np.ndarray]:
+    """A scorer of rows: one ridge model, or the ensemble of all pairs of bands.
+
+    A pair weighs its Somers' D over the pooled scores of the training folds, each held out in turn, never below 0; all weigh
+    the same where none beats chance or no fold can be scored.  NaN where the training rows lack a class.
+    """
+    y = train["presence"].to_numpy(float)
+    if y.sum() in (0, len(y)) or not bands:
+        return lambda rows: np.full(len(rows), np.nan)
+    mean, sd = _scale(train[bands].to_numpy(float))
+    z = (train[bands].to_numpy(float) - mean) / sd
+    low, high = z.min(axis=0), z.max(axis=0)
+
+    def fit(cols: list[int], rows: np.ndarray) -> np.ndarray:
+        found = y[rows]
+        w = np.where(found == 1, len(found) / (2 * found.sum()), len(found) / (2 * (len(found) - found.sum())))
+        return ridge_logistic(_design(z[rows][:, cols], True), found, w, ridge)
+
+    def score(at: np.ndarray, cols: list[int], beta: np.ndarray) -> np.ndarray:
+        return 1 / (1 + np.exp(-np.clip(_design(at[:, cols], True) @ beta, -30, 30)))
+
+    def beyond_chance(cols: list[int]) -> float:
+        held = []
+        for f in np.unique(blocks):
+            out = blocks == f
+            if y[~out].sum() >= 2 and not y[~out].all() and 0 < y[out].sum() < out.sum():
+                held.append((score(z[out], cols, fit(cols, ~out)), y[out]))
+        d = 2 * _area(*map(np.concatenate, zip(*held, strict=True))) - 1 if held else np.nan
+        return max(0.0, d) if np.isfinite(d) else 0.0
+
+    members, weights = [list(range(len(bands)))], np.ones(1)
+    if pairs and len(bands) > 1:
+        members, blocks = [list(c) for c in combinations(range(len(bands)), 2)], train[fold].to_numpy()
+        weights = np.array([beyond_chance(c) for c in members])
+        weights = weights if weights.any() else np.ones(len(members))
+    used = [(w / weights.sum(), c, fit(c, np.ones(len(y), bool))) for w, c in zip(weights, members, strict=True) if w > 0]
+
+    def scores(rows: pd.DataFrame) -> np.ndarray:
+        at = np.clip((rows[bands].to_numpy(float) - mean) / sd, low, high)
+        return sum(w * score(at, c, beta) for w, c, beta in used)
+
+    return scores
+
+
+def _learner_scores(training: DataFrame, tests: DataFrame, bands: list[str], by: list[str], fold: str, learner: Learner, keep: list[str], parallel: int) -> DataFrame:
+    """Scores of the test rows of every group and fold by a learner fitted on the group's other folds: (by..., fold, keep..., score).
+
+    Each model is a Spark fit over its own rows, a few of them at a time; the driver holds the list of models (one row each) and no
+    data.  Scores go to files, so that no plan grows with the models.  Null where the training rows lack a class.
+    """
+    spark = training.sparkSession
+    rows, tests = cut(training), cut(tests)
+    counts = rows.groupBy(*by, fold).agg(F.count_if(F.col("presence") == 1).alias("n1"), F.count("*").alias("n"), *([F.first("kept").alias("kept")] if "kept" in rows.columns else []))
+    models = [r.asDict() for r in counts.collect()]
+    total: dict[tuple, np.ndarray] = {}
+    for m in models:
+        g = tuple(m[b] for b in by)
+        total[g] = total.get(g, 0) + np.array([m["n1"], m["n"]])
+    folder = f"{checkpoint_folder(spark)}/rangeflow_{os.urandom(6).hex()}"
+
+    def one(k: int) -> None:
+        m = models[k]
+        n1, n = total[tuple(m[b] for b in by)] - (m["n1"], m["n"])
+        own = [F.col(b).eqNullSafe(F.lit(m[b])) for b in by]
+        test = tests.where(F.col(fold).eqNullSafe(F.lit(m[fold])))
+        train = rows.where(~F.col(fold).eqNullSafe(F.lit(m[fold])))
+        for c in own:
+            test, train = test.where(c), train.where(c)
+        scored = learner(train, m.get("kept") or bands)(test) if 0 < n1 < n else test.withColumn("score", F.lit(None).cast("double"))
+        scored.select(*by, fold, *keep, "score").write.parquet(f"{folder}/model={k}")
+
+    pool = ThreadPool(parallel)
+    try:
+        pool.map(inheritable_thread_target(spark)(one), range(len(models)))
+    finally:
+        pool.close()
+    schema = tests.withColumn("score", F.lit(0.0)).select(*by, fold, *keep, "score").schema
+    if not models:
+        return spark.createDataFrame([], schema)
+    return spark.read.schema(schema).parquet(*[f"{folder}/model={k}" for k in range(len(models))])
+
+
+def cross_validated_scores(training: DataFrame, bands: list[str], by: list[str], ridge: float = RIDGE, pairs: bool = False, fold: str = "fold", learner: Learner | None = None, parallel: int = 4) -> DataFrame:
     """MOD8, MOD11: held-out scores of every row, each fold fitted on the others: (by..., fold, site, presence, score).
 
-    One grouped-map job over (group, held fold): the rows of the other folds are copied to each held fold, so a task holds one
-    model's rows (a taxon's sites, at most the background cap).
+    The ridge model and its ensemble are one grouped-map job over (group, held fold): the rows of the other folds are copied to each
+    held fold, so a task holds one model's rows (a taxon's sites, at most the background cap).  Any other learner (presence model,
+    boosted trees, forest, detection model) is fitted by Spark, model after model.  A column ``kept`` names each group's own bands.
     """
+    if learner is not None:
+        return _learner_scores(training, training, bands, by, fold, learner, ["site", "presence"], parallel)
+    own = ["kept"] if "kept" in training.columns else []
     folds = training.select(*by, F.col(fold).alias("held")).distinct()
-    rows = training.select(*by, "site", "presence", fold, *bands).join(folds, by)
+    rows = training.select(*by, "site", "presence", fold, *bands, *own).join(folds, by)
     kinds = dict(training.dtypes)
 
     def run(pdf: pd.DataFrame) -> pd.DataFrame:
         test = pdf[pdf[fold] == pdf["held"]]
-        scores = _small_fit_score(pdf[pdf[fold] != pdf["held"]], test, bands, ridge, pairs)
-        return test[[*by, fold, "site", "presence"]].assign(score=scores)
+        used = list(pdf["kept"].iloc[0]) if own else bands
+        return test[[*by, fold, "site", "presence"]].assign(score=_small_fit(pdf[pdf[fold] != pdf["held"]], used, ridge, pairs, fold)(test))
 
     schema = ", ".join([*[f"{b} {kinds[b]}" for b in by], f"{fold} {kinds[fold]}", f"site {kinds['site']}", "presence int", "score double"])
     return rows.groupBy(*by, "held").applyInPandas(run, schema)
@@ -346,16 +441,20 @@ def pooled_boyce(held: DataFrame, by: list[str]) -> DataFrame:
     return boyce(held, by)
 
 
-def tune(training: DataFrame, bands: list[str], by: list[str], ridges: list[float]) -> DataFrame:
-    """MOD12: per group the candidate with the best mean blocked AUC, the first on ties."""
-    out = None
-    for k, ridge in enumerate(ridges):
-        one = cut(cross_validate(training, bands, by, ridge=ridge)).select(*by, F.lit(k).alias("candidate"), F.lit(float(ridge)).alias("ridge"), "auc")
+def tune(training: DataFrame, bands: list[str], by: list[str], ridges: list[float] | None = None, learners: dict[str, Learner] | None = None) -> DataFrame:
+    """MOD12: per group the candidate with the best mean blocked AUC, the first on ties.
+
+    Candidates are penalties of the ridge model (column ``ridge``) or named learners, a learner for each setting (``candidate``).
+    """
+    tried = [(r, {"ridge": r}) for r in map(float, ridges or [])] if learners is None else [(name, {"learner": fit}) for name, fit in learners.items()]
+    what, out = "ridge" if learners is None else "candidate", None
+    for k, (name, how) in enumerate(tried):
+        one = cut(cross_validate(training, bands, by, **how)).select(*by, F.lit(k).alias("_k"), F.lit(name).alias(what), "auc")
         out = one if out is None else out.unionByName(one)
-    return out.groupBy(*by).agg(F.max_by(F.struct("ridge", "auc"), F.struct("auc", -F.col("candidate"))).alias("b")).select(*by, "b.ridge", "b.auc")
+    return out.groupBy(*by).agg(F.max_by(F.struct(what, "auc"), F.struct("auc", -F.col("_k"))).alias("b")).select(*by, f"b.{what}", "b.auc")
 
 
-def fit_small_ensemble(training: DataFrame, bands: list[str], by: list[str] | None = None, ridge: float = 0.01) -> DataFrame:
+def fit_small_ensemble(training: DataFrame, bands: list[str], by: list[str] | None = None, ridge: float = RIDGE) -> DataFrame:
     """MOD8: held-out scores of the ensemble of small models over at most ten predictors."""
     return cross_validated_scores(training, bands[:10], by or ["taxon"], ridge, True)
 
@@ -399,9 +498,9 @@ def choose_bandwidth(training: DataFrame, bandwidths: list[float], by: list[str]
     return out.groupBy(*by).agg(F.max_by("bandwidth_km", F.struct("auc", -F.col("bandwidth_km"))).alias("bandwidth_km"), F.max("auc").alias("auc"))
 
 
-def null_tables(training: DataFrame, draws: int, design: str = "scatter", seed: int = 1) -> DataFrame:
-    """MOD13: the training table with null detections for each draw, scattered by records or shifted as a cluster."""
-    reps = training.withColumn("draw", F.explode(F.sequence(F.lit(1), F.lit(draws))))
+def null_tables(training: DataFrame, draws: int, design: str = "scatter", seed: int = 1, first: int = 1) -> DataFrame:
+    """MOD13: the training table with null detections for each draw from the first on, scattered by records or shifted as a cluster."""
+    reps = training.withColumn("draw", F.explode(F.sequence(F.lit(first), F.lit(first + draws - 1))))
     if design == "scatter":
         n = training.where("presence = 1").groupBy("taxon").agg(F.count("*").alias("_n"))
         e = -F.log(unit_hash(F.lit(seed), F.col("draw"), F.col("taxon"), F.col("site"))) / F.greatest(F.col("records").cast("double"), F.lit(1.0))
@@ -409,51 +508,59 @@ def null_tables(training: DataFrame, draws: int, design: str = "scatter", seed:
         drawn = reps.withColumn("_e", e).withColumn("_k", F.row_number().over(w)).join(n, "taxon")
         return drawn.withColumn("presence", (F.col("_k") <= F.col("_n")).cast("int")).drop("_e", "_k", "_n")
     found = training.where("presence = 1").select("taxon", "site", "x", "y")
-    picked = shifted_null(found, training.select("site", "x", "y").distinct(), draws, seed).select("taxon", "draw", "site").withColumn("_p", F.lit(1))
+    picked = shifted_null(found, training.select("site", "x", "y").distinct(), draws, seed + first - 1)
+    picked = picked.select("taxon", (F.col("draw") + first - 1).alias("draw"), "site", F.lit(1).alias("_p"))
     return reps.join(picked, ["taxon", "draw", "site"], "left").withColumn("presence", F.coalesce("_p", F.lit(0))).drop("_p")
 
 
 def null_test(training: DataFrame, bands: list[str], draws: int = NULLS, design: str = "scatter", stop_after: int = STOP_AFTER, seed: int = 1, **how) -> DataFrame:
     """MOD13: per taxon the observed score, its nulls' mean and spread, and the sequential p-value.
 
-    All draws of all taxa are groups of one cross-validation job.
+    All draws of all taxa are groups of one cross-validation job.  Nulls that cannot be scored are drawn again, up to twice the
+    draws in all; the first scored ones count.  ``how`` names the learner as in ``cross_validate``.
     """
     observed = cut(cross_validate(training, bands, ["taxon"], **how).select("taxon", F.col("auc").alias("observed"), "boyce"))
-    nulls = cross_validate(cut(null_tables(training, draws, design, seed)), bands, ["taxon", "draw"], **how).select("taxon", "draw", F.col("auc").alias("null_score"))
-    nulls = cut(nulls)
+
+    def scored(rows: DataFrame, first: int) -> DataFrame:
+        one = cross_validate(cut(null_tables(rows, draws, design, seed, first)), bands, ["taxon", "draw"], **how)
+        return cut(one.where("auc is not null").select("taxon", "draw", F.col("auc").alias("null_score")))
+
+    nulls = scored(training, 1)
+    n = observed.join(nulls, "taxon", "left").groupBy("taxon").agg(F.count("null_score").alias("n"))
+    short = cut(n.where(F.col("n") < draws).select("taxon"))
+    if not short.isEmpty():
+        nulls = nulls.unionByName(scored(training.join(short, "taxon", "left_semi"), draws + 1))
+        nulls = cut(nulls.withColumn("_k", F.row_number().over(Window.partitionBy("taxon").orderBy("draw"))).where(F.col("_k") <= draws).drop("_k"))
     met = nulls.join(observed.select("taxon", "observed"), "taxon")
     spread = met.groupBy("taxon").agg(F.avg("null_score").alias("auc_mean"), F.stddev_samp("null_score").alias("auc_sd"), F.count("null_score").alias("reps"))
     p = sequential_p(met, ["taxon"], stop_after)
     return observed.join(spread, "taxon").join(p, "taxon").withColumn("design", F.lit(design))
 
 
-def permutation_importance(training: DataFrame, bands: list[str], by: list[str], repeats: int = 5, seed: int = 1, groups: dict[str, list[str]] | None = None, ridge: float = 0.01) -> DataFrame:
-    """MOD14: mean fall of the held-out AUC when a predictor, or all of a layer, is shuffled among a fold's rows."""
+def permutation_importance(training: DataFrame, bands: list[str], by: list[str], repeats: int = 5, seed: int = 1, groups: dict[str, list[str]] | None = None, ridge: float = RIDGE, learner: Learner | None = None, parallel: int = 4) -> DataFrame:
+    """MOD14: mean fall of the held-out AUC when a predictor, or all of a layer, is shuffled among a fold's rows.
+
+    Every fold is fitted once and scores its rows as they are and under each shuffle; ``learner`` as in ``cross_validated_scores``.
+    """
     shuffled = {**{f"predictor:{b}": [b] for b in bands}, **{f"layer:{g}": m for g, m in (groups or {}).items()}}
+    if learner is not None:
+        return _learner_falls(training, bands, by, repeats, seed, shuffled, learner, parallel)
     folds = training.select(*by, F.col("fold").alias("held")).distinct()
     rows = training.select(*by, "site", "presence", "fold", *bands).join(folds, by)
     kinds = dict(training.dtypes)
 
     def run(pdf: pd.DataFrame) -> pd.DataFrame:
-        test, train = pdf[pdf["fold"] == pdf["held"]], pdf[pdf["fold"] != pdf["held"]]
-        y = test["presence"].to_numpy()
-        n1 = int(y.sum())
-        if n1 == 0 or n1 == len(y):
+        test, train = pdf[pdf["fold"] == pdf["held"]].sort_values("site"), pdf[pdf["fold"] != pdf["held"]]
+        y, scores = test["presence"].to_numpy(float), _small_fit(train, bands, ridge, False)
+        base, rng, out = _area(scores(test), y), np.random.default_rng(seed), []
+        if np.isnan(base):
             return pd.DataFrame({c: [] for c in [*by, "name", "fall"]})
-
-        def area(rows: pd.DataFrame) -> float:
-            r = pd.Series(_small_fit_score(train, rows, bands, ridge, False)).rank().to_numpy()
-            return (r[y == 1].sum() - n1 * (n1 + 1) / 2) / (n1 * (len(y) - n1))
-
-        base, rng, out = area(test), np.random.default_rng(seed), []
-        test = test.sort_values("site")
-        y = test["presence"].to_numpy()
         for name, columns in shuffled.items():
             falls = []
             for _ in range(repeats):
                 changed = test.copy()
                 changed[columns] = test[columns].to_numpy()[rng.permutation(len(test))]
-                falls.append(base - area(changed))
+                falls.append(base - _area(scores(changed), y))
             out.append((*[pdf[b].iloc[0] for b in by], name, float(np.mean(falls))))
         return pd.DataFrame(out, columns=[*by, "name", "fall"])
 
@@ -461,6 +568,30 @@ def permutation_importance(training: DataFrame, bands: list[str], by: list[str],
     return rows.groupBy(*by, "held").applyInPandas(run, schema).groupBy(*by, "name").agg(F.avg("fall").alias("fall"))
 
 
+def _learner_falls(training: DataFrame, bands: list[str], by: list[str], repeats: int, seed: int, shuffled: dict[str, list[str]], learner: Learner, parallel: int) -> DataFrame:
+    """The shuffles as rows: in each repeat a fold's rows are put in hash order, and the row at the same place of site order lends its bands."""
+    rows = training.withColumn("_rep", F.explode(F.sequence(F.lit(1), F.lit(repeats))))
+    key = [*by, "fold", "_rep"]
+    placed = rows.withColumns(
+        {
+            "_a": F.row_number().over(Window.partitionBy(*key).orderBy("site")),
+            "_b": F.row_number().over(Window.partitionBy(*key).orderBy(hash_order(F.lit(seed), F.col("_rep"), F.col("site")), "site")),
+        }
+    )
+    placed = cut(placed)
+    lent = placed.select(*key, F.col("_a").alias("_b"), F.struct(*bands).alias("_lent"))
+    met = placed.join(lent, [*key, "_b"]).withColumn("_name", F.explode(F.array(*map(F.lit, shuffled))))
+    own = {b: [n for n, m in shuffled.items() if b in m] for b in bands}
+    changed = met.withColumns({b: F.when(F.col("_name").isin(own[b]), F.col(f"_lent.{b}")).otherwise(F.col(b)) for b in bands})
+    kept = [*training.columns, "_rep", "_name"]
+    tests = changed.select(*kept).unionByName(training.withColumns({"_rep": F.lit(0), "_name": F.lit("")}).select(*kept))
+    held = cut(_learner_scores(training, tests, bands, by, "fold", learner, ["_rep", "_name", "presence"], parallel))
+    areas = cut(auc(held, [*by, "fold", "_name", "_rep"])).where("auc is not null")
+    base = areas.where("_name = ''").select(*by, "fold", F.col("auc").alias("_base"))
+    falls = areas.where("_name <> ''").join(base, [*by, "fold"]).groupBy(*by, "fold", F.col("_name").alias("name")).agg(F.avg(F.col("_base") - F.col("auc")).alias("fall"))
+    return falls.groupBy(*by, "name").agg(F.avg("fall").alias("fall"))
+
+
 def applicability_weights(falls: DataFrame, bands: list[str]) -> dict[str, float]:
     """MOD14: a predictor's weight: its mean fall, never below 0; all equal where none is above."""
     rows = {r["name"]: r["fall"] for r in falls.groupBy("name").agg(F.avg("fall").alias("fall")).collect()}
@@ -503,11 +634,11 @@ def applicability(training: DataFrame, cells: DataFrame, bands: list[str], weigh
 
 
 def run_arms(training: DataFrame, arms: dict[str, dict]) -> DataFrame:
-    """MOD16: the same folds under many arms (bands, ridge, pairs, design): one row per taxon and arm."""
+    """MOD16: the same folds under many arms (bands, ridge, pairs, learner, design): one row per taxon and arm."""
     out = None
     for name, arm in arms.items():
         rows = design_rows(training, arm.get("design", "sites"))
-        one = cross_validate(rows, arm["bands"], ["taxon"], ridge=arm.get("ridge", 0.01), pairs=arm.get("pairs", False))
+        one = cross_validate(rows, arm["bands"], ["taxon"], **{k: v for k, v in arm.items() if k in ("ridge", "pairs", "learner", "parallel")})
         one = cut(one.select("taxon", F.lit(name).alias("arm"), "auc", "boyce", "folds_scored"))
         out = one if out is None else out.unionByName(one)
     return out
@@ -544,18 +675,20 @@ def settings_hash(**settings) -> Column:
     return F.sha2(F.to_json(F.struct(*[F.lit(v).alias(k) for k, v in sorted(settings.items())])), 256)
 
 
-def fit_taxa(training: DataFrame, bands: list[str], low: int = 20, draws: int = 19, design: str = "scatter", min_blocks: int = 5, block_km: float = BLOCK_KM, seed: int = 1) -> DataFrame:
-    """MOD19: every taxon through folds, cross-validation, nulls and grading: one row per taxon, refusals with a reason.
+def fit_taxa(training: DataFrame, bands: list[str], low: int = 20, draws: int = 19, design: str = "scatter", min_blocks: int = 5, block_km: float = BLOCK_KM, seed: int = 1, prune: bool = True, learner: Learner | None = None) -> DataFrame:
+    """MOD19: every taxon through pruning, folds, cross-validation, nulls and grading: one row per taxon, refusals with a reason.
 
     training: taxon, site, presence, x, y, records and the bands.  Too few detections or blocks refuse a taxon; a model that cannot
-    be scored has failed.
+    be scored has failed.  ``kept`` are the bands that each taxon's model uses; ``final_models`` takes them from there.
     """
     folded = spatial_folds(training, FOLDS, block_km, seed)
     found = folded.where("presence = 1").groupBy("taxon").agg(F.count("*").alias("presences"), F.count_distinct("block").alias("blocks"))
+    kept = prune_by_taxon(folded, bands) if prune else training.select("taxon", F.array(*map(F.lit, bands)).alias("kept")).distinct()
     gate = F.when(F.col("presences") < low, "too few sites").when(F.col("blocks") < min_blocks, "too few blocks")
-    taxa = training.select("taxon").distinct().join(found, "taxon", "left").na.fill(0, ["presences", "blocks"]).withColumn("reason", gate)
-    fit = folded.join(taxa.where("reason is null").select("taxon"), "taxon", "left_semi")
-    tested = null_test(fit, bands, draws, design, seed=seed)
+    taxa = training.select("taxon").distinct().join(found, "taxon", "left").na.fill(0, ["presences", "blocks"]).join(kept, "taxon", "left")
+    taxa = cut(taxa.withColumn("reason", gate))
+    fit = folded.join(taxa.where("reason is null").select("taxon", "kept"), "taxon")
+    tested = null_test(fit, bands, draws, design, seed=seed, learner=learner)
     out = taxa.join(tested, "taxon", "left")
     status = F.when(F.col("reason").isNotNull(), "refused").when(F.col("observed").isNull(), "failed").otherwise("fitted")
     out = out.withColumn("status", status).withColumn("skill", F.when(F.col("status") == "fitted", skill(F.col("p"), F.col("reps"), F.col("boyce"))))
@@ -564,3 +697,54 @@ def fit_taxa(training: DataFrame, bands: list[str], low: int = 20, draws: int =
     return out.withColumns({"grade": grade, "tier": tier, "settings": settings_hash(draws=draws, design=design, block_km=block_km, seed=seed)})
 
 
+def final_models(training: DataFrame, taxa: DataFrame, bands: list[str]) -> DataFrame:
+    """MOD19: the ridge model of every taxon on all its rows: (taxon, bands, mean, sd, low, high, beta).
+
+    taxa: taxon, kept and ridge (``tune``; the default where null).  One grouped-map job; a task holds a taxon's sites.  Taxa
+    without both classes or bands have no model.
+    """
+    rows = training.select("taxon", "site", "presence", *bands).join(taxa.select("taxon", "kept", F.coalesce("ridge", F.lit(RIDGE)).alias("ridge")), "taxon")
+
+    def run(pdf: pd.DataFrame) -> pd.DataFrame:
+        pdf = pdf.sort_values("site")
+        y, used = pdf["presence"].to_numpy(float), list(pdf["kept"].iloc[0])
+        if y.sum() in (0, len(y)) or not used:
+            return pd.DataFrame({c: [] for c in ("taxon", "bands", "mean", "sd", "low", "high", "beta")})
+        x = pdf[used].to_numpy(float)
+        mean, sd = _scale(x)
+        z = (x - mean) / sd
+        w = np.where(y == 1, len(y) / (2 * y.sum()), len(y) / (2 * (len(y) - y.sum())))
+        beta = ridge_logistic(_design(z, True), y, w, pdf["ridge"].iloc[0])
+        return pd.DataFrame([(pdf["taxon"].iloc[0], used, mean, sd, z.min(axis=0), z.max(axis=0), beta)], columns=["taxon", "bands", "mean", "sd", "low", "high", "beta"])
+
+    numbers = ", ".join(f"{c} array<double>" for c in ("mean", "sd", "low", "high", "beta"))
+    return rows.groupBy("taxon").applyInPandas(run, f"taxon {dict(training.dtypes)['taxon']}, bands array<string>, {numbers}")
+
+
+def map_scores(models: DataFrame, cells: DataFrame, bands: list[str]) -> DataFrame:
+    """MOD19: each model's score at the cells: (taxon, cell, score); null where a band it uses is missing.
+
+    cells: taxon, cell and the bands (the cells of the taxon's accessible area).  A join and column arithmetic: the cells stay spread.
+    """
+    values = F.create_map(*[v for b in bands for v in (F.lit(b), F.col(b).cast("double"))])
+    met = cells.select("taxon", "cell", values.alias("_v")).join(models, "taxon")
+    raw = F.transform("bands", lambda b, i: (F.element_at("_v", b) - F.get("mean", i)) / F.get("sd", i))
+    z = F.transform(raw, lambda v, i: F.when(v.isNotNull(), F.least(F.get("high", i), F.greatest(F.get("low", i), v))))
+    k = F.size("bands")
+    term = lambda acc, i: acc + F.get("beta", i + 1) * F.get("_z", i) + F.get("beta", i + 1 + k) * F.pow(F.get("_z", i), 2)
+    line = F.aggregate(F.sequence(F.lit(0), k - 1), F.get("beta", F.lit(0)), term)
+    score = F.when(line.isNotNull(), 1 / (1 + F.exp(-F.least(F.lit(30.0), F.greatest(F.lit(-30.0), line)))))
+    return met.withColumn("_z", z).select("taxon", "cell", score.alias("score"))
+
+
+def map_taxa(training: DataFrame, sites: DataFrame, taxa: DataFrame, bands: list[str], ridges: tuple[float, ...] = (RIDGE,), buffer_km: float = 500, block_km: float = BLOCK_KM, seed: int = 1) -> DataFrame:
+    """MOD19: tuning, final fit and map of the fitted taxa: (taxon, cell, score) over the cells of each accessible area.
+
+    taxa: the result of ``fit_taxa``; sites: cell, x, y and the bands.
+    """
+    fitted = taxa.where("status = 'fitted'").select("taxon", "kept")
+    rows = cut(training.join(fitted, "taxon"))
+    tuned = tune(spatial_folds(rows, FOLDS, block_km, seed), bands, ["taxon"], list(ridges)) if len(ridges) > 1 else fitted.select("taxon", F.lit(float(ridges[0])).alias("ridge"))
+    models = cut(final_models(rows.drop("kept"), fitted.join(tuned.select("taxon", "ridge"), "taxon", "left"), bands))
+    reach = accessible_sites(sites.select("cell", "x", "y"), rows.where("presence = 1").select("taxon", "x", "y"), buffer_km).select("taxon", "cell")
+    return map_scores(models, reach.join(sites.select("cell", *bands), "cell"), bands)

@@ -127,7 +127,14 @@ def joi8(spark, d):
     return J.attach_sites(busy, busy.where("cell % 3 = 0"), 90_000.0).select("cell", "site")
 
 
-@query("joi9_thinning")
+@query(
+    "joi9_thinning",
+    f"""{_CELLS.replace('WITH ', 'WITH RECURSIVE ', 1)}, nb AS (SELECT *, row_number() OVER (ORDER BY records DESC, cell) AS n FROM busy),
+ walk(n, cell, chosen, cs) AS (SELECT 0::BIGINT, 0::BIGINT, false, []::STRUCT(x DOUBLE, y DOUBLE)[]
+  UNION ALL SELECT n, cell, chosen, CASE WHEN chosen THEN list_append(cs, {{'x': x, 'y': y}}) ELSE cs END
+   FROM (SELECT b.n, b.cell, b.x, b.y, cs, len(list_filter(cs, lambda c: pow(c.x - b.x, 2) + pow(c.y - b.y, 2) < 60000.0::DOUBLE * 60000)) = 0 AS chosen FROM walk w JOIN nb b ON b.n = w.n + 1))
+ SELECT b.cell, b.records FROM walk w JOIN nb b ON b.n = w.n WHERE w.chosen""",
+)
 def joi9(spark, d):
     return J.thin_by_distance(_busy(spark, d), 60_000.0).select("cell", "records")
 

@@ -386,31 +386,86 @@ def training(spark, d):
     return cut(M.training_table(pts, cut(sites), BANDS))
 
 
-@query("mod1_training_table")
+#: The training table as SQL, the same as ``training``.
+_SITES_T = """st AS (SELECT site, x, y, records, x / 1e6 AS b1, y / 1e6 + b3 / 1e6 AS b2, b3 FROM (SELECT cell20 AS site, avg(x) AS x, avg(y) AS y, count(*) AS records, avg(price) AS b3
+ FROM pts WHERE cell20 IS NOT NULL GROUP BY 1))"""
+_TRAIN = f"""{WITH_POINTS}, {_SITES_T},
+ own AS (SELECT taxon, site, count(*) AS own FROM (SELECT CASE id % 3 WHEN 0 THEN 'east' WHEN 1 THEN 'west' ELSE 'any' END AS taxon, site, b1 FROM pts JOIN st ON site = cell20)
+  WHERE taxon = 'any' OR (taxon = 'east' AND b1 > 0) OR (taxon = 'west' AND b1 < -1) GROUP BY ALL),
+ reach AS (SELECT DISTINCT o.taxon, a.site FROM own o JOIN st s ON s.site = o.site JOIN st a ON pow(a.x - s.x, 2) + pow(a.y - s.y, 2) <= 500000.0::DOUBLE * 500000),
+ bg AS (SELECT taxon, site, row_number() OVER (PARTITION BY taxon ORDER BY md5(concat('1:', site)), site) AS k FROM reach ANTI JOIN own USING (taxon, site)),
+ tr AS (SELECT taxon, site, presence, x, y, ln(records - own + 1) AS effort, records, b1, b2, b3
+  FROM (SELECT taxon, site, 1 AS presence, own FROM own UNION ALL SELECT taxon, site, 0, 0 FROM bg WHERE k <= 10000) JOIN st USING (site))"""
+
+
+@query("mod1_training_table", f"{_TRAIN} SELECT taxon, site, presence, records, round(x, 2) AS x, round(y, 2) AS y, round(effort, 6) AS effort, round(b1, 6) AS b1, round(b2, 6) AS b2, round(b3 * records, 2) AS b3_total FROM tr")
 def mod1(spark, d):
-    return training(spark, d)
+    rounded = [r(c, n).alias(c) for c, n in (("x", 2), ("y", 2), ("effort", 6), ("b1", 6), ("b2", 6))]
+    return training(spark, d).select("taxon", "site", "presence", "records", *rounded, r(F.col("b3") * F.col("records"), 2).alias("b3_total"))
 
 
-@query("mod2_effort_designs")
+@query(
+    "mod2_effort_designs",
+    f"""{_TRAIN}, m AS (SELECT taxon, presence, sum(least(25, greatest(1, records))) AS rows FROM tr GROUP BY ALL)
+ SELECT taxon, presence, CAST(rows AS BIGINT) AS rows, round(sum(rows) OVER (PARTITION BY taxon) / 2.0::DOUBLE, 3) AS weight FROM m""",
+)
 def mod2(spark, d):
     t = training(spark, d)
     return M.balanced_weights(M.effort_mode(M.design_rows(t, "per-record"), "covariate"), ["taxon"]).groupBy("taxon", "presence").agg(F.count("*").alias("rows"), r(F.sum("weight"), 3).alias("weight"))
 
 
-@query("mod3_spatial_folds")
+#: The deal of blocks to folds as a walk over each taxon's blocks, with the folds' loads as lists.
+_FOLDS = """bl AS (SELECT *, concat(CAST(floor(x / 200000.0) AS BIGINT), ':', CAST(floor(y / 200000.0) AS BIGINT)) AS block FROM tr),
+ bn AS (SELECT *, row_number() OVER (PARTITION BY taxon ORDER BY -found, md5(concat('1:', block)), block) AS n FROM (SELECT taxon, block, CAST(sum(presence) AS INT) AS found FROM bl GROUP BY ALL)),
+ deal(taxon, n, block, fold, loads, sizes) AS (SELECT DISTINCT taxon, 0::BIGINT, ''::VARCHAR, 0::INT, [0, 0, 0, 0, 0]::INT[], [0, 0, 0, 0, 0]::INT[] FROM bn
+  UNION ALL SELECT taxon, n, block, fold, list_transform(loads, lambda v, i: CASE WHEN i = fold THEN v + found ELSE v END), list_transform(sizes, lambda v, i: CASE WHEN i = fold THEN v + 1 ELSE v END)
+   FROM (SELECT b.taxon, b.n, b.block, b.found, loads, sizes, CAST(CASE WHEN b.found > 0 THEN list_position(loads, list_min(loads)) ELSE list_position(sizes, list_min(sizes)) END AS INT) AS fold
+    FROM deal q JOIN bn b ON b.taxon = q.taxon AND b.n = q.n + 1)),
+ fo AS (SELECT bl.*, deal.fold FROM bl JOIN deal ON deal.taxon = bl.taxon AND deal.block = bl.block AND deal.n > 0)"""
+_TRAIN_FOLDS = f"{_TRAIN.replace('WITH ', 'WITH RECURSIVE ', 1)}, {_FOLDS}"
+
+
+@query("mod3_spatial_folds", f"{_TRAIN_FOLDS} SELECT taxon, site, block, fold FROM fo")
 def mod3(spark, d):
     return M.spatial_folds(training(spark, d)).select("taxon", "site", "block", "fold")
 
 
-@query("mod3_block_size")
+@query(
+    "mod3_block_size",
+    f"""{_TRAIN}, sa AS (SELECT * FROM (SELECT *, row_number() OVER (PARTITION BY taxon ORDER BY md5(concat('1:', site)), site) AS k FROM tr) WHERE k <= 400),
+ vg AS (SELECT taxon, floor(sqrt(d2) / 25000.0) * 25.0 + 25.0 AS km, avg(pow(v - w, 2)) / 2 AS gamma FROM (SELECT a.taxon, pow(a.x - b.x, 2) + pow(a.y - b.y, 2) AS d2, a.b2 AS v, b.b2 AS w FROM sa a JOIN sa b ON a.taxon = b.taxon AND a.site < b.site)
+  WHERE d2 <= 400000.0::DOUBLE * 400000 GROUP BY 1, 2)
+ SELECT taxon, CAST(least(300.0, greatest(50.0, round_even(min(km) FILTER (WHERE gamma >= 0.95 * sill) / 5, 0) * 5)) AS DOUBLE) AS block_km FROM (SELECT *, max(gamma) OVER (PARTITION BY taxon) AS sill FROM vg) GROUP BY 1""",
+)
 def mod3_block(spark, d):
     return M.block_size(M.variogram(training(spark, d), "b2"))
 
 
-@query("mod4_pruned_predictors")
+_FIVE = [*BANDS, "b4", "b5"]
+
+
+def _keep_sql(most: str) -> str:
+    """The greedy keep of five bands, one common table per band."""
+    stats = ", ".join([*[f"coalesce(stddev_samp({b}), 0) AS s_{b}" for b in _FIVE], *[f"abs(corr({a}, {b})) AS c_{a}_{b}" for k, b in enumerate(_FIVE) for a in _FIVE[:k]]])
+    sql, last = f"k0 AS (SELECT taxon, count(*) FILTER (WHERE presence = 1) AS found, {stats} FROM t5 GROUP BY 1)", "k0"
+    for k, b in enumerate(_FIVE):
+        apart = "".join(f" AND NOT (k_{a} AND NOT coalesce(c_{a}_{b} < 0.7, false))" for a in _FIVE[:k])
+        n = " + ".join([f"k_{a}::INT" for a in _FIVE[:k]] or ["0"])
+        sql += f", k{k + 1} AS (SELECT *, s_{b} > 0 AND {n} < {most}{apart} AS k_{b} FROM {last})"
+        last = f"k{k + 1}"
+    return sql + ", kept AS (" + " UNION ALL ".join(f"SELECT taxon, '{b}' AS band FROM {last} WHERE k_{b}" for b in _FIVE) + ")"
+
+
+@query("mod4_pruned_predictors", f"{_TRAIN}, t5 AS (SELECT 'all' AS taxon, presence, b1, b2, b3, b1 * 2 AS b4, 1.0 AS b5 FROM tr), {_keep_sql('99')} SELECT band FROM kept")
 def mod4(spark, d):
     t = training(spark, d).withColumns({"b4": F.col("b1") * 2, "b5": F.lit(1.0)})
-    return spark.createDataFrame([(b,) for b in M.prune_correlated(t, [*BANDS, "b4", "b5"])], "band string")
+    return spark.createDataFrame([(b,) for b in M.prune_correlated(t, _FIVE)], "band string")
+
+
+@query("mod4_pruned_by_taxon", f"{_TRAIN}, t5 AS (SELECT taxon, presence, b1, b2, b3, b1 * 2 AS b4, 1.0 AS b5 FROM tr), {_keep_sql('greatest(5, found // 4)')} SELECT taxon, band FROM kept")
+def mod4_taxa(spark, d):
+    t = training(spark, d).withColumns({"b4": F.col("b1") * 2, "b5": F.lit(1.0)})
+    return M.prune_by_taxon(t, _FIVE).select("taxon", F.explode("kept").alias("band"))
 
 
 def _one(spark, d):
@@ -446,9 +501,18 @@ def mod9(spark, d):
     return M.fit_detection(t, BANDS)(t).select("site", "score")
 
 
-@query("mod10_kernel_baseline")
+@query(
+    "mod10_kernel_baseline",
+    f"""{_TRAIN_FOLDS}, ne AS (SELECT q.taxon, q.fold, q.site, q.presence, h, pow(q.x - p.x, 2) + pow(q.y - p.y, 2) AS d2 FROM fo q JOIN fo p ON p.taxon = q.taxon AND p.fold <> q.fold AND p.presence = 1 CROSS JOIN (VALUES (100.0::DOUBLE), (200.0)) v(h)),
+ nm AS (SELECT *, min(d2) OVER (PARTITION BY taxon, site, h) AS near FROM ne),
+ sc AS (SELECT taxon, fold, site, h, any_value(presence) AS presence, ln(sum(exp((near - d2) / (2e6 * h * h)))) - any_value(near) / (2e6 * h * h) AS score FROM nm GROUP BY taxon, fold, site, h),
+ rk AS (SELECT *, rank() OVER w + (count(*) OVER (PARTITION BY taxon, fold, h, score) - 1) / 2.0::DOUBLE AS rk FROM sc WINDOW w AS (PARTITION BY taxon, fold, h ORDER BY score)),
+ au AS (SELECT taxon, h, avg(auc) AS auc FROM (SELECT taxon, fold, h, (sum(rk) FILTER (WHERE presence = 1) - sum(presence) * (sum(presence) + 1) / 2) / nullif(sum(presence) * (count(*) - sum(presence)), 0) AS auc FROM rk GROUP BY ALL) GROUP BY ALL)
+ SELECT taxon, CAST(arg_max(h, (auc, -h)) AS DOUBLE) AS bandwidth_km, round(max(auc), 6) AS auc FROM au GROUP BY 1""",
+)
 def mod10(spark, d):
-    return M.choose_bandwidth(M.spatial_folds(training(spark, d)), [100.0, 200.0], ["taxon"])
+    out = M.choose_bandwidth(M.spatial_folds(training(spark, d)), [100.0, 200.0], ["taxon"])
+    return out.select("taxon", "bandwidth_km", r("auc", 6).alias("auc"))
 
 
 @query("mod11_cross_validation")
@@ -456,6 +520,18 @@ def mod11(spark, d):
     return M.cross_validate(M.spatial_folds(training(spark, d)), BANDS, ["taxon"])
 
 
+@query("mod12_learners")
+def mod12_learners(spark, d):
+    """Every learner over the same folds, the best of each taxon."""
+    learners = {"presence": M.fit_presence, "forest": M.fit_forest, "detection": M.fit_detection, "boosted": M.fit_boosted}
+    return M.tune(M.spatial_folds(training(spark, d)), BANDS, ["taxon"], learners=learners)
+
+
+@query("mod14_presence_importance")
+def mod14_presence(spark, d):
+    return M.permutation_importance(M.spatial_folds(training(spark, d)), BANDS, ["taxon"], learner=M.fit_presence)
+
+
 @query("mod12_tuning")
 def mod12(spark, d):
     return M.tune(M.spatial_folds(training(spark, d)), BANDS, ["taxon"], [0.001, 0.1])
@@ -478,7 +554,7 @@ def mod15(spark, d):
     return M.applicability(t, cells, ["b1", "b2"])[0].select("cell", "index", "inside")
 
 
-_STUDY = {"all": {"bands": BANDS}, "one": {"bands": ["b1"]}, "pairs": {"bands": BANDS, "pairs": True}}
+_STUDY = {"all": {"bands": BANDS}, "one": {"bands": ["b1"]}, "pairs": {"bands": BANDS, "pairs": True}, "presence": {"bands": BANDS, "learner": M.fit_presence}}
 
 
 @query("mod16_arms")
@@ -503,6 +579,13 @@ def mod19(spark, d):
     return M.fit_taxa(training(spark, d), BANDS)
 
 
+@query("mod19_maps")
+def mod19_maps(spark, d):
+    t = training(spark, d)
+    cells = t.select(F.col("site").alias("cell"), "x", "y", *BANDS).distinct()
+    return M.map_taxa(t, cells, cut(M.fit_taxa(t, BANDS)), BANDS, (0.001, 0.01, 0.1))
+
+
 # ---- streams ----------------------------------------------------------------------------
 
 

@@ -8,7 +8,7 @@ from rangeflow.plans.stand_ins import points
 
 DIR = "/root/testdata/sf0.001"
 TABLES = "region nation customer supplier part orders lineitem events documents embeddings pages benchmark labels conversations".split()
-SOME = ["agg7_region_table", "txt4_name_key", "fil6_shared_points", "joi5_region_of", "joi22_live_at", "agg29_tracker_summary", "win6_auc", "win8_q_values", "top4_weighted_sample", "set7_refit_plan", "cel7_terrain", "stm1_streamed_counts"]
+SOME = ["agg7_region_table", "txt4_name_key", "fil6_shared_points", "joi5_region_of", "joi22_live_at", "agg29_tracker_summary", "win6_auc", "win8_q_values", "top4_weighted_sample", "set7_refit_plan", "cel7_terrain", "stm1_streamed_counts", "mod1_training_table", "mod3_spatial_folds", "mod4_pruned_by_taxon", "mod10_kernel_baseline", "joi9_thinning"]
 
 
 @pytest.fixture(scope="module")
