@@ -214,3 +214,13 @@ def wilson(k: Column | str, n: Column | str, z: float = 1.96) -> Column:
 def seed_of(fingerprint: Column | str) -> Column:
     """SCA15: a seed from the first seven hexadecimal digits of a hash."""
     return F.conv(F.substring(_col(fingerprint), 1, 7), 16, 10).cast("int")
+
+
+def rows_hash(row_hash: Column) -> Column:
+    """One hash of a group's rows, the same in any order: an aggregate over their SHA-256 in hex.
+
+    Sums four lanes of 60 bits of the rows' hashes and hashes the sums with the count, so that partial sums combine before the
+    shuffle and a group of any size is a few numbers.
+    """
+    lane = lambda k: F.conv(F.substring(row_hash, 15 * k + 1, 15), 16, 10).cast("decimal(28,0)")
+    return F.sha2(F.concat_ws(":", *[F.sum(lane(k)).cast("string") for k in range(4)], F.count("*").cast("string")), 256)

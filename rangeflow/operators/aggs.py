@@ -9,7 +9,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from rangeflow.functions.scalars import coarser_cell, degree_centre, degree_key, map_grade, map_strength, place_band, wilson
+from rangeflow.functions.scalars import coarser_cell, degree_centre, degree_key, map_grade, map_strength, place_band, rows_hash, wilson
 from rangeflow.functions.text import any_of, name_key, record_key
 from rangeflow.operators.joins import LABEL_DISAGREE, LABEL_NONE, LABEL_SAME, LABEL_SEQUENCE_GENUS
 from rangeflow.operators.predicates import modelled_name, not_species
@@ -18,7 +18,7 @@ FINGERPRINT_FIELDS = ("source", "observation_id", "scientific_name", "latitude",
 CLIMATE_START = 1991
 IMPORTANCE_FLOOR = 0.002
 MIN_PLACES = 30
-_US, _RS = "\x1f", "\x1e"
+_US = "\x1f"
 
 
 # ---- records and names --------------------------------------------------------
@@ -27,13 +27,13 @@ _US, _RS = "\x1f", "\x1e"
 def group_fingerprint(df: DataFrame, by: list[str], fields: tuple[str, ...] = FINGERPRINT_FIELDS) -> DataFrame:
     """AGG1: a hash of each group's rows that is the same in any order, with its row count."""
     row = F.concat_ws(_US, *[F.coalesce(F.col(f).cast("string"), F.lit("")) for f in fields])
-    return df.groupBy(*by).agg(F.sha2(F.array_join(F.array_sort(F.collect_list(row)), _RS), 256).alias("fingerprint"), F.count("*").alias("records"))
+    return df.select(*by, F.sha2(row, 256).alias("_h")).groupBy(*by).agg(rows_hash(F.col("_h")).alias("fingerprint"), F.count("*").alias("records"))
 
 
-def taxon_fingerprints(df: DataFrame) -> DataFrame:
+def taxon_fingerprints(df: DataFrame, fields: tuple[str, ...] = FINGERPRINT_FIELDS) -> DataFrame:
     """AGG1: per taxon records, distinct localities and fingerprint."""
     places = df.groupBy("scientific_name").agg(F.count_distinct(degree_key("latitude", "longitude")).alias("localities"))
-    return group_fingerprint(df, ["scientific_name"]).join(places, "scientific_name")
+    return group_fingerprint(df, ["scientific_name"], fields).join(places, "scientific_name")
 
 
 def sites_per_taxon(taxa: DataFrame, points: DataFrame, taxon: str = "taxon", site: str = "site") -> DataFrame:

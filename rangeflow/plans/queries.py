@@ -14,7 +14,7 @@ from rangeflow.functions import scalars as S
 from rangeflow.functions import text as X
 from rangeflow.operators import aggs as A
 from rangeflow.operators import predicates as P
-from rangeflow.plans.stand_ins import KEY_SQL, MAP_SQL, OCC_SQL, SCORED_SQL, WITH_OCC, WITH_POINTS, map_values, occurrences, points, scored_documents, table
+from rangeflow.plans.stand_ins import KEY_SQL, MAP_SQL, OCC_SQL, SCORED_SQL, WITH_OCC, WITH_POINTS, map_values, occurrences, points, rows_hash_sql, scored_documents, table
 from rangeflow.sources import snapshots as SN
 from rangeflow.sources import tables as ST
 
@@ -88,9 +88,8 @@ def src9(spark, d):
 
 @query(
     "src10_table_hash",
-    """WITH h AS (SELECT sha256(concat_ws(chr(31), concat('=', n_nationkey), coalesce(concat('=', n_name), '-'), concat('=', n_regionkey))) AS h FROM nation),
- b AS (SELECT CAST(concat('0x', substr(h, 1, 6)) AS BIGINT) % 4096 AS bucket, sha256(string_agg(h, '' ORDER BY h)) AS bh, count(*) AS n FROM h GROUP BY 1)
- SELECT sha256(string_agg(bh, '' ORDER BY bucket)) AS hash, CAST(sum(n) AS BIGINT) AS rows FROM b""",
+    f"""WITH h AS (SELECT sha256(concat_ws(chr(31), concat('=', n_nationkey), coalesce(concat('=', n_name), '-'), concat('=', n_regionkey))) AS h FROM nation)
+ SELECT {rows_hash_sql('h')} AS hash, count(*) AS rows FROM h""",
 )
 def src10(spark, d):
     return SN.table_hash(table(spark, d, "nation"))

@@ -9,17 +9,24 @@ from rangeflow.operators import aggs as A
 from rangeflow.operators import joins as J
 from rangeflow.plans.queries import _CANON, _GRADE, _KINGDOM, _LOCALITY, _METRICS, _REGION_OF, _SKILL, _kingdoms, _metrics, _regions, query, r
 from rangeflow.plans.queries_joins import _DNA, _SEQ, aligned, labelled
-from rangeflow.plans.stand_ins import MAP_SQL, WITH_OCC, WITH_POINTS, map_values, occurrences, points, table
+from rangeflow.plans.stand_ins import MAP_SQL, WITH_OCC, WITH_POINTS, map_values, occurrences, points, rows_hash_sql, table
 
 
-@query("agg1_group_fingerprint", "SELECT l_suppkey, sha256(string_agg(concat_ws(chr(31), l_orderkey, l_linenumber, l_partkey), chr(30) ORDER BY concat_ws(chr(31), l_orderkey, l_linenumber, l_partkey))) AS fingerprint, count(*) AS records FROM lineitem GROUP BY 1")
+@query(
+    "agg1_group_fingerprint",
+    f"SELECT l_suppkey, {rows_hash_sql('h')} AS fingerprint, count(*) AS records FROM (SELECT l_suppkey, sha256(concat_ws(chr(31), l_orderkey, l_linenumber, l_partkey)) AS h FROM lineitem) GROUP BY 1",
+)
 def agg1(spark, d):
     return A.group_fingerprint(table(spark, d, "lineitem"), ["l_suppkey"], ("l_orderkey", "l_linenumber", "l_partkey"))
 
 
-@query("agg1_taxon_fingerprints", f"{WITH_OCC} SELECT scientific_name, count(*) AS records, count(DISTINCT {_LOCALITY}) AS localities FROM occ GROUP BY 1")
+@query(
+    "agg1_taxon_fingerprints",
+    f"""{WITH_OCC} SELECT scientific_name, {rows_hash_sql('h')} AS fingerprint, count(*) AS records, count(DISTINCT loc) AS localities
+ FROM (SELECT scientific_name, sha256(concat_ws(chr(31), source, observation_id, scientific_name, id)) AS h, {_LOCALITY} AS loc FROM occ) GROUP BY 1""",
+)
 def agg1_taxa(spark, d):
-    return A.taxon_fingerprints(occurrences(spark, d)).select("scientific_name", "records", "localities")
+    return A.taxon_fingerprints(occurrences(spark, d), ("source", "observation_id", "scientific_name", "id"))
 
 
 @query("agg2_sites_per_taxon", f"{WITH_POINTS} SELECT scientific_name AS taxon, count(DISTINCT cell20) FILTER (WHERE id % 3 = 0) AS sites FROM pts GROUP BY 1")

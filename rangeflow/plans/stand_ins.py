@@ -111,3 +111,9 @@ def scored_documents(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 SCORED_SQL = "SELECT d.doc_id, lang, quality AS presence, CAST(n_chars AS DOUBLE) AS score FROM documents d JOIN labels l ON l.doc_id = d.doc_id"
+
+
+def rows_hash_sql(h: str) -> str:
+    """The order-free hash of rows as SQL."""
+    lanes = ", ".join(f"sum(CAST(concat('0x', substr({h}, {15 * k + 1}, 15)) AS BIGINT))" for k in range(4))
+    return f"sha256(concat_ws(':', {lanes}, count(*)))"

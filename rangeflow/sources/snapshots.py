@@ -5,6 +5,8 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
+from rangeflow.functions.scalars import rows_hash
+
 SEPARATOR = "\x1f"
 
 
@@ -14,12 +16,9 @@ def row_hash(df: DataFrame, columns: list[str] | None = None):
     return F.sha2(F.concat_ws(SEPARATOR, *parts), 256)
 
 
-def table_hash(df: DataFrame, buckets: int = 4096) -> DataFrame:
-    """SRC10: one hash of a table, the same in any row order: row hashes are sorted in buckets by prefix, then the buckets' hashes."""
-    rows = df.select(row_hash(df).alias("h"))
-    bucket = F.pmod(F.conv(F.substring("h", 1, 6), 16, 10).cast("long"), F.lit(buckets))
-    parts = rows.groupBy(bucket.alias("bucket")).agg(F.sha2(F.concat_ws("", F.array_sort(F.collect_list("h"))), 256).alias("h"), F.count("*").alias("n"))
-    return parts.agg(F.sha2(F.concat_ws("", F.transform(F.array_sort(F.collect_list(F.struct("bucket", "h"))), lambda p: p["h"])), 256).alias("hash"), F.sum("n").alias("rows"))
+def table_hash(df: DataFrame) -> DataFrame:
+    """SRC10: one hash of a table, the same in any row order, with its row count; a few partial sums are all that is shuffled."""
+    return df.select(row_hash(df).alias("_h")).agg(rows_hash(F.col("_h")).alias("hash"), F.count("*").alias("rows"))
 
 
 def manifest(items: DataFrame, path: str = "path", content: str = "content") -> DataFrame:
