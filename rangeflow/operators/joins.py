@@ -228,11 +228,32 @@ def site_effort(points: DataFrame, site: str = "site") -> DataFrame:
     return points.groupBy(site).agg(F.count("*").alias("records"))
 
 
-def accessible_sites(sites: DataFrame, detections: DataFrame, buffer_km: float = BUFFER_KM, taxon: str = "taxon", x: str = "x", y: str = "y") -> DataFrame:
-    """JOI10: (taxon, site...) of the sites within the buffer of any detection of the taxon."""
-    d = detections.select(taxon, x, y).distinct()
-    met = within(d, sites, buffer_km * 1000.0, x=x, y=y)
-    return met.select(taxon, *[F.col(f"r_{c}").alias(c) for c in sites.columns]).distinct()
+def accessible_sites(sites: DataFrame, detections: DataFrame, buffer_km: float = BUFFER_KM, taxon: str = "taxon", x: str = "x", y: str = "y", split: int = 8) -> DataFrame:
+    """JOI10: (taxon, site...) of the sites within the buffer of any detection of the taxon.
+
+    Detections are reduced to the squares they occupy, a buffer's ``split``-th part wide.  Squares that lie wholly within the buffer of
+    an occupied one are taken as they are; sites of the squares at the rim are compared with the detections that can reach
+    them.  Joins are on (taxon and) square, so they spread with the area.
+    """
+    reach = buffer_km * 1000.0
+    side, names = reach / split, ["_i", "_j"]
+    place = lambda df, i, j: df.withColumns({i: F.floor(F.col(x) / side), j: F.floor(F.col(y) / side)})
+    d = place(detections.select(taxon, x, y).distinct(), *names)
+    at = place(sites, "_si", "_sj")
+    steps = F.explode(F.sequence(F.lit(-split - 1), F.lit(split + 1)))
+    a, b = F.abs("_a"), F.abs("_b")
+    least = F.pow(F.greatest(a - 1, F.lit(0)), 2) + F.pow(F.greatest(b - 1, F.lit(0)), 2)
+    most = F.pow(a + 1, 2) + F.pow(b + 1, 2)
+    ring = d.select(taxon, *names).distinct().withColumn("_a", steps).withColumn("_b", steps).where(least <= split * split)
+    ring = ring.select(taxon, *names, (F.col("_i") + F.col("_a")).alias("_si"), (F.col("_j") + F.col("_b")).alias("_sj"), (most <= split * split).alias("_whole"))
+    ring = ring.join(at.select("_si", "_sj").distinct(), ["_si", "_sj"])
+    key = [taxon, "_si", "_sj"]
+    whole = ring.where("_whole").select(*key).distinct()
+    inside = at.join(whole, ["_si", "_sj"]).select(taxon, *sites.columns)
+    rim = ring.join(whole, key, "left_anti").join(at, ["_si", "_sj"]).drop("_si", "_sj", "_whole")
+    met = rim.join(d.select(taxon, *names, F.col(x).alias("_x"), F.col(y).alias("_y")), [taxon, *names])
+    d2 = F.pow(F.col("_x") - F.col(x), 2) + F.pow(F.col("_y") - F.col(y), 2)
+    return inside.unionByName(met.where(d2 <= reach * reach).select(taxon, *sites.columns)).distinct()
 
 
 def nearest(queries: DataFrame, references: DataFrame, by: list[str] | None = None, start: float = 50_000.0, x: str = "x", y: str = "y", key: str = "q") -> DataFrame:
@@ -428,12 +449,23 @@ def name_as_of(finds: DataFrame, changes: DataFrame) -> DataFrame:
 
 
 def live_at(days: DataFrame, promotions: DataFrame, by: list[str] | None = None, day: str = "day", at: str = "promoted_at", value: str = "release") -> DataFrame:
-    """JOI22: the last promotion strictly before each day: union of both sides, and the last value seen (no range join)."""
+    """JOI22: the last promotion strictly before each day: union of both sides, and the last value seen (no range join).
+
+    The ordered window is over a month of a key; what earlier months leave comes from a row per month, so no key fills a task.
+    """
     by = by or []
     left = days.select(*by, F.col(day).cast("timestamp").alias("_t"), F.lit(0).alias("_p"), F.lit(None).cast(promotions.schema[value].dataType).alias("_v"))
     right = promotions.select(*by, F.col(at).cast("timestamp").alias("_t"), F.lit(1).alias("_p"), F.col(value).alias("_v"))
-    seen = Window.partitionBy(*by).orderBy("_t", "_p", "_v").rowsBetween(Window.unboundedPreceding, 0)
-    filled = left.unionByName(right).withColumn(value, F.last("_v", True).over(seen))
+    both = left.unionByName(right).withColumn("_m", F.coalesce(F.date_format("_t", "yyyy-MM"), F.lit("")))
+    months = both.groupBy(*by, "_m").agg(F.max_by("_v", F.when(F.col("_v").isNotNull(), F.struct("_t", "_v"))).alias("_last"))
+    before = Window.partitionBy(*by).orderBy("_m").rowsBetween(Window.unboundedPreceding, -1)
+    months = months.withColumn("_carry", F.last("_last", True).over(before))
+    same = F.col("a._m") == F.col("b._m")
+    for c in by:
+        same = same & F.col(f"a.{c}").eqNullSafe(F.col(f"b.{c}"))
+    met = both.alias("a").join(months.alias("b"), same, "left").select("a.*", "b._carry")
+    seen = Window.partitionBy(*by, "_m").orderBy("_t", "_p", "_v").rowsBetween(Window.unboundedPreceding, 0)
+    filled = met.withColumn(value, F.coalesce(F.last("_v", True).over(seen), "_carry"))
     return filled.where("_p = 0").select(*by, F.col("_t").alias(day), value)
 
 

@@ -1,3 +1,5 @@
+import random
+
 import numpy as np
 from pyspark.sql import functions as F
 
@@ -131,3 +133,21 @@ def test_thinning_of_a_long_falling_chain(spark):
     rows = [(k, 1000 - k, 0.6 * k, 0.0) for k in range(400)]
     got = thin_by_distance(spark.createDataFrame(rows, "cell long, records int, x double, y double"), 1.0).collect()
     assert sorted(r["cell"] for r in got) == list(range(0, 400, 2))
+
+
+def test_accessible_sites_equal_all_pairs(spark):
+    rng = random.Random(7)
+    at = lambda n: [(k, rng.uniform(-9e5, 9e5), rng.uniform(-9e5, 9e5)) for k in range(n)]
+    sites, found = [*at(400), (900, 100_000.0, 0.0), (901, 100_000.1, 0.0), (902, None, 0.0)], [("q", 0.0, 0.0)] + [(rng.choice("pq"), x, y) for _, x, y in at(12)]
+    s, f = spark.createDataFrame(sites, "site int, x double, y double"), spark.createDataFrame(found, "taxon string, x double, y double")
+    want = {(t, k) for t, u, v in found for k, x, y in sites if x is not None and (x - u) ** 2 + (y - v) ** 2 <= 1e10}
+    got = J.accessible_sites(s, f.unionByName(f), 100).collect()
+    assert {(r["taxon"], r["site"]) for r in got} == want and len(got) == len(want)
+    assert J.accessible_sites(s, f.limit(0), 100).count() == 0
+
+
+def test_live_at_without_a_key(spark):
+    p = spark.createDataFrame([("r1", "2024-01-05 00:00:00"), ("r2", "2024-01-20 12:00:00"), (None, "2024-02-02 00:00:00"), ("r3", "2024-05-01 00:00:00")], "release string, promoted_at string")
+    days = spark.createDataFrame([(d,) for d in ("2024-01-05", "2024-01-06", "2024-03-01", "2024-05-01", "2024-05-02", "2024-05-02")], "day string")
+    got = J.live_at(days, p.withColumn("promoted_at", F.col("promoted_at").cast("timestamp"))).orderBy("day").collect()
+    assert [r["release"] for r in got] == [None, "r1", "r2", "r2", "r3", "r3"]
