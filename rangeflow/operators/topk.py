@@ -13,6 +13,10 @@ from rangeflow.operators.joins import within
 
 SEARCH_TIERS = ("exact", "prefix", "words", "contains", "similar")
 SNAP_KM, FAR_SHARE, SHIFT_TRIES = 25, 0.2, 200
+#: Free sites an effort-weighted point chooses among, and tries of a shifted null in its first batch (each batch has twice the last).
+SNAP_CHOICES, TRY_BATCH = 5, 20
+#: Sites are summed up in so many blocks when one is drawn by weight.
+WEIGHT_BLOCKS = 1024
 
 
 def unit_hash(*parts: Column) -> Column:
@@ -123,53 +127,138 @@ def background_sample(pool: DataFrame, n: int, seed: int = 1, by: tuple[str, ...
     return pool.withColumn("_o", hash_order(F.lit(seed), F.col(key))).withColumn("_k", F.row_number().over(w)).where(F.col("_k") <= n).drop("_o", "_k")
 
 
-def _match(near: DataFrame, key: list[str]) -> DataFrame | None:
-    """One-to-one pairs of each group, nearest first, until no pair is open: in each round a group's nearest open pair is taken at least."""
+def _match(near: DataFrame, key: list[str], effort: bool = False) -> DataFrame | None:
+    """One-to-one pairs of each group, nearest first, until no pair is open: in each round a group's first open pair is taken at least.
+
+    ``effort``: a point prefers, among its SNAP_CHOICES nearest free sites, one in proportion to ``r_weight`` (exponential keys).
+    """
     from rangeflow.operators.lineage import cut
 
     taken, open_ = None, near.dropna(subset=[*key, "from_site", "site"])
+    if effort:
+        open_ = open_.withColumn("_cost", -F.log(unit_hash(*[F.col(k) for k in key], F.col("from_site"), F.col("site"))) / F.col("r_weight"))
+    else:
+        open_ = open_.withColumn("_cost", F.col("d2"))
     while True:
-        p = Window.partitionBy(*key, "from_site").orderBy("d2", "site")
-        s = Window.partitionBy(*key, "site").orderBy("d2", "from_site")
-        best = open_.withColumns({"_p": F.row_number().over(p), "_s": F.row_number().over(s)}).where("_p = 1 and _s = 1").select(*key, "n", "from_site", "site", "d2")
-        best = cut(best)
+        p = Window.partitionBy(*key, "from_site")
+        s = Window.partitionBy(*key, "site").orderBy("_cost", "from_site")
+        met = open_.withColumn("_near", F.row_number().over(p.orderBy("d2", "site"))).where(F.col("_near") <= SNAP_CHOICES) if effort else open_
+        best = met.withColumns({"_p": F.row_number().over(p.orderBy("_cost", "site")), "_s": F.row_number().over(s)})
+        best = cut(best.where("_p = 1 and _s = 1").select(*key, "n", "from_site", "site", "d2"))
         if best.isEmpty():
             return taken
         taken = best if taken is None else taken.unionByName(best)
         open_ = cut(open_.join(best.select(*key, "from_site"), [*key, "from_site"], "left_anti").join(best.select(*key, "site"), [*key, "site"], "left_anti"))
 
 
-def shifted_null(detections: DataFrame, sites: DataFrame, draws: int, seed: int = 1, tries: int = 20, snap_km: float = SNAP_KM, far_share: float = FAR_SHARE) -> DataFrame:
-    """TOP6: each taxon's detections rotated and moved to a random site, each snapped to a free site: (taxon, draw, site, try).
+def draw_by_weight(asked: DataFrame, sites: DataFrame, by: list[str], unit: Column) -> DataFrame:
+    """Each row of ``asked`` with a site (tx, ty) of its group in proportion to the sites' whole ``weight``; ``unit`` is in (0, 1).
 
-    detections: taxon, site, x, y; sites: site, x, y.  All tries of all draws are rows of one plan: rotation is column
-    arithmetic, snapping a join on squares, and one-to-one matching goes by rounds in which a point takes its nearest free site
-    when it is the site's nearest point.  The first try with few far points wins, else the best one.
+    Weights are summed within blocks and over blocks; a row and the sites meet on slices of mean weight, two a site on average.
     """
-    from rangeflow.operators.lineage import cut, numbered
-
-    centre = detections.groupBy("taxon").agg(F.avg("x").alias("cx"), F.avg("y").alias("cy"), F.count("*").alias("n"))
-    plan = centre.select("*", F.explode(F.sequence(F.lit(1), F.lit(draws))).alias("draw")).select("*", F.explode(F.sequence(F.lit(1), F.lit(tries))).alias("try"))
-    parts = [F.lit(seed), F.col("taxon"), F.col("draw"), F.col("try")]
-    total = sites.count()
-    picks = numbered(sites.select("x", "y", "site", hash_order(F.lit(seed), F.col("site")).alias("_o")), ["_o", "site"], "pick")
-    plan = plan.withColumns({"angle": 2 * math.pi * unit_hash(*parts, F.lit("a")), "pick": (F.floor(unit_hash(*parts, F.lit("s")) * total) + 1).cast("int")})
-    plan = plan.join(picks.select("pick", F.col("x").alias("tx"), F.col("y").alias("ty")), "pick")
-    dx, dy = F.col("x") - F.col("cx"), F.col("y") - F.col("cy")
-    moved = detections.withColumnRenamed("site", "from_site").join(plan, "taxon")
-    moved = moved.select(
-        "taxon", "draw", "try", "n", "from_site",
-        (F.col("tx") + F.cos("angle") * dx - F.sin("angle") * dy).alias("x"), (F.col("ty") + F.sin("angle") * dx + F.cos("angle") * dy).alias("y"),
-    )
-    near = cut(within(moved, sites.select("site", "x", "y"), snap_km * 1000.0).select("taxon", "draw", "try", "n", "from_site", F.col("r_site").alias("site"), "d2"))
+    up = lambda c, w: F.coalesce(F.sum(c).over(w.rowsBetween(Window.unboundedPreceding, -1)), F.lit(0))
+    blocks = sites.withColumn("_b", F.pmod(F.xxhash64("site"), F.lit(WEIGHT_BLOCKS)))
+    group = Window.partitionBy(*by)
+    sums = blocks.groupBy(*by, "_b").agg(F.sum("weight").alias("_w"), F.count("*").alias("_n"))
+    sums = sums.select(*by, "_b", up("_w", group.orderBy("_b")).alias("_base"), F.sum("_w").over(group).alias("_total"), F.sum("_n").over(group).alias("_sites"))
+    mean = F.ceil(F.col("_total") / F.col("_sites")).alias("_mean")
+    placed = blocks.withColumn("_low", up("weight", Window.partitionBy(*by, "_b").orderBy("site"))).join(sums.select(*by, "_b", "_base", mean), [*by, "_b"])
+    placed = placed.select(*by, F.col("x").alias("tx"), F.col("y").alias("ty"), "_mean", (F.col("_base") + F.col("_low")).alias("_low"), "weight")
+    placed = placed.withColumn("_high", F.col("_low") + F.col("weight")).withColumn("_slice", F.explode(F.expr("sequence(_low div _mean, (_high - 1) div _mean)")))
+    size = sums.groupBy(*by).agg(F.first("_total").alias("_total"), F.first(mean).alias("_m"))
+    at = asked.join(size, by).withColumn("_at", F.least(F.floor(unit * F.col("_total")), F.col("_total") - 1)).withColumn("_slice", F.expr("_at div _m"))
+    met = at.join(placed.drop("_mean", "weight"), [*by, "_slice"]).where("_at >= _low and _at < _high")
+    return met.select(*asked.columns, "tx", "ty")
+
+
+def shifted_null(
+    detections: DataFrame,
+    sites: DataFrame,
+    draws: int,
+    seed: int = 1,
+    tries: int = SHIFT_TRIES,
+    snap_km: float = SNAP_KM,
+    far_share: float = FAR_SHARE,
+    effort: bool = False,
+) -> DataFrame:
+    """TOP6: each taxon's detections rotated and moved to a random site, each snapped to a free site: (taxon, draw, site, try, far).
+
+    detections: taxon, site, x, y; sites: site, x, y, with ``taxon`` where each taxon has its own, and with ``records`` where
+    busier sites are moved to more often.  A try is accepted when at most ``far_share`` of its points find no free site within
+    ``snap_km``; after the last try the one with the fewest far points stands.  Points that are far take the nearest free site
+    wherever it is (``far`` is true), so a null has as many detections as its taxon, unless that has more than there are sites.
+    ``effort``: points choose among near free sites in proportion to records.
+
+    Tries go in batches, each one plan for all taxa and draws still open: rotation is column arithmetic, snapping a join on squares,
+    and one-to-one matching goes by rounds in which a point takes its first free site when it is the site's first point.
+    """
+    from rangeflow.operators.lineage import cut
+
+    by = ["taxon"] if "taxon" in sites.columns else []
+    records = F.greatest(F.coalesce(F.col("records").cast("long"), F.lit(1)), F.lit(1)) if "records" in sites.columns else F.lit(1).cast("long")
+    sites = sites.select(*by, "site", "x", "y", records.alias("weight"))
+    own = by or ["_all"]
     key = ["taxon", "draw", "try"]
-    taken = _match(near, key)
-    if taken is None:
-        return near.select("taxon", "draw", "site", "try").limit(0)
-    score = taken.groupBy(*key).agg((1 - F.count("*") / F.first("n")).alias("lost"))
-    accepted = F.col("lost") <= far_share
-    pick = score.groupBy("taxon", "draw").agg(F.min_by("try", F.struct(F.when(accepted, 0.0).otherwise(F.col("lost")), "try")).alias("try"))
-    return taken.join(pick, key).select("taxon", "draw", "site", "try")
+    centre = cut(detections.groupBy("taxon").agg(F.avg("x").alias("cx"), F.avg("y").alias("cy"), F.count("*").alias("n")))
+    start = detections.withColumnRenamed("site", "from_site")
+
+    def moved(asked: DataFrame) -> DataFrame:
+        """Where the tries (taxon, draw, try) put the detections."""
+        parts = [F.lit(seed), *[F.col(k) for k in key]]
+        pool = sites if by else sites.withColumn("_all", F.lit(0))
+        plan = asked.join(centre, "taxon").withColumns({"angle": 2 * math.pi * unit_hash(*parts, F.lit("a")), **({} if by else {"_all": F.lit(0)})})
+        plan = draw_by_weight(plan, pool, own, unit_hash(*parts, F.lit("s")))
+        dx, dy = F.col("x") - F.col("cx"), F.col("y") - F.col("cy")
+        return start.join(plan, "taxon").select(
+            *key, "n", "from_site",
+            (F.col("tx") + F.cos("angle") * dx - F.sin("angle") * dy).alias("x"), (F.col("ty") + F.sin("angle") * dx + F.cos("angle") * dy).alias("y"),
+        )
+
+    def met(points: DataFrame, km: float) -> DataFrame:
+        return within(points, sites, km * 1000.0, by).select(*key, "n", "from_site", F.col("r_site").alias("site"), "d2", "r_weight")
+
+    allowed = F.floor(F.lit(far_share) * F.col("n"))
+    open_ = cut(centre.select("taxon", "n", F.explode(F.sequence(F.lit(1), F.lit(draws))).alias("draw")))
+    chosen = seen = None
+    first, batch = 1, TRY_BATCH
+    while first <= tries:
+        asked = open_.withColumn("try", F.explode(F.sequence(F.lit(first), F.lit(min(tries, first + batch - 1)))))
+        first, batch = first + batch, 2 * batch
+        near = cut(met(moved(asked.select(*key)), snap_km))
+        reached = near.groupBy(*key).agg(F.count_distinct("from_site").alias("reached"))
+        counted = cut(asked.join(reached, key, "left").withColumn("far", F.col("n") - F.coalesce("reached", F.lit(0))).select(*key, "n", "far"))
+        seen = counted if seen is None else seen.unionByName(counted)
+        taken = _match(near.join(counted.where(F.col("far") <= allowed).select(*key), key, "left_semi"), key, effort)
+        if taken is None:
+            continue
+        done = taken.groupBy(*key).agg(F.first("n").alias("n"), F.count("*").alias("k")).where(F.col("n") - F.col("k") <= allowed)
+        done = cut(done.groupBy("taxon", "draw").agg(F.min("try").alias("try")))
+        chosen = done if chosen is None else chosen.unionByName(done)
+        open_ = cut(open_.join(done, ["taxon", "draw"], "left_anti"))
+        if open_.isEmpty():
+            break
+    best = seen.join(open_.select("taxon", "draw"), ["taxon", "draw"], "left_semi").groupBy("taxon", "draw").agg(F.min_by("try", F.struct("far", "try")).alias("try"))
+    points = cut(moved((best if chosen is None else best.unionByName(chosen)).select(*key)))
+
+    ends = points.select("x", "y").unionByName(sites.select("x", "y")).agg(*[f(c).alias(f"{n}{c}") for c in "xy" for n, f in (("low_", F.min), ("high_", F.max))]).first()
+    widest = 0.0 if ends["low_x"] is None else math.hypot(ends["high_x"] - ends["low_x"], ends["high_y"] - ends["low_y"]) / 1000
+    left, placed, used, far, reach = points, None, None, False, snap_km
+    while not left.isEmpty():
+        near = met(left, reach)
+        if used is not None:
+            near = near.join(used, [*key, "site"], "left_anti")
+        taken = _match(near, key, effort and not far)
+        if taken is not None:
+            now = taken.select(*key, "from_site", "site", F.lit(far).alias("far"))
+            placed = now if placed is None else placed.unionByName(now)
+            used = placed.select(*key, "site")
+            left = cut(left.join(now, [*key, "from_site"], "left_anti"))
+        if reach > widest:
+            break
+        reach, far = 4 * reach, True
+    if placed is None:
+        placed = points.select(*key, F.lit(None).cast(dict(sites.dtypes)["site"]).alias("site"), F.lit(True).alias("far")).limit(0)
+    return placed.select("taxon", "draw", "site", "try", "far")
 
 
 def cluster_bootstrap(rows: DataFrame, cluster: str, values: list[str], reps: int = 1000, seed: int = 1, strata: str | None = None) -> DataFrame:

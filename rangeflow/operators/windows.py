@@ -6,15 +6,38 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 
-def average_rank(df: DataFrame, value: str, by: list[str], out: str) -> DataFrame:
-    """Average-tie ranks of a column within groups, nulls and NaN apart.
+#: A group's values are cut into ranges at up to so many of them, which they meet in so many parts.
+RANK_CUTS, RANK_PARTS = 64, 16
 
-    Each value is counted first, so the ordered window runs over distinct values rather than rows.
+
+def _below(counts: DataFrame, by: list[str], few: bool = False) -> DataFrame:
+    """Distinct values (by..., _v) and their counts (_c), with the counts of smaller values of the group (_below) and of all (_all).
+
+    A group's values are cut into ranges at some of them, drawn by hash and so alike in every evaluation.  A window runs in each
+    range, and a range adds the totals of those before it, so that no task orders a whole group.  ``few``: groups are of a
+    bounded number of values, one window each.
     """
+    group = Window.partitionBy(*by)
+    before = lambda c, w: F.coalesce(F.sum(c).over(w.rowsBetween(Window.unboundedPreceding, -1)), F.lit(0))
+    if few:
+        return counts.select(*by, "_v", "_c", before("_c", group.orderBy("_v")).alias("_below"), F.sum("_c").over(group).alias("_all"))
+    h = F.xxhash64("_v")
+    drawn = counts.groupBy(*by, F.pmod(h, F.lit(RANK_CUTS)).alias("_k")).agg(F.min(F.struct(h.alias("h"), "_v", "_c")).alias("_m"))
+    cuts = drawn.groupBy(*by).agg(F.array_sort(F.collect_list("_m._v")).alias("_cuts"))
+    cuts = cuts.select(*by, "_cuts", F.explode(F.sequence(F.lit(0), F.lit(RANK_PARTS - 1))).alias("_part"))
+    ranged = counts.withColumn("_part", F.pmod(h, F.lit(RANK_PARTS)).cast("int")).join(cuts, [*by, "_part"])
+    ranged = ranged.select(*by, F.size(F.filter("_cuts", lambda c: c <= F.col("_v"))).alias("_range"), "_v", "_c")
+    totals = ranged.groupBy(*by, "_range").agg(F.sum("_c").alias("_t"))
+    totals = totals.select(*by, "_range", before("_t", group.orderBy("_range")).alias("_before"), F.sum("_t").over(group).alias("_all"))
+    inside = ranged.withColumn("_in", before("_c", Window.partitionBy(*by, "_range").orderBy("_v")))
+    return inside.join(totals, [*by, "_range"]).select(*by, "_v", "_c", (F.col("_before") + F.col("_in")).alias("_below"), "_all")
+
+
+def average_rank(df: DataFrame, value: str, by: list[str], out: str, few: bool = False) -> DataFrame:
+    """Average-tie ranks of a column within groups, nulls and NaN apart; values are counted before they are ordered by ranges."""
     fine = F.when(~F.isnan(F.col(value).cast("double")), F.col(value))
     counts = df.select(*by, fine.alias("_v")).where("_v is not null").groupBy(*by, "_v").agg(F.count("*").alias("_c"))
-    upto = Window.partitionBy(*by).orderBy("_v").rowsBetween(Window.unboundedPreceding, -1)
-    ranks = counts.select(*by, "_v", (F.coalesce(F.sum("_c").over(upto), F.lit(0)) + (F.col("_c") + 1) / 2).alias(out))
+    ranks = _below(counts, by, few).select(*by, "_v", (F.col("_below") + (F.col("_c") + 1) / 2).alias(out))
     return df.withColumn("_v", fine).join(ranks, [*by, "_v"], "left").drop("_v")
 
 
@@ -31,9 +54,7 @@ def percentile_in(queries: DataFrame, reference: DataFrame, by: list[str], value
     q = queries.select(*by, F.col(value).alias("_v")).where("_v is not null").distinct().select("*", F.lit(0).alias("_ref"), F.lit(0).alias("_c"))
     r = reference.where(F.col(value).isNotNull()).groupBy(*by, F.col(value).alias("_v")).agg(F.count("*").alias("_c")).select(*by, "_v", F.lit(1).alias("_ref"), "_c")
     both = q.unionByName(r).groupBy(*by, "_v").agg(F.sum("_c").alias("_c"))
-    upto = Window.partitionBy(*by).orderBy("_v").rowsBetween(Window.unboundedPreceding, -1)
-    every = Window.partitionBy(*by)
-    placed = both.withColumns({"_below": F.coalesce(F.sum("_c").over(upto), F.lit(0)), "_n": F.sum("_c").over(every)})
+    placed = _below(both, by).withColumnRenamed("_all", "_n")
     position = F.when(F.col("_c") > 0, F.col("_below") + (F.col("_c") - 1) / 2).otherwise(F.col("_below") - 0.5)
     score = F.when(F.col("_n") == 1, 1.0).when(F.col("_n") > 1, F.least(F.lit(1.0), F.greatest(F.lit(0.0), position / (F.col("_n") - 1))))
     placed = placed.select(*by, F.col("_v"), score.alias(out))
@@ -45,10 +66,8 @@ def share_outranked(finds: DataFrame, others: DataFrame, by: list[str], value: s
     q = finds.select(*by, F.col(value).alias("_v")).distinct().select("*", F.lit(0).alias("_c"))
     r = others.groupBy(*by, F.col(value).alias("_v")).agg(F.count("*").alias("_c"))
     both = q.unionByName(r).where("_v is not null").groupBy(*by, "_v").agg(F.sum("_c").alias("_c"))
-    upto = Window.partitionBy(*by).orderBy("_v").rowsBetween(Window.unboundedPreceding, -1)
-    every = Window.partitionBy(*by)
-    beaten = (F.coalesce(F.sum("_c").over(upto), F.lit(0)) + F.col("_c") / 2) / F.nullif(F.sum("_c").over(every), F.lit(0))
-    placed = both.select(*by, "_v", beaten.alias(out))
+    beaten = (F.col("_below") + F.col("_c") / 2) / F.nullif(F.col("_all"), F.lit(0))
+    placed = _below(both, by).select(*by, "_v", beaten.alias(out))
     return finds.withColumn("_v", F.col(value)).join(placed, [*by, "_v"], "left").drop("_v")
 
 
@@ -129,7 +148,7 @@ def boyce(df: DataFrame, by: list[str], score: str = "score", label: str = "pres
     met = met.where((F.col("v") >= F.col("begin")) & (F.col("v") <= F.col("begin") + F.col("span")))
     ratio = (F.sum("p") / F.first("n1")) / F.nullif(F.sum("b") / F.first("n0"), F.lit(0.0))
     bins = met.groupBy(*by, "w").agg(ratio.alias("ratio"), F.first(F.col("begin") + F.col("span") / 2).alias("middle")).where("ratio is not null")
-    ranked = average_rank(average_rank(bins, "middle", by, "rm"), "ratio", by, "rr")
+    ranked = average_rank(average_rank(bins, "middle", by, "rm", few=True), "ratio", by, "rr", few=True)
     return ranked.groupBy(*by).agg(F.when(F.count("*") >= 3, F.corr("rm", "rr")).alias("boyce"))
 
 
@@ -143,7 +162,7 @@ def boyce_of_ranks(histogram: DataFrame, by: list[str], expected: DataFrame | No
     o = F.sum(F.coalesce("n", F.lit(0))).over(w) / F.sum("n").over(every)
     e = F.sum(F.coalesce("e", F.lit(0.0))).over(w) / F.sum("e").over(every)
     rows = grid.withColumns({"o_": o, "e_": e}).where("bin <= 91").withColumn("ratio", F.when(F.col("e_") > 0, F.col("o_") / F.col("e_"))).where("ratio is not null")
-    ranked = average_rank(rows, "ratio", by, "rr")
+    ranked = average_rank(rows, "ratio", by, "rr", few=True)
     enough = (F.count("*") >= 3) & (F.stddev_samp("ratio") > 0)
     return ranked.groupBy(*by).agg(F.when(enough, F.bround(F.corr("rr", "bin"), 3)).alias("boyce"))
 

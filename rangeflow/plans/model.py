@@ -499,7 +499,10 @@ def choose_bandwidth(training: DataFrame, bandwidths: list[float], by: list[str]
 
 
 def null_tables(training: DataFrame, draws: int, design: str = "scatter", seed: int = 1, first: int = 1) -> DataFrame:
-    """MOD13: the training table with null detections for each draw from the first on, scattered by records or shifted as a cluster."""
+    """MOD13: the training table with null detections for each draw from the first on, scattered by records or shifted as a cluster.
+
+    design: scatter, shift, or shift-effort (shifted points choose among near sites by records).
+    """
     reps = training.withColumn("draw", F.explode(F.sequence(F.lit(first), F.lit(first + draws - 1))))
     if design == "scatter":
         n = training.where("presence = 1").groupBy("taxon").agg(F.count("*").alias("_n"))
@@ -508,7 +511,11 @@ def null_tables(training: DataFrame, draws: int, design: str = "scatter", seed:
         drawn = reps.withColumn("_e", e).withColumn("_k", F.row_number().over(w)).join(n, "taxon")
         return drawn.withColumn("presence", (F.col("_k") <= F.col("_n")).cast("int")).drop("_e", "_k", "_n")
     found = training.where("presence = 1").select("taxon", "site", "x", "y")
-    picked = shifted_null(found, training.select("site", "x", "y").distinct(), draws, seed + first - 1)
+    if design not in ("shift", "shift-effort"):
+        raise ValueError(f"unknown null design {design!r}")
+    busy = [c for c in ("records",) if c in training.columns]
+    sites = training.groupBy("taxon", "site").agg(*[F.first(c).alias(c) for c in ("x", "y", *busy)])
+    picked = shifted_null(found, sites, draws, seed + first - 1, effort=design == "shift-effort")
     picked = picked.select("taxon", (F.col("draw") + first - 1).alias("draw"), "site", F.lit(1).alias("_p"))
     return reps.join(picked, ["taxon", "draw", "site"], "left").withColumn("presence", F.coalesce("_p", F.lit(0))).drop("_p")
 

@@ -199,11 +199,21 @@ def _sites(spark, d):
     return p.agg(F.avg("x").alias("x"), F.avg("y").alias("y"), F.count("*").alias("records"))
 
 
+def _found(spark, d):
+    """Sites with records, those of a square of 300 km as one taxon."""
+    square = F.concat_ws(":", F.floor(F.col("x") / 3e5), F.floor(F.col("y") / 3e5))
+    return _sites(spark, d).select(square.alias("taxon"), "site", "x", "y")
+
+
 @query("top6_shifted_null")
 def top6(spark, d):
     sites = _sites(spark, d)
-    found = sites.where("site % 40 = 0").select(F.lit("t").alias("taxon"), "site", "x", "y")
-    return K.shifted_null(found, sites, 3, tries=6, snap_km=200)
+    return K.shifted_null(_found(spark, d), sites, 3)
+
+
+@query("top6_shifted_null_effort")
+def top6_effort(spark, d):
+    return K.shifted_null(_found(spark, d), _sites(spark, d), 3, effort=True)
 
 
 @query(

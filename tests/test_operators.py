@@ -68,6 +68,52 @@ def test_auc_and_boyce_against_numpy(spark):
     assert abs(W.boyce(df, ["g"]).first()["boyce"] - want) < 1e-6
 
 
+def test_ranks_of_many_values_equal_numpy(spark):
+    rng = np.random.default_rng(6)
+    values = [("a", float(v)) for v in np.round(rng.normal(size=3000), 2)] + [("b", float(v)) for v in rng.normal(size=500)] + [("c", 1.0)] * 400 + [("c", float("nan")), ("c", None)]
+    df = spark.createDataFrame([(k, g, v) for k, (g, v) in enumerate(values)], "k long, g string, v double")
+    for few in (False, True):
+        got = {r["k"]: r["r"] for r in W.average_rank(df, "v", ["g"], "r", few).collect()}
+        assert len(got) == len(values) and got[len(values) - 1] is None and got[len(values) - 2] is None
+        for g in "abc":
+            at = [k for k, (h, v) in enumerate(values) if h == g and v is not None and v == v]
+            assert [got[k] for k in at] == average_ranks(np.array([values[k][1] for k in at])).tolist()
+    whole = {r["k"]: r["r"] for r in W.average_rank(df.where("g <> 'c'"), "v", [], "r").collect()}
+    want = average_ranks(np.array([v for g, v in values if g != "c"]))
+    assert [whole[k] for k in range(len(want))] == want.tolist()
+    reference = df.where("g = 'b'").withColumnRenamed("v", "value").select("g", "value")
+    place = W.percentile_in(df.where("g = 'b'").select("g", F.col("v").alias("value")), reference, ["g"]).orderBy("value").collect()
+    assert np.allclose([r["percentile"] for r in place], np.arange(500) / 499)
+
+
+def test_weighted_draws_follow_weights(spark):
+    sites = spark.createDataFrame([("t", k, float(k), 0.0, 1 + 9 * (k % 2)) for k in range(10)] + [("u", 77, 5.0, 5.0, 3)], "taxon string, site long, x double, y double, weight long")
+    asked = spark.range(20_000).selectExpr("id", "'t' as taxon").unionByName(spark.range(5).selectExpr("id + 30000 as id", "'u' as taxon"))
+    got = K.draw_by_weight(asked, sites, ["taxon"], K.unit_hash(F.col("id"))).groupBy("taxon", "tx").count().collect()
+    n = {r["tx"]: r["count"] for r in got if r["taxon"] == "t"}
+    assert sum(n.values()) == 20_000 and all(abs(n[float(k)] / 20_000 - (1 + 9 * (k % 2)) / 55) < 0.01 for k in range(10))
+    assert [(r["tx"], r["count"]) for r in got if r["taxon"] == "u"] == [(5.0, 5)]
+
+
+def test_shifted_nulls_place_every_detection(spark):
+    rng = np.random.default_rng(8)
+    sites = [(k, float(x), float(y), int(n)) for k, (x, y, n) in enumerate(zip(*rng.uniform(0, 4e5, (2, 250)), rng.integers(1, 50, 250), strict=True))]
+    found = [("near", *s[:3]) for s in sites if s[1] < 9e4 and s[2] < 9e4] + [("wide", *s[:3]) for s in sites[::5]]
+    s = spark.createDataFrame(sites, "site long, x double, y double, records long")
+    f = spark.createDataFrame(found, "taxon string, site long, x double, y double")
+    size = {t: sum(r[0] == t for r in found) for t in ("near", "wide")}
+    for effort in (False, True):
+        rows = K.shifted_null(f, s, 2, tries=25, effort=effort).collect()
+        for t in size:
+            for draw in (1, 2):
+                mine = [r for r in rows if (r["taxon"], r["draw"]) == (t, draw)]
+                assert len(mine) == len({r["site"] for r in mine}) == size[t] and len({r["try"] for r in mine}) == 1
+    own = s.select(F.lit("near").alias("taxon"), "*").where("site < 200")
+    rows = K.shifted_null(f, own, 1, tries=2).collect()
+    assert {r["taxon"] for r in rows} == {"near"} and all(r["site"] < 200 for r in rows)
+    assert K.shifted_null(f.limit(0), s, 1, tries=2).count() == 0
+
+
 def test_sequential_p(spark):
     rows = [("stops", k, 1.0, 0.5) for k in range(10)] + [("runs", k, float(k == 0), 0.5) for k in range(9)]
     got = {r["t"]: (r["p"], r["draws"]) for r in W.sequential_p(spark.createDataFrame(rows, "t string, draw int, null_score double, observed double"), ["t"], 5).collect()}
