@@ -496,6 +496,109 @@ def _open_pairs(lists: DataFrame, labels: DataFrame, num: int, den: int, scratch
     return met.select(F.least("o_id", "id").alias("a"), F.greatest("o_id", "id").alias("b")).distinct()
 
 
+#: Sets and shingles of one part of a component whose links are counted, and parts a row's component is looked up in.
+COUNT_SETS, COUNT_SHINGLES, COUNT_SALT = 512, 1 << 18, 16
+_UNIT = ["component", "low", "low_part", "high", "high_part"]
+
+
+def link_counts(
+    docs: DataFrame,
+    width: int = 5,
+    num: int = 80,
+    den: int = 100,
+    words: str = "space",
+    id_col: str = "doc_id",
+    text_col: str = "text",
+) -> DataFrame:
+    """What ``near_duplicates`` gives per row, and ``n_links``: how many other rows it links with, copies included.
+
+    A component's sets are dealt by size class and hash into parts of bounded size, and every two parts whose classes can link
+    meet in one task, which answers each set of the one over the sets of the other and gives counts only, no pairs.  The
+    work grows with the square of a component's different sets, as its links may.  Null, empty and wordless texts have none.
+    """
+    scratch = Scratch(docs.sparkSession)
+    base = docs.select(F.col(id_col).cast("long").alias("id"), F.col(text_col).alias("text"))
+    digest = ["one", "two", "n"]
+
+    def hashed(bodies: bool):
+        def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+            for batch in batches:
+                sets = list(_sets(batch.column(1), words, width))
+                columns = [
+                    pa.array(np.array([np.add.reduce(s, dtype=U64) for s in sets], dtype=U64).view(np.int64)),
+                    pa.array(np.array([np.bitwise_xor.reduce(mix(s)) if len(s) else U64(0) for s in sets], dtype=U64).view(np.int64)),
+                    pa.array([len(s) for s in sets], pa.int64()),
+                ]
+                body = pa.array([s.tobytes() for s in sets], pa.binary()) if bodies else pa.nulls(len(sets), pa.binary())
+                yield pa.RecordBatch.from_arrays([batch.column(0), *columns, body], names=["id", *digest, "body"])
+
+        return run
+
+    schema = "id long, one long, two long, n long, body binary"
+    named = scratch.write(near_duplicates(docs, width, num, den, words, id_col, text_col).select(F.col(id_col).alias("id"), "component_id").distinct(), "counted_names")
+    own = scratch.write(base.mapInArrow(hashed(False), schema).drop("body"), "counted_own")
+    nodes = own.where("n > 0").groupBy(*digest).agg(F.min("id").alias("id"), F.count("*").alias("copies"))
+    nodes = scratch.write(nodes.join(named.withColumnRenamed("component_id", "component"), "id"), "counted_nodes")
+    several = nodes.groupBy("component").agg(F.count("*").alias("sets")).where("sets > 1").select("component")
+    # sets that link differ in size by less than one class
+    size = F.floor(F.log("n") / log2(1.01 * den / num) * log2(np.e)).cast("int")
+    open_ = nodes.join(several, "component").withColumn("class", size)
+    load = open_.groupBy("component", "class").agg(F.ceil(F.greatest(F.count("*") / COUNT_SETS, F.sum("n") / COUNT_SHINGLES)).cast("int").alias("parts"))
+    load = scratch.write(load, "counted_load").withColumn("salt", F.explode(F.sequence(F.lit(0), F.lit(COUNT_SALT - 1))))
+    salted = open_.withColumn("salt", F.pmod(F.xxhash64(*digest), F.lit(COUNT_SALT)).cast("int")).join(load, ["component", "class", "salt"])
+    salted = salted.withColumn("part", F.pmod(F.xxhash64("two", "one"), F.col("parts")).cast("int")).drop("parts")
+    other = F.explode(F.array(F.col("class") - 1, F.col("class"), F.col("class") + 1))
+    met = salted.withColumn("other", other).join(load.withColumnRenamed("class", "other"), ["component", "other", "salt"])
+    met = met.withColumn("other_part", F.explode(F.sequence(F.lit(0), F.col("parts") - 1)))
+    mine, its = F.struct(F.col("class"), F.col("part")), F.struct(F.col("other").alias("class"), F.col("other_part").alias("part"))
+    met = met.withColumns({"low": F.least(mine, its), "high": F.greatest(mine, its), "side": F.when(mine == its, 0).when(mine < its, 1).otherwise(2)})
+    met = met.select(
+        *digest, "copies", "component", "side", F.col("low.class").alias("low"), F.col("low.part").alias("low_part"),
+        F.col("high.class").alias("high"), F.col("high.part").alias("high_part"),
+    )
+    wanted = base.join(open_.select("id").distinct(), "id", "left_semi").mapInArrow(hashed(True), schema)
+    bodies = scratch.write(wanted.join(open_.select("id", *digest), ["id", *digest], "left_semi").dropDuplicates(digest).select(*digest, "body"), "counted_bodies")
+    shipped = bodies.join(met, digest).select(*_UNIT, "side", *digest, "copies", "body").repartition(*_UNIT).sortWithinPartitions(*_UNIT, "side")
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        key, rows = None, []
+
+        def counted() -> pa.RecordBatch:
+            sides = [[r for r in rows if r[0] in two] for two in ((0, 1), (0, 2))]
+            found = {r[1]: 0 for r in rows}
+            sets = [[np.frombuffer(r[3], dtype=U64) for r in side] for side in sides]
+            for a, query in zip(sides[0], sets[0], strict=True):
+                for at in range(0, len(sides[1]), BLOCK):
+                    block = sides[1][at : at + BLOCK]
+                    for k in np.flatnonzero(reaching(query, sets[1][at : at + BLOCK], num, den)).tolist():
+                        if block[k][1] != a[1]:
+                            found[a[1]] += block[k][2]
+                            if a[0]:  # within one part each pair is met from both ends
+                                found[block[k][1]] += a[2]
+            columns = [pa.array(c, pa.int64()) for c in zip(*[(*k, v) for k, v in found.items()], strict=True)]
+            return pa.RecordBatch.from_arrays(columns, names=[*digest, "links"])
+
+        for batch in batches:
+            places = list(zip(*[batch.column(k).to_pylist() for k in range(5)], strict=True))
+            values = [batch.column(k).to_pylist() for k in range(5, 10)]
+            for k, place in enumerate(places):
+                if place != key:
+                    if rows:
+                        yield counted()
+                    key, rows = place, []
+                side, one, two, n, copies = (v[k] for v in values)
+                rows.append((side, (one, two, n), copies, batch.column(10)[k].as_py()))
+        if rows:
+            yield counted()
+
+    links = shipped.mapInArrow(run, "one long, two long, n long, links long").groupBy(*digest).agg(F.sum("links").alias("links"))
+    totals = nodes.select(*digest, "copies", "component").join(links, digest, "left")
+    totals = totals.select(*digest, "component", (F.col("copies") - 1 + F.coalesce("links", F.lit(0))).alias("n_links"))
+    linked = own.where("n > 0").join(totals, digest)
+    result = linked.unionByName(own.where("n = 0").select("*", F.col("id").alias("component"), F.lit(0).cast("long").alias("n_links")))
+    return result.select(F.col("id").alias(id_col), F.col("n").alias("n_shingles"), F.col("component").alias("component_id"), "n_links")
+
+
 #: Ids of documents to drop are broadcast up to this many, and joined by a shuffle beyond.
 BROADCAST_IDS = 1_000_000
 

@@ -89,6 +89,28 @@ def test_near_duplicates_equal_brute_force(spark):
     assert got == brute_components(rows)
 
 
+def test_link_counts_equal_brute_force(spark, monkeypatch):
+    monkeypatch.setattr(jaccard, "COUNT_SETS", 4)  # many parts
+    rng = random.Random(12)
+    texts = [None, "", "one two", "One two", "one two three"]
+    for size in (60, 14, 300):
+        base = prose(rng, size).split()
+        for _ in range(20):
+            w = base[: rng.randint(size - size // 5, size)]
+            for _ in range(rng.randint(0, 2)):
+                w[rng.randrange(len(w))] = prose(rng, 1)
+            texts.append(" ".join(w))
+    texts += [texts[-1]] * 3 + [texts[10]] + [prose(rng, 30) for _ in range(5)]
+    rng.shuffle(texts)
+    sets = [shingles(t) for t in texts]
+    names = brute_components(list(enumerate(texts)))
+    linked = lambda a, b: a and b and 100 * len(a & b) >= 80 * len(a | b)
+    want = {k: (*names[k], sum(j != k and bool(linked(s, t)) for j, t in enumerate(sets))) for k, s in enumerate(sets)}
+    got = {r["doc_id"]: (r["n_shingles"], r["component_id"], r["n_links"]) for r in jaccard.link_counts(frame(spark, texts)).collect()}
+    assert got == want
+    assert jaccard.link_counts(frame(spark, []).limit(0)).count() == 0
+
+
 def test_near_duplicates_of_nothing_and_of_repeats(spark):
     assert jaccard.near_duplicates(frame(spark, []).limit(0)).count() == 0
     docs = frame(spark, ["a b c d e f"]).unionByName(frame(spark, ["a b c d e f"])).unionByName(frame(spark, ["A b c d e f", None], 1))
