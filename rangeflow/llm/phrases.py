@@ -28,10 +28,10 @@ from rangeflow.llm.store import Scratch
 from rangeflow.llm.text import U64, mix, span_hashes, string_buffers
 
 #: Bytes of text that a task adds up before it sends phrases; a longer document is a piece of its own.
-FLUSH_BYTES = 12 << 20
+FLUSH_BYTES = 6 << 20
 
 #: Bytes of hashes in one range of a shard, and bits of the candidates' bitmap at most.
-RANGE_BYTES, FILTER_BITS = 24 << 20, 1 << 28
+RANGE_BYTES, FILTER_BITS = 16 << 20, 1 << 28
 
 _BREAKS = np.zeros(256, dtype=np.uint8)  # 0: of a word, 1: between words, 2: between pieces
 _BREAKS[[0x20, 0x09]] = 1
@@ -128,13 +128,20 @@ def _shard_phrases(longest: int, bits: int):
             names, code, seed = _seeds(table.column(1))
             shard = table.column(2).to_numpy().astype(np.int64)
             words = Pieces(*string_buffers(table.column(0)))
-            found = [words.phrases(w, seed) for w in range(1, longest + 1)]
-            row = np.concatenate([words.row[first] for first, _ in found])
-            h = np.concatenate([h for _, h in found])
-            of = code[row] * (1 << 16) + shard[row]
+            kinds_of = code * (1 << 16) + shard
+            held: dict[int, list[tuple[np.ndarray, np.ndarray]]] = {}
+            for width in range(1, longest + 1):  # phrases of different widths have different hashes
+                first, h = words.phrases(width, seed)
+                of = kinds_of[words.row[first]]
+                del first
+                for which in np.unique(of).tolist():
+                    held.setdefault(which, []).append(np.unique(h[of == which], return_counts=True))
+                del h, of
             rows: list[tuple] = []
-            for which in np.unique(of).tolist():
-                seen, times = np.unique(h[of == which], return_counts=True)
+            for which in sorted(held):
+                seen, times = (np.concatenate(x) for x in zip(*held.pop(which), strict=True))
+                order = np.argsort(seen, kind="stable")
+                seen, times = seen[order], times[order]
                 part = (seen >> U64(64 - bits)).astype(np.int64) if bits else np.zeros(len(seen), dtype=np.int64)
                 cut = np.flatnonzero(np.r_[True, part[1:] != part[:-1], True]) if len(part) else np.zeros(1, dtype=np.int64)
                 low = (seen >> U64(24 - bits)) & U64((1 << 40) - 1)
