@@ -27,6 +27,8 @@ LABEL_SEQUENCE_GENUS = "sequence name is one word (left out)"
 LABEL_DISAGREE = "sequences disagree (left out)"
 LABEL_NONE = "no approved named sequence"
 COUNTRY_NAMES = {"US": "United States", "CA": "Canada", "MX": "Mexico"}
+#: Pivots of a group in the nearest search of a predictor space.
+MOST_PIVOTS = 256
 BUFFER_KM, THIN_KM, NEAR_KM = 500, 5, 50
 _AROUND = [(i, j) for i in (-1, 0, 1) for j in (-1, 0, 1)]
 
@@ -278,18 +280,41 @@ def nearest(queries: DataFrame, references: DataFrame, by: list[str] | None = No
     return out.unionByName(left.select(key, *by, F.lit(None).cast("double").alias("distance")))
 
 
-def nearest_in_space(queries: DataFrame, references: DataFrame, features: list[str], weights: dict[str, float] | None = None, key: str = "q", most: int = 20_000) -> DataFrame:
-    """JOI11: the same in a weighted space of several predictors: every query row against the reference rows.
+def nearest_in_space(queries: DataFrame, references: DataFrame, features: list[str], weights: dict[str, float] | None = None, key: str = "q", by: list[str] | None = None) -> DataFrame:
+    """JOI11: of each query row (by..., key) the distance to its nearest reference row of the group, in a weighted space; null without any or with a null feature.
 
-    The references are a model's sites, at most ``most`` of them (checked); all queries stay distributed.
+    A group's references are dealt to pivots, about the root of their number (``MOST_PIVOTS`` at most) drawn among them by hash, each to the nearest one.  A
+    query's nearest pivot bounds its distance; cells whose pivot is farther than the bound and the cell's radius cannot hold its neighbour, nor
+    can references whose own distance to the pivot differs from the query's by more than the bound (triangle inequality).  The rest is compared.
     """
-    n = references.count()
-    if n > most:
-        raise ValueError(f"{n} reference rows; a nearest search in predictor space takes {most}")
-    w = weights or {}
-    r = references.select(*[F.col(f).alias(f"r_{f}") for f in features])
-    d2 = sum((w.get(f, 1.0) * F.pow(F.col(f) - F.col(f"r_{f}"), 2) for f in features), F.lit(0.0))
-    return queries.join(F.broadcast(r), how="cross").groupBy(key).agg(F.sqrt(F.min(d2)).alias("distance"))
+    from rangeflow.operators.lineage import cut
+
+    by, w = by or [], weights or {}
+    group, names = by or ["_g"], [f"_f{k}" for k in range(len(features))]
+    scaled = [(F.col(f).cast("double") * math.sqrt(w.get(f, 1.0))).alias(n) for f, n in zip(features, names, strict=True)]
+    one = [] if by else [F.lit(0).alias("_g")]
+    refs = cut(references.select(*by, *one, *scaled).dropna().distinct())
+    asked = queries.select(*by, *one, key, *scaled)
+    apart = lambda a, b: F.sqrt(sum((F.pow(a(n) - b(n), 2) for n in names), F.lit(0.0)))
+    h = F.xxhash64(*names)
+    sizes = refs.groupBy(*group).agg(F.count("*").alias("_n"), F.min(h).alias("_first"))
+    some = F.least(F.ceil(F.sqrt("_n")), F.lit(MOST_PIVOTS))
+    pivots = cut(refs.join(sizes, group).where((F.pmod(h, F.col("_n")) < some) | (h == F.col("_first"))).select(*group, *names).withColumn("_p", F.monotonically_increasing_id()))
+    # the drawn number varies around the wanted one; a group's list is that small table's row
+    listed = lambda df, *more: df.groupBy(*group).agg(F.collect_list(F.struct("_p", *names, *more)).alias("_pivots"))
+    beside = (lambda df: F.broadcast(df)) if not by else (lambda df: df)
+    to = lambda p: apart(lambda n: p[n], F.col)
+    dealt = refs.join(beside(listed(pivots)), group).withColumn("_m", F.array_min(F.transform("_pivots", lambda p: F.struct(to(p).alias("d"), p["_p"].alias("p")))))
+    dealt = cut(dealt.select(*group, *names, F.col("_m.p").alias("_p"), F.col("_m.d").alias("_far")))
+    radii = dealt.groupBy(*group, "_p").agg(F.max("_far").alias("_radius"))
+    known = cut(listed(pivots.join(radii, [*group, "_p"]), "_radius"))
+    met = asked.dropna(subset=names).join(beside(known), group)
+    met = met.withColumn("_to", F.transform("_pivots", lambda p: F.struct(p["_p"].alias("p"), to(p).alias("d"), p["_radius"].alias("r")))).drop("_pivots")
+    met = met.withColumn("_bound", F.array_min(F.transform("_to", lambda t: t["d"])) * (1 + 1e-9) + 1e-12)
+    met = met.withColumn("_c", F.explode(F.filter("_to", lambda t: t["d"] - t["r"] <= F.col("_bound")))).select(*group, key, "_bound", F.col("_c.p").alias("_p"), F.col("_c.d").alias("_d"), *[F.col(n).alias(f"q{n}") for n in names])
+    pairs = met.join(dealt, [*group, "_p"]).where(F.abs(F.col("_d") - F.col("_far")) <= F.col("_bound"))
+    found = pairs.groupBy(*by, key).agg(F.min(apart(lambda n: F.col(f"q{n}"), F.col)).alias("distance"))
+    return queries.select(*by, key).distinct().join(found, [*by, key], "left")
 
 
 def held_out_distances(sites: DataFrame, taxon: str = "taxon", fold: str = "fold", key: str = "site", to_detections: bool = False, x: str = "x", y: str = "y") -> DataFrame:
@@ -303,15 +328,21 @@ def held_out_distances(sites: DataFrame, taxon: str = "taxon", fold: str = "fold
 def recorded_near(points: DataFrame, cells: DataFrame, km: float = NEAR_KM, point: str = "point") -> DataFrame:
     """JOI13: records of each taxon within a distance of each point (points: point, lat, lng; cells: taxon, lat, lng, records).
 
-    Rows meet by latitude band, then by box, then by great-circle distance.
+    Rows meet by squares, latitude bands cut in longitude at the width that the band's end nearer to a pole needs, so a point asks three bands and
+    three columns of each; then by great-circle distance.  Near the poles a band is one square.
     """
     tall = km / 111.0
-    band = F.floor(F.col("lat") / tall)
-    p = points.select(point, F.col("lat").alias("p_lat"), F.col("lng").alias("p_lng"), F.explode(F.sequence(F.floor(F.col("lat") / tall) - 1, F.floor(F.col("lat") / tall) + 1)).alias("band"))
-    c = cells.withColumn("band", band)
-    wide = km / (111.0 * F.greatest(F.cos(F.radians("p_lat")), F.lit(0.05)))
-    box = (F.abs(F.col("lat") - F.col("p_lat")) <= tall) & (F.abs(F.col("lng") - F.col("p_lng")) <= wide)
-    near = p.join(c, "band").where(box).where(km_between("p_lat", "p_lng", "lat", "lng") <= km)
+    widest = lambda band: F.greatest(F.abs(band), F.abs(band + 1)) * tall  # noqa: E731  the band's largest latitude
+    narrow = lambda band: F.cos(F.radians(F.least(widest(band), F.lit(90.0))))
+    columns = lambda band: F.when(narrow(band) < 0.1, F.lit(1)).otherwise(F.floor(360.0 * 111.0 * narrow(band) / km)).cast("long")
+    column = lambda lng, band: F.when(columns(band) < 3, F.lit(0)).otherwise(F.floor(F.pmod(lng + 180.0, F.lit(360.0)) / (360.0 / columns(band))))
+    at = F.floor(F.col("lat") / tall)
+    p = points.select(point, F.col("lat").alias("p_lat"), F.col("lng").alias("p_lng"), F.explode(F.sequence(at - 1, at + 1)).alias("band"))
+    own = column(F.col("p_lng"), F.col("band"))
+    around = F.when(columns(F.col("band")) < 3, F.array(F.lit(0).cast("long"))).otherwise(F.array(*[F.pmod(own + k, columns(F.col("band"))).cast("long") for k in (-1, 0, 1)]))
+    p = p.withColumn("column", F.explode(F.array_distinct(around)))
+    c = cells.withColumn("band", at).withColumn("column", column(F.col("lng"), F.col("band")).cast("long"))
+    near = p.join(c, ["band", "column"]).where(km_between("p_lat", "p_lng", "lat", "lng") <= km)
     return near.groupBy(point, "taxon").agg(F.sum("records").cast("long").alias("records"))
 
 

@@ -17,6 +17,8 @@ SNAP_KM, FAR_SHARE, SHIFT_TRIES = 25, 0.2, 200
 SNAP_CHOICES, TRY_BATCH = 5, 20
 #: Sites are summed up in so many blocks when one is drawn by weight.
 WEIGHT_BLOCKS = 1024
+#: Clusters whose sums a bootstrap sends to every task.
+BROADCAST_CLUSTERS = 100_000
 
 
 def unit_hash(*parts: Column) -> Column:
@@ -127,28 +129,57 @@ def background_sample(pool: DataFrame, n: int, seed: int = 1, by: tuple[str, ...
     return pool.withColumn("_o", hash_order(F.lit(seed), F.col(key))).withColumn("_k", F.row_number().over(w)).where(F.col("_k") <= n).drop("_o", "_k")
 
 
-def _match(near: DataFrame, key: list[str], effort: bool = False) -> DataFrame | None:
-    """One-to-one pairs of each group, nearest first, until no pair is open: in each round a group's first open pair is taken at least.
+def snap_to_sites(points: DataFrame, sites: DataFrame, key: list[str], by: list[str] | None = None, snap_km: float = SNAP_KM, choices: int = 1) -> DataFrame:
+    """TOP6: points (key..., from_site, x, y) to distinct sites (by..., site, x, y, weight) of their group: key..., from_site, site, d2, far.
 
-    ``effort``: a point prefers, among its SNAP_CHOICES nearest free sites, one in proportion to ``r_weight`` (exponential keys).
+    As if the points of a group were taken in the order of a hash of their key, each to its nearest free site (``far`` where that is beyond
+    ``snap_km``).  With ``choices`` over 1 a point first tries its nearest sites within ``snap_km``, that many, in an order drawn in proportion
+    to their weight (exponential keys).  A point that finds no free site is left out.
+
+    Taking turns equals deferred acceptance when all sites prefer the same points: in a round every point asks the first site of its list,
+    a site holds the earliest point that asks and strikes all later ones off, until no list changes; rounds are few, since whole groups settle at
+    once.  Lists hold the sites within a distance; a point whose list runs out looks four times as far, and meets no site that an earlier point holds.
     """
     from rangeflow.operators.lineage import cut
 
-    taken, open_ = None, near.dropna(subset=[*key, "from_site", "site"])
-    if effort:
-        open_ = open_.withColumn("_cost", -F.log(unit_hash(*[F.col(k) for k in key], F.col("from_site"), F.col("site"))) / F.col("r_weight"))
-    else:
-        open_ = open_.withColumn("_cost", F.col("d2"))
+    by = by or []
+    order = unit_hash(*[F.col(k) for k in key], F.col("from_site"), F.lit("order"))
+    base = cut(points.select(*key, *[b for b in by if b not in key], "from_site", "x", "y").dropna().withColumn("_order", order))
+    ends = base.select("x", "y").unionByName(sites.select("x", "y")).agg(*[f(c).alias(f"{n}{c}") for c in "xy" for n, f in (("low_", F.min), ("high_", F.max))]).first()
+    widest = 0.0 if ends["low_x"] is None else math.hypot(ends["high_x"] - ends["low_x"], ends["high_y"] - ends["low_y"]) / 1000
+    snap2 = (snap_km * 1000.0) ** 2
+
+    def lists(of: DataFrame, km: float) -> DataFrame:
+        met = within(of, sites, km * 1000.0, by).select(*key, "from_site", "_order", F.col("r_site").alias("site"), "d2", "r_weight")
+        if choices <= 1:
+            return met.withColumn("_want", F.struct(F.lit(1).alias("tier"), F.col("d2").alias("cost"))).drop("r_weight")
+        near = F.row_number().over(Window.partitionBy(*key, "from_site").orderBy("d2", "site"))
+        drawn = -F.log(unit_hash(*[F.col(k) for k in key], F.col("from_site"), F.col("site"))) / F.col("r_weight")
+        first = (F.col("_near") <= choices) & (F.col("d2") <= snap2)
+        want = F.struct(F.when(first, 0).otherwise(1).alias("tier"), F.when(first, drawn).otherwise(F.col("d2")).alias("cost"))
+        return met.withColumn("_near", near).withColumn("_want", want).drop("_near", "r_weight")
+
+    open_, reach = cut(lists(base, snap_km)), snap_km
+    point = Window.partitionBy(*key, "from_site").orderBy("_want", "site")
     while True:
-        p = Window.partitionBy(*key, "from_site")
-        s = Window.partitionBy(*key, "site").orderBy("_cost", "from_site")
-        met = open_.withColumn("_near", F.row_number().over(p.orderBy("d2", "site"))).where(F.col("_near") <= SNAP_CHOICES) if effort else open_
-        best = met.withColumns({"_p": F.row_number().over(p.orderBy("_cost", "site")), "_s": F.row_number().over(s)})
-        best = cut(best.where("_p = 1 and _s = 1").select(*key, "n", "from_site", "site", "d2"))
-        if best.isEmpty():
-            return taken
-        taken = best if taken is None else taken.unionByName(best)
-        open_ = cut(open_.join(best.select(*key, "from_site"), [*key, "from_site"], "left_anti").join(best.select(*key, "site"), [*key, "site"], "left_anti"))
+        n = open_.count()
+        while True:
+            asks = open_.withColumn("_k", F.row_number().over(point)).where("_k = 1")
+            held = asks.groupBy(*key, "site").agg(F.min("_order").alias("_held"))
+            left = cut(open_.join(held, [*key, "site"], "left").where(F.col("_held").isNull() | (F.col("_order") <= F.col("_held"))).drop("_held"))
+            m = left.count()
+            if m == n:
+                break
+            open_, n = left, m
+        lost = base.join(open_.select(*key, "from_site").distinct(), [*key, "from_site"], "left_anti")
+        if reach > widest or lost.isEmpty():
+            break
+        reach *= 4
+        held = open_.withColumn("_k", F.row_number().over(point)).where("_k = 1").select(*key, "site", F.col("_order").alias("_held"))
+        more = lists(lost, reach).join(held, [*key, "site"], "left").where(F.col("_held").isNull() | (F.col("_order") < F.col("_held"))).drop("_held")
+        open_ = cut(open_.unionByName(more))
+    taken = open_.withColumn("_k", F.row_number().over(point)).where("_k = 1")
+    return taken.select(*key, "from_site", "site", "d2", (F.col("d2") > snap2).alias("far"))
 
 
 def draw_by_weight(asked: DataFrame, sites: DataFrame, by: list[str], unit: Column) -> DataFrame:
@@ -180,17 +211,18 @@ def shifted_null(
     snap_km: float = SNAP_KM,
     far_share: float = FAR_SHARE,
     effort: bool = False,
+    first_draw: int = 1,
 ) -> DataFrame:
-    """TOP6: each taxon's detections rotated and moved to a random site, each snapped to a free site: (taxon, draw, site, try, far).
+    """TOP6: each taxon's detections rotated and moved to a random site, each snapped to a free site: (taxon, draw, site, try, far, best_effort).
 
     detections: taxon, site, x, y; sites: site, x, y, with ``taxon`` where each taxon has its own, and with ``records`` where
     busier sites are moved to more often.  A try is accepted when at most ``far_share`` of its points find no free site within
-    ``snap_km``; after the last try the one with the fewest far points stands.  Points that are far take the nearest free site
+    ``snap_km``; after the last try the one with the fewest far points stands (``best_effort``).  Points that are far take the nearest free site
     wherever it is (``far`` is true), so a null has as many detections as its taxon, unless that has more than there are sites.
-    ``effort``: points choose among near free sites in proportion to records.
+    ``effort``: points choose among their near sites in proportion to records.  Draws are numbered from ``first_draw`` and depend on their number alone.
 
-    Tries go in batches, each one plan for all taxa and draws still open: rotation is column arithmetic, snapping a join on squares,
-    and one-to-one matching goes by rounds in which a point takes its first free site when it is the site's first point.
+    Points take turns in the order of a hash (``snap_to_sites``).  Tries go in batches, each one plan for all taxa and draws still open: rotation
+    is column arithmetic and snapping a join on squares.
     """
     from rangeflow.operators.lineage import cut
 
@@ -214,57 +246,47 @@ def shifted_null(
             (F.col("tx") + F.cos("angle") * dx - F.sin("angle") * dy).alias("x"), (F.col("ty") + F.sin("angle") * dx + F.cos("angle") * dy).alias("y"),
         )
 
-    def met(points: DataFrame, km: float) -> DataFrame:
-        return within(points, sites, km * 1000.0, by).select(*key, "n", "from_site", F.col("r_site").alias("site"), "d2", "r_weight")
-
+    choices = SNAP_CHOICES if effort else 1
     allowed = F.floor(F.lit(far_share) * F.col("n"))
-    open_ = cut(centre.select("taxon", "n", F.explode(F.sequence(F.lit(1), F.lit(draws))).alias("draw")))
-    chosen = seen = None
+    open_ = cut(centre.select("taxon", "n", F.explode(F.sequence(F.lit(first_draw), F.lit(first_draw + draws - 1))).alias("draw")))
+    placed = seen = None
     first, batch = 1, TRY_BATCH
     while first <= tries:
         asked = open_.withColumn("try", F.explode(F.sequence(F.lit(first), F.lit(min(tries, first + batch - 1)))))
         first, batch = first + batch, 2 * batch
-        near = cut(met(moved(asked.select(*key)), snap_km))
-        reached = near.groupBy(*key).agg(F.count_distinct("from_site").alias("reached"))
+        points = cut(moved(asked.select(*key)))
+        # points far from every site are far from every free one: such tries are not snapped point by point
+        reached = within(points, sites, snap_km * 1000.0, by).select(*key, "from_site").distinct().groupBy(*key).agg(F.count("*").alias("reached"))
         counted = cut(asked.join(reached, key, "left").withColumn("far", F.col("n") - F.coalesce("reached", F.lit(0))).select(*key, "n", "far"))
         seen = counted if seen is None else seen.unionByName(counted)
-        taken = _match(near.join(counted.where(F.col("far") <= allowed).select(*key), key, "left_semi"), key, effort)
-        if taken is None:
-            continue
-        done = taken.groupBy(*key).agg(F.first("n").alias("n"), F.count("*").alias("k")).where(F.col("n") - F.col("k") <= allowed)
-        done = cut(done.groupBy("taxon", "draw").agg(F.min("try").alias("try")))
-        chosen = done if chosen is None else chosen.unionByName(done)
-        open_ = cut(open_.join(done, ["taxon", "draw"], "left_anti"))
-        if open_.isEmpty():
-            break
-    best = seen.join(open_.select("taxon", "draw"), ["taxon", "draw"], "left_semi").groupBy("taxon", "draw").agg(F.min_by("try", F.struct("far", "try")).alias("try"))
-    points = cut(moved((best if chosen is None else best.unionByName(chosen)).select(*key)))
-
-    ends = points.select("x", "y").unionByName(sites.select("x", "y")).agg(*[f(c).alias(f"{n}{c}") for c in "xy" for n, f in (("low_", F.min), ("high_", F.max))]).first()
-    widest = 0.0 if ends["low_x"] is None else math.hypot(ends["high_x"] - ends["low_x"], ends["high_y"] - ends["low_y"]) / 1000
-    left, placed, used, far, reach = points, None, None, False, snap_km
-    while not left.isEmpty():
-        near = met(left, reach)
-        if used is not None:
-            near = near.join(used, [*key, "site"], "left_anti")
-        taken = _match(near, key, effort and not far)
-        if taken is not None:
-            now = taken.select(*key, "from_site", "site", F.lit(far).alias("far"))
+        good = counted.where(F.col("far") <= allowed).withColumn("_k", F.row_number().over(Window.partitionBy("taxon", "draw").orderBy("try")))
+        while not open_.isEmpty():  # a draw's first good try, then its next
+            one = good.join(open_.select("taxon", "draw"), ["taxon", "draw"], "left_semi").where("_k = 1").select(*key, "n")
+            if one.isEmpty():
+                break
+            snapped = cut(snap_to_sites(points.join(one.select(*key), key), sites, key, by, snap_km, choices))
+            fine = snapped.groupBy(*key).agg(F.count_if("far").alias("k")).join(one, key).where(F.col("k") <= allowed).select("taxon", "draw", "try")
+            now = cut(snapped.join(fine, key, "left_semi").withColumn("best_effort", F.lit(False)))
             placed = now if placed is None else placed.unionByName(now)
-            used = placed.select(*key, "site")
-            left = cut(left.join(now, [*key, "from_site"], "left_anti"))
-        if reach > widest:
+            open_ = cut(open_.join(fine.select("taxon", "draw"), ["taxon", "draw"], "left_anti"))
+            good = cut(good.withColumn("_k", F.col("_k") - 1))
+        if open_.isEmpty():
             break
-        reach, far = 4 * reach, True
+    if not open_.isEmpty() and seen is not None:
+        best = seen.join(open_.select("taxon", "draw"), ["taxon", "draw"], "left_semi").groupBy("taxon", "draw").agg(F.min_by("try", F.struct("far", "try")).alias("try"))
+        rest = snap_to_sites(cut(moved(best.select(*key))), sites, key, by, snap_km, choices).withColumn("best_effort", F.lit(True))
+        placed = rest if placed is None else placed.unionByName(rest)
     if placed is None:
-        placed = points.select(*key, F.lit(None).cast(dict(sites.dtypes)["site"]).alias("site"), F.lit(True).alias("far")).limit(0)
-    return placed.select("taxon", "draw", "site", "try", "far")
+        kinds = dict(sites.dtypes)
+        return sites.sparkSession.createDataFrame([], f"taxon {dict(detections.dtypes)['taxon']}, draw int, site {kinds['site']}, try int, far boolean, best_effort boolean")
+    return placed.select("taxon", "draw", "site", "try", "far", "best_effort")
 
 
 def cluster_bootstrap(rows: DataFrame, cluster: str, values: list[str], reps: int = 1000, seed: int = 1, strata: str | None = None) -> DataFrame:
     """TOP7: clusters drawn again with replacement, per stratum: means of the values over rows, with 2.5 % and 97.5 % quantiles.
 
-    rows carry per-row values; they are summed per cluster first, so a draw moves clusters, not rows.
+    rows carry per-row values; they are summed per cluster first, so a draw moves clusters, not rows.  Up to ``BROADCAST_CLUSTERS``
+    clusters' sums are sent to every task, and what is drawn is added up there: only a row a replicate and task is shuffled.
     """
     by = [strata] if strata else []
     sums = rows.groupBy(*by, cluster).agg(F.count("*").alias("_c"), *[F.sum(v).alias(v) for v in values])
@@ -275,6 +297,8 @@ def cluster_bootstrap(rows: DataFrame, cluster: str, values: list[str], reps: in
 
         listed = numbered(sums, [cluster], "_k")
     size = listed.groupBy(*by).agg(F.max("_k").alias("_n"))
+    if listed.count() <= BROADCAST_CLUSTERS:
+        listed = F.broadcast(listed)
     slots = size.select("*", F.explode(F.sequence(F.lit(1), F.lit(reps))).alias("rep")).select("*", F.explode(F.sequence(F.lit(1), F.col("_n"))).alias("slot"))
     pick = (F.floor(unit_hash(F.lit(seed), *[F.col(b) for b in by], F.col("rep"), F.col("slot")) * F.col("_n")) + 1).cast("int")
     drawn = slots.withColumn("_k", pick).join(listed, [*by, "_k"])

@@ -90,10 +90,10 @@ def latest_per_key(df: DataFrame, keys: list[str], order: list[str]) -> DataFram
     return last.select(*keys, *[F.col(f"_r.{c}").alias(c) for c in rest])
 
 
-def auc(df: DataFrame, by: list[str], score: str = "score", label: str = "presence") -> DataFrame:
-    """WIN6: area under the curve from average ranks; null where a class is empty."""
+def auc(df: DataFrame, by: list[str], score: str = "score", label: str = "presence", few: bool = False) -> DataFrame:
+    """WIN6: area under the curve from average ranks; null where a class is empty.  ``few``: groups of a bounded number of rows."""
     known = df.where(F.col(score).isNotNull() & ~F.isnan(F.col(score).cast("double")))
-    ranked = average_rank(known, score, by, "_r")
+    ranked = average_rank(known, score, by, "_r", few)
     n1, n0 = F.count_if(F.col(label) == 1), F.count_if(F.col(label) == 0)
     total = F.sum(F.when(F.col(label) == 1, F.col("_r")))
     return ranked.groupBy(*by).agg(F.when((n1 > 0) & (n0 > 0), (total - n1 * (n1 + 1) / 2) / (n1 * n0)).alias("auc"))

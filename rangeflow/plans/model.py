@@ -1,22 +1,18 @@
-"""Modelling tables and learners (MOD1 to MOD19).
+"""Modelling tables, validation, nulls and maps (MOD1 to MOD19).
 
-All taxa, folds, arms and null draws are rows of one table.  Models of many small groups (a taxon's sites, at most the background
-cap) are fitted by one grouped-map job; models of one large table by ``pyspark.ml``.
+All taxa, folds, arms, candidates and null draws are rows of one table.  A model is a group of it (a taxon's sites, at most the
+background cap and its detections) and is fitted in a task by a learner of ``plans.learners``: one Spark job for all of a study's models.
 """
 
 from __future__ import annotations
 
-import os
-from collections.abc import Callable
+import json
 from itertools import combinations
-from multiprocessing.pool import ThreadPool
 
 import numpy as np
 import pandas as pd
-from pyspark import inheritable_thread_target
-from pyspark.ml.classification import GBTClassifier, LogisticRegression, RandomForestClassifier
+from pyspark import cloudpickle
 from pyspark.ml.feature import VectorAssembler
-from pyspark.ml.functions import vector_to_array
 from pyspark.ml.regression import GeneralizedLinearRegression
 from pyspark.ml.stat import Correlation
 from pyspark.sql import Column, DataFrame, Window
@@ -26,19 +22,21 @@ from rangeflow.functions.scalars import map_grade, skill
 from rangeflow.functions.scalars import tier as tier_of
 
 from rangeflow.operators.aggs import paired_arms, pass_rates
-from rangeflow.operators.lineage import checkpoint_folder, cut
+from rangeflow.operators.lineage import cut
 from rangeflow.operators.joins import accessible_sites, nearest_in_space, within
 from rangeflow.operators.topk import background_sample, hash_order, shifted_null, sweep_sample, unit_hash
 from rangeflow.operators.windows import auc, boyce, sequential_p
+from rangeflow.plans.learners import Learner, area, design, label_of, nothing, ridge_logistic, scale_of, small_fit
 
 BACKGROUND, FOLDS, BLOCK_KM, NULLS, STOP_AFTER = 10_000, 5, 200, 99, 5
 BLOCK_FLOOR_KM, BLOCK_CEILING_KM = 50, 300
 MAX_CORRELATION = 0.7
 RIDGE = 0.01
 
-#: A learner of the studies: fits a table on some bands and returns what adds ``score`` to a table's rows.
-Scorer = Callable[[DataFrame], DataFrame]
-Learner = Callable[[DataFrame, list[str]], Scorer]
+INNER_FOLDS, DRAW_BATCH = 3, 10
+
+#: Columns that a learner may read beside the bands.
+_CARRIED = ("x", "y", "effort")
 
 
 # ---- tables -------------------------------------------------------------------
@@ -108,17 +106,18 @@ def block_size(bins: DataFrame, step: float = 5) -> DataFrame:
     return first.select("taxon", F.least(F.lit(float(BLOCK_CEILING_KM)), F.greatest(F.lit(float(BLOCK_FLOOR_KM)), F.bround(F.col("km") / step) * step)).alias("block_km"))
 
 
-def spatial_folds(sites: DataFrame, k: int = FOLDS, block_km: float = BLOCK_KM, seed: int = 1) -> DataFrame:
+def spatial_folds(sites: DataFrame, k: int = FOLDS, block_km: float = BLOCK_KM, seed: int | Column = 1, by: tuple[str, ...] = ("taxon",)) -> DataFrame:
     """MOD3: folds 1..k of square blocks: blocks with detections, busiest first, to the fold with the fewest; others to the fold with the fewest blocks.
 
-    Ties go by a hash of seed and block.  The deal is an ordered fold over the taxon's blocks (a small array per taxon).
+    Ties go by a hash of seed and block (``seed`` may be a column).  The deal is an ordered fold over the group's blocks (a small array for each).
     """
     size = block_km * 1000.0
     block = F.concat_ws(":", F.floor(F.col("x") / size).cast("string"), F.floor(F.col("y") / size).cast("string"))
     rows = cut(sites.withColumn("block", block))
-    blocks = rows.groupBy("taxon", "block").agg(F.count_if(F.col("presence") == 1).cast("int").alias("found"))
-    order = F.array_sort(F.collect_list(F.struct((-F.col("found")).alias("minus"), hash_order(F.lit(seed), F.col("block")).alias("o"), "block", "found")))
-    listed = blocks.groupBy("taxon").agg(order.alias("blocks"))
+    seed = seed if isinstance(seed, Column) else F.lit(seed)
+    blocks = rows.groupBy(*by, "block").agg(F.count_if(F.col("presence") == 1).cast("int").alias("found"))
+    order = F.array_sort(F.collect_list(F.struct((-F.col("found")).alias("minus"), F.col("o"), "block", "found")))
+    listed = blocks.withColumn("o", hash_order(seed, F.col("block"))).groupBy(*by).agg(order.alias("blocks"))
     zero = F.struct(
         F.array_repeat(F.lit(0), k).alias("found"), F.array_repeat(F.lit(0), k).alias("sizes"),
         F.array().cast("array<struct<block:string,fold:int>>").alias("out"),
@@ -133,8 +132,8 @@ def spatial_folds(sites: DataFrame, k: int = FOLDS, block_km: float = BLOCK_KM,
             F.concat(state["out"], F.array(F.struct(b["block"].alias("block"), fold.alias("fold")))).alias("out"),
         )
 
-    dealt = listed.select("taxon", F.explode(F.aggregate("blocks", zero, deal, lambda s: s["out"])).alias("d")).select("taxon", "d.block", "d.fold")
-    return cut(rows.join(dealt, ["taxon", "block"]))
+    dealt = listed.select(*by, F.explode(F.aggregate("blocks", zero, deal, lambda s: s["out"])).alias("d")).select(*by, "d.block", "d.fold")
+    return cut(rows.join(dealt, [*by, "block"]))
 
 
 def random_folds(rows: DataFrame, k: int = FOLDS, seed: int = 1, key: str = "site") -> DataFrame:
@@ -193,249 +192,126 @@ def limit_hosts(bands: list[str], means: dict[str, float], cap: int, share: floa
     return [b for b in bands if not b.startswith("host_") or b in kept]
 
 
-# ---- learners over one large table ------------------------------------------------
-
-
-def presence_features(df: DataFrame, bands: list[str], bounds: dict[str, tuple[float, float]], quadratic: bool = True, product: bool = False, hinges: int = 0) -> tuple[DataFrame, list[str]]:
-    """MOD5: linear, quadratic, product and hinge features (rising from a knot and falling to one) of bands scaled to 0..1, clamped to the training range."""
-    scaled = {}
-    for b in bands:
-        lo, hi = bounds[b]
-        scaled[f"l_{b}"] = F.least(F.lit(1.0), F.greatest(F.lit(0.0), (F.col(b) - lo) / ((hi - lo) or 1.0)))
-    out = df.withColumns(scaled)
-    names, more = list(scaled), {}
-    if quadratic:
-        more |= {f"q_{b}": F.col(f"l_{b}") * F.col(f"l_{b}") for b in bands}
-    if product:
-        more |= {f"p_{a}_{b}": F.col(f"l_{a}") * F.col(f"l_{b}") for a, b in combinations(bands, 2)}
-    for b in bands:
-        for k in range(hinges):
-            knot = k / hinges
-            more |= {f"h_{b}_{k}": F.greatest(F.lit(0.0), (F.col(f"l_{b}") - knot) / (1 - knot))}
-            more |= {f"r_{b}_{k}": F.greatest(F.lit(0.0), 1 - F.col(f"l_{b}") * hinges / (k + 1))}
-    return out.withColumns(more), [*names, *more]
-
-
-def fit_presence(training: DataFrame, bands: list[str], regmult: float = 1.0, hinges: int = 0, product: bool = False, effort: bool = True) -> Callable[[DataFrame], DataFrame]:
-    """MOD5: L1-penalised presence model of one large table; returns a scorer with a complementary log-log ``score``.
-
-    Each feature is divided by its penalty and fitted without standardising, the same optimum as one penalty per feature.
-    """
-    ends = training.agg(*[f(b).alias(f"{n}_{b}") for b in bands for n, f in (("lo", F.min), ("hi", F.max))]).first()
-    bounds = {b: (ends[f"lo_{b}"], ends[f"hi_{b}"]) for b in bands}
-    level = effort_level(training, ()).first() if effort else None
-    at = (level["effort_at"] if level and level["effort_at"] is not None else 0.0) if effort else 0.0
-
-    def assemble(df: DataFrame) -> DataFrame:
-        made, names = presence_features(df, bands, bounds, product=product, hinges=hinges)
-        penalty = {n: 1.0 if n[0] == "l" else 1.2 if n[0] == "q" else 1.5 for n in names}
-        made = made.withColumns({n: F.col(n) / penalty[n] for n in names})
-        return VectorAssembler(inputCols=[*names, *(["effort"] if effort else [])], outputCol="_f", handleInvalid="skip").transform(made)
-
-    n = max(1, training.where("presence = 1").count())
-    lr = LogisticRegression(featuresCol="_f", labelCol="presence", weightCol="weight", elasticNetParam=1.0, regParam=regmult / (100.0 * np.sqrt(n)), standardization=False, maxIter=100)
-    model = lr.fit(assemble(balanced_weights(training, ["taxon"] if "taxon" in training.columns else [])) if "taxon" in training.columns else assemble(training.withColumn("weight", F.lit(1.0))))
-
-    def score(df: DataFrame) -> DataFrame:
-        held = df.withColumn("effort", F.lit(at)) if effort else df
-        p = vector_to_array("probability")[1]
-        odds = p / F.greatest(1 - p, F.lit(1e-12))
-        return model.transform(assemble(held)).withColumn("score", 1 - F.exp(-odds)).select(*df.columns, "score")
-
-    return score
-
-
-def _assembler(bands: list[str]) -> VectorAssembler:
-    return VectorAssembler(inputCols=bands, outputCol="_f", handleInvalid="skip")
-
-
-def _probability(model, bands: list[str]) -> Callable[[DataFrame], DataFrame]:
-    def score(df: DataFrame) -> DataFrame:
-        return model.transform(_assembler(bands).transform(df)).withColumn("score", vector_to_array("probability")[1]).select(*df.columns, "score")
-
-    return score
-
-
-def fit_boosted(training: DataFrame, bands: list[str], rounds: int = 100, depth: int = 3, held: str | None = "fold", seed: int = 1) -> Callable[[DataFrame], DataFrame]:
-    """MOD6: boosted trees with balanced weights, stopped early on the first of the training folds where there are several."""
-    rows = balanced_weights(training, ["taxon"]) if "taxon" in training.columns else training.withColumn("weight", F.lit(1.0))
-    gbt = GBTClassifier(featuresCol="_f", labelCol="presence", weightCol="weight", maxIter=rounds, maxDepth=depth, seed=seed)
-    ends = rows.agg(F.min(held).alias("low"), F.max(held).alias("high")).first() if held and held in training.columns else None
-    if ends and ends["low"] != ends["high"]:
-        rows = rows.withColumn("_held", F.col(held) == ends["low"])
-        gbt = gbt.setValidationIndicatorCol("_held")
-    return _probability(gbt.fit(_assembler(bands).transform(rows)), bands)
-
+# ---- fits of all groups in one job --------------------------------------------------
 
-def fit_forest(training: DataFrame, bands: list[str], trees: int = 250, mtry: str = "sqrt", seed: int = 1) -> Callable[[DataFrame], DataFrame]:
-    """MOD7: a forest under equal class weights (Spark's trees take weights, not a draw of equal classes)."""
-    rows = balanced_weights(training, ["taxon"]) if "taxon" in training.columns else training.withColumn("weight", F.lit(1.0))
-    rf = RandomForestClassifier(featuresCol="_f", labelCol="presence", weightCol="weight", numTrees=trees, featureSubsetStrategy=mtry, seed=seed, maxDepth=8)
-    return _probability(rf.fit(_assembler(bands).transform(rows)), bands)
 
+def _fitted(train: pd.DataFrame, bands: list[str], learner: Learner | None, settings: dict | None, ridge: float, pairs: bool, fold: str, null: bool, seed: int):
+    """(scorer, settings) of one model; a scorer of NaN where the rows have fewer than two detections or nothing else."""
+    n1 = int(train["presence"].sum())
+    if learner is None:
+        return small_fit(train, bands, ridge, pairs, fold), {"ridge": ridge}
+    settings = settings or (learner.at_null if null else learner.default)(n1, len(bands))
+    return (learner.fit(train, bands, settings, seed) if 2 <= n1 < len(train) else nothing), settings
 
-def fit_detection(training: DataFrame, bands: list[str], ridge: float = 0.01) -> Callable[[DataFrame], DataFrame]:
-    """MOD9: binomial model with complementary log-log link and log effort as offset (L2, since Spark has no L1 with this link)."""
-    glr = GeneralizedLinearRegression(family="binomial", link="cloglog", featuresCol="_f", labelCol="presence", offsetCol="effort", regParam=ridge)
-    model = glr.fit(_assembler(bands).transform(training.withColumn("presence", F.col("presence").cast("double"))))
 
-    def score(df: DataFrame) -> DataFrame:
-        rows = df.select(F.struct(*df.columns).alias("_row"), *bands, F.lit(0.0).alias("effort"), F.lit(0.0).alias("presence"))
-        return model.transform(_assembler(bands).transform(rows)).select("_row.*", F.col("prediction").alias("score"))
+def _no_rows(columns: list[str]) -> pd.DataFrame:
+    return pd.DataFrame({c: pd.Series([], dtype=object) for c in columns})
 
-    return score
 
+def _at_effort(rows: pd.DataFrame, group: pd.DataFrame) -> pd.DataFrame:
+    """Rows with the effort of the group's median detection, at which scores are read."""
+    if "effort" not in rows:
+        return rows
+    level = group.loc[group["presence"] == 1, "effort"].median()
+    return rows.assign(effort=0.0 if pd.isna(level) else level)
 
-# ---- many small groups: one grouped-map job -----------------------------------------
 
-
-def _design(x: np.ndarray, squares: bool) -> np.ndarray:
-    return np.column_stack([np.ones(len(x)), x, x**2]) if squares else np.column_stack([np.ones(len(x)), x])
-
-
-def ridge_logistic(x: np.ndarray, y: np.ndarray, w: np.ndarray, ridge: float = 0.01, steps: int = 25) -> np.ndarray:
-    """Weighted ridge logistic coefficients by Newton steps."""
-    beta = np.zeros(x.shape[1])
-    penalty = np.full(x.shape[1], ridge * w.sum())
-    penalty[0] = 1e-9
-    for _ in range(steps):
-        p = 1 / (1 + np.exp(-np.clip(x @ beta, -30, 30)))
-        g = x.T @ (w * (y - p)) - penalty * beta
-        h = (x * (w * p * (1 - p))[:, None]).T @ x + np.diag(penalty + 1e-9)
-        step = np.linalg.solve(h, g)
-        beta = beta + step
-        if np.abs(step).max() < 1e-8:
-            break
-    return beta
-
-
-def _scale(train: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
-    sd = train.std(axis=0)
-    return train.mean(axis=0), np.where(sd > 0, sd, 1.0)
-
-
-def _area(score: np.ndarray, y: np.ndarray) -> float:
-    """Area under the curve from average ranks; NaN where a class is empty."""
-    n1 = y.sum()
-    if n1 == 0 or n1 == len(y):
-        return np.nan
-    return (pd.Series(score).rank().to_numpy()[y == 1].sum() - n1 * (n1 + 1) / 2) / (n1 * (len(y) - n1))
-
-
-def _small_fit(train: pd.DataFrame, bands: list[str], ridge: float, pairs: bool, fold: str = "fold") -> Callable[[pd.DataFrame], np.ndarray]:
-    """A scorer of rows: one ridge model, or the ensemble of all pairs of bands.
-
-    A pair weighs its Somers' D over the pooled scores of the training folds, each held out in turn, never below 0; all weigh
-    the same where none beats chance or no fold can be scored.  NaN where the training rows lack a class.
-    """
-    y = train["presence"].to_numpy(float)
-    if y.sum() in (0, len(y)) or not bands:
-        return lambda rows: np.full(len(rows), np.nan)
-    mean, sd = _scale(train[bands].to_numpy(float))
-    z = (train[bands].to_numpy(float) - mean) / sd
-    low, high = z.min(axis=0), z.max(axis=0)
-
-    def fit(cols: list[int], rows: np.ndarray) -> np.ndarray:
-        found = y[rows]
-        w = np.where(found == 1, len(found) / (2 * found.sum()), len(found) / (2 * (len(found) - found.sum())))
-        return ridge_logistic(_design(z[rows][:, cols], True), found, w, ridge)
-
-    def score(at: np.ndarray, cols: list[int], beta: np.ndarray) -> np.ndarray:
-        return 1 / (1 + np.exp(-np.clip(_design(at[:, cols], True) @ beta, -30, 30)))
-
-    def beyond_chance(cols: list[int]) -> float:
-        held = []
-        for f in np.unique(blocks):
-            out = blocks == f
-            if y[~out].sum() >= 2 and not y[~out].all() and 0 < y[out].sum() < out.sum():
-                held.append((score(z[out], cols, fit(cols, ~out)), y[out]))
-        d = 2 * _area(*map(np.concatenate, zip(*held, strict=True))) - 1 if held else np.nan
-        return max(0.0, d) if np.isfinite(d) else 0.0
-
-    members, weights = [list(range(len(bands)))], np.ones(1)
-    if pairs and len(bands) > 1:
-        members, blocks = [list(c) for c in combinations(range(len(bands)), 2)], train[fold].to_numpy()
-        weights = np.array([beyond_chance(c) for c in members])
-        weights = weights if weights.any() else np.ones(len(members))
-    used = [(w / weights.sum(), c, fit(c, np.ones(len(y), bool))) for w, c in zip(weights, members, strict=True) if w > 0]
-
-    def scores(rows: pd.DataFrame) -> np.ndarray:
-        at = np.clip((rows[bands].to_numpy(float) - mean) / sd, low, high)
-        return sum(w * score(at, c, beta) for w, c, beta in used)
-
-    return scores
-
-
-def _learner_scores(training: DataFrame, tests: DataFrame, bands: list[str], by: list[str], fold: str, learner: Learner, keep: list[str], parallel: int) -> DataFrame:
-    """Scores of the test rows of every group and fold by a learner fitted on the group's other folds: (by..., fold, keep..., score).
-
-    Each model is a Spark fit over its own rows, a few of them at a time; the driver holds the list of models (one row each) and no
-    data.  Scores go to files, so that no plan grows with the models.  Null where the training rows lack a class.
-    """
-    spark = training.sparkSession
-    rows, tests = cut(training), cut(tests)
-    counts = rows.groupBy(*by, fold).agg(F.count_if(F.col("presence") == 1).alias("n1"), F.count("*").alias("n"), *([F.first("kept").alias("kept")] if "kept" in rows.columns else []))
-    models = [r.asDict() for r in counts.collect()]
-    total: dict[tuple, np.ndarray] = {}
-    for m in models:
-        g = tuple(m[b] for b in by)
-        total[g] = total.get(g, 0) + np.array([m["n1"], m["n"]])
-    folder = f"{checkpoint_folder(spark)}/rangeflow_{os.urandom(6).hex()}"
-
-    def one(k: int) -> None:
-        m = models[k]
-        n1, n = total[tuple(m[b] for b in by)] - (m["n1"], m["n"])
-        own = [F.col(b).eqNullSafe(F.lit(m[b])) for b in by]
-        test = tests.where(F.col(fold).eqNullSafe(F.lit(m[fold])))
-        train = rows.where(~F.col(fold).eqNullSafe(F.lit(m[fold])))
-        for c in own:
-            test, train = test.where(c), train.where(c)
-        scored = learner(train, m.get("kept") or bands)(test) if 0 < n1 < n else test.withColumn("score", F.lit(None).cast("double"))
-        scored.select(*by, fold, *keep, "score").write.parquet(f"{folder}/model={k}")
-
-    pool = ThreadPool(parallel)
-    try:
-        pool.map(inheritable_thread_target(spark)(one), range(len(models)))
-    finally:
-        pool.close()
-    schema = tests.withColumn("score", F.lit(0.0)).select(*by, fold, *keep, "score").schema
-    if not models:
-        return spark.createDataFrame([], schema)
-    return spark.read.schema(schema).parquet(*[f"{folder}/model={k}" for k in range(len(models))])
-
-
-def cross_validated_scores(training: DataFrame, bands: list[str], by: list[str], ridge: float = RIDGE, pairs: bool = False, fold: str = "fold", learner: Learner | None = None, parallel: int = 4) -> DataFrame:
-    """MOD8, MOD11: held-out scores of every row, each fold fitted on the others: (by..., fold, site, presence, score).
-
-    The ridge model and its ensemble are one grouped-map job over (group, held fold): the rows of the other folds are copied to each
-    held fold, so a task holds one model's rows (a taxon's sites, at most the background cap).  Any other learner (presence model,
-    boosted trees, forest, detection model) is fitted by Spark, model after model.  A column ``kept`` names each group's own bands.
-    """
-    if learner is not None:
-        return _learner_scores(training, training, bands, by, fold, learner, ["site", "presence"], parallel)
+def _held_scores(
+    training: DataFrame, bands: list[str], by: list[str], ridge: float = RIDGE, pairs: bool = False, fold: str = "fold", learner: Learner | None = None,
+    chosen: DataFrame | None = None, null: bool = False, seed: int = 1,
+) -> DataFrame:
+    carried = [c for c in _CARRIED if c in training.columns and c not in bands]
     own = ["kept"] if "kept" in training.columns else []
     folds = training.select(*by, F.col(fold).alias("held")).distinct()
-    rows = training.select(*by, "site", "presence", fold, *bands, *own).join(folds, by)
+    folds = folds.withColumn("settings", F.lit(None).cast("string")) if chosen is None else folds.join(chosen.select(*by, "held", "settings"), [*by, "held"], "left")
+    rows = training.select(*by, "site", "presence", fold, *bands, *carried, *own).join(folds, by)
     kinds = dict(training.dtypes)
 
     def run(pdf: pd.DataFrame) -> pd.DataFrame:
-        test = pdf[pdf[fold] == pdf["held"]]
+        pdf = pdf.sort_values("site", kind="stable")
+        test, train = pdf[pdf[fold] == pdf["held"]], pdf[pdf[fold] != pdf["held"]]
         used = list(pdf["kept"].iloc[0]) if own else bands
-        return test[[*by, fold, "site", "presence"]].assign(score=_small_fit(pdf[pdf[fold] != pdf["held"]], used, ridge, pairs, fold)(test))
+        given = pdf["settings"].iloc[0]
+        score, settings = _fitted(train, used, learner, json.loads(given) if given else None, ridge, pairs, fold, null, seed)
+        return test[[*by, fold, "site", "presence"]].assign(score=score(_at_effort(test, pdf)), params=label_of(settings))
 
-    schema = ", ".join([*[f"{b} {kinds[b]}" for b in by], f"{fold} {kinds[fold]}", f"site {kinds['site']}", "presence int", "score double"])
+    schema = ", ".join([*[f"{b} {kinds[b]}" for b in by], f"{fold} {kinds[fold]}", f"site {kinds['site']}", "presence int", "score double", "params string"])
     return rows.groupBy(*by, "held").applyInPandas(run, schema)
 
 
+def cross_validated_scores(training: DataFrame, bands: list[str], by: list[str], **how) -> DataFrame:
+    """MOD8, MOD11: held-out scores of every row, each fold fitted on the others: (by..., fold, site, presence, score).
+
+    ``how``: ridge and pairs (the ridge model and its ensemble of pairs), or ``learner``; ``chosen`` gives settings by group and held
+    fold, ``null`` takes those of the null test.  One grouped-map job over (group, held fold): the rows of the other folds are copied to each
+    held fold, so a task holds one model's rows.  A column ``kept`` names each group's own bands.  Scores are read at the median
+    effort of the group's detections.
+    """
+    return _held_scores(training, bands, by, **how).drop("params")
+
+
 def cross_validate(training: DataFrame, bands: list[str], by: list[str], min_presences: int = 2, **how) -> DataFrame:
     """MOD11: per group the mean over folds of AUC and Boyce, folds with too few detections apart, and how many were scored."""
     held = cut(cross_validated_scores(training, bands, by, **how))
     enough = held.groupBy(*by, "fold").agg(F.count_if(F.col("presence") == 1).alias("n1")).where(F.col("n1") >= min_presences).drop("n1")
     held = held.join(enough, [*by, "fold"])
-    a, b = auc(held, [*by, "fold"]), boyce(held, [*by, "fold"])
+    a, b = auc(held, [*by, "fold"], few=True), boyce(held, [*by, "fold"])
     return a.join(b, [*by, "fold"], "left").groupBy(*by).agg(F.avg("auc").alias("auc"), F.avg("boyce").alias("boyce"), F.count("auc").alias("folds_scored"))
 
 
+def nested_cross_validate(training: DataFrame, bands: list[str], by: list[str], learner: Learner, block_km: float = BLOCK_KM, inner_folds: int = INNER_FOLDS, seed: int = 1) -> DataFrame:
+    """MOD11: every fold scored by a model whose settings were chosen without it: by..., fold, presences, auc, boyce, params.
+
+    The rows beyond each outer fold are dealt to inner folds of their own (rows of one table, seed plus fold), the settings are
+    chosen there, and the outer fit takes them.  A fold with fewer than one detection or three other rows has no score.
+    """
+    outer = training.select(*by, F.col("fold").alias("held")).distinct()
+    rows = training.drop("block").join(outer, by).where("fold <> held").drop("fold")
+    inner = spatial_folds(rows, inner_folds, block_km, F.lit(seed) + F.col("held"), tuple([*by, "held"]))
+    chosen = cut(tuned_settings(inner, bands, [*by, "held"], learner, seed))
+    held = cut(_held_scores(training, bands, by, learner=learner, chosen=chosen, seed=seed))
+    n1, n0 = F.count_if(F.col("presence") == 1), F.count_if(F.col("presence") == 0)
+    folds = held.groupBy(*by, "fold").agg(n1.alias("presences"), n0.alias("n0"), F.first("params").alias("params"))
+    fine = held.join(folds.where("presences >= 1 and n0 >= 3").select(*by, "fold"), [*by, "fold"], "left_semi")
+    a, b = auc(fine, [*by, "fold"], few=True), boyce(fine, [*by, "fold"])
+    return folds.drop("n0").join(a, [*by, "fold"], "left").join(b, [*by, "fold"], "left").select(*by, "fold", "presences", "auc", "boyce", "params")
+
+
+def tuned_settings(training: DataFrame, bands: list[str], by: list[str], learner: Learner, seed: int = 1) -> DataFrame:
+    """MOD12: each group's settings of the best mean blocked area, the earlier on ties: by..., settings (JSON), auc; no row where none can be scored.
+
+    A group of the job is one candidate of one group of the table; a candidate's folds are fitted in its task.
+    """
+    carried = [c for c in _CARRIED if c in training.columns and c not in bands]
+    own = ["kept"] if "kept" in training.columns else []
+    most = len(learner.grid(1 << 30, 1 << 30))
+    kinds = dict(training.dtypes)
+
+    def run(pdf: pd.DataFrame) -> pd.DataFrame:
+        pdf = pdf.sort_values("site", kind="stable")
+        used, y, fold = (list(pdf["kept"].iloc[0]) if own else bands), pdf["presence"].to_numpy(float), pdf["fold"].to_numpy()
+        grid, k = learner.grid(int(y.sum()), len(used)), int(pdf["_k"].iloc[0])
+        found = None
+        if k < len(grid) and learner.search is not None:
+            found = learner.search(_at_effort(pdf, pdf) if "effort" not in used else pdf, used, fold, grid[k], seed)
+        elif k < len(grid):
+            areas = []
+            for f in np.unique(fold):
+                out = fold == f
+                if y[~out].sum() >= 2 and y[out].sum() >= 1 and (~y[out].astype(bool)).sum() >= 3:
+                    areas.append(area(learner.fit(pdf[~out], used, grid[k], seed)(_at_effort(pdf[out], pdf)), y[out]))
+            if areas and np.isfinite(areas).any():
+                found = float(np.nanmean(areas)), grid[k]
+        if found is None:
+            return _no_rows([*by, "_k", "auc", "settings"])
+        return pd.DataFrame([(*[pdf[b].iloc[0] for b in by], k, found[0], json.dumps(found[1]))], columns=[*by, "_k", "auc", "settings"])
+
+    rows = training.select(*by, "site", "presence", "fold", *bands, *carried, *own).withColumn("_k", F.explode(F.sequence(F.lit(0), F.lit(most - 1))))
+    schema = ", ".join([*[f"{b} {kinds[b]}" for b in by], "_k int", "auc double", "settings string"])
+    tried = rows.groupBy(*by, "_k").applyInPandas(run, schema)
+    return tried.groupBy(*by).agg(F.max_by(F.struct("settings", "auc"), F.struct("auc", -F.col("_k"))).alias("b")).select(*by, "b.settings", "b.auc")
+
+
 def pooled_boyce(held: DataFrame, by: list[str]) -> DataFrame:
     """MOD11: one Boyce index over all held-out scores of a group."""
     return boyce(held, by)
@@ -444,9 +320,10 @@ def pooled_boyce(held: DataFrame, by: list[str]) -> DataFrame:
 def tune(training: DataFrame, bands: list[str], by: list[str], ridges: list[float] | None = None, learners: dict[str, Learner] | None = None) -> DataFrame:
     """MOD12: per group the candidate with the best mean blocked AUC, the first on ties.
 
-    Candidates are penalties of the ridge model (column ``ridge``) or named learners, a learner for each setting (``candidate``).
+    Candidates are penalties of the ridge model (column ``ridge``) or whole learners at their untuned settings (``candidate``);
+    ``tuned_settings`` searches one learner's grid.
     """
-    tried = [(r, {"ridge": r}) for r in map(float, ridges or [])] if learners is None else [(name, {"learner": fit}) for name, fit in learners.items()]
+    tried = [(r, {"ridge": r}) for r in map(float, ridges or [])] if learners is None else [(name, {"learner": m}) for name, m in learners.items()]
     what, out = "ridge" if learners is None else "candidate", None
     for k, (name, how) in enumerate(tried):
         one = cut(cross_validate(training, bands, by, **how)).select(*by, F.lit(k).alias("_k"), F.lit(name).alias(what), "auc")
@@ -456,7 +333,7 @@ def tune(training: DataFrame, bands: list[str], by: list[str], ridges: list[floa
 
 def fit_small_ensemble(training: DataFrame, bands: list[str], by: list[str] | None = None, ridge: float = RIDGE) -> DataFrame:
     """MOD8: held-out scores of the ensemble of small models over at most ten predictors."""
-    return cross_validated_scores(training, bands[:10], by or ["taxon"], ridge, True)
+    return cross_validated_scores(training, bands[:10], by or ["taxon"], ridge=ridge, pairs=True)
 
 
 # ---- baselines, nulls, importance, applicability ------------------------------------
@@ -501,7 +378,8 @@ def choose_bandwidth(training: DataFrame, bandwidths: list[float], by: list[str]
 def null_tables(training: DataFrame, draws: int, design: str = "scatter", seed: int = 1, first: int = 1) -> DataFrame:
     """MOD13: the training table with null detections for each draw from the first on, scattered by records or shifted as a cluster.
 
-    design: scatter, shift, or shift-effort (shifted points choose among near sites by records).
+    design: scatter, shift, or shift-effort (shifted points choose among near sites by records).  Shifted tables also tell the share of points that
+    landed far from a site and whether every try was rejected (far_share, best_effort).
     """
     reps = training.withColumn("draw", F.explode(F.sequence(F.lit(first), F.lit(first + draws - 1))))
     if design == "scatter":
@@ -515,59 +393,95 @@ def null_tables(training: DataFrame, draws: int, design: str = "scatter", seed:
         raise ValueError(f"unknown null design {design!r}")
     busy = [c for c in ("records",) if c in training.columns]
     sites = training.groupBy("taxon", "site").agg(*[F.first(c).alias(c) for c in ("x", "y", *busy)])
-    picked = shifted_null(found, sites, draws, seed + first - 1, effort=design == "shift-effort")
-    picked = picked.select("taxon", (F.col("draw") + first - 1).alias("draw"), "site", F.lit(1).alias("_p"))
-    return reps.join(picked, ["taxon", "draw", "site"], "left").withColumn("presence", F.coalesce("_p", F.lit(0))).drop("_p")
+    picked = shifted_null(found, sites, draws, seed, effort=design == "shift-effort", first_draw=first)
+    picked = cut(picked.select("taxon", "draw", "site", "far", "best_effort"))
+    told = picked.groupBy("taxon", "draw").agg(F.avg(F.col("far").cast("double")).alias("far_share"), F.first("best_effort").alias("best_effort"))
+    rows = reps.join(picked.select("taxon", "draw", "site", F.lit(1).alias("_p")), ["taxon", "draw", "site"], "left").withColumn("presence", F.coalesce("_p", F.lit(0))).drop("_p")
+    return rows.join(told, ["taxon", "draw"], "left")
 
 
-def null_test(training: DataFrame, bands: list[str], draws: int = NULLS, design: str = "scatter", stop_after: int = STOP_AFTER, seed: int = 1, **how) -> DataFrame:
+def null_test(
+    training: DataFrame, bands: list[str], draws: int = NULLS, design: str = "scatter", stop_after: int = STOP_AFTER, seed: int = 1, batch: int = DRAW_BATCH, **how
+) -> DataFrame:
     """MOD13: per taxon the observed score, its nulls' mean and spread, and the sequential p-value.
 
-    All draws of all taxa are groups of one cross-validation job.  Nulls that cannot be scored are drawn again, up to twice the
-    draws in all; the first scored ones count.  ``how`` names the learner as in ``cross_validate``.
+    Draws come in batches, each twice as large as the one before; all draws of a batch and all open taxa are groups of one job.  A taxon is open until
+    ``stop_after`` of its nulls score as well as it does, or ``draws`` are scored, and gets no further draws afterwards.  Nulls that cannot be
+    scored are replaced, up to twice the draws.  Everything is read off the draws in order up to the stop, so the batches decide only how many
+    are fitted in vain.  Columns: observed, boyce, auc_mean, auc_sd, reps, p, draws, boyce_mean, stopped_early, drawn, far_share, best_effort, design.
     """
-    observed = cut(cross_validate(training, bands, ["taxon"], **how).select("taxon", F.col("auc").alias("observed"), "boyce"))
+    observed = cut(cross_validate(training, bands, ["taxon"], null=True, **how).select("taxon", F.col("auc").alias("observed"), "boyce"))
+    still = cut(observed.where("observed is not null"))
+    rows, drawn, size, parts = training, 0, batch, []
+    while drawn < 2 * draws:
+        take = min(size, 2 * draws - drawn)
+        rows = rows.join(still.select("taxon"), "taxon", "left_semi")
+        tables = cut(null_tables(rows, take, design, seed, drawn + 1))
+        held = cut(cross_validated_scores(tables, bands, ["taxon", "draw"], null=True, **how))
+        enough = held.groupBy("taxon", "draw", "fold").agg(F.count_if(F.col("presence") == 1).alias("n1")).where("n1 >= 2").drop("n1")
+        areas = auc(held.join(enough, ["taxon", "draw", "fold"]), ["taxon", "draw", "fold"], few=True).groupBy("taxon", "draw").agg(F.avg("auc").alias("null_score"))
+        placed = [c for c in ("far_share", "best_effort") if c in tables.columns]
+        told = tables.groupBy("taxon", "draw").agg(F.count("*").alias("_n"), *[F.first(c).alias(c) for c in placed]).drop("_n")
+        parts.append(cut(told.join(areas, ["taxon", "draw"], "left").join(pooled_boyce(held, ["taxon", "draw"]).withColumnRenamed("boyce", "null_boyce"), ["taxon", "draw"], "left")))
+        drawn, size = drawn + take, 2 * size
+        met = _until_stop(_all_of(parts), observed, draws, stop_after)
+        still = cut(met.groupBy("taxon").agg(F.count("null_score").alias("n"), F.max("_above").alias("above")).where((F.col("n") < draws) & (F.col("above") < stop_after)).select("taxon"))
+        if still.isEmpty():
+            break
+    out = observed.where("observed is null").select("taxon", "observed", "boyce")
+    if not parts:
+        return out.withColumns({"auc_mean": F.lit(None).cast("double"), "auc_sd": F.lit(None).cast("double"), "reps": F.lit(0).cast("long"), "p": F.lit(None).cast("double"), "draws": F.lit(0).cast("long"), "design": F.lit(design)})
+    met = cut(_until_stop(_all_of(parts), observed, draws, stop_after))
+    scored = F.col("null_score").isNotNull()
+    spread = met.groupBy("taxon").agg(
+        F.avg("null_score").alias("auc_mean"), F.stddev_samp("null_score").alias("auc_sd"), F.count("null_score").alias("reps"),
+        F.avg(F.when(scored, F.col("null_boyce"))).alias("boyce_mean"), (F.max("_above") >= stop_after).alias("stopped_early"), F.max("draw").alias("drawn"),
+        *([F.avg("far_share").alias("far_share"), F.count_if("best_effort").alias("best_effort")] if "far_share" in met.columns else []),
+    )
+    p = sequential_p(met.select("taxon", "draw", "null_score", "observed"), ["taxon"], stop_after)
+    return observed.join(spread, "taxon", "left").na.fill(0, ["reps"]).join(p, "taxon", "left").withColumn("design", F.lit(design))
 
-    def scored(rows: DataFrame, first: int) -> DataFrame:
-        one = cross_validate(cut(null_tables(rows, draws, design, seed, first)), bands, ["taxon", "draw"], **how)
-        return cut(one.where("auc is not null").select("taxon", "draw", F.col("auc").alias("null_score")))
 
-    nulls = scored(training, 1)
-    n = observed.join(nulls, "taxon", "left").groupBy("taxon").agg(F.count("null_score").alias("n"))
-    short = cut(n.where(F.col("n") < draws).select("taxon"))
-    if not short.isEmpty():
-        nulls = nulls.unionByName(scored(training.join(short, "taxon", "left_semi"), draws + 1))
-        nulls = cut(nulls.withColumn("_k", F.row_number().over(Window.partitionBy("taxon").orderBy("draw"))).where(F.col("_k") <= draws).drop("_k"))
-    met = nulls.join(observed.select("taxon", "observed"), "taxon")
-    spread = met.groupBy("taxon").agg(F.avg("null_score").alias("auc_mean"), F.stddev_samp("null_score").alias("auc_sd"), F.count("null_score").alias("reps"))
-    p = sequential_p(met, ["taxon"], stop_after)
-    return observed.join(spread, "taxon").join(p, "taxon").withColumn("design", F.lit(design))
+def _all_of(parts: list[DataFrame]) -> DataFrame:
+    out = parts[0]
+    for one in parts[1:]:
+        out = out.unionByName(one)
+    return out
 
 
-def permutation_importance(training: DataFrame, bands: list[str], by: list[str], repeats: int = 5, seed: int = 1, groups: dict[str, list[str]] | None = None, ridge: float = RIDGE, learner: Learner | None = None, parallel: int = 4) -> DataFrame:
+def _until_stop(nulls: DataFrame, observed: DataFrame, draws: int, stop_after: int) -> DataFrame:
+    """The draws of each taxon in order, up to the one that stops its test, and how many scored ones so far are as good (_above)."""
+    w = Window.partitionBy("taxon").orderBy("draw")
+    met = nulls.join(observed.select("taxon", "observed"), "taxon").withColumn("_hit", F.coalesce((F.col("null_score") >= F.col("observed")).cast("int"), F.lit(0)))
+    so_far = w.rowsBetween(Window.unboundedPreceding, -1)
+    before = met.withColumns({"_above0": F.coalesce(F.sum("_hit").over(so_far), F.lit(0)), "_n0": F.coalesce(F.count("null_score").over(so_far), F.lit(0))})
+    return before.where((F.col("_above0") < stop_after) & (F.col("_n0") < draws)).withColumn("_above", F.col("_above0") + F.col("_hit")).drop("_above0", "_n0", "_hit")
+
+
+def permutation_importance(training: DataFrame, bands: list[str], by: list[str], repeats: int = 5, seed: int = 1, groups: dict[str, list[str]] | None = None, ridge: float = RIDGE, learner: Learner | None = None) -> DataFrame:
     """MOD14: mean fall of the held-out AUC when a predictor, or all of a layer, is shuffled among a fold's rows.
 
-    Every fold is fitted once and scores its rows as they are and under each shuffle; ``learner`` as in ``cross_validated_scores``.
+    Every fold is fitted once and scores its rows as they are and under each shuffle, in one task; ``learner`` as in ``cross_validated_scores``.
     """
     shuffled = {**{f"predictor:{b}": [b] for b in bands}, **{f"layer:{g}": m for g, m in (groups or {}).items()}}
-    if learner is not None:
-        return _learner_falls(training, bands, by, repeats, seed, shuffled, learner, parallel)
+    carried = [c for c in _CARRIED if c in training.columns and c not in bands]
     folds = training.select(*by, F.col("fold").alias("held")).distinct()
-    rows = training.select(*by, "site", "presence", "fold", *bands).join(folds, by)
+    rows = training.select(*by, "site", "presence", "fold", *bands, *carried).join(folds, by)
     kinds = dict(training.dtypes)
 
     def run(pdf: pd.DataFrame) -> pd.DataFrame:
-        test, train = pdf[pdf["fold"] == pdf["held"]].sort_values("site"), pdf[pdf["fold"] != pdf["held"]]
-        y, scores = test["presence"].to_numpy(float), _small_fit(train, bands, ridge, False)
-        base, rng, out = _area(scores(test), y), np.random.default_rng(seed), []
+        pdf = pdf.sort_values("site", kind="stable")
+        test, train = _at_effort(pdf[pdf["fold"] == pdf["held"]], pdf), pdf[pdf["fold"] != pdf["held"]]
+        y, scores = test["presence"].to_numpy(float), _fitted(train, bands, learner, None, ridge, False, "fold", False, seed)[0]
+        base, rng, out = area(scores(test), y), np.random.default_rng(seed), []
         if np.isnan(base):
-            return pd.DataFrame({c: [] for c in [*by, "name", "fall"]})
+            return _no_rows([*by, "name", "fall"])
         for name, columns in shuffled.items():
             falls = []
             for _ in range(repeats):
                 changed = test.copy()
                 changed[columns] = test[columns].to_numpy()[rng.permutation(len(test))]
-                falls.append(base - _area(scores(changed), y))
+                falls.append(base - area(scores(changed), y))
             out.append((*[pdf[b].iloc[0] for b in by], name, float(np.mean(falls))))
         return pd.DataFrame(out, columns=[*by, "name", "fall"])
 
@@ -575,66 +489,51 @@ def permutation_importance(training: DataFrame, bands: list[str], by: list[str],
     return rows.groupBy(*by, "held").applyInPandas(run, schema).groupBy(*by, "name").agg(F.avg("fall").alias("fall"))
 
 
-def _learner_falls(training: DataFrame, bands: list[str], by: list[str], repeats: int, seed: int, shuffled: dict[str, list[str]], learner: Learner, parallel: int) -> DataFrame:
-    """The shuffles as rows: in each repeat a fold's rows are put in hash order, and the row at the same place of site order lends its bands."""
-    rows = training.withColumn("_rep", F.explode(F.sequence(F.lit(1), F.lit(repeats))))
-    key = [*by, "fold", "_rep"]
-    placed = rows.withColumns(
-        {
-            "_a": F.row_number().over(Window.partitionBy(*key).orderBy("site")),
-            "_b": F.row_number().over(Window.partitionBy(*key).orderBy(hash_order(F.lit(seed), F.col("_rep"), F.col("site")), "site")),
-        }
-    )
-    placed = cut(placed)
-    lent = placed.select(*key, F.col("_a").alias("_b"), F.struct(*bands).alias("_lent"))
-    met = placed.join(lent, [*key, "_b"]).withColumn("_name", F.explode(F.array(*map(F.lit, shuffled))))
-    own = {b: [n for n, m in shuffled.items() if b in m] for b in bands}
-    changed = met.withColumns({b: F.when(F.col("_name").isin(own[b]), F.col(f"_lent.{b}")).otherwise(F.col(b)) for b in bands})
-    kept = [*training.columns, "_rep", "_name"]
-    tests = changed.select(*kept).unionByName(training.withColumns({"_rep": F.lit(0), "_name": F.lit("")}).select(*kept))
-    held = cut(_learner_scores(training, tests, bands, by, "fold", learner, ["_rep", "_name", "presence"], parallel))
-    areas = cut(auc(held, [*by, "fold", "_name", "_rep"])).where("auc is not null")
-    base = areas.where("_name = ''").select(*by, "fold", F.col("auc").alias("_base"))
-    falls = areas.where("_name <> ''").join(base, [*by, "fold"]).groupBy(*by, "fold", F.col("_name").alias("name")).agg(F.avg(F.col("_base") - F.col("auc")).alias("fall"))
-    return falls.groupBy(*by, "name").agg(F.avg("fall").alias("fall"))
-
-
-def applicability_weights(falls: DataFrame, bands: list[str]) -> dict[str, float]:
-    """MOD14: a predictor's weight: its mean fall, never below 0; all equal where none is above."""
-    rows = {r["name"]: r["fall"] for r in falls.groupBy("name").agg(F.avg("fall").alias("fall")).collect()}
-    w = {b: max(0.0, rows.get(f"predictor:{b}") or 0.0) for b in bands}
-    return w if any(w.values()) else dict.fromkeys(bands, 1.0)
-
-
-def applicability(training: DataFrame, cells: DataFrame, bands: list[str], weights: dict[str, float] | None = None, pair_sites: int = 2000, seed: int = 1) -> tuple[DataFrame, float]:
-    """MOD15: (cells with ``index`` and ``inside``, threshold) of one model's area of applicability.
-
-    Distances are in weighted standard deviations, over the mean distance of training pairs; the threshold is the upper whisker
-    of the cross-fold index (Tukey hinges).
+def applicability_weights(falls: DataFrame, bands: list[str]) -> DataFrame:
+    """MOD14: each taxon's weights of its predictors (taxon, w_<band>...): the mean fall, never below 0; all equal where none is above."""
+    fall = {b: F.greatest(F.coalesce(F.avg(F.when(F.col("name") == f"predictor:{b}", F.col("fall"))), F.lit(0.0)), F.lit(0.0)).alias(f"w_{b}") for b in bands}
+    rows = falls.groupBy("taxon").agg(*fall.values())
+    some = sum((F.col(f"w_{b}") for b in bands), F.lit(0.0)) > 0
+    return rows.select("taxon", *[F.when(some, F.col(f"w_{b}")).otherwise(1.0).alias(f"w_{b}") for b in bands])
+
+
+def applicability(training: DataFrame, cells: DataFrame, bands: list[str], weights: DataFrame | None = None, pair_sites: int = 2000, seed: int = 1) -> DataFrame:
+    """MOD15: every taxon's area of applicability in one plan: the cells' (taxon, cell, bands) columns with ``index``, ``inside`` and the taxon's ``threshold``.
+
+    training: taxon, site, fold and the bands; weights: ``applicability_weights`` (equal where left out).  Distances are in weighted standard
+    deviations, over the mean distance of pairs of sampled training sites; the threshold is the upper whisker of the index of every site against the other
+    folds' (Tukey hinges).  Cells with a null band have no index.
     """
-    w = weights or dict.fromkeys(bands, 1.0)
-    used = [b for b in bands if w[b] > 0]
-    s = training.agg(*[f(b).alias(f"{n}_{b}") for b in used for n, f in (("m", F.avg), ("s", F.stddev_samp))]).first()
-    scaled = lambda df: df.withColumns({b: (F.col(b) - s[f"m_{b}"]) / ((s[f"s_{b}"] or 1.0) / w[b]) for b in used})
-    train = scaled(training)
-    sample = background_sample(train.withColumn("_g", F.lit(0)), pair_sites, seed, ("_g",), "site").select("site", *used)
-    r = sample.select(F.col("site").alias("o"), *[F.col(b).alias(f"r_{b}") for b in used])
-    d = F.sqrt(sum((F.pow(F.col(b) - F.col(f"r_{b}"), 2) for b in used), F.lit(0.0)))
-    mean = sample.join(F.broadcast(r), F.col("site") < F.col("o")).agg(F.avg(d)).first()[0] or 1.0  # pairs of the bounded sample
-    folds = [f["fold"] for f in train.select("fold").distinct().collect()]
-    cv = None
-    for f in folds:
-        one = nearest_in_space(train.where(F.col("fold") == f).withColumnRenamed("site", "q"), train.where(F.col("fold") != f), used)
-        cv = one if cv is None else cv.unionByName(one)
-    index = cv.select((F.col("distance") / mean).alias("i")).where("i is not null")
-    order = index.withColumn("k", F.row_number().over(Window.partitionBy(F.lit(0)).orderBy("i")))
-    n = order.count()
-    low, high = (n + 1) // 2, n - (n + 1) // 2 + 1
-    halves = order.agg(F.percentile(F.when(F.col("k") <= low, F.col("i")), 0.5).alias("q1"), F.percentile(F.when(F.col("k") >= high, F.col("i")), 0.5).alias("q3")).first()
-    whisker = halves["q3"] + 1.5 * (halves["q3"] - halves["q1"])
-    threshold = index.agg(F.max(F.when(F.col("i") <= whisker, F.col("i")))).first()[0]
-    found = nearest_in_space(scaled(cells).withColumnRenamed("cell", "q"), train, used).select(F.col("q").alias("cell"), (F.col("distance") / mean).alias("index"))
-    return cells.join(found, "cell").withColumn("inside", F.col("index") <= threshold), threshold
+    stats = training.groupBy("taxon").agg(*[e for b in bands for e in (F.avg(b).alias(f"m_{b}"), F.stddev_samp(b).alias(f"s_{b}"))])
+    stats = stats.join(weights, "taxon", "left") if weights is not None else stats.withColumns({f"w_{b}": F.lit(1.0) for b in bands})
+    spread = lambda b: F.when(F.col(f"s_{b}") > 0, F.col(f"s_{b}")).otherwise(1.0)
+    stats = cut(stats.select("taxon", *[c for b in bands for c in (f"m_{b}", (F.coalesce(F.col(f"w_{b}"), F.lit(1.0)) / spread(b)).alias(f"k_{b}"))]))
+    scaled = lambda df: df.join(stats, "taxon").withColumns({b: (F.col(b) - F.col(f"m_{b}")) * F.col(f"k_{b}") for b in bands}).select(*df.columns)
+    train = cut(scaled(training.select("taxon", "site", "fold", *bands)))
+    kind = dict(training.dtypes)["taxon"]
+
+    def pairs(pdf: pd.DataFrame) -> pd.DataFrame:  # of the bounded sample
+        z, total = pdf[bands].to_numpy(float), 0.0
+        for k in range(0, len(z), 256):
+            total += float(np.sqrt(((z[k : k + 256, None, :] - z[None, :, :]) ** 2).sum(axis=2)).sum())
+        n = len(z) * (len(z) - 1)
+        return pd.DataFrame({"taxon": [pdf["taxon"].iloc[0]], "mean": [total / n if n and total > 0 else 1.0]})
+
+    mean = cut(background_sample(train, pair_sites, seed, ("taxon",), "site").groupBy("taxon").applyInPandas(pairs, f"taxon {kind}, mean double"))
+    held = train.select("taxon", F.col("fold").alias("held")).distinct()
+    others = train.join(held, "taxon").where("fold <> held").select("taxon", F.col("held").alias("fold"), *bands)
+    cv = nearest_in_space(train.withColumnRenamed("site", "q"), others, bands, by=["taxon", "fold"])
+    index = cut(cv.where("distance is not null").join(mean, "taxon").select("taxon", (F.col("distance") / F.col("mean")).alias("i")))
+    n, k = F.count("*").over(Window.partitionBy("taxon")), F.row_number().over(Window.partitionBy("taxon").orderBy("i"))
+    order = index.withColumns({"n": n, "k": k})
+    half = F.expr("(n + 1) div 2")
+    hinge = order.groupBy("taxon").agg(F.percentile(F.when(F.col("k") <= half, F.col("i")), 0.5).alias("q1"), F.percentile(F.when(F.col("k") > F.col("n") - half, F.col("i")), 0.5).alias("q3"))
+    whisker = F.col("q3") + 1.5 * (F.col("q3") - F.col("q1"))
+    threshold = index.join(hinge, "taxon").where(F.col("i") <= whisker).groupBy("taxon").agg(F.max("i").alias("threshold"))
+    found = nearest_in_space(scaled(cells.select("taxon", "cell", *bands)).withColumnRenamed("cell", "q"), train, bands, by=["taxon"])
+    found = found.join(mean, "taxon").select("taxon", F.col("q").alias("cell"), (F.col("distance") / F.col("mean")).alias("index"))
+    out = cells.join(found, ["taxon", "cell"], "left").join(threshold, "taxon", "left")
+    return out.withColumn("inside", F.col("index") <= F.col("threshold"))
 
 
 # ---- studies ------------------------------------------------------------------------
@@ -645,7 +544,7 @@ def run_arms(training: DataFrame, arms: dict[str, dict]) -> DataFrame:
     out = None
     for name, arm in arms.items():
         rows = design_rows(training, arm.get("design", "sites"))
-        one = cross_validate(rows, arm["bands"], ["taxon"], **{k: v for k, v in arm.items() if k in ("ridge", "pairs", "learner", "parallel")})
+        one = cross_validate(rows, arm["bands"], ["taxon"], **{k: v for k, v in arm.items() if k in ("ridge", "pairs", "learner")})
         one = cut(one.select("taxon", F.lit(name).alias("arm"), "auc", "boyce", "folds_scored"))
         out = one if out is None else out.unionByName(one)
     return out
@@ -673,7 +572,7 @@ def read_rates(rates: DataFrame, limit: float = 0.05, least: float = 0.20) -> Da
 def pass_model(rows: DataFrame, terms: list[str]) -> list[tuple[str, float]]:
     """MOD18: binomial regression of passing on the terms: (term, coefficient)."""
     glr = GeneralizedLinearRegression(family="binomial", link="logit", featuresCol="_f", labelCol="passed", regParam=1e-6)
-    m = glr.fit(_assembler(terms).transform(rows.withColumn("passed", F.col("passed").cast("double"))))
+    m = glr.fit(VectorAssembler(inputCols=terms, outputCol="_f", handleInvalid="skip").transform(rows.withColumn("passed", F.col("passed").cast("double"))))
     return [("intercept", float(m.intercept)), *zip(terms, map(float, m.coefficients))]
 
 
@@ -716,12 +615,12 @@ def final_models(training: DataFrame, taxa: DataFrame, bands: list[str]) -> Data
         pdf = pdf.sort_values("site")
         y, used = pdf["presence"].to_numpy(float), list(pdf["kept"].iloc[0])
         if y.sum() in (0, len(y)) or not used:
-            return pd.DataFrame({c: [] for c in ("taxon", "bands", "mean", "sd", "low", "high", "beta")})
+            return _no_rows(["taxon", "bands", "mean", "sd", "low", "high", "beta"])
         x = pdf[used].to_numpy(float)
-        mean, sd = _scale(x)
+        mean, sd = scale_of(x)
         z = (x - mean) / sd
         w = np.where(y == 1, len(y) / (2 * y.sum()), len(y) / (2 * (len(y) - y.sum())))
-        beta = ridge_logistic(_design(z, True), y, w, pdf["ridge"].iloc[0])
+        beta = ridge_logistic(design(z, True), y, w, pdf["ridge"].iloc[0])
         return pd.DataFrame([(pdf["taxon"].iloc[0], used, mean, sd, z.min(axis=0), z.max(axis=0), beta)], columns=["taxon", "bands", "mean", "sd", "low", "high", "beta"])
 
     numbers = ", ".join(f"{c} array<double>" for c in ("mean", "sd", "low", "high", "beta"))
@@ -744,14 +643,62 @@ def map_scores(models: DataFrame, cells: DataFrame, bands: list[str]) -> DataFra
     return met.withColumn("_z", z).select("taxon", "cell", score.alias("score"))
 
 
-def map_taxa(training: DataFrame, sites: DataFrame, taxa: DataFrame, bands: list[str], ridges: tuple[float, ...] = (RIDGE,), buffer_km: float = 500, block_km: float = BLOCK_KM, seed: int = 1) -> DataFrame:
+def learner_models(training: DataFrame, bands: list[str], learner: Learner, settings: DataFrame | None = None, seed: int = 1) -> DataFrame:
+    """MOD19: any learner's model of every taxon on all its rows: (taxon, model), the scorer in bytes.
+
+    settings: taxon and settings (``tuned_settings``); the learner's own where left out.  A column ``kept`` names a taxon's bands.
+    """
+    carried = [c for c in _CARRIED if c in training.columns and c not in bands]
+    own = ["kept"] if "kept" in training.columns else []
+    rows = training.select("taxon", "site", "presence", *bands, *carried, *own)
+    rows = rows.withColumn("settings", F.lit(None).cast("string")) if settings is None else rows.join(settings.select("taxon", "settings"), "taxon", "left")
+
+    def run(pdf: pd.DataFrame) -> pd.DataFrame:
+        pdf = pdf.sort_values("site", kind="stable")
+        used, given = (list(pdf["kept"].iloc[0]) if own else bands), pdf["settings"].iloc[0]
+        score, _ = _fitted(pdf, used, learner, json.loads(given) if given else None, RIDGE, False, "fold", False, seed)
+        level = pdf.loc[pdf["presence"] == 1, "effort"].median() if "effort" in pdf else 0.0
+        return pd.DataFrame({"taxon": [pdf["taxon"].iloc[0]], "model": [cloudpickle.dumps((score, 0.0 if pd.isna(level) else float(level)))]})
+
+    return rows.groupBy("taxon").applyInPandas(run, f"taxon {dict(training.dtypes)['taxon']}, model binary")
+
+
+def learner_map(models: DataFrame, cells: DataFrame, bands: list[str], part_cells: int = 50_000) -> DataFrame:
+    """MOD19: each taxon's model at its cells, at its detections' median effort: (taxon, cell, score); null where a band is missing.
+
+    A taxon's cells are dealt to parts of about ``part_cells``; a task gets one part and the model.
+    """
+    parts = cells.groupBy("taxon").agg(F.ceil(F.count("*") / part_cells).cast("int").alias("_parts"))
+    rows = cells.select("taxon", "cell", *bands).join(parts, "taxon").withColumn("part", F.pmod(F.xxhash64("cell"), F.col("_parts")).cast("int")).drop("_parts")
+    sent = models.join(parts, "taxon").withColumn("part", F.explode(F.sequence(F.lit(0), F.col("_parts") - 1))).select("taxon", "part", "model")
+    kinds = dict(cells.dtypes)
+
+    def run(model: pd.DataFrame, at: pd.DataFrame) -> pd.DataFrame:
+        if not len(model) or not len(at):
+            return _no_rows(["taxon", "cell", "score"])
+        score, level = cloudpickle.loads(model["model"].iloc[0])
+        whole = at[bands].notna().all(axis=1).to_numpy()
+        out = np.full(len(at), np.nan)
+        if whole.any():
+            out[whole] = score(at[whole].assign(**({} if "effort" in bands else {"effort": level})))
+        return at[["taxon", "cell"]].assign(score=pd.Series(out, index=at.index).astype(object).where(~np.isnan(out), None))
+
+    return sent.groupBy("taxon", "part").cogroup(rows.groupBy("taxon", "part")).applyInPandas(run, f"taxon {kinds['taxon']}, cell {kinds['cell']}, score double")
+
+
+def map_taxa(training: DataFrame, sites: DataFrame, taxa: DataFrame, bands: list[str], ridges: tuple[float, ...] = (RIDGE,), buffer_km: float = 500, block_km: float = BLOCK_KM, seed: int = 1, learner: Learner | None = None) -> DataFrame:
     """MOD19: tuning, final fit and map of the fitted taxa: (taxon, cell, score) over the cells of each accessible area.
 
-    taxa: the result of ``fit_taxa``; sites: cell, x, y and the bands.
+    taxa: the result of ``fit_taxa``; sites: cell, x, y and the bands.  The ridge model is a join and column arithmetic; a ``learner`` is tuned
+    on its grid, fitted and sent to its taxon's cells.
     """
     fitted = taxa.where("status = 'fitted'").select("taxon", "kept")
     rows = cut(training.join(fitted, "taxon"))
+    reach = accessible_sites(sites.select("cell", "x", "y"), rows.where("presence = 1").select("taxon", "x", "y"), buffer_km).select("taxon", "cell")
+    cells = reach.join(sites.select("cell", *bands), "cell")
+    if learner is not None:
+        settings = cut(tuned_settings(spatial_folds(rows, FOLDS, block_km, seed), bands, ["taxon"], learner, seed))
+        return learner_map(cut(learner_models(rows, bands, learner, settings, seed)), cells, bands)
     tuned = tune(spatial_folds(rows, FOLDS, block_km, seed), bands, ["taxon"], list(ridges)) if len(ridges) > 1 else fitted.select("taxon", F.lit(float(ridges[0])).alias("ridge"))
     models = cut(final_models(rows.drop("kept"), fitted.join(tuned.select("taxon", "ridge"), "taxon", "left"), bands))
-    reach = accessible_sites(sites.select("cell", "x", "y"), rows.where("presence = 1").select("taxon", "x", "y"), buffer_km).select("taxon", "cell")
-    return map_scores(models, reach.join(sites.select("cell", *bands), "cell"), bands)
+    return map_scores(models, cells, bands)

@@ -12,6 +12,7 @@ from rangeflow.operators import setops as SO
 from rangeflow.operators import topk as K
 from rangeflow.operators import windows as W
 from rangeflow.operators.lineage import checkpoint_folder, cut
+from rangeflow.plans import learners as L
 from rangeflow.plans import model as M
 from rangeflow.plans.queries import _TAXA, _taxa, query, r
 from rangeflow.plans.queries_aggs import _avg_rank
@@ -205,6 +206,27 @@ def _found(spark, d):
     return _sites(spark, d).select(square.alias("taxon"), "site", "x", "y")
 
 
+_FOUND = f"""{WITH_POINTS}, si AS (SELECT cell20 AS site, avg(x) AS x, avg(y) AS y FROM pts WHERE cell20 IS NOT NULL GROUP BY 1),
+ fo AS (SELECT concat_ws(':', CAST(floor(x / 3e5) AS BIGINT), CAST(floor(y / 3e5) AS BIGINT)) AS taxon, site, x, y FROM si)"""
+
+
+@query(
+    "top6_snap_to_sites",
+    f"""{_FOUND.replace("WITH ", "WITH RECURSIVE ", 1)}, mo AS (SELECT taxon, site AS from_site, x + 41000 AS x, y - 37000 AS y,
+  row_number() OVER (PARTITION BY taxon ORDER BY substr(sha256(concat_ws(':', taxon, site, 'order')), 1, 12)) AS k FROM fo),
+ wa AS (SELECT DISTINCT taxon, 0::BIGINT AS k, NULL::BIGINT AS from_site, NULL::BIGINT AS site, 0.0::DOUBLE AS d2, []::BIGINT[] AS used FROM mo
+  UNION ALL SELECT taxon, k, any_value(from_site), arg_min(site, (d2, site)), min(d2), list_append(any_value(used), arg_min(site, (d2, site))) FROM (
+   SELECT w.taxon, m.k, m.from_site, s.site, pow(s.x - m.x, 2) + pow(s.y - m.y, 2) AS d2, w.used FROM wa w JOIN mo m ON m.taxon = w.taxon AND m.k = w.k + 1
+    JOIN fo s ON s.taxon = w.taxon AND NOT list_contains(w.used, s.site)) GROUP BY taxon, k)
+ SELECT taxon, from_site, site, d2 > 625000000.0::DOUBLE AS far FROM wa WHERE k > 0""",
+)
+def top6_snap(spark, d):
+    """Every taxon's sites, moved aside, snapped back to its sites one to one in turn."""
+    found = _found(spark, d)
+    moved = found.select("taxon", F.col("site").alias("from_site"), (F.col("x") + 41000).alias("x"), (F.col("y") - 37000).alias("y"))
+    return K.snap_to_sites(moved, cut(found.withColumn("weight", F.lit(1))), ["taxon"], ["taxon"]).select("taxon", "from_site", "site", "far")
+
+
 @query("top6_shifted_null")
 def top6(spark, d):
     sites = _sites(spark, d)
@@ -479,26 +501,28 @@ def mod4_taxa(spark, d):
     return M.prune_by_taxon(t, _FIVE).select("taxon", F.explode("kept").alias("band"))
 
 
+def _scored(spark, d, learner, bands=BANDS):
+    """Held-out scores of every site of every taxon by a learner at its untuned settings."""
+    return M.cross_validated_scores(M.spatial_folds(training(spark, d)), bands, ["taxon"], learner=learner).select("taxon", "fold", "site", "presence", "score")
+
+
 def _one(spark, d):
     return training(spark, d).where("taxon = 'east'")
 
 
 @query("mod5_presence_model")
 def mod5(spark, d):
-    t = _one(spark, d)
-    return M.fit_presence(t, BANDS, hinges=3)(t).select("site", "score")
+    return _scored(spark, d, L.PRESENCE)
 
 
 @query("mod6_boosted_trees")
 def mod6(spark, d):
-    t = M.spatial_folds(_one(spark, d))
-    return M.fit_boosted(t, BANDS)(t).select("site", "score")
+    return _scored(spark, d, L.BOOSTED, [*BANDS, "effort"])
 
 
 @query("mod7_forest")
 def mod7(spark, d):
-    t = _one(spark, d)
-    return M.fit_forest(t, BANDS)(t).select("site", "score")
+    return _scored(spark, d, L.FOREST, [*BANDS, "effort"])
 
 
 @query("mod8_small_ensemble")
@@ -508,8 +532,7 @@ def mod8(spark, d):
 
 @query("mod9_detection_model")
 def mod9(spark, d):
-    t = _one(spark, d)
-    return M.fit_detection(t, BANDS)(t).select("site", "score")
+    return _scored(spark, d, L.DETECTION)
 
 
 @query(
@@ -534,13 +557,24 @@ def mod11(spark, d):
 @query("mod12_learners")
 def mod12_learners(spark, d):
     """Every learner over the same folds, the best of each taxon."""
-    learners = {"presence": M.fit_presence, "forest": M.fit_forest, "detection": M.fit_detection, "boosted": M.fit_boosted}
-    return M.tune(M.spatial_folds(training(spark, d)), BANDS, ["taxon"], learners=learners)
+    return M.tune(M.spatial_folds(training(spark, d)), BANDS, ["taxon"], learners=L.LEARNERS)
+
+
+@query("mod12_settings")
+def mod12_settings(spark, d):
+    """The forest's settings of each taxon."""
+    return M.tuned_settings(M.spatial_folds(training(spark, d)), [*BANDS, "effort"], ["taxon"], L.FOREST)
+
+
+@query("mod11_nested")
+def mod11_nested(spark, d):
+    """Boosted trees with depth and rounds chosen inside every outer fold."""
+    return M.nested_cross_validate(M.spatial_folds(training(spark, d)), [*BANDS, "effort"], ["taxon"], L.BOOSTED)
 
 
 @query("mod14_presence_importance")
 def mod14_presence(spark, d):
-    return M.permutation_importance(M.spatial_folds(training(spark, d)), BANDS, ["taxon"], learner=M.fit_presence)
+    return M.permutation_importance(M.spatial_folds(training(spark, d)), BANDS, ["taxon"], learner=L.PRESENCE)
 
 
 @query("mod12_tuning")
@@ -553,19 +587,42 @@ def mod13(spark, d):
     return M.null_test(M.spatial_folds(training(spark, d)), BANDS)
 
 
+@query("mod13_forest_null")
+def mod13_forest(spark, d):
+    return M.null_test(M.spatial_folds(training(spark, d)), BANDS, 19, learner=L.FOREST)
+
+
 @query("mod14_importance")
 def mod14(spark, d):
     return M.permutation_importance(M.spatial_folds(training(spark, d)), BANDS, ["taxon"], groups={"place": ["b1", "b2"]})
 
 
-@query("mod15_applicability")
+_SCALED = ", ".join(f"({b} - m_{b}) / s_{b} AS {b}" for b in BANDS)
+_APART = "sqrt(" + " + ".join(f"pow(q.{b} - p.{b}, 2)" for b in BANDS) + ")"
+
+
+@query(
+    "mod15_applicability",
+    f"""{_TRAIN_FOLDS}, ms AS (SELECT taxon AS t, {", ".join(f"avg({b}) AS m_{b}, CASE WHEN stddev_samp({b}) > 0 THEN stddev_samp({b}) ELSE 1.0 END AS s_{b}" for b in BANDS)} FROM fo GROUP BY 1),
+ z AS (SELECT taxon, site, fold, {_SCALED} FROM fo JOIN ms ON t = taxon),
+ sh AS (SELECT taxon, site, {_SCALED} FROM (SELECT taxon, site, b1 + 0.05 AS b1, b2 - 0.05 AS b2, b3 * 1.02 AS b3 FROM fo) JOIN ms ON t = taxon),
+ sa AS (SELECT * FROM z QUALIFY row_number() OVER (PARTITION BY taxon ORDER BY md5(concat('1:', site)), site) <= 2000),
+ mp AS (SELECT q.taxon, avg({_APART}) AS mean FROM sa q JOIN sa p ON p.taxon = q.taxon AND p.site < q.site GROUP BY 1),
+ cv AS (SELECT q.taxon, q.site, min({_APART}) / any_value(mean) AS i FROM z q JOIN z p ON p.taxon = q.taxon AND p.fold <> q.fold JOIN mp ON mp.taxon = q.taxon GROUP BY ALL),
+ rk AS (SELECT *, row_number() OVER (PARTITION BY taxon ORDER BY i) AS k, count(*) OVER (PARTITION BY taxon) AS n FROM cv),
+ hi AS (SELECT taxon, quantile_cont(i, 0.5) FILTER (WHERE k <= (n + 1) // 2) AS q1, quantile_cont(i, 0.5) FILTER (WHERE k > n - (n + 1) // 2) AS q3 FROM rk GROUP BY 1),
+ th AS (SELECT cv.taxon, max(i) AS threshold FROM cv JOIN hi ON hi.taxon = cv.taxon AND i <= q3 + 1.5 * (q3 - q1) GROUP BY 1),
+ ix AS (SELECT q.taxon, q.site, min({_APART}) / any_value(mean) AS i FROM sh q JOIN z p ON p.taxon = q.taxon JOIN mp ON mp.taxon = q.taxon GROUP BY ALL)
+ SELECT ix.taxon, site AS cell, round(i, 6) AS index, i <= threshold AS inside, round(threshold, 6) AS threshold FROM ix JOIN th ON th.taxon = ix.taxon""",
+)
 def mod15(spark, d):
-    t = M.spatial_folds(_one(spark, d))
-    cells = _sites(spark, d).select(F.col("site").alias("cell"), (F.col("x") / 1e6).alias("b1"), (F.col("y") / 1e6).alias("b2"))
-    return M.applicability(t, cells, ["b1", "b2"])[0].select("cell", "index", "inside")
+    """Every taxon's sites under a shifted climate against its training sites."""
+    t = M.spatial_folds(training(spark, d))
+    cells = t.select("taxon", F.col("site").alias("cell"), (F.col("b1") + 0.05).alias("b1"), (F.col("b2") - 0.05).alias("b2"), (F.col("b3") * 1.02).alias("b3"))
+    return M.applicability(t, cells, BANDS).select("taxon", "cell", r("index", 6).alias("index"), "inside", r("threshold", 6).alias("threshold"))
 
 
-_STUDY = {"all": {"bands": BANDS}, "one": {"bands": ["b1"]}, "pairs": {"bands": BANDS, "pairs": True}, "presence": {"bands": BANDS, "learner": M.fit_presence}}
+_STUDY = {"all": {"bands": BANDS}, "one": {"bands": ["b1"]}, "pairs": {"bands": BANDS, "pairs": True}, "presence": {"bands": BANDS, "learner": L.PRESENCE}}
 
 
 @query("mod16_arms")

@@ -1,7 +1,10 @@
+import json
+
 import numpy as np
 import pandas as pd
 import pytest
 from pyspark.sql import functions as F
+from rangeflow.plans import learners as L
 from rangeflow.plans import model as M
 
 
@@ -13,7 +16,8 @@ def rows():
     for taxon in ("p", "q"):
         a = rng.normal(size=150)
         y = (a + rng.normal(scale=0.5, size=150) > 0.5).astype(int)
-        parts.append(pd.DataFrame({"taxon": taxon, "site": np.arange(150), "fold": np.arange(150) % 5 + 1, "presence": y, "a": a, "b": rng.normal(size=150), "c": 2 * a + rng.normal(scale=0.1, size=150), "effort": rng.random(150), "records": 3}))
+        place = {"x": rng.uniform(0, 2e6, 150), "y": rng.uniform(0, 2e6, 150)}
+        parts.append(pd.DataFrame({"taxon": taxon, "site": np.arange(150), "fold": np.arange(150) % 5 + 1, "presence": y, "a": a, "b": rng.normal(size=150), "c": 2 * a + rng.normal(scale=0.1, size=150), "effort": rng.random(150), "records": 3, **place}))
     return pd.concat(parts, ignore_index=True)
 
 
@@ -21,6 +25,14 @@ def frame(spark, rows):
     return spark.createDataFrame(rows).withColumn("presence", F.col("presence").cast("int"))
 
 
+def curved(n=2000, seed=0):
+    """Detections peak at v1 = 1; v2 is noise."""
+    rng = np.random.default_rng(seed)
+    v1, v2 = rng.normal(size=n) * 1.2, rng.normal(size=n)
+    y = (rng.random(n) < 0.12 * np.exp(-1.5 * (v1 - 1) ** 2)).astype(int)
+    return pd.DataFrame({"presence": y, "site": range(n), "x": rng.random(n) * 3e6, "y": rng.random(n) * 3e6, "v1": v1, "v2": v2, "effort": np.log(1 + rng.poisson(3, n))})
+
+
 def test_pruning_by_taxon(spark, rows):
     odd = rows.assign(a=np.where(rows["taxon"] == "q", 1.0, rows["a"]))
     kept = {r["taxon"]: r["kept"] for r in M.prune_by_taxon(frame(spark, odd), ["a", "b", "c"]).collect()}
@@ -30,32 +42,197 @@ def test_pruning_by_taxon(spark, rows):
 def test_pairs_weigh_by_held_out_folds(rows):
     p = rows[rows["taxon"] == "p"]
     noise = p.assign(n=np.random.default_rng(5).normal(size=len(p)))
-    both = M._small_fit(noise, ["a", "b", "n"], 0.01, True)(noise)
-    assert M._area(both, noise["presence"].to_numpy()) > 0.85
+    both = L.small_fit(noise, ["a", "b", "n"], 0.01, True)(noise)
+    assert L.area(both, noise["presence"].to_numpy()) > 0.85
     # one fold holds every detection: no fold can be scored and the pairs weigh the same
     apart = p.assign(fold=np.where(p["presence"] == 1, 1, 2))
-    got = M._small_fit(apart, ["a", "b", "c"], 0.01, True)(apart)
-    alone = [M._small_fit(apart, list(c), 0.01, False)(apart) for c in (("a", "b"), ("a", "c"), ("b", "c"))]
+    got = L.small_fit(apart, ["a", "b", "c"], 0.01, True)(apart)
+    alone = [L.small_fit(apart, list(c), 0.01, False)(apart) for c in (("a", "b"), ("a", "c"), ("b", "c"))]
     assert np.allclose(got, np.mean(alone, axis=0))
 
 
-def test_a_learner_in_cross_validation(spark, rows):
+# ---- learners against plain versions --------------------------------------------------------
+
+
+def plain_tree(x, up, weight, depth, ridge, child):
+    """The tree's value for every row, by trying every split of every node on the values themselves."""
+    out = np.full(len(x), up.sum() / (weight.sum() + ridge))
+    gain_of = lambda k: up[k].sum() ** 2 / (weight[k].sum() + ridge)
+    best = (1e-10, None)
+    for j in range(x.shape[1]) if depth else ():
+        values = np.unique(x[:, j])
+        for cut in (values[1:] + values[:-1]) / 2:
+            left = x[:, j] < cut
+            if min(weight[left].sum(), weight[~left].sum()) >= child:
+                gain = gain_of(left) + gain_of(~left) - gain_of(np.ones(len(x), bool))
+                if gain > best[0] + 1e-9:
+                    best = (gain, left)
+    if best[1] is not None:
+        for side in (best[1], ~best[1]):
+            out[side] = plain_tree(x[side], up[side], weight[side], depth - 1, ridge, child)
+    return out
+
+
+@pytest.mark.parametrize("taxon", ["p", "q"])
+def test_trees_equal_a_plain_one(rows, taxon):
+    t = rows[rows["taxon"] == taxon]
+    x, y = t[["a", "b"]].to_numpy(), t["presence"].to_numpy(float)
+    bins = L.Bins(x, 256)
+    for up, weight, ridge, child in ((y - 0.4, np.full(len(y), 0.24), 1.0, 2.0), (y, np.ones(len(y)), 0.0, 1.0)):
+        got = L.grow(bins(x), bins.size, up, weight, depth=3, ridge=ridge, child=child)(bins(x))
+        assert np.allclose(got, plain_tree(x, up, weight, 3, ridge, child))
+
+
+def test_rounds_stop_where_a_full_curve_says(rows):
+    t = curved()
+    fold = np.arange(len(t)) % 3
+    got = L.staged_rounds(t, ["v1", "v2"], fold, 2, 7, most=90, patience=12)
+    x, y, curve = t[["v1", "v2"]].to_numpy(), t["presence"].to_numpy(float), np.zeros((3, 90))
+    for f in range(3):
+        out = fold == f
+        bins = L.Bins(x[~out], L.BOOSTED_BINS)
+        line = np.zeros(out.sum())
+        for n, tree in zip(range(90), L._boost(bins(x[~out]), bins.size, y[~out], 2, 7), strict=False):
+            line += tree(bins(x[out]))
+            curve[f, n] = L.area(line, y[out])
+    mean, best = curve.mean(axis=0), 0
+    for n in range(90):
+        if mean[n] > mean[best]:
+            best = n
+        elif n - best >= 12:
+            break
+    assert got == (best + 1, mean[best])
+
+
+def test_boosted_trees(rows):
+    t = curved()
+    sweep = pd.DataFrame({"v1": np.arange(-3, 3, 0.05), "v2": 0.0})
+    for learner, settings in ((L.BOOSTED, {"rounds": 200}), (L.FOREST, {}), (L.PRESENCE, {}), (L.PRESENCE, {"classes": "lqpht"}), (L.DETECTION, {})):
+        score = learner.fit(t, ["v1", "v2"], settings, 1)(sweep.assign(effort=0.0))
+        assert abs(sweep["v1"][score.argmax()] - 1) < 0.5 and score.max() > 2 * score[0]
+    # one block: no inner fold can be held out, and the number of rounds is fixed
+    one = t.assign(x=1.0, y=1.0)
+    assert np.array_equal(L.boosted_fit(one, ["v1"], {})(t), L.boosted_fit(one, ["v1"], {"rounds": 200})(t))
+    assert np.isnan(L.boosted_fit(t.assign(presence=(np.arange(len(t)) == 0).astype(int)), ["v1"], {})(t)).all()
+
+
+def test_balanced_weights():
+    y = np.r_[np.ones(20), np.zeros(1000)]
+    w = L.balanced(y)
+    assert w[y == 1].sum() == w[y == 0].sum() and (w[y == 0] == 1).all() and (L.balanced(np.zeros(2)) == 1).all()
+
+
+def test_a_forest_draws_equal_classes(monkeypatch):
+    t, seen = curved(), []
+    grown = L.grow
+    monkeypatch.setattr(L, "grow", lambda codes, size, up, weight, **how: seen.append((up.sum(), weight.sum())) or grown(codes, size, up, weight, **how))
+    score = L.forest_fit(t, ["v1", "v2"], {"trees": 20}, 1)(t)
+    n1 = t["presence"].sum()
+    assert len(seen) == 20 and all(s == (n1, 2 * n1) for s in seen)
+    assert 0 <= score.min() and score.max() <= 1 and L.area(score, t["presence"].to_numpy(float)) > 0.8
+
+
+def plain_l1(x, penalty, curve, start, steps=60000):
+    """Accelerated proximal gradient steps until they no longer move."""
+    x = np.column_stack([np.ones(len(x)), x])
+    penalty = np.r_[0.0, penalty]
+    beta = np.r_[start, np.zeros(x.shape[1] - 1)]
+    rate, ahead, t = 1e-3, beta.copy(), 1.0
+    for _ in range(steps):
+        loss, slope, _ = curve(x @ ahead)
+        while True:
+            to = ahead + rate * (x.T @ slope)
+            to = np.sign(to) * np.maximum(0, np.abs(to) - rate * penalty)
+            d = to - ahead
+            if curve(x @ to)[0] <= loss - (x.T @ slope) @ d + (d @ d) / (2 * rate) + 1e-12:
+                break
+            rate /= 2
+        after = (1 + np.sqrt(1 + 4 * t * t)) / 2
+        ahead, moved, beta, t = to + (t - 1) / after * (to - beta), np.abs(to - beta).max(), to, after
+        if moved < 1e-11:
+            break
+    return beta
+
+
+@pytest.mark.parametrize("link", ["logit", "cloglog"])
+def test_penalised_fits_equal_plain_ones(link):
+    t = curved(500)
+    y, z = t["presence"].to_numpy(float), t[["v1", "v2"]].to_numpy()
+    z = np.column_stack([z, z**2])
+    z = (z - z.min(axis=0)) / (z.max(axis=0) - z.min(axis=0))
+    curve = L.logistic_curve(y, y + 100) if link == "logit" else L.cloglog_curve(y, t["effort"].to_numpy())
+    penalty = y.sum() * np.array([0.05, 0.2, 0.01, 0.05])
+    got, want = L.l1_fit(z, penalty, curve, -4.0), plain_l1(z, penalty, curve, -4.0)
+    assert np.abs(got - want).max() < 1e-4 * max(1, np.abs(want).max()) and (got == 0).any()
+
+
+def test_penalties_by_hand():
+    t = curved()
+    found = t["presence"].to_numpy() == 1
+    n = found.sum()
+    features = L.Features(t[["v1"]].to_numpy(), "lqht")
+    z = features(t[["v1"]].to_numpy())
+    got = features.penalties(z, found)
+    size = np.interp(n, (0, 10, 17, 30, 100), (1.3, 0.8, 0.5, 0.25, 0.05)) / np.sqrt(n)
+    assert np.isclose(got[0], max(0.001, z[found, 0].std(ddof=1) * size)) and z.shape[1] == 2 + 98 + 50
+    hinge = z[found, 10].std(ddof=1)
+    assert np.isclose(got[10], max(0.001, 0.5 / np.sqrt(n) * max(hinge, 1 / np.sqrt(n)), hinge * 0.5 / np.sqrt(n)))
+    empty = np.flatnonzero((features.kinds == "threshold") & (z[found].sum(axis=0) == n))
+    assert len(empty) and (got[empty] >= 1).all()
+    assert L.feature_classes(29) == "lq" and L.feature_classes(30) == "lqh"
+
+
+# ---- all groups in one job -----------------------------------------------------------------
+
+
+def test_learners_in_cross_validation_equal_a_loop(spark, rows):
     t = frame(spark, rows)
-    got = {(r["taxon"], r["site"]): r["score"] for r in M.cross_validated_scores(t, ["a", "b"], ["taxon"], learner=M.fit_detection).collect()}
-    assert len(got) == 300
-    one = t.where("taxon = 'q'")
-    want = M.fit_detection(one.where("fold <> 2"), ["a", "b"])(one.where("fold = 2")).collect()
-    assert want and all(np.isclose(got["q", r["site"]], r["score"]) for r in want)
+    for learner in (L.DETECTION, L.FOREST, L.BOOSTED):
+        got = {(r["taxon"], r["site"]): r["score"] for r in M.cross_validated_scores(t, ["a", "b"], ["taxon"], learner=learner, null=True).collect()}
+        assert len(got) == 300
+        q = rows[rows["taxon"] == "q"]
+        test, train = q[q["fold"] == 2], q[q["fold"] != 2]
+        level = q.loc[q["presence"] == 1, "effort"].median()
+        want = learner.fit(train, ["a", "b"], learner.at_null(int(train["presence"].sum()), 2), 1)(test.assign(effort=level))
+        assert all(np.isclose(got["q", s], w) for s, w in zip(test["site"], want, strict=True))
 
 
 def test_a_learner_without_detections_scores_null(spark, rows):
     t = frame(spark, rows).where("taxon = 'p'").withColumn("presence", F.lit(0))
-    got = M.cross_validated_scores(t, ["a"], ["taxon"], learner=M.fit_presence)
-    assert got.count() == 150 and got.where("score is not null").count() == 0
+    got = M.cross_validated_scores(t, ["a"], ["taxon"], learner=L.PRESENCE)
+    assert got.count() == 150 and got.where("score is not null and not isnan(score)").count() == 0
+
+
+def test_nested_validation_equals_a_loop(spark, rows):
+    p = rows[rows["taxon"] == "p"]
+    got = {r["fold"]: r for r in M.nested_cross_validate(frame(spark, p), ["a", "b", "c"], ["taxon"], L.RIDGE_MODEL, 300).collect()}
+    assert set(got) == {1, 2, 3, 4, 5}
+    for f in (1, 4):
+        train, test = p[p["fold"] != f], p[p["fold"] == f]
+        folds = M.spatial_folds(frame(spark, train.drop(columns="fold")), 3, 300, 1 + f).toPandas().sort_values("site")
+        tried = []
+        for s in L.RIDGE_MODEL.grid(0, 0):
+            areas = []
+            for k in sorted(folds["fold"].unique()):
+                out = folds[folds["fold"] == k]
+                areas.append(L.area(L.RIDGE_MODEL.fit(folds[folds["fold"] != k], ["a", "b", "c"], s, 1)(out), out["presence"].to_numpy(float)))
+            tried.append(np.nanmean(areas))
+        best = L.RIDGE_MODEL.grid(0, 0)[int(np.argmax(tried))]
+        want = L.area(L.RIDGE_MODEL.fit(train, ["a", "b", "c"], best, 1)(test), test["presence"].to_numpy(float))
+        assert got[f]["params"] == L.label_of(best) and np.isclose(got[f]["auc"], want)
+
+
+def test_settings_of_boosted_trees_hold_depth_and_rounds(spark, rows):
+    got = M.tuned_settings(frame(spark, rows), ["a", "b"], ["taxon"], L.BOOSTED).collect()
+    p = rows[rows["taxon"] == "p"]
+    tried = [L.boosted_search(p, ["a", "b"], p["fold"].to_numpy(), {"depth": d}, 1) for d in (2, 3, 5)]
+    best = max(tried, key=lambda t: t[0])[1]
+    assert {r["taxon"] for r in got} == {"p", "q"}
+    assert json.loads(next(r["settings"] for r in got if r["taxon"] == "p")) == best and best["rounds"] >= 1
 
 
 def test_importance_of_a_learner(spark, rows):
-    falls = M.permutation_importance(frame(spark, rows).where("taxon = 'p'"), ["a", "b"], ["taxon"], 2, groups={"both": ["a", "b"]}, learner=M.fit_presence)
+    falls = M.permutation_importance(frame(spark, rows).where("taxon = 'p'"), ["a", "b"], ["taxon"], 2, groups={"both": ["a", "b"]}, learner=L.PRESENCE)
     fall = {r["name"]: r["fall"] for r in falls.collect()}
     assert set(fall) == {"predictor:a", "predictor:b", "layer:both"}
     assert fall["predictor:a"] > 0.2 > abs(fall["predictor:b"]) and fall["layer:both"] > 0.2
@@ -63,10 +240,9 @@ def test_importance_of_a_learner(spark, rows):
 
 def test_learners_are_arms_and_candidates(spark, rows):
     t = frame(spark, rows)
-    arms = M.run_arms(t, {"ridge": {"bands": ["a"]}, "presence": {"bands": ["a"], "learner": M.fit_presence}, "noise": {"bands": ["b"]}})
+    arms = M.run_arms(t, {"ridge": {"bands": ["a"]}, "presence": {"bands": ["a"], "learner": L.PRESENCE}, "noise": {"bands": ["b"]}})
     assert arms.count() == 6
-    few = lambda rows, bands: M.fit_forest(rows, bands, trees=5)
-    best = M.tune(t, ["a"], ["taxon"], learners={"presence": M.fit_presence, "forest": few}).collect()
+    best = M.tune(t, ["a"], ["taxon"], learners={"presence": L.PRESENCE, "forest": L.FOREST}).collect()
     assert {r["taxon"] for r in best} == {"p", "q"} and all(r["auc"] > 0.8 for r in best)
 
 
@@ -77,19 +253,59 @@ def test_maps_equal_the_model(spark, rows):
     cells = t.select("taxon", F.col("site").alias("cell"), (F.col("a") * 3).alias("a"), "b", F.when(F.col("site") != 7, F.col("c")).alias("c"))
     got = {(r["taxon"], r["cell"]): r["score"] for r in M.map_scores(models, cells, ["a", "b", "c"]).collect()}
     p, q = rows[rows["taxon"] == "p"], rows[rows["taxon"] == "q"]
-    want_p, want_q = M._small_fit(p, ["a", "c"], 0.1, False)(p.assign(a=p["a"] * 3)), M._small_fit(q, ["b"], 0.01, False)(q)
+    want_p, want_q = L.small_fit(p, ["a", "c"], 0.1, False)(p.assign(a=p["a"] * 3)), L.small_fit(q, ["b"], 0.01, False)(q)
     assert got["p", 7] is None
     assert all(np.isclose(got["p", k], v) for k, v in enumerate(want_p) if k != 7) and all(np.isclose(got["q", k], v) for k, v in enumerate(want_q))
 
 
+def test_maps_of_any_learner(spark, rows):
+    t = frame(spark, rows)
+    cells = t.select("taxon", F.col("site").alias("cell"), "a", F.when(F.col("site") != 7, F.col("b")).alias("b"))
+    got = {(r["taxon"], r["cell"]): r["score"] for r in M.learner_map(M.learner_models(t, ["a", "b"], L.FOREST), cells, ["a", "b"], part_cells=40).collect()}
+    p = rows[rows["taxon"] == "p"]
+    want = L.FOREST.fit(p, ["a", "b"], L.FOREST.default(0, 2), 1)(p)
+    assert len(got) == 300 and got["p", 7] is None and all(np.isclose(got["p", k], v) for k, v in enumerate(want) if k != 7)
+
+
+# ---- nulls --------------------------------------------------------------------------------
+
+
 def test_nulls_that_fail_are_drawn_again(spark, rows, monkeypatch):
     asked = []
 
     def drawn(training, draws, design, seed, first=1):
-        asked.append(first)
+        asked.append((first, draws))
         out = training.withColumn("draw", F.explode(F.sequence(F.lit(first), F.lit(first + draws - 1))))
         return out.withColumn("presence", F.when(F.col("draw") > 2, F.col("presence")).otherwise(0))  # the first two have no detection
 
     monkeypatch.setattr(M, "null_tables", drawn)
-    got = M.null_test(frame(spark, rows).where("taxon = 'p'"), ["a"], draws=4).collect()[0]
-    assert asked == [1, 5] and got["reps"] == 4
+    got = M.null_test(frame(spark, rows).where("taxon = 'p'"), ["a"], draws=4, batch=4).collect()[0]
+    assert asked == [(1, 4), (5, 4)] and got["reps"] == 4 and got["drawn"] == 6
+
+
+def test_nulls_stop_where_a_full_run_says(spark, rows):
+    # p has skill; q has none, so that its nulls beat it soon
+    q = rows["taxon"] == "q"
+    t = frame(spark, rows.assign(presence=np.where(q, np.random.default_rng(2).permutation(rows["presence"]), rows["presence"])))
+    sizes, told = [], M.null_tables
+
+    def counted(training, draws, design, seed, first=1):
+        sizes.append((first, draws, {r["taxon"] for r in training.select("taxon").distinct().collect()}))
+        return told(training, draws, design, seed, first)
+
+    M.null_tables = counted
+    try:
+        few = {r["taxon"]: r.asDict() for r in M.null_test(t, ["a", "b"], draws=24, stop_after=3, batch=5).collect()}
+        one = {r["taxon"]: r.asDict() for r in M.null_test(t, ["a", "b"], draws=24, stop_after=3, batch=24).collect()}
+    finally:
+        M.null_tables = told
+    for taxon in "pq":
+        assert few[taxon].keys() == one[taxon].keys()
+        assert all(few[taxon][k] == pytest.approx(one[taxon][k], abs=1e-9) if isinstance(few[taxon][k], float) else few[taxon][k] == one[taxon][k] for k in few[taxon])
+    every = M.cross_validate(told(t, 24, "scatter", 1), ["a", "b"], ["taxon", "draw"]).toPandas().sort_values("draw")
+    own = every[every["taxon"] == "q"]["auc"].to_numpy()
+    hits = np.cumsum(own >= few["q"]["observed"])
+    stop = int(np.argmax(hits >= 3)) + 1
+    assert few["q"]["stopped_early"] and few["q"]["reps"] == stop and few["q"]["p"] == pytest.approx(3 / stop) and few["q"]["auc_mean"] == pytest.approx(own[:stop].mean())
+    assert few["p"]["reps"] == 24 and not few["p"]["stopped_early"]
+    assert "q" not in sizes[-2][2]  # a decided taxon gets no further draws
