@@ -4,6 +4,7 @@ from __future__ import annotations
 
 import math
 
+import pandas as pd
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
@@ -15,6 +16,8 @@ SEARCH_TIERS = ("exact", "prefix", "words", "contains", "similar")
 SNAP_KM, FAR_SHARE, SHIFT_TRIES = 25, 0.2, 200
 #: Free sites an effort-weighted point chooses among, and tries of a shifted null in its first batch (each batch has twice the last).
 SNAP_CHOICES, TRY_BATCH = 5, 20
+#: Good tries of a draw that are snapped at once.
+GOOD_TRIES = 3
 #: Sites are summed up in so many blocks when one is drawn by weight.
 WEIGHT_BLOCKS = 1024
 #: Clusters whose sums a bootstrap sends to every task.
@@ -136,9 +139,8 @@ def snap_to_sites(points: DataFrame, sites: DataFrame, key: list[str], by: list[
     ``snap_km``).  With ``choices`` over 1 a point first tries its nearest sites within ``snap_km``, that many, in an order drawn in proportion
     to their weight (exponential keys).  A point that finds no free site is left out.
 
-    Taking turns equals deferred acceptance when all sites prefer the same points: in a round every point asks the first site of its list,
-    a site holds the earliest point that asks and strikes all later ones off, until no list changes; rounds are few, since whole groups settle at
-    once.  Lists hold the sites within a distance; a point whose list runs out looks four times as far, and meets no site that an earlier point holds.
+    A point's list holds the sites within a distance, and a group's turns are taken in one task over the lists (a taxon's detections).  Points
+    whose lists run out look four times as far, and the turns are taken again, until every point has a site or all sites were on its list.
     """
     from rangeflow.operators.lineage import cut
 
@@ -150,35 +152,40 @@ def snap_to_sites(points: DataFrame, sites: DataFrame, key: list[str], by: list[
     snap2 = (snap_km * 1000.0) ** 2
 
     def lists(of: DataFrame, km: float) -> DataFrame:
-        met = within(of, sites, km * 1000.0, by).select(*key, "from_site", "_order", F.col("r_site").alias("site"), "d2", "r_weight")
+        met = within(of, sites, km * 1000.0, by).select(*key, "from_site", "_order", F.col("r_site").alias("site"), "d2", *(["r_weight"] if choices > 1 else []))
         if choices <= 1:
-            return met.withColumn("_want", F.struct(F.lit(1).alias("tier"), F.col("d2").alias("cost"))).drop("r_weight")
+            return met.withColumns({"_tier": F.lit(1), "_cost": F.col("d2")})
         near = F.row_number().over(Window.partitionBy(*key, "from_site").orderBy("d2", "site"))
         drawn = -F.log(unit_hash(*[F.col(k) for k in key], F.col("from_site"), F.col("site"))) / F.col("r_weight")
         first = (F.col("_near") <= choices) & (F.col("d2") <= snap2)
-        want = F.struct(F.when(first, 0).otherwise(1).alias("tier"), F.when(first, drawn).otherwise(F.col("d2")).alias("cost"))
-        return met.withColumn("_near", near).withColumn("_want", want).drop("_near", "r_weight")
-
-    open_, reach = cut(lists(base, snap_km)), snap_km
-    point = Window.partitionBy(*key, "from_site").orderBy("_want", "site")
+        met = met.withColumn("_near", near).withColumns({"_tier": F.when(first, 0).otherwise(1), "_cost": F.when(first, drawn).otherwise(F.col("d2"))})
+        return met.drop("_near", "r_weight")
+
+    def turns(pdf: pd.DataFrame) -> pd.DataFrame:
+        pdf = pdf.sort_values(["_order", "from_site", "_tier", "_cost", "site"], kind="stable")
+        used, kept, served = set(), [], None
+        for k, (point, site) in enumerate(zip(pdf["from_site"].tolist(), pdf["site"].tolist(), strict=True)):
+            if point != served and site not in used:
+                used.add(site)
+                kept.append(k)
+                served = point
+        return pdf.iloc[kept][[*key, "from_site", "site", "d2"]]
+
+    listed, reach = cut(lists(base, snap_km)), snap_km
+    kinds = dict(listed.dtypes)
+    schema = ", ".join(f"`{c}` {kinds[c]}" for c in [*key, "from_site", "site", "d2"])
+    whole = None  # points whose lists hold all sites
     while True:
-        n = open_.count()
-        while True:
-            asks = open_.withColumn("_k", F.row_number().over(point)).where("_k = 1")
-            held = asks.groupBy(*key, "site").agg(F.min("_order").alias("_held"))
-            left = cut(open_.join(held, [*key, "site"], "left").where(F.col("_held").isNull() | (F.col("_order") <= F.col("_held"))).drop("_held"))
-            m = left.count()
-            if m == n:
-                break
-            open_, n = left, m
-        lost = base.join(open_.select(*key, "from_site").distinct(), [*key, "from_site"], "left_anti")
-        if reach > widest or lost.isEmpty():
+        taken = cut(listed.groupBy(*key).applyInPandas(turns, schema))
+        lost = base.join(taken.select(*key, "from_site"), [*key, "from_site"], "left_anti")
+        lost = cut(lost if whole is None else lost.join(whole, [*key, "from_site"], "left_anti"))
+        if lost.isEmpty():
             break
-        reach *= 4
-        held = open_.withColumn("_k", F.row_number().over(point)).where("_k = 1").select(*key, "site", F.col("_order").alias("_held"))
-        more = lists(lost, reach).join(held, [*key, "site"], "left").where(F.col("_held").isNull() | (F.col("_order") < F.col("_held"))).drop("_held")
-        open_ = cut(open_.unionByName(more))
-    taken = open_.withColumn("_k", F.row_number().over(point)).where("_k = 1")
+        reach = reach if reach > widest else 4 * reach
+        if reach > widest:
+            now = lost.select(*key, "from_site")
+            whole = now if whole is None else whole.unionByName(now)
+        listed = cut(listed.join(lost.select(*key, "from_site"), [*key, "from_site"], "left_anti").unionByName(lists(lost, reach)))
     return taken.select(*key, "from_site", "site", "d2", (F.col("d2") > snap2).alias("far"))
 
 
@@ -260,16 +267,16 @@ def shifted_null(
         counted = cut(asked.join(reached, key, "left").withColumn("far", F.col("n") - F.coalesce("reached", F.lit(0))).select(*key, "n", "far"))
         seen = counted if seen is None else seen.unionByName(counted)
         good = counted.where(F.col("far") <= allowed).withColumn("_k", F.row_number().over(Window.partitionBy("taxon", "draw").orderBy("try")))
-        while not open_.isEmpty():  # a draw's first good try, then its next
-            one = good.join(open_.select("taxon", "draw"), ["taxon", "draw"], "left_semi").where("_k = 1").select(*key, "n")
+        for some in (F.col("_k") <= GOOD_TRIES, F.col("_k") > GOOD_TRIES):  # the first good tries of every draw, then the rest of the open ones
+            one = cut(good.where(some).join(open_.select("taxon", "draw"), ["taxon", "draw"], "left_semi").select(*key, "n"))
             if one.isEmpty():
                 break
             snapped = cut(snap_to_sites(points.join(one.select(*key), key), sites, key, by, snap_km, choices))
-            fine = snapped.groupBy(*key).agg(F.count_if("far").alias("k")).join(one, key).where(F.col("k") <= allowed).select("taxon", "draw", "try")
+            fine = snapped.groupBy(*key).agg(F.count_if("far").alias("k")).join(one, key).where(F.col("k") <= allowed)
+            fine = fine.groupBy("taxon", "draw").agg(F.min("try").alias("try"))
             now = cut(snapped.join(fine, key, "left_semi").withColumn("best_effort", F.lit(False)))
             placed = now if placed is None else placed.unionByName(now)
             open_ = cut(open_.join(fine.select("taxon", "draw"), ["taxon", "draw"], "left_anti"))
-            good = cut(good.withColumn("_k", F.col("_k") - 1))
         if open_.isEmpty():
             break
     if not open_.isEmpty() and seen is not None:

@@ -42,10 +42,58 @@ def test_nearest_is_exact(spark):
         assert abs(got[k] - np.sqrt(((t - p) ** 2).sum(axis=1)).min()) < 1e-6
 
 
-def test_matching_goes_on_until_no_pair_is_open(spark):
-    rows = [("t", 1, 1, 8, k, k, 2.0 * k) for k in range(8)] + [("t", 1, 1, 8, k, k - 1, 2.0 * k - 1) for k in range(1, 8)]  # one pair a round
-    near = spark.createDataFrame(rows, "taxon string, draw int, try int, n long, from_site long, site long, d2 double")
-    assert {(r["from_site"], r["site"]) for r in K._match(near, ["taxon", "draw", "try"]).collect()} == {(k, k) for k in range(8)}
+def test_points_take_turns_for_sites(spark):
+    rng = np.random.default_rng(6)
+    p, t = rng.uniform(0, 1e5, (60, 2)), rng.uniform(0, 1e5, (70, 2))
+    t[60:] += 1e6  # far ones, taken at last
+    points = spark.createDataFrame([("g", k, float(x), float(y)) for k, (x, y) in enumerate(p)] + [("h", 0, None, 1.0)], "taxon string, from_site long, x double, y double")
+    sites = spark.createDataFrame([(k, float(x), float(y), k + 1) for k, (x, y) in enumerate(t[:62])], "site long, x double, y double, weight long")
+    order = {r["from_site"]: r["o"] for r in points.select("from_site", K.unit_hash(F.col("taxon"), F.col("from_site"), F.lit("order")).alias("o")).where("x is not null").collect()}
+    drawn = {(r["f"], r["s"]): r["u"] for r in points.select(F.col("from_site").alias("f")).crossJoin(sites.select(F.col("site").alias("s"))).select("f", "s", K.unit_hash(F.lit("g"), F.col("f"), F.col("s")).alias("u")).collect()}
+    for choices in (1, 5):
+        got = {r["from_site"]: (r["site"], r["far"]) for r in K.snap_to_sites(points, sites, ["taxon"], choices=choices).collect()}
+        want, used = {}, set()
+        for k in sorted(order, key=order.get):
+            d = np.sqrt(((t[:62] - p[k]) ** 2).sum(axis=1))
+            near = [s for s in np.argsort(d, kind="stable").tolist()]
+            first = [s for s in near[:5] if d[s] <= 25_000] if choices > 1 else []
+            wish = sorted(first, key=lambda s: -np.log(drawn[k, s]) / (s + 1)) + [s for s in near if s not in first]
+            s = next(s for s in wish if s not in used)
+            used.add(s)
+            want[k] = (s, bool(d[s] > 25_000))
+        assert got == want
+
+
+def test_nearest_in_space_equals_brute_force(spark):
+    rng = np.random.default_rng(9)
+    refs = [("ab"[k % 2], float(x), float(y), float(z)) for k, (x, y, z) in enumerate(np.round(rng.normal(size=(400, 3)), 1))]
+    asked = [("abc"[k % 3], k, float(x), None if k == 7 else float(y), float(z)) for k, (x, y, z) in enumerate(rng.normal(size=(90, 3)) * 2)]
+    r = spark.createDataFrame(refs, "g string, u double, v double, w double")
+    q = spark.createDataFrame(asked, "g string, q long, u double, v double, w double")
+    got = {(x["g"], x["q"]): x["distance"] for x in J.nearest_in_space(q, r, ["u", "v", "w"], {"v": 2.0}, by=["g"]).collect()}
+    alone = {x["q"]: x["distance"] for x in J.nearest_in_space(q, r, ["u", "v", "w"]).collect()}
+    z = np.array([x[1:] for x in refs])
+    for g, k, *at in asked:
+        own = np.array([x[0] == g for x in refs])
+        if None in at or not own.any():
+            assert got[g, k] is None
+        else:
+            assert abs(got[g, k] - np.sqrt(((z[own] - at) ** 2 * [1, 2, 1]).sum(axis=1)).min()) < 1e-9
+        assert alone[k] is None if None in at else abs(alone[k] - np.sqrt(((z - at) ** 2).sum(axis=1)).min()) < 1e-9
+    assert J.nearest_in_space(q, r.limit(0), ["u"]).where("distance is not null").count() == 0
+
+
+def test_recorded_near_equals_brute_force(spark):
+    rng = np.random.default_rng(12)
+    points = [(k, float(a), float(b)) for k, (a, b) in enumerate(zip(rng.uniform(-89.9, 89.9, 60), rng.uniform(-180, 180, 60), strict=True))] + [(60, 10.0, 179.9), (61, 89.95, 5.0), (62, -60.0, -179.99)]
+    cells = [("t", p[1] + float(a), p[2] + float(b), 1) for p in points for a, b in rng.normal(0, 0.4, (25, 2))]
+    cells = [(t, max(-90.0, min(90.0, a)), (b + 180) % 360 - 180, n) for t, a, b, n in cells]
+    got = {r["point"]: r["records"] for r in J.recorded_near(spark.createDataFrame(points, "point long, lat double, lng double"), spark.createDataFrame(cells, "taxon string, lat double, lng double, records long"), 50).collect()}
+    c = np.radians([x[1:3] for x in cells])
+    for k, a, b in points:
+        la, lo = np.radians(a), np.radians(b)
+        h = np.sin((c[:, 0] - la) / 2) ** 2 + np.cos(la) * np.cos(c[:, 0]) * np.sin((c[:, 1] - lo) / 2) ** 2
+        assert got.get(k, 0) == (2 * 6371 * np.arcsin(np.sqrt(h)) <= 50).sum()
 
 
 def test_auc_and_boyce_against_numpy(spark):
