@@ -3,9 +3,10 @@
 A pattern is a window of 13 consecutive words of a benchmark item (a shorter item is one window of its own length).  For
 each pattern length, a shift table over blocks of two words tells how far a block lies from the nearest pattern end; a block
 in no pattern lets the search skip every window that holds it.  Blocks are probed at the stride of that longest skip,
-so each window holds exactly one probe; probes that hit give candidate ends, the hash bucket of the candidate's suffix block
-selects test windows, and the words' bytes are compared.  The benchmark is broadcast in blocks of a checked size, as flat arrays
-of about five times its bytes; all rows meet all blocks in narrow passes, so nothing is shuffled and no key can be hot.
+so each window holds exactly one probe; probes that hit give candidate ends.  A candidate's suffix block names a bucket of windows that end
+alike, the words before it select test windows there, and the words' bytes are compared.  Equal windows are one, with a list of items, so
+a window that many items share is compared once.  The benchmark is broadcast in blocks of a checked size, as flat arrays of about five times its
+bytes; texts meet blocks in narrow passes, which hand on what they hit and no texts.
 """
 
 from __future__ import annotations
@@ -44,12 +45,13 @@ def _joined(words: Words) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
 class Patterns:
     """Shift tables and suffix buckets of one block of the benchmark, in flat arrays.
 
-    ``names`` are the items; of each pattern length there are the shift table, and for every window its hash (sorted, so that
-    windows of one hash are a bucket), where it begins and ends in ``joined``, and its item.
+    ``names`` are the items (None for one without an id).  Of each pattern length there are the shift table, the hashes of the suffix blocks (sorted;
+    each a bucket), and for every different window its key (bucket and hash of the words before the suffix, sorted), where it begins and ends in
+    ``joined``, and the run of its items.
     """
 
     def __init__(self, ids: list, texts: list[str | None], width: int = WINDOW):
-        self.names = [str(i) for i in ids]
+        self.names = [None if i is None else str(i) for i in ids]
         data, offsets = string_buffers(pa.array(texts, pa.string()))
         words = Words(data, offsets, byte_table("alnum"))
         h = words.hashes()
@@ -73,12 +75,29 @@ class Patterns:
         skip = np.full(1 << _SHIFT_BITS, m - size + 1, dtype=np.int16)
         for j in range(m - size + 1):
             np.minimum.at(skip, block[first + j], m - size - j)
-        whole = _hash_of(h, first, m)
-        order = np.argsort(whole, kind="stable")
-        return {"size": size, "skip": skip, "keys": whole[order], "start": start[order].astype(np.int32), "end": end[order].astype(np.int32), "item": item[order].astype(np.int32)}
+        suffixes = np.unique(self.blocks_at(h, first + m - size, size))
+        key = self._keys(h, first, m, size, suffixes)
+        order = np.argsort(key, kind="stable")
+        key, start, end, item = key[order], start[order].astype(np.int32), end[order].astype(np.int32), item[order].astype(np.int32)
+        head = np.r_[True, key[1:] != key[:-1]] if len(key) else np.zeros(0, dtype=bool)
+        text = lambda k: self.joined[start[k] : end[k]].tobytes()
+        for k in np.flatnonzero(~head).tolist():  # equal keys whose words differ are windows of their own
+            head[k] = text(k) != text(k - 1)
+        at = np.flatnonzero(head)
+        return {"size": size, "skip": skip, "suffixes": suffixes, "keys": key[at], "start": start[at], "end": end[at], "items": item, "runs": np.r_[at, len(key)]}
+
+    def blocks_at(self, h: np.ndarray, at: np.ndarray, size: int) -> np.ndarray:
+        """Hashes of the blocks that begin at the given words."""
+        return self.blocks(h[at[:, None] + np.arange(size)], size).reshape(len(at))
+
+    def _keys(self, h: np.ndarray, first: np.ndarray, m: int, size: int, suffixes: np.ndarray) -> np.ndarray:
+        """Bucket (the place of the suffix block among ``suffixes``) and 40 bits of the hash of the words before it."""
+        bucket = np.searchsorted(suffixes, self.blocks_at(h, first + m - size, size)).astype(U64)
+        prefix = _hash_of(h, first, m - size) if m > size else np.zeros(len(first), dtype=U64)
+        return (bucket << U64(40)) | (prefix >> U64(24))
 
     def search(self, m: int, h: np.ndarray, bounds: np.ndarray, joined: np.ndarray, start: np.ndarray, end: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
-        """First words of the occurrences of patterns of m words, and the item of each (one row for each item that has the pattern)."""
+        """First words of the occurrences of patterns of m words, and the window that each is."""
         g = self.groups[m]
         size, skip = g["size"], g["skip"]
         stride = m - size + 1
@@ -103,9 +122,13 @@ class Patterns:
         first = first[skip[slot[first + m - size]] == 0]
         if not len(first):
             return none, none
-        whole = _hash_of(h, first, m)
-        low, high = (np.searchsorted(g["keys"], whole, side=s) for s in ("left", "right"))
-        run = high - low  # a bucket: all windows of one hash
+        # the suffix block's bucket, then the windows in it with the same words before
+        block = self.blocks_at(h, first + m - size, size)
+        bucket = np.minimum(np.searchsorted(g["suffixes"], block), len(g["suffixes"]) - 1)
+        first = first[g["suffixes"][bucket] == block]
+        key = self._keys(h, first, m, size, g["suffixes"])
+        low, high = (np.searchsorted(g["keys"], key, side=s) for s in ("left", "right"))
+        run = high - low
         first = np.repeat(first, run)
         window = np.repeat(low - (np.cumsum(run) - run), run) + np.arange(int(run.sum()))
         same = [
@@ -113,7 +136,12 @@ class Patterns:
             for a, b, c, d in zip(start[first].tolist(), end[first + m - 1].tolist(), g["start"][window].tolist(), g["end"][window].tolist(), strict=True)
         ]
         same = np.array(same, dtype=bool)
-        return first[same], g["item"][window[same]].astype(np.int64)
+        return first[same], window[same]
+
+    def items(self, m: int, windows: np.ndarray) -> np.ndarray:
+        """The items of different windows of m words."""
+        g = self.groups[m]
+        return np.concatenate([g["items"][g["runs"][w] : g["runs"][w + 1]] for w in windows.tolist()] or [np.zeros(0, np.int32)])
 
 
 def _hash_of(h: np.ndarray, first: np.ndarray, m: int) -> np.ndarray:
@@ -126,7 +154,6 @@ def _hash_of(h: np.ndarray, first: np.ndarray, m: int) -> np.ndarray:
 
 
 _FIELDS = "n_words long; hits binary; items array<string>; n_hit long"
-_NAMES = ("n_words", "hits", "items", "n_hit")
 
 
 def _scan(patterns) -> object:
@@ -146,34 +173,37 @@ def _scan(patterns) -> object:
                     first, which = known.search(m, h, bounds, joined, start, end)
                     np.add.at(edge, first, 1)
                     np.add.at(edge, first + m, -1)
-                    for r, p in zip((np.searchsorted(bounds, first, side="right") - 1).tolist(), which.tolist(), strict=True):
-                        met.setdefault(r, set()).add(known.names[p])
+                    row = np.searchsorted(bounds, first, side="right") - 1
+                    pairs = np.unique(np.column_stack([row, which]), axis=0) if len(row) else np.zeros((0, 2), np.int64)
+                    for r in np.unique(pairs[:, 0]).tolist():
+                        names = {known.names[p] for p in np.unique(known.items(m, pairs[pairs[:, 0] == r, 1])).tolist()}
+                        met.setdefault(r, set()).update(names - {None})
                 covered = np.cumsum(edge[:-1]) > 0
                 n_words += np.diff(bounds).tolist()
                 for r in range(b - a):
                     some = met.get(r)
-                    hits.append(np.packbits(covered[bounds[r] : bounds[r + 1]]).tobytes() if some else None)
-                    items.append(sorted(some) if some else [])
+                    hits.append(np.packbits(covered[bounds[r] : bounds[r + 1]]).tobytes() if some is not None else None)
+                    items.append(sorted(some or ()))
             if batch.num_columns > 1:  # what earlier blocks of the benchmark found
-                for r, (bits, names) in enumerate(zip(batch.column(1).to_pylist(), batch.column(2).to_pylist(), strict=True)):
-                    if bits is not None:
+                for r, (found, names) in enumerate(zip(batch.column(1).to_pylist(), batch.column(2).to_pylist(), strict=True)):
+                    for bits in found or ():
                         mine = np.frombuffer(hits[r], np.uint8) if hits[r] is not None else np.uint8(0)
                         hits[r] = (np.frombuffer(bits, np.uint8) | mine).tobytes()
-                    items[r] = sorted({*items[r], *names})
+                    items[r] = sorted({*items[r], *(names or ())})
             n_hit = [0 if x is None else int(np.bitwise_count(np.frombuffer(x, np.uint8)).sum()) for x in hits]
             yield [pa.array(n_words, pa.int64()), pa.array(hits, pa.binary()), pa.array(items, pa.list_(pa.string())), pa.array(n_hit, pa.int64())]
 
     return run
 
 
-def _benchmark_blocks(benchmark: DataFrame, item_col: str, text_col: str) -> Iterator[tuple[list, list]]:
-    """The benchmark in blocks of at most about BLOCK_BYTES, each fetched only once its size is known."""
+def _benchmark_blocks(benchmark: DataFrame, item_col: str, text_col: str, block_bytes: int) -> Iterator[tuple[bool, list, list]]:
+    """(whether it is the last, items, texts) of blocks of at most about ``block_bytes``, each fetched only once its size is known."""
     sized = benchmark.select(F.col(item_col).alias("item"), F.col(text_col).alias("text")).where("text is not null")
     total = sized.agg(F.sum(F.octet_length("text"))).first()[0] or 0
-    n = max(1, -(-total // BLOCK_BYTES))
+    n = max(1, -(-total // block_bytes))
     for k in range(n):
         rows = (sized if n == 1 else sized.where(F.expr(f"pmod(xxhash64(item, text), {n}) = {k}"))).collect()
-        yield [r["item"] for r in rows], [r["text"] for r in rows]
+        yield k == n - 1, [r["item"] for r in rows], [r["text"] for r in rows]
 
 
 def with_contamination(
@@ -184,29 +214,36 @@ def with_contamination(
     text_col: str = "text",
     item_col: str = "item_id",
     item_text_col: str = "text",
+    block_bytes: int = BLOCK_BYTES,
 ) -> DataFrame:
     """``docs`` with ``OWN``-prefixed columns n_words, n_hit, n_items, items_sha256, contaminated.
 
     A word is hit when it lies in any occurrence of a window; a text is contaminated when n_hit > 0 and share * n_hit >= n_words.
-    Null text has no words.  Items without words, or null, have no windows.  Equal items all count.  Rows stay where they are,
-    repeated ones and extra columns too; an empty table gives no rows.  Where the benchmark takes several blocks, what each
-    pass finds is written before the next, and its block leaves the executors.
+    Null text has no words.  Items without words, or with a null text, have no windows; the windows of an item without an id hit words and name nothing.
+    Equal items all count.  Rows keep their other columns, repeated rows are judged alike; an empty table gives no rows.  Where the
+    benchmark takes several blocks, each pass but the last writes what it hits, by two hashes of the text (one row for equal texts, none for texts that
+    are not hit), and the last adds it up.
     """
     spark = docs.sparkSession
-    out, scratch, shared = None, Scratch(spark), None
-    for k, (ids, texts) in enumerate(_benchmark_blocks(benchmark, item_col, item_text_col)):
-        if out is not None:
-            out = scratch.write(out, f"pass{k}")
-            shared.unpersist()
-            if k > 1:
-                scratch.drop(f"pass{k - 1}")
+    scratch, passes, out = Scratch(spark), [], None
+    digest = [F.xxhash64(text_col).alias(OWN + "d1"), F.xxhash64(F.lit("again"), text_col).alias(OWN + "d2")]
+    for last, ids, texts in _benchmark_blocks(benchmark, item_col, item_text_col, block_bytes):
         shared = spark.sparkContext.broadcast(Patterns(ids, texts, width))
-        if out is None:
-            out = with_text_columns(docs, _FIELDS, _scan(shared), [F.col(text_col)])
+        if not last:
+            found = with_text_columns(docs.select(*digest, F.col(text_col).alias("text")), _FIELDS, _scan(shared), ["text"]).where(own("hits").isNotNull())
+            found = found.dropDuplicates([OWN + "d1", OWN + "d2"]).select(OWN + "d1", OWN + "d2", own("hits").alias("hits"), own("items").alias("items"))
+            passes.append(scratch.write(found, f"pass{len(passes)}"))
+            shared.unpersist()
+        elif not passes:
+            out = with_text_columns(docs, _FIELDS, _scan(shared), [text_col])
         else:
-            held = out.withColumnsRenamed({OWN + c: f"{OWN}old_{c}" for c in _NAMES})
-            more = with_text_columns(held, _FIELDS, _scan(shared), [F.col(text_col), own("old_hits"), own("old_items")])
-            out = more.drop(*[f"{OWN}old_{c}" for c in _NAMES])
+            every = passes[0]
+            for one in passes[1:]:
+                every = every.unionByName(one)
+            before = every.groupBy(OWN + "d1", OWN + "d2").agg(F.collect_list("hits").alias(OWN + "old_hits"), F.flatten(F.collect_list("items")).alias(OWN + "old_items"))
+            held = docs.withColumns({OWN + "d1": digest[0], OWN + "d2": digest[1]}).join(before, [OWN + "d1", OWN + "d2"], "left")
+            out = with_text_columns(held, _FIELDS, _scan(shared), [text_col, OWN + "old_hits", OWN + "old_items"])
+            out = out.drop(*[OWN + c for c in ("d1", "d2", "old_hits", "old_items")])
     return (
         out.withColumn(OWN + "n_items", F.size(own("items")).cast("long"))
         .withColumn(OWN + "items_sha256", F.sha2(F.array_join(F.array_sort(own("items")), ","), 256))

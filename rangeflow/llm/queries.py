@@ -74,7 +74,7 @@ cand AS (
   SELECT doc_id, m, unnest([{'i': i, 'win': array_to_string(ws[i:i + m - 1], ' ')} FOR i IN range(1, len(ws) - m + 2)]) AS u FROM dw, ms WHERE len(ws) >= m
 ), hit AS (SELECT c.doc_id, c.u.i AS i, c.m, it.item_id FROM cand c JOIN it ON it.m = c.m AND it.win = c.u.win),
 cov AS (SELECT doc_id, count(DISTINCT p) AS n_hit FROM (SELECT doc_id, unnest(range(i, i + m)) AS p FROM (SELECT DISTINCT doc_id, i, m FROM hit)) GROUP BY 1),
-its AS (SELECT doc_id, count(*) AS n_items, string_agg(s, ',' ORDER BY s) AS names FROM (SELECT DISTINCT doc_id, item_id::VARCHAR AS s FROM hit) GROUP BY 1)
+its AS (SELECT doc_id, count(s) AS n_items, string_agg(s, ',' ORDER BY s) AS names FROM (SELECT DISTINCT doc_id, item_id::VARCHAR AS s FROM hit) GROUP BY 1)
 SELECT d.doc_id, len(d.ws)::BIGINT AS n_words, coalesce(cov.n_hit, 0)::BIGINT AS n_hit, coalesce(its.n_items, 0)::BIGINT AS n_items,
   sha256(coalesce(its.names, '')) AS items_sha256, coalesce(cov.n_hit, 0) > 0 AND 20 * coalesce(cov.n_hit, 0) >= len(d.ws) AS contaminated
 FROM dw d LEFT JOIN cov USING (doc_id) LEFT JOIN its USING (doc_id)
