@@ -184,19 +184,23 @@ def toxic_tokens(slots: np.ndarray, bounds: np.ndarray, toxic: np.ndarray) -> np
     return marked[slots].any(axis=0) & toxic[doc]
 
 
-def train(docs: DataFrame, labels: DataFrame, id_col: str = "doc_id", text_col: str = "text", label_col: str = "toxic") -> Field:
-    """The field, from labelled texts of at most SAMPLE_BYTES bytes: about SAMPLE_TOXIC and SAMPLE_CLEAN of them, by a hash of the id.
+def train(
+    docs: DataFrame, labels: DataFrame, id_col: str = "doc_id", text_col: str = "text", label_col: str = "toxic", sample_toxic: int = SAMPLE_TOXIC,
+    sample_clean: int = SAMPLE_CLEAN, sample_bytes: int = SAMPLE_BYTES,
+) -> Field:
+    """The field, from labelled texts of at most ``sample_bytes`` bytes: about ``sample_toxic`` and ``sample_clean`` of them, by a hash of the id.
 
-    Twice as many at most, in labels (which bounds what is broadcast) and in texts.
+    Twice as many at most, in labels (which bounds what is broadcast) and in texts.  A label that only longer texts carry is learned from the shortest
+    of them.
     """
     counts = {r[label_col]: r["count"] for r in labels.where(F.col(label_col).isin(0, 1)).groupBy(label_col).count().collect()}
     pick, hashed = F.lit(False), F.pmod(F.xxhash64(F.col(id_col), F.lit("toxic")), F.lit(1_000_000))
-    for label, most in ((1, SAMPLE_TOXIC), (0, SAMPLE_CLEAN)):
+    for label, most in ((1, sample_toxic), (0, sample_clean)):
         share = min(1_000_000, int(1_000_000 * most / max(1, counts.get(label, 0))) + 1)
         pick = pick | ((F.col(label_col) == label) & (hashed < share))
-    most = 2 * (SAMPLE_TOXIC + SAMPLE_CLEAN)
+    most = 2 * (sample_toxic + sample_clean)
     some = labels.where(pick).groupBy(id_col).agg(F.max(label_col).alias("label")).limit(most)
-    fits = docs.where(F.octet_length(text_col) <= SAMPLE_BYTES)
+    size = F.octet_length(text_col)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
@@ -207,7 +211,14 @@ def train(docs: DataFrame, labels: DataFrame, id_col: str = "doc_id", text_col:
                 parts = [held[:, i:j].tobytes() for i, j in zip(words.row[:-1], words.row[1:], strict=True)]
                 yield pa.RecordBatch.from_arrays([pa.array(label[a:b], pa.int32()), pa.array(parts, pa.binary())], names=["label", "slots"])
 
-    found = fits.join(F.broadcast(some), id_col).select(text_col, F.col("label").cast("int").alias("label")).limit(most).mapInArrow(run, "label int, slots binary").toArrow()
+    met = docs.join(F.broadcast(some), id_col).select(text_col, F.col("label").cast("int").alias("label"))
+    fits = met.where(size <= sample_bytes)
+    found = fits.limit(most).mapInArrow(run, "label int, slots binary").toArrow()
+    if len(set(found["label"].to_pylist())) < len([c for c in (0, 1) if counts.get(c)]):
+        seen = set(found["label"].to_pylist())
+        short = met.where(size > sample_bytes).where(~F.col("label").isin(*seen) if seen else F.lit(True))
+        short = short.groupBy("label").agg(F.min_by(text_col, F.struct(size, text_col)).alias(text_col)).select(text_col, "label")
+        found = pa.concat_tables([found, short.mapInArrow(run, "label int, slots binary").toArrow()])
     field = Field()
     if not found.num_rows:
         return field
@@ -241,9 +252,10 @@ def with_toxicity(docs: DataFrame, field: Field, text_col: str = "text") -> Data
                 scores.append(field.score(m, words.row))
                 out: list = [[] for _ in range(b - a)]
                 hit = np.flatnonzero(m >= 0.5)
+                lead = np.concatenate([[0], np.cumsum((data & 0xC0) != 0x80)])  # code points before each byte
                 for k, row in zip(hit.tolist(), (np.searchsorted(words.row, hit, side="right") - 1).tolist(), strict=True):
                     begin = offsets[row]
-                    points = lambda z: int(((data[begin:z] & 0xC0) != 0x80).sum())  # noqa: B023, E731
+                    points = lambda z: int(lead[z] - lead[begin])  # noqa: B023, E731
                     if out[row] and out[row][-1]["token"] == k - 1:
                         out[row][-1] |= {"end": points(words.end[k]), "token": k}
                     else:
@@ -251,4 +263,4 @@ def with_toxicity(docs: DataFrame, field: Field, text_col: str = "text") -> Data
                 spans += [[{"start": s["start"], "end": s["end"]} for s in row] for row in out]
             yield [pa.array(np.concatenate(scores)), pa.array(spans, span)]
 
-    return with_text_columns(docs, "score double; spans array<struct<start:int,end:int>>", run, [F.col(text_col)])
+    return with_text_columns(docs, "score double; spans array<struct<start:int,end:int>>", run, [text_col])
