@@ -18,12 +18,11 @@ from rangeflow.llm.linear import BITS, SAMPLE_BYTES, Sparse, fit, gram_rows, gra
 from rangeflow.llm.rows import with_text_columns
 from rangeflow.llm.text import byte_table, text_pieces
 
-#: Labelled texts of each language that the machines are fitted on, at most about (twice as many of all together), of at most
-#: SAMPLE_BYTES bytes; and languages, those with the most texts first.
-SAMPLE_ROWS, MOST_LANGUAGES = 500, 128
+#: Labelled texts of each language that the machines are fitted on, at most about (twice as many of all together).
+SAMPLE_ROWS = 500
 GRAM_SCALE = 30.0
 UNKNOWN = "und"
-#: Families of common languages by ISO 639-1 code; any other language is a family of its own.
+#: Families of common languages by ISO 639-1 code; other codes share a family by their first letter, so that pairs stay few.
 FAMILIES = {
     "germanic": ("en", "de", "nl", "sv", "da", "no", "is", "af"),
     "romance": ("fr", "es", "it", "pt", "ro", "ca", "gl"),
@@ -35,7 +34,7 @@ _LETTERS = byte_table("letters")
 
 
 def family_of(lang: str) -> str:
-    return _FAMILY.get(lang, lang)
+    return _FAMILY.get(lang, f"other {lang[:1]}")
 
 
 class Machines:
@@ -85,15 +84,25 @@ class Machines:
         return lang, score
 
 
-def train(labelled: DataFrame, text_col: str = "text", lang_col: str = "lang", id_col: str = "doc_id") -> Machines | None:
-    """Machines from texts with a language: at most about SAMPLE_ROWS of each, by a hash of the id and the text; None without any."""
+def train(labelled: DataFrame, text_col: str = "text", lang_col: str = "lang", id_col: str = "doc_id", sample_rows: int = SAMPLE_ROWS, sample_bytes: int = SAMPLE_BYTES) -> Machines | None:
+    """Machines from texts with a language: about ``sample_rows`` of each, of at most ``sample_bytes`` bytes, by a hash of the id and the text; None without any.
+
+    A language that only longer texts have is learned from the shortest of them.
+    """
     known = labelled.where(F.col(lang_col).isNotNull() & F.col(text_col).isNotNull())
-    counts = known.groupBy(lang_col).count().orderBy(F.desc("count"), lang_col).limit(MOST_LANGUAGES).collect()
+    size = F.octet_length(text_col)
+    counts = known.groupBy(lang_col).agg(F.count_if(size <= sample_bytes).alias("n")).collect()
     if not counts:
         return None
-    share = F.element_at(F.create_map(*[F.lit(x) for r in counts for x in (r[lang_col], int(1_000_000 * SAMPLE_ROWS / r["count"]) + 1)]), F.col(lang_col))
-    fits = known.where(F.octet_length(text_col) <= SAMPLE_BYTES)
-    chosen = fits.where(F.pmod(F.xxhash64(F.col(id_col), F.xxhash64(text_col), F.lit("lang")), F.lit(1_000_000)) < share).limit(2 * SAMPLE_ROWS * len(counts))
+    short = [r for r in counts if r["n"]]
+    fits = known.where(size <= sample_bytes)
+    if short:
+        share = F.element_at(F.create_map(*[F.lit(x) for r in short for x in (r[lang_col], int(1_000_000 * sample_rows / r["n"]) + 1)]), F.col(lang_col))
+        fits = fits.where(F.pmod(F.xxhash64(F.col(id_col), F.xxhash64(text_col), F.lit("lang")), F.lit(1_000_000)) < share)
+    chosen = fits.limit(2 * sample_rows * len(counts)).select(F.col(lang_col).alias("lang"), text_col)
+    if len(short) < len(counts):
+        long = known.where(F.col(lang_col).isin([r[lang_col] for r in counts if not r["n"]]))
+        chosen = chosen.unionByName(long.groupBy(F.col(lang_col).alias("lang")).agg(F.min_by(text_col, F.struct(size, text_col)).alias(text_col)))
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
@@ -104,7 +113,7 @@ def train(labelled: DataFrame, text_col: str = "text", lang_col: str = "lang", i
                     names=["lang", "slots", "shares"],
                 )
 
-    found = chosen.select(F.col(lang_col).alias("lang"), text_col).mapInArrow(run, "lang string, slots binary, shares binary").toArrow()
+    found = chosen.mapInArrow(run, "lang string, slots binary, shares binary").toArrow()
     rows = [(r["lang"], np.frombuffer(r["slots"], np.int32).astype(np.int64), np.frombuffer(r["shares"], np.float32)) for r in found.to_pylist()]
     return Machines(rows) if rows else None
 
@@ -133,4 +142,4 @@ def with_language(docs: DataFrame, machines: Machines | None, text_col: str = "t
                 score.append(sure)
             yield [pa.array(lang, pa.string()), pa.array(np.concatenate(score))]
 
-    return with_text_columns(docs, "lang_pred string; score double", run, [F.col(text_col)])
+    return with_text_columns(docs, "lang_pred string; score double", run, [text_col])
