@@ -6,12 +6,17 @@ sure as the mean score of the different instances it meets, an instance becomes
 instances are seeds of the next round, until a round finds none; strings that could be of a pattern's kind and are not sure yet
 are unknown to it, others count as misses.  Identifiers of sure patterns, of a plausible shape for the pattern's kind, are
 added to the seeds' spans.
+
+Secrets have no fixed format: long strings of letters and digits of high entropy are their seeds, but not yet spans.  They become spans when a
+sure pattern names them, that is when enough different ones stand beside the same words; so do shorter strings beside those words.
 """
 
 from __future__ import annotations
 
+import math
 import re
 from bisect import bisect_left, bisect_right
+from collections import Counter
 from collections.abc import Iterator
 
 import numpy as np
@@ -25,10 +30,14 @@ from rangeflow.llm.rows import OWN, own, with_text_columns
 from rangeflow.llm.store import Scratch
 from rangeflow.llm.text import text_pieces
 
-KINDS = ("email", "ip", "card", "phone")
+KINDS = ("email", "ip", "card", "phone", "secret")
+#: Kinds whose format alone makes a span, and the number of secrets.
+FORMATS, SECRET = 4, 4
+#: A secret's seed: characters and bits of entropy a character at least; and characters of any secret.
+SEED_LENGTH, SEED_ENTROPY, SECRET_LENGTH = 20, 3.0, 10
 #: A pattern counts with this many different seeds and this mean score; an instance with this score.
 MIN_SEEDS, SURE_PATTERN, SURE_INSTANCE = 5, 0.7, 0.8
-#: Discovered spans are broadcast to the texts up to this many rows, and joined by a shuffle beyond.
+#: Discovered spans are broadcast to the texts up to this many rows and spans in all, and joined by a shuffle beyond.
 BROADCAST_SPANS = 100_000
 
 _DOMAIN = re.compile(r"[A-Za-z0-9-]+(?:\.[A-Za-z0-9-]+)+")
@@ -36,7 +45,7 @@ _IP = re.compile(r"(?<![0-9])([0-9]++)\.([0-9]++)\.([0-9]++)\.([0-9]++)")
 _CARD = re.compile(r"[0-9](?:[\x20-]?[0-9])+")
 _PHONE = re.compile(r"\+[0-9][\x20().0-9-]+[0-9]")
 _LIKE = (
-    re.compile(r"[+(]?[0-9](?:[\x20().-]{0,2}[0-9]){5,}"),
+    re.compile(r"(?<![A-Za-z0-9])[+(]?[0-9](?:[\x20().-]{0,2}[0-9]){5,}(?![A-Za-z0-9])"),
     re.compile(r"[A-Za-z0-9]+(?:[-_/][A-Za-z0-9]+)*"),
     re.compile(r"(?<![A-Za-z0-9._%+-])[A-Za-z0-9._%+-]++\x20?[(\[]at[)\]]\x20?[A-Za-z0-9.-]+"),
 )
@@ -97,6 +106,14 @@ def _likely(text: str, taken: list[tuple[int, int, int]]) -> list[tuple[int, int
     return out
 
 
+def _secret_like(s: str) -> bool:
+    """Long, of letters and digits mixed, and as varied as chance would make it."""
+    digits = sum(c in "0123456789" for c in s)
+    if len(s) < SEED_LENGTH or digits < 4 or sum(c.isalpha() for c in s) < 4:
+        return False
+    return -sum(n / len(s) * math.log2(n / len(s)) for n in Counter(s).values()) >= SEED_ENTROPY
+
+
 def _shape(s: str) -> str:
     digits = sum(c in "0123456789" for c in s)
     letters = sum(c.isalpha() for c in s)
@@ -139,7 +156,7 @@ def _hinted(data: np.ndarray, offsets: np.ndarray) -> np.ndarray:
 
 
 def scan(docs: DataFrame) -> DataFrame:
-    """Per row of (id, text): a row key, the formats' spans, and all mentions with their patterns (kind -1: not of a format)."""
+    """Per row of (id, text): a row key, the formats' spans, and all mentions with their patterns (kind -1: of no format; a secret's seed has its kind, and no span yet)."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         row = TaskContext.get().partitionId() << 33
@@ -151,7 +168,7 @@ def scan(docs: DataFrame) -> DataFrame:
                     text = data[offsets[k] : offsets[k + 1]].tobytes().decode("utf-8", "replace")
                     base = base_spans(text)
                     spans[a + k] = [{"start": s, "kind": kind, "end": e} for s, kind, e in base]
-                    every = [(s, e, kind) for s, kind, e in base] + [(s, e, -1) for s, e in _likely(text, base)]
+                    every = [(s, e, kind) for s, kind, e in base] + [(s, e, SECRET if _secret_like(text[s:e]) else -1) for s, e in _likely(text, base)]
                     if every:
                         near = _Context(text)
                         mentions[a + k] = [
@@ -178,12 +195,14 @@ def discover(scanned: DataFrame, scratch: Scratch) -> DataFrame:
     edges = mention.select("surface", "shape", "kind", F.explode("patterns").alias("pattern"))
     edges = scratch.write(edges.groupBy("pattern", "surface", "kind").agg(F.first("shape").alias("shape")), "edges")
     digits = F.regexp_extract("shape", "([0-9]+)$", 1).cast("int")
-    could = [digits.between(*_DIGITS[k]) & (F.col("shape").startswith("at") if k == "email" else F.col("shape").startswith("d")) for k in KINDS]
-    accepted, k = None, 0  # sure instances without a format: (surface, guess, score)
+    could = [digits.between(*_DIGITS[k]) & (F.col("shape").startswith("at") if k == "email" else F.col("shape").startswith("d")) for k in KINDS[:FORMATS]]
+    could.append(F.col("shape").startswith("x") & (F.length("surface") >= SECRET_LENGTH))
+    found_by = (F.col("kind") < 0) | (F.col("kind") >= FORMATS)  # what only patterns can make a span
+    accepted, k = None, 0  # sure instances without a format: (surface, guess, score, whether it was a seed)
     while True:
         known = edges.select("*", F.when(F.col("kind") >= 0, F.col("kind")).alias("guess"), F.when(F.col("kind") >= 0, 1.0).alias("score"))
         if accepted is not None:
-            open_ = known.where("kind < 0").drop("guess", "score").join(accepted, "surface", "left").select(*known.columns)
+            open_ = known.where("kind < 0").drop("guess", "score").join(accepted.where("not seeded"), "surface", "left").select(*known.columns)
             known = known.where("kind >= 0").unionByName(open_)
         counts = [F.count("guess").alias("met")]
         for n, fits in enumerate(could):
@@ -196,12 +215,12 @@ def discover(scanned: DataFrame, scratch: Scratch) -> DataFrame:
         fits = F.lit(False)
         for n, ok in enumerate(could):
             fits = fits | ((F.col("guess") == n) & ok)
-        met = edges.where("kind < 0").join(sure, "pattern").where(fits)
+        met = edges.where(found_by).join(sure, "pattern").where(fits & ((F.col("kind") < 0) | (F.col("kind") == F.col("guess"))))
         if accepted is not None:
             met = met.join(accepted.select("surface"), "surface", "left_anti")
-        votes = met.groupBy("surface", "guess").agg((1 - F.exp(F.sum(F.log(F.greatest(1 - F.col("sure"), F.lit(1e-6)))))).alias("score"))
-        best = votes.groupBy("surface").agg(F.max_by(F.struct("guess", "score"), F.struct("score", "guess")).alias("b"))
-        new = scratch.write(best.select("surface", "b.guess", "b.score").where(F.col("score") >= SURE_INSTANCE), f"new{k}")
+        votes = met.groupBy("surface", "guess").agg(F.max(F.col("kind") >= FORMATS).alias("seeded"), (1 - F.exp(F.sum(F.log(F.greatest(1 - F.col("sure"), F.lit(1e-6)))))).alias("score"))
+        best = votes.groupBy("surface").agg(F.max_by(F.struct("guess", "score", "seeded"), F.struct("score", "guess")).alias("b"))
+        new = scratch.write(best.select("surface", "b.guess", "b.score", "b.seeded").where(F.col("score") >= SURE_INSTANCE), f"new{k}")
         # what is sure stays sure, so each round but the last adds one at least and the rounds end
         if accepted is not None and new.isEmpty():
             break
@@ -209,7 +228,7 @@ def discover(scanned: DataFrame, scratch: Scratch) -> DataFrame:
         if accepted.isEmpty():
             break
         k += 1
-    found = mention.where("kind < 0").join(accepted, "surface")
+    found = mention.where(found_by).join(accepted, "surface")
     return found.select("row", "id", "digest", "start", F.col("guess").alias("kind"), "end")
 
 
@@ -231,7 +250,7 @@ def find(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> Dat
     joined = scanned.select("row", "id", "base").join(more, "row", "left")
     every = F.array_sort(F.concat("base", F.coalesce("more", F.array().cast(_SPAN))))
     kinds = F.transform("base", lambda s: s["kind"])
-    counts = [(F.size("base") - F.size(F.array_remove(kinds, n))).cast("long").alias(f"n_{k}") for n, k in enumerate(KINDS)]
+    counts = [(F.size("base") - F.size(F.array_remove(kinds, n))).cast("long").alias(f"n_{k}") for n, k in enumerate(KINDS[:FORMATS])]
     return joined.select(
         F.col("id").alias(id_col), *counts, F.sha2(_listed(F.array_sort("base"), names), 256).alias("base_sha256"), _listed(every, names).alias("spans")
     )
@@ -247,10 +266,10 @@ def redact(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> D
     scanned = scratch.write(scan(docs.select(F.col(id_col).alias("id"), F.col(text_col).alias("text"))), "scanned")
     found = discover(scanned, scratch).select("digest", "start", "kind", "end").distinct()
     found = scratch.write(found.groupBy("digest").agg(F.collect_set(F.struct("start", "kind", "end")).alias(OWN + "more")).withColumnRenamed("digest", OWN + "digest"), "found")
-    n = found.count()
+    n, spans = found.agg(F.count("*"), F.coalesce(F.sum(F.size(OWN + "more")), F.lit(0))).first()
     keyed = docs
     if n:
-        side = F.broadcast(found) if n <= BROADCAST_SPANS else found
+        side = F.broadcast(found) if spans <= BROADCAST_SPANS else found
         keyed = docs.withColumn(OWN + "digest", F.xxhash64(text_col)).join(side, OWN + "digest", "left").drop(OWN + "digest")
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[list[pa.Array]]:
@@ -274,7 +293,7 @@ def redact(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> D
             else:
                 yield [batch.column(0).cast(pa.string())]
 
-    out = with_text_columns(keyed, "text string", run, [F.col(text_col), *([F.col(OWN + "more")] if n else [])])
+    out = with_text_columns(keyed, "text string", run, [text_col, *([OWN + "more"] if n else [])])
     return out.withColumn(text_col, own("text")).select(*docs.columns)
 
 
