@@ -1,7 +1,8 @@
 """Quality by a weak-label model.
 
-Overlapping heuristic labellers call a text clean, poor, or abstain.  Expectation-maximisation over the counts of their joint
-votes estimates how each behaves on clean and on poor texts, without labels; the posteriors of a bounded sample train a
+Overlapping heuristic labellers, some of which often err, call a text clean, poor, or abstain.  Expectation-maximisation over the counts of
+their joint votes estimates, without labels and without bounds, how often each calls clean texts poor and poor ones clean.  Poor texts are of
+several kinds, since labellers that see the same fault agree within a kind and not beyond it.  The posteriors of a bounded sample train a
 hashed linear scorer of byte n-grams and binned statistics, which then scores every whole text.
 """
 
@@ -22,7 +23,7 @@ from rangeflow.llm.text import Words, byte_table, text_pieces
 SAMPLE_ROWS = 3000
 GRAM_SCALE = 30.0
 POOR, CLEAN, ABSTAIN = 0, 1, 2
-MOST_WRONG = 0.001
+POOR_KINDS, PRIOR_TEXTS = 3, 20
 #: (statistic, clean below, poor above, fewest words); a text between the two, or shorter, gets no vote.
 LABELLERS = (
     ("symbols", 0.02, 0.06, 1),
@@ -31,7 +32,13 @@ LABELLERS = (
     ("shouting", 0.05, 0.2, 3),
     ("repetition", 0.45, 0.65, 20),
     ("echo", 0.05, 0.2, 10),
+    ("unlettered", 0.21, 0.25, 20),
+    ("long words", 6.9, 7.3, 20),
+    ("variety", 4.25, 4.42, 40),
+    ("monotony", 1.4, 1.55, 40),
 )
+#: Where each kind of poor text starts from: junk, repetition, shouting.
+_SEEN_BY = (("symbols", "tables", "unlettered"), ("repetition", "echo"), ("capitals", "shouting"))
 _EDGES = np.array([0.005, 0.02, 0.05, 0.1, 0.2, 0.35, 0.5, 0.65, 0.8])
 _SLOTS = np.array([[named_slot(f"{name}:{k}") for k in range(len(_EDGES) + 1)] for name, *_ in LABELLERS])
 
@@ -61,8 +68,13 @@ def statistics(data: np.ndarray, offsets: np.ndarray) -> tuple[np.ndarray, np.nd
     distinct = np.array([len(np.unique(h[a:b])) for a, b in zip(bounds[:-1], bounds[1:], strict=True)], dtype=np.float64)
     some = np.maximum(n, 1)
     solid = np.maximum(np.diff(offsets) - space, 1)
-    table = np.stack([symbol / solid, upper / np.maximum(letter, 1), pipe / some, shout / some, np.where(n > 0, 1 - distinct / some, 0), row_sums(same, bounds) / some], axis=1)
-    return n, table
+    size = np.diff(offsets)
+    row = np.repeat(np.arange(len(size)), size)
+    share = np.bincount(row * 256 + data, minlength=256 * len(size)).reshape(len(size), 256) / np.maximum(size, 1)[:, None]
+    entropy = -(share * np.log2(share, out=np.zeros_like(share), where=share > 0)).sum(axis=1)
+    unlettered = 1 - (letter + per_row(data >= 0x80)) / np.maximum(size, 1)
+    table = [symbol / solid, upper / np.maximum(letter, 1), pipe / some, shout / some, np.where(n > 0, 1 - distinct / some, 0), row_sums(same, bounds) / some]
+    return n, np.stack([*table, unlettered, size / some, entropy, np.where(size > 0, 5 - entropy, 0)], axis=1)
 
 
 def votes(n: np.ndarray, table: np.ndarray) -> np.ndarray:
@@ -79,35 +91,53 @@ _BASE = 3 ** np.arange(len(LABELLERS))
 
 
 class LabelModel:
-    """Accuracies of the labellers by expectation-maximisation over the counts of joint votes (3^6 rows at most).
+    """Accuracies of the labellers by expectation-maximisation over the counts of joint votes (3^10 rows at most).
 
-    An abstention says nothing.  A labeller calls at most MOST_WRONG of the clean texts poor: this bound is what tells the two
-    classes apart, all else is estimated.
+    A text is clean or of one of ``POOR_KINDS`` kinds of poor; ``poor_vote[c, k]`` is the chance that labeller ``k``, if it votes, calls a text of
+    class ``c`` poor.  All chances are estimated freely (one made-up vote each way keeps them off 0 and 1), the shares with the weight of
+    ``PRIOR_TEXTS`` texts on what they start from; the class with the largest share is the clean one.  An abstention says nothing.
     """
 
-    def __init__(self, codes: np.ndarray, counts: np.ndarray, rounds: int = 60):
-        shown = np.eye(3)[(codes[:, None] // _BASE) % 3]  # pattern x labeller x vote
-        self.clean = 0.85
-        self.poor_vote = np.stack([np.full(len(LABELLERS), 0.5), np.full(len(LABELLERS), MOST_WRONG)])
-        weight = counts / max(1, counts.sum())
+    def __init__(self, codes: np.ndarray, counts: np.ndarray, rounds: int = 200):
+        shown = _shown(codes)
+        prior = self.share = np.array([0.85, *[0.15 / POOR_KINDS] * POOR_KINDS])
+        self.poor_vote = np.full((1 + POOR_KINDS, len(LABELLERS)), 0.2)
+        self.poor_vote[0] = 0.05
+        for c, names in enumerate(_SEEN_BY, 1):
+            self.poor_vote[c, [k for k, (name, *_) in enumerate(LABELLERS) if name in names]] = 0.7
         for _ in range(rounds if len(codes) else 0):
-            p = self._posterior(shown)
-            self.clean = float(np.clip((weight * p).sum(), 0.02, 0.98))
-            for c, w in ((POOR, weight * (1 - p)), (CLEAN, weight * p)):
-                got = np.einsum("i,ijk->jk", w, shown) + 1e-5
-                self.poor_vote[c] = got[:, POOR] / (got[:, POOR] + got[:, CLEAN])
-            self.poor_vote[CLEAN] = np.clip(self.poor_vote[CLEAN], 1e-4, MOST_WRONG)
-            self.poor_vote[POOR] = np.clip(self.poor_vote[POOR], 0.1, 0.98)
-
-    def _posterior(self, shown: np.ndarray) -> np.ndarray:
-        weigh = np.zeros((len(LABELLERS), 3))
-        weigh[:, POOR] = np.log(self.poor_vote[CLEAN] / self.poor_vote[POOR])
-        weigh[:, CLEAN] = np.log((1 - self.poor_vote[CLEAN]) / (1 - self.poor_vote[POOR]))
-        return sigmoid(np.einsum("ijk,jk->i", shown, weigh) + np.log(self.clean / (1 - self.clean)))
+            w = self._classes(shown) * counts[:, None]
+            self.share = (w.sum(axis=0) + PRIOR_TEXTS * prior) / (counts.sum() + PRIOR_TEXTS)
+            got = np.einsum("ic,ijk->cjk", w, shown) + 1
+            self.poor_vote = got[..., POOR] / (got[..., POOR] + got[..., CLEAN])
+        first = np.argsort(-self.share, kind="stable")
+        self.share, self.poor_vote = self.share[first], self.poor_vote[first]
+
+    @property
+    def clean(self) -> float:
+        """Share of clean texts."""
+        return float(self.share[0])
+
+    def accuracies(self) -> dict[str, tuple[float, float]]:
+        """Of each labeller: how often its votes on clean and on poor texts are right."""
+        poor = self.share[1:] @ self.poor_vote[1:] / self.share[1:].sum()
+        return {name: (float(1 - self.poor_vote[0, k]), float(poor[k])) for k, (name, *_) in enumerate(LABELLERS)}
+
+    def _classes(self, shown: np.ndarray) -> np.ndarray:
+        weigh = np.zeros((*self.poor_vote.shape, 3))
+        weigh[..., POOR], weigh[..., CLEAN] = np.log(self.poor_vote), np.log(1 - self.poor_vote)
+        z = np.log(self.share) + np.einsum("ijk,cjk->ic", shown, weigh)
+        p = np.exp(z - z.max(axis=1, keepdims=True))
+        return p / p.sum(axis=1, keepdims=True)
 
     def posterior(self, codes: np.ndarray) -> np.ndarray:
         """Probability that a text with these votes is clean."""
-        return self._posterior(np.eye(3)[(np.asarray(codes)[:, None] // _BASE) % 3])
+        return self._classes(_shown(codes))[:, 0]
+
+
+def _shown(codes: np.ndarray) -> np.ndarray:
+    """Votes as ones: pattern x labeller x vote."""
+    return np.eye(3)[(np.asarray(codes, dtype=np.int64)[:, None] // _BASE) % 3]
 
 
 def _codes(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -164,5 +194,5 @@ def with_quality(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text"
                 score.append(np.where(n > 0, sigmoid(GRAM_SCALE * mean + w[bins].sum(axis=1) + b), model.clean))
             yield [pa.array(np.concatenate([*post, []])), pa.array(np.concatenate([*score, []]))]
 
-    scored = with_text_columns(docs, "posterior double; score double", run, [F.col(text_col)])
+    scored = with_text_columns(docs, "posterior double; score double", run, [text_col])
     return scored.withColumn(OWN + "keep", own("score") >= 0.5)
