@@ -28,10 +28,10 @@ from rangeflow.llm.store import Scratch
 from rangeflow.llm.text import U64, mix, span_hashes, string_buffers
 
 #: Bytes of text that a task adds up before it sends phrases; a longer document is a piece of its own.
-FLUSH_BYTES = 6 << 20
+FLUSH_BYTES = 4 << 20
 
 #: Bytes of hashes in one range of a shard, and bits of the candidates' bitmap at most.
-RANGE_BYTES, FILTER_BITS = 16 << 20, 1 << 28
+RANGE_BYTES, FILTER_BITS = 12 << 20, 1 << 28
 
 _BREAKS = np.zeros(256, dtype=np.uint8)  # 0: of a word, 1: between words, 2: between pieces
 _BREAKS[[0x20, 0x09]] = 1
@@ -291,6 +291,8 @@ def collocations(
     rows = left.select("grp", "phrase", "a", F.col("cut.l").alias("l"), F.col("cut.r").alias("r"), F.col("cut.score").alias("score"))
     order = [F.desc("score"), F.desc("a"), F.col("phrase")]
     salt = F.pmod(F.xxhash64("phrase"), F.lit(int(spark.conf.get("spark.sql.shuffle.partitions"))))
-    rows = rows.withColumn("salt", salt).withColumn("rank", F.row_number().over(Window.partitionBy("grp", "salt").orderBy(*order))).where(F.col("rank") <= most)
+    rows = rows.withColumn("salt", salt)
+    for few in (salt, F.col("salt") % 8):  # the first of every part, then of eight parts, and at last of the group
+        rows = rows.withColumn("salt", few).withColumn("rank", F.row_number().over(Window.partitionBy("grp", "salt").orderBy(*order))).where(F.col("rank") <= most)
     rows = rows.withColumn("rank", F.row_number().over(Window.partitionBy("grp").orderBy(*order))).where(F.col("rank") <= most)
     return rows.join(totals, "grp").select(F.col("grp").alias(group), "rank", "phrase", "a", "l", "r", "n", "score")
