@@ -227,32 +227,74 @@ def test_label_model_equals_plain_expectation_maximisation():
     counts = rng.integers(1, 50, len(codes)).astype(float)
     model = quality.LabelModel(codes, counts, rounds=5)
     votes = [[(c // 3**k) % 3 for k in range(n)] for c in codes.tolist()]
-    clean, p = 0.85, {0: [0.5] * n, 1: [quality.MOST_WRONG] * n}
-
-    def posterior(v):
-        a, b = clean, 1 - clean
-        for k, x in enumerate(v):
-            if x != quality.ABSTAIN:
-                a *= p[1][k] if x == quality.POOR else 1 - p[1][k]
-                b *= p[0][k] if x == quality.POOR else 1 - p[0][k]
-        return a / (a + b)
+    share = [0.85, 0.05, 0.05, 0.05]
+    names = [name for name, *_ in quality.LABELLERS]
+    p = [[0.05] * n] + [[0.7 if name in seen else 0.2 for name in names] for seen in quality._SEEN_BY]
+
+    def classes(v):
+        a = list(share)
+        for c in range(4):
+            for k, x in enumerate(v):
+                if x != quality.ABSTAIN:
+                    a[c] *= p[c][k] if x == quality.POOR else 1 - p[c][k]
+        return [x / sum(a) for x in a]
 
     for _ in range(5):
-        w = counts / counts.sum()
-        post = [posterior(v) for v in votes]
-        clean = min(0.98, max(0.02, sum(x * q for x, q in zip(w, post, strict=True))))
-        for c, share in ((0, [1 - q for q in post]), (1, post)):
+        post = [classes(v) for v in votes]
+        start = (0.85, 0.05, 0.05, 0.05)
+        share = [(20 * start[c] + sum(x * q[c] for x, q in zip(counts, post, strict=True))) / (counts.sum() + 20) for c in range(4)]
+        for c in range(4):
             for k in range(n):
-                poor, fine = (1e-5 + sum(x * s for x, s, v in zip(w, share, votes, strict=True) if v[k] == kind) for kind in (quality.POOR, quality.CLEAN))
-                low, high = (0.1, 0.98) if c == 0 else (1e-4, quality.MOST_WRONG)
-                p[c][k] = min(high, max(low, poor / (poor + fine)))
-    assert np.allclose(model.posterior(codes), [posterior(v) for v in votes])
+                poor, fine = (1 + sum(x * q[c] for x, q, v in zip(counts, post, votes, strict=True) if v[k] == kind) for kind in (quality.POOR, quality.CLEAN))
+                p[c][k] = poor / (poor + fine)
+    first = share.index(max(share))
+    assert np.allclose(model.posterior(codes), [classes(v)[first] for v in votes])
+
+
+def test_erring_labellers_are_found_out():
+    """A labeller that cries wolf on a quarter of the clean texts does not decide, though any one vote would under an OR."""
+    rng = np.random.default_rng(1)
+    n, m = len(quality.LABELLERS), 4000
+    kind = rng.choice(4, m, p=[0.8, 0.08, 0.06, 0.06])
+    wrong = np.full(n, 0.01)
+    wrong[8] = 0.25
+    votes = np.where(rng.random((m, n)) < wrong, quality.POOR, quality.CLEAN)
+    for c, seen in enumerate(quality._SEEN_BY, 1):
+        for k, (name, *_) in enumerate(quality.LABELLERS):
+            rows = kind == c
+            votes[rows, k] = np.where(rng.random(rows.sum()) < (0.8 if name in seen else 0.05), quality.POOR, quality.CLEAN)
+    codes, counts = np.unique(votes @ quality._BASE, return_counts=True)
+    model = quality.LabelModel(codes, counts.astype(float))
+    called = model.posterior(votes @ quality._BASE) < 0.5
+    known = model.accuracies()
+    assert abs(known["variety"][0] - 0.75) < 0.05 and known["symbols"][0] > 0.97 and abs(model.clean - 0.8) < 0.05
+    assert called[kind == 0].mean() < 0.02 < 0.2 < (votes == quality.POOR).any(axis=1)[kind == 0].mean() and called[kind > 0].mean() > 0.8
+
+
+def test_contamination_in_passes_equals_one_pass(spark):
+    rng = random.Random(4)
+    word = lambda: "".join(rng.choice("abcde") for _ in range(2))
+    items = [" ".join(word() for _ in range(rng.choice((3, 9, 15, 30)))) for _ in range(40)]
+    items += items[:3]
+    docs = [(k, " ".join([word() for _ in range(20)] + (items[k % 43].split()[: rng.randint(3, 30)] if k % 2 else []) + [word() for _ in range(5)]), "x") for k in range(60)]
+    docs += [docs[1], (None, None, "x"), (61, "", "x")]
+    d = spark.createDataFrame(docs, "doc_id long, text string, d1 string")
+    b = spark.createDataFrame(list(enumerate(items)), "item_id long, text string")
+    rows = lambda f: sorted((tuple(map(str, r)) for r in f.select("doc_id", "text", "d1", *[own(c) for c in ("n_words", "n_hit", "n_items", "items_sha256", "contaminated")]).collect()))
+    one = rows(decontam.with_contamination(d, b))
+    assert one == rows(decontam.with_contamination(d, b, block_bytes=300)) and len(one) == 63 and sum(r[4] != "0" for r in one) > 20
+
+
+def test_shared_windows_are_one_pattern():
+    text = " ".join(f"w{k}" for k in range(13))
+    known = decontam.Patterns(list(range(5000)), [text] * 5000)
+    assert len(known.groups[13]["keys"]) == 1 and len(known.items(13, np.array([0]))) == 5000
 
 
 def test_contamination_of_odd_rows(spark):
     item = " ".join(f"w{k}" for k in range(20))
     rows = [(1, long_text(0) + item, "a"), (2, item, "b"), (2, item, "b"), (3, "clean", "c")]
     docs = spark.createDataFrame(rows, "doc_id long, text string, contaminated string")
-    bench = spark.createDataFrame([(1, item), (2, item), (3, item + " x")], "item_id long, text string")
+    bench = spark.createDataFrame([(1, item), (2, item), (3, item + " x"), (None, item), (4, None)], "item_id long, text string")
     got = decontam.with_contamination(docs, bench).select("doc_id", own("n_hit").alias("h"), own("n_items").alias("i"), own("contaminated").alias("c")).collect()
     assert sorted(map(tuple, got)) == [(1, 20, 3, False), (2, 20, 3, True), (2, 20, 3, True), (3, 0, 0, False)]

@@ -217,6 +217,35 @@ def test_patterns_discover_identifiers(spark):
     assert all(got[k].startswith("phone:") for k in (60, 61)) and got[62] == ""
 
 
+def test_secrets_beside_the_same_words_are_found(spark):
+    rng = random.Random(11)
+    secret = lambda n, of="0123456789abcdef": "".join(rng.choice(of) for _ in range(n))
+    rows, planted = [], {}
+    for k in range(120):
+        before = prose(rng, 6)
+        s = secret(40) if k < 80 else secret(24, "ABCDEFGHJKLMNPQRSTUVWXYZ23456789") if k < 100 else secret(5) + "7" + secret(5) + "1942"
+        rows.append(f"{before} {'token' if k % 3 else 'TOKEN'} = \"{s}\" {prose(rng, 3)}")
+        planted[k] = (len(before) + 10 - 0, len(s))
+    clean = [f"{prose(rng, 8)} model x{rng.randrange(100000)} {prose(rng, 4)}" for _ in range(60)] + [f"{prose(rng, 3)} {secret(40)} {prose(rng, 3)}" for _ in range(3)]
+    got = {r["doc_id"]: r for r in pii.find(frame(spark, rows + clean)).collect()}
+    caught = sum(any(x == f"secret:{planted[k][0]}:{planted[k][0] + planted[k][1]}" for x in got[k]["spans"].split(",")) for k in planted)
+    assert caught >= 0.95 * len(planted)
+    assert not any("secret" in got[k]["spans"] for k in range(len(rows), len(rows) + len(clean)))
+    assert all(r["base_sha256"] == hashlib.sha256(b"").hexdigest() for r in got.values())  # secrets have no format
+    hidden = {r["doc_id"]: r["text"] for r in pii.redact(frame(spark, rows)).collect()}
+    assert "<SECRET>" in hidden[0] and rows[0][planted[0][0] : sum(planted[0])] not in hidden[0]
+
+
+def test_personal_data_of_odd_rows(spark):
+    long = prose(random.Random(2), 30_000) + " a@b.cd"
+    rows = [(1, long, "s"), (2, None, "s"), (2, None, "s"), (3, "a@b.cd", "s"), (3, "a@b.cd", "s")]
+    docs = spark.createDataFrame(rows, "doc_id long, text string, mentions string")
+    got = pii.find(docs).collect()
+    assert len(got) == 5 and sum(r["n_email"] for r in got) == 3 and pii.find(docs.limit(0)).count() == 0
+    out = pii.redact(docs)
+    assert out.columns == docs.columns and sorted(str(r["text"])[-7:] for r in out.collect()) == ["<EMAIL>"] * 3 + ["None", "None"] and pii.redact(docs.limit(0)).count() == 0
+
+
 def test_discovery_goes_on_until_nothing_is_new(spark):
     phone = lambda k: f"2125550{k}"
     half = [f"please call {'+1 212 555 %04d' % k} {'abcdefgh'[k % 8]}" for k in range(20)] + [f"please call {phone(100 + k)}" for k in range(20)]

@@ -1,8 +1,11 @@
 """Fitted operators on held-out rows, and the pipeline's stages."""
 
 import random
+import time
 
+import numpy as np
 import pytest
+from pyspark.sql import functions as F
 
 import corpus_pipeline
 from rangeflow.llm import langid, quality, toxicity
@@ -93,3 +96,53 @@ def test_stages_keep_columns_and_odd_rows(spark, k):
     assert out.columns == docs.columns and out.dtypes == docs.dtypes
     assert {10**9, 10**9 + 1} <= {r["doc_id"] for r in out.select("doc_id").collect()}
     assert stage(spark, docs.limit(0), "/root/testdata/sf0.001").count() == 0
+
+
+def test_offsets_of_a_very_long_toxic_text(spark):
+    docs, labels = (spark.read.parquet(f"{DIR}/{t}.parquet") for t in ("documents", "labels"))
+    field = toxicity.train(docs.select("doc_id", "text"), labels)
+    toxic = docs.join(labels.where("toxic = 1"), "doc_id")
+    spans = toxicity.with_toxicity(toxic, field).where(F.size(own("spans")) > 0).select("text", own("spans").alias("s")).first()
+    words = spans["text"][spans["s"][0]["start"] : spans["s"][0]["end"]]
+    long = f"é {words} {spans['text'][:200]} " * (720_000 // (len(words) + 204))
+    began = time.time()
+    got = toxicity.with_toxicity(spark.createDataFrame([(1, long)], "doc_id long, text string"), field).select(own("spans").alias("s")).first()["s"]
+    assert time.time() - began < 20 and len(got) > 1000
+    at = [(x["start"], x["end"]) for x in got]
+    assert at == sorted(at) and all(long[a - 1] == " " and not long[a:b].startswith(" ") and not long[a:b].endswith(" ") for a, b in at if a)
+
+
+def test_odd_rows_of_toxicity_and_language(spark):
+    docs = spark.read.parquet(f"{DIR}/documents.parquet").select("doc_id", "text", "lang")
+    labels = spark.read.parquet(f"{DIR}/labels.parquet")
+    field, machines = toxicity.train(docs, labels), langid.train(docs)
+    long = " ".join(["und der die das nicht gleh"] * 40_000)
+    odd = spark.createDataFrame([(1, long, 0.1), (1, long, 0.1), (2, None, 0.2), (3, "", 0.3)], "doc_id long, text string, score double")
+    for out in (toxicity.with_toxicity(odd, field), langid.with_language(odd, machines)):
+        rows = out.select("doc_id", "score", own("score").alias("s")).collect()
+        assert len(rows) == 4 and sorted(r["score"] for r in rows) == [0.1, 0.1, 0.2, 0.3] and len({r["s"] for r in rows if r["doc_id"] == 1}) == 1
+    assert toxicity.with_toxicity(odd.limit(0), field).count() == 0 and langid.with_language(odd.limit(0), machines).count() == 0
+
+
+def test_held_out_rows_are_not_learned_from(spark):
+    """The query's predictions stay the same when the held-out rows' own language and label say otherwise."""
+    docs = spark.read.parquet(f"{DIR}/documents.parquet")
+    part = F.crc32(F.col("doc_id").cast("string").cast("binary")) % 3
+    twisted = docs.withColumn("lang", F.when(part == 1, "xx").otherwise(F.col("lang")))
+    one, two = (langid.train(d.where(part != 1)) for d in (docs, twisted))
+    assert one.langs == two.langs and all(np.array_equal(one.pairs[k][0], two.pairs[k][0]) for k in one.pairs)
+
+
+def test_languages_of_only_long_texts_are_learned(spark):
+    rows = [(k, "der die das und nicht " * 5, "de") for k in range(30)] + [(100, "le la les et pas " * 5000, "fr"), (101, "le la les et pas " * 4000, "fr")]
+    machines = langid.train(spark.createDataFrame(rows, "doc_id long, text string, lang string"))
+    assert machines.langs == ["de", "fr"]
+    many = [(k, f"{'abcdefghijklmnopqrstuvwxyz'[k % 26] * 5} " * 10, f"{'abcdefghijklmnopqrstuvwxyz'[k % 26]}{k:03d}") for k in range(150)]
+    assert len(langid.train(spark.createDataFrame(many, "doc_id long, text string, lang string")).langs) == 150
+
+
+def test_label_model_differs_from_any_one_vote(spark):
+    docs = spark.read.parquet(f"{DIR}/documents.parquet").select("doc_id", "text")
+    model, _, _ = quality.train(docs)
+    right = model.accuracies()
+    assert 0.7 < model.clean < 0.95 and all(clean > 0.9 for clean, _ in right.values()) and any(clean < 0.999 for clean, _ in right.values())
