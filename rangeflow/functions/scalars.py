@@ -222,5 +222,7 @@ def rows_hash(row_hash: Column) -> Column:
     Sums four lanes of 60 bits of the rows' hashes and hashes the sums with the count, so that partial sums combine before the
     shuffle and a group of any size is a few numbers.
     """
-    lane = lambda k: F.conv(F.substring(row_hash, 15 * k + 1, 15), 16, 10).cast("decimal(28,0)")
-    return F.sha2(F.concat_ws(":", *[F.sum(lane(k)).cast("string") for k in range(4)], F.count("*").cast("string")), 256)
+    lane = lambda k: F.conv(F.substring(row_hash, 15 * k + 1, 15), 16, 10).cast("long")
+    half = lambda x: F.sum(x).cast("decimal(28,0)")  # noqa: E731  sums of 30 bits stay in 64 for 2^33 rows
+    total = lambda k: half(F.shiftright(lane(k), 30)) * F.lit(1 << 30).cast("decimal(10,0)") + half(lane(k).bitwiseAND(F.lit((1 << 30) - 1)))
+    return F.sha2(F.concat_ws(":", *[total(k).cast("decimal(38,0)").cast("string") for k in range(4)], F.count("*").cast("string")), 256)

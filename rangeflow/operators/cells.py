@@ -100,9 +100,9 @@ def mask_to_area(cells: DataFrame, detections: DataFrame, buffer_km: float = 500
     return accessible_sites(cells, detections, buffer_km)
 
 
-def full_extent(scored: DataFrame, cells: DataFrame, taxa: DataFrame, key: str = "cell") -> DataFrame:
-    """CEL8: cells of each taxon that are not scored yet."""
-    return taxa.select("taxon").distinct().join(cells, how="cross").join(scored.select("taxon", key), ["taxon", key], "left_anti")
+def full_extent(scored: DataFrame, cells: DataFrame, detections: DataFrame, buffer_km: float = 500, key: str = "cell") -> DataFrame:
+    """CEL8: cells of each taxon's accessible area that are not scored yet."""
+    return mask_to_area(cells, detections, buffer_km).join(scored.select("taxon", key), ["taxon", key], "left_anti")
 
 
 def upsert_manifest(manifest: DataFrame, entries: DataFrame, key: str = "layer") -> DataFrame:

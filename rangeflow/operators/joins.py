@@ -51,9 +51,12 @@ def sequence_names(records: DataFrame, sequences: DataFrame, links: DataFrame, p
 
 def dna_names(records: DataFrame, names: DataFrame, keep_unnamed: bool = False) -> DataFrame:
     """JOI2: records with ``record_name``, the name their sequences agree on as ``scientific_name`` (null: left out) and ``name_status``."""
+    from rangeflow.operators.lineage import cut
+
     cleaned = names.select("id", F.trim("species_name").alias("n")).where("n <> ''").distinct()
     # keys are worked out once per spelling, of which there are few beside the records
-    keys = cleaned.select("n").union(records.select(F.trim("scientific_name"))).where("n is not null").distinct().withColumn("k", name_key("n"))
+    keys = cleaned.select("n").union(records.select(F.trim("scientific_name"))).where("n is not null").distinct()
+    keys = cut(keys.withColumn("k", name_key("n")))
     cleaned = cleaned.join(keys, "n")
     sets = cleaned.groupBy("id").agg(F.array_sort(F.collect_set("n")).alias("_seqs"), F.count_distinct("k").alias("_kinds"))
     record = F.trim(F.col("record_name"))

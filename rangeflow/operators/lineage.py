@@ -34,4 +34,4 @@ def numbered(df: DataFrame, order: list[str], out: str) -> DataFrame:
     rows = cut(rows.select("*", F.shiftright(at, 33).alias("_part"), at.bitwiseAND(F.lit((1 << 33) - 1)).alias("_place")))
     before = Window.orderBy("_part").rowsBetween(Window.unboundedPreceding, -1)
     base = rows.groupBy("_part").agg(F.count("*").alias("_n")).select("_part", F.coalesce(F.sum("_n").over(before), F.lit(0)).alias("_base"))
-    return rows.join(base, "_part").withColumn(out, (F.col("_base") + F.col("_place") + 1).cast("int")).drop("_part", "_place", "_base")
+    return rows.join(base, "_part").withColumn(out, (F.col("_base") + F.col("_place") + 1).cast("long")).drop("_part", "_place", "_base")

@@ -307,7 +307,7 @@ def cluster_bootstrap(rows: DataFrame, cluster: str, values: list[str], reps: in
     if listed.count() <= BROADCAST_CLUSTERS:
         listed = F.broadcast(listed)
     slots = size.select("*", F.explode(F.sequence(F.lit(1), F.lit(reps))).alias("rep")).select("*", F.explode(F.sequence(F.lit(1), F.col("_n"))).alias("slot"))
-    pick = (F.floor(unit_hash(F.lit(seed), *[F.col(b) for b in by], F.col("rep"), F.col("slot")) * F.col("_n")) + 1).cast("int")
+    pick = (F.floor(unit_hash(F.lit(seed), *[F.col(b) for b in by], F.col("rep"), F.col("slot")) * F.col("_n")) + 1).cast("long")
     drawn = slots.withColumn("_k", pick).join(listed, [*by, "_k"])
     means = drawn.groupBy("rep").agg(*[(F.sum(v) / F.sum("_c")).alias(v) for v in values])
     out = F.array(*[F.struct(F.lit(v).alias("value"), F.avg(v).alias("mean"), F.percentile(v, 0.025).alias("low"), F.percentile(v, 0.975).alias("high")) for v in values])

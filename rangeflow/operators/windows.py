@@ -176,9 +176,12 @@ def quantile_gap(df: DataFrame, by: list[str], value: str, side: str, n: int = 1
 
 
 def keyset_windows(bounds: DataFrame, bound: str = "bound") -> DataFrame:
-    """WIN12: (after, through] windows from page ends, the last one open (bounds are one small row per page)."""
-    w = Window.orderBy(bound)
-    closed = bounds.select(F.coalesce(F.lag(bound).over(w), F.lit(0)).alias("after"), F.col(bound).alias("through"))
+    """WIN12: (after, through] windows from page ends, the last one open; ends are numbered by ranges and meet the one before."""
+    from rangeflow.operators.lineage import cut, numbered
+
+    rows = cut(numbered(bounds.select(F.col(bound).alias("through")), ["through"], "_k"))
+    before = rows.select((F.col("_k") + 1).alias("_k"), F.col("through").alias("_before"))
+    closed = rows.join(before, "_k", "left").select(F.coalesce("_before", F.lit(0)).alias("after"), "through")
     last = bounds.agg(F.max(bound).alias("after")).select("after", F.lit(None).cast("long").alias("through"))
     return closed.unionByName(last)
 

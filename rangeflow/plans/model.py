@@ -23,9 +23,9 @@ from rangeflow.functions.scalars import tier as tier_of
 
 from rangeflow.operators.aggs import paired_arms, pass_rates
 from rangeflow.operators.lineage import cut
-from rangeflow.operators.joins import accessible_sites, nearest_in_space, within
+from rangeflow.operators.joins import accessible_sites, held_out_distances, nearest, nearest_in_space, within
 from rangeflow.operators.topk import background_sample, hash_order, shifted_null, sweep_sample, unit_hash
-from rangeflow.operators.windows import auc, boyce, sequential_p
+from rangeflow.operators.windows import auc, boyce, quantile_gap, sequential_p
 from rangeflow.plans.learners import Learner, area, design, label_of, nothing, ridge_logistic, scale_of, small_fit
 
 BACKGROUND, FOLDS, BLOCK_KM, NULLS, STOP_AFTER = 10_000, 5, 200, 99, 5
@@ -161,16 +161,18 @@ def prune_correlated(training: DataFrame, bands: list[str], limit: float = MAX_C
     return [bands[k] for k in kept]
 
 
-def prune_by_taxon(training: DataFrame, bands: list[str], limit: float = MAX_CORRELATION) -> DataFrame:
+def prune_by_taxon(training: DataFrame, bands: list[str], limit: float = MAX_CORRELATION, per_presence: float = 4) -> DataFrame:
     """MOD4: (taxon, kept): each taxon's bands that vary and stay under the limit, in the given order, as many as its detections allow.
 
+    One band for ``per_presence`` detections, five at least; all for 0.
+
     One aggregation with partial sums gives all correlations; the greedy keep folds over a taxon's bands x bands array.
     """
     pair = {(a, b): F.try_divide(F.covar_pop(a, b), F.stddev_pop(a) * F.stddev_pop(b)) for a, b in combinations(bands, 2)}  # null beside a constant
     matrix = [pair.get((a, b), pair.get((b, a), F.lit(1.0))) for a in bands for b in bands]
     spread = F.array(*[F.stddev_pop(b) for b in bands])
     stats = training.groupBy("taxon").agg(F.array(*matrix).alias("_m"), spread.alias("_sd"), F.count_if(F.col("presence") == 1).alias("_n"))
-    most = F.greatest(F.lit(5), F.floor(F.col("_n") / 4).cast("int"))
+    most = F.greatest(F.lit(5), F.floor(F.col("_n") / per_presence).cast("int")) if per_presence else F.lit(len(bands))
 
     def keep(kept: Column, k: Column) -> Column:
         apart = F.forall(kept, lambda j: F.coalesce(F.abs(F.get("_m", k * len(bands) + j)) < limit, F.lit(False)))
@@ -540,16 +542,45 @@ def applicability(training: DataFrame, cells: DataFrame, bands: list[str], weigh
 
 
 def run_arms(training: DataFrame, arms: dict[str, dict]) -> DataFrame:
-    """MOD16: the same folds under many arms (bands, ridge, pairs, learner, design): one row per taxon and arm."""
+    """MOD16: many arms over the same rows: one row per taxon and arm.
+
+    An arm: bands, ridge, pairs, learner, design; ``layers`` leaves out bands of other layers (a band's layer is its name up to the first ``_``);
+    ``per_presence`` prunes each taxon's bands, one for so many detections at most (0: as many as stay uncorrelated); ``block_km`` deals folds of its own.
+    """
     out = None
     for name, arm in arms.items():
+        bands = [b for b in arm["bands"] if "layers" not in arm or b.split("_")[0] in arm["layers"]]
         rows = design_rows(training, arm.get("design", "sites"))
+        if "block_km" in arm:
+            rows = spatial_folds(rows.drop("block", "fold"), FOLDS, arm["block_km"])
+        if "per_presence" in arm:
+            rows = rows.drop("kept").join(cut(prune_by_taxon(rows, bands, per_presence=arm["per_presence"])), "taxon")
+        arm = {**arm, "bands": bands}
         one = cross_validate(rows, arm["bands"], ["taxon"], **{k: v for k, v in arm.items() if k in ("ridge", "pairs", "learner")})
         one = cut(one.select("taxon", F.lit(name).alias("arm"), "auc", "boyce", "folds_scored"))
         out = one if out is None else out.unionByName(one)
     return out
 
 
+def block_study(training: DataFrame, area: DataFrame, bands: list[str], sizes: tuple[float, ...] = (50, 100, 200, 300), near_km: float = 100, min_blocks: int = 5, **how) -> DataFrame:
+    """MOD16: every taxon under folds of several block sizes: (taxon, block_km, blocks, scorable, gap_all, gap_near, auc, boyce, folds_scored).
+
+    area: taxon, cell, x, y of the cells to predict.  The gaps are mean differences of the quantiles of two sets of distances (km): of held-out sites to
+    the nearest other fold's, and of the area's cells to the nearest site (all, or those within ``near_km``); the best size has the smallest.
+    """
+    own = cut(nearest(area.select("taxon", F.col("cell").alias("q"), "x", "y"), training.select("taxon", "x", "y"), ["taxon"]).select("taxon", (F.col("distance") / 1000).alias("km"), F.lit(False).alias("side")))
+    out = None
+    for size in map(float, sizes):
+        rows = spatial_folds(training.drop("block", "fold"), FOLDS, size)
+        blocks = rows.where("presence = 1").groupBy("taxon").agg(F.count_distinct("block").alias("blocks"))
+        apart = cut(held_out_distances(rows).where("distance is not null").select("taxon", (F.col("distance") / 1000).alias("km"), F.lit(True).alias("side")))
+        gaps = [quantile_gap(apart.unionByName(o), ["taxon"], "km", F.col("side")).withColumnRenamed("gap", n) for o, n in ((own, "gap_all"), (own.where(F.col("km") <= near_km), "gap_near"))]
+        one = blocks.join(gaps[0], "taxon", "left").join(gaps[1], "taxon", "left").join(cross_validate(rows, bands, ["taxon"], **how), "taxon", "left")
+        one = cut(one.select("taxon", F.lit(size).alias("block_km"), "blocks", (F.col("blocks") >= min_blocks).alias("scorable"), "gap_all", "gap_near", "auc", "boyce", "folds_scored"))
+        out = one if out is None else out.unionByName(one)
+    return out
+
+
 def run_study(candidates: DataFrame, training: DataFrame, arms: dict[str, dict], baseline: str, per_band: int = 10, seed: int = 1, done: DataFrame | None = None) -> tuple[DataFrame, DataFrame]:
     """MOD17: sampled taxa under every arm, without rows already there, and the paired summary: (rows, summary).
 
@@ -569,11 +600,11 @@ def read_rates(rates: DataFrame, limit: float = 0.05, least: float = 0.20) -> Da
     return r.withColumn("decision", decision)
 
 
-def pass_model(rows: DataFrame, terms: list[str]) -> list[tuple[str, float]]:
-    """MOD18: binomial regression of passing on the terms: (term, coefficient)."""
+def pass_model(rows: DataFrame, terms: list[str]) -> DataFrame:
+    """MOD18: binomial regression of passing on the terms: (term, coefficient), the intercept among them."""
     glr = GeneralizedLinearRegression(family="binomial", link="logit", featuresCol="_f", labelCol="passed", regParam=1e-6)
     m = glr.fit(VectorAssembler(inputCols=terms, outputCol="_f", handleInvalid="skip").transform(rows.withColumn("passed", F.col("passed").cast("double"))))
-    return [("intercept", float(m.intercept)), *zip(terms, map(float, m.coefficients))]
+    return rows.sparkSession.createDataFrame([("intercept", float(m.intercept)), *zip(terms, map(float, m.coefficients), strict=True)], "term string, coefficient double")
 
 
 def settings_hash(**settings) -> Column:

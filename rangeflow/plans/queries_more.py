@@ -390,6 +390,18 @@ def cel8(spark, d):
     return C.mask_to_area(s, s.where("cell % 50 = 0").withColumn("taxon", F.lit("t")), 200).select("cell")
 
 
+@query(
+    "cel8_full_extent",
+    f"{WITH_POINTS}, s AS (SELECT cell20 AS cell, avg(x) AS x, avg(y) AS y FROM pts WHERE cell20 IS NOT NULL GROUP BY 1), t AS (SELECT CAST(cell % 3 AS VARCHAR) AS taxon, * FROM s)"
+    " SELECT DISTINCT t.taxon, a.cell FROM s a JOIN t ON pow(a.x - t.x, 2) + pow(a.y - t.y, 2) <= 200000.0::DOUBLE * 200000 WHERE NOT (CAST(a.cell % 3 AS VARCHAR) = t.taxon AND a.cell % 2 = 0)",
+)
+def cel8_rest(spark, d):
+    """Cells near three taxa's sites; a taxon's own even cells are scored already."""
+    s = _sites(spark, d).select(F.col("site").alias("cell"), "x", "y")
+    found = s.withColumn("taxon", (F.col("cell") % 3).cast("string"))
+    return C.full_extent(found.where("cell % 2 = 0"), s, found, 200).select("taxon", "cell")
+
+
 @query("cel9_manifest", "SELECT p_brand AS layer, CASE WHEN p_brand < 'Brand#3' THEN 'new' ELSE max(p_type) END AS build FROM part GROUP BY 1")
 def cel9(spark, d):
     m = table(spark, d, "part").groupBy(F.col("p_brand").alias("layer")).agg(F.max("p_type").alias("build"))
@@ -622,6 +634,20 @@ def mod15(spark, d):
     return M.applicability(t, cells, BANDS).select("taxon", "cell", r("index", 6).alias("index"), "inside", r("threshold", 6).alias("threshold"))
 
 
+@query("mod16_block_study")
+def mod16_blocks(spark, d):
+    """Block sizes of every taxon over the cells of its accessible area."""
+    t = training(spark, d)
+    return M.block_study(t, t.select("taxon", F.col("site").alias("cell"), "x", "y"), BANDS)
+
+
+@query("mod16_ratio_arms")
+def mod16_ratios(spark, d):
+    """One band for two, four or any number of detections, and blocks of 100 km."""
+    arms = {"1 per 2": {"bands": BANDS, "per_presence": 2}, "1 per 4": {"bands": BANDS, "per_presence": 4}, "no cap": {"bands": BANDS, "per_presence": 0}, "100 km": {"bands": BANDS, "block_km": 100}}
+    return M.run_arms(M.spatial_folds(training(spark, d)), arms)
+
+
 _STUDY = {"all": {"bands": BANDS}, "one": {"bands": ["b1"]}, "pairs": {"bands": BANDS, "pairs": True}, "presence": {"bands": BANDS, "learner": L.PRESENCE}}
 
 
@@ -642,6 +668,22 @@ def mod18(spark, d):
     return M.read_rates(o).select("kind", "band", "passed", "n", "decision")
 
 
+@query("mod18_pass_model")
+def mod18_model(spark, d):
+    """Whether an order is dear, by its customer's band and its year."""
+    o = table(spark, d, "orders")
+    rows = o.select((F.col("o_totalprice") > 210000).alias("passed"), (F.col("o_custkey") % 4).cast("double").alias("band"), (F.year("o_orderdate") - 1995).cast("double").alias("year"))
+    return M.pass_model(rows, ["band", "year"]).select("term", r("coefficient", 4).alias("coefficient"))
+
+
+@query("mod19_learner_maps")
+def mod19_learner_maps(spark, d):
+    """Tuned forests of every fitted taxon, mapped."""
+    t = training(spark, d)
+    cells = t.select(F.col("site").alias("cell"), "x", "y", *BANDS).distinct()
+    return M.map_taxa(t, cells, cut(M.fit_taxa(t, BANDS)), BANDS, learner=L.FOREST)
+
+
 @query("mod19_fit_taxa")
 def mod19(spark, d):
     return M.fit_taxa(training(spark, d), BANDS)
@@ -702,6 +744,23 @@ def stm2(spark, d):
     return T.retract(*_ledger(spark, d), "2000-01-01")[1]
 
 
+@query("stm2_stream", f"SELECT record, reason, CASE WHEN reason IS NOT NULL THEN day END AS retracted_on FROM ({_LEDGER})")
+def stm2_stream(spark, d):
+    """The ledger and a pull as a stream of events; each batch's changes are files in the shared folder, of which the last of a record counts."""
+    ledger, now = _ledger(spark, d)
+    at = lambda t: F.lit(t).cast("timestamp").alias("at")
+    listed = ledger.select("record", F.lit("listed").alias("kind"), "taxon", F.col("cell").cast("long").alias("cell"), "retracted_on", at("1999-12-31 00:00:00"))
+    seen = now.select("record", F.lit("seen").alias("kind"), "taxon", F.col("cell").cast("long").alias("cell"), F.lit(None).cast("date").alias("retracted_on"), at("2000-01-01 12:00:00"))
+    folder = f"{checkpoint_folder(spark)}/rangeflow_{os.urandom(6).hex()}"
+    listed.unionByName(seen).write.parquet(f"{folder}/events")
+    events = spark.readStream.schema(listed.schema).parquet(f"{folder}/events")
+    keep = lambda batch, n: batch.withColumn("batch", F.lit(n)).write.mode("overwrite").parquet(f"{folder}/changes/batch_id={n}")
+    q = T.watch_retractions(events).writeStream.outputMode("update").foreachBatch(keep).option("checkpointLocation", f"{folder}/state").trigger(availableNow=True).start()
+    q.awaitTermination()
+    last = spark.read.parquet(f"{folder}/changes").groupBy("record").agg(F.max_by(F.struct("reason", "retracted_on"), "batch").alias("s"))
+    return last.select("record", "s.reason", F.col("s.retracted_on").cast("string").alias("retracted_on"))
+
+
 @query("stm3_changes_after", "SELECT event_id AS id, user_id FROM events WHERE event_id > 5000")
 def stm3(spark, d):
     return T.changes_after(table(spark, d, "events").select(F.col("event_id").alias("id"), "user_id"), 5000)

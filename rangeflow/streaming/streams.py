@@ -2,6 +2,10 @@
 
 from __future__ import annotations
 
+from collections.abc import Iterator
+from datetime import datetime, timezone
+
+import pandas as pd
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
@@ -54,6 +58,44 @@ def retract(ledger: DataFrame, occurrences: DataFrame, today: str) -> tuple[Data
     return state, again
 
 
+_KNOWN = "taxon string, cell long, retracted_on date, reason string, listed boolean"
+
+
+def watch_retractions(events: DataFrame, grace_days: float = 1.0, delay: str = "0 seconds") -> DataFrame:
+    """STM2: the ledger's state as a stream: a row (record, reason, retracted_on) whenever a listed record's state is told or changes.
+
+    events, a stream: record, kind, taxon, cell, retracted_on, at.  ``listed`` rows are ledger rows as they stood; ``seen`` rows are records of a pull.  A
+    record that no pull shows within ``grace_days`` (event time) is gone, by a timer; one with another taxon is renamed, on another
+    cell moved; one seen as it was listed is restored.  The first day of a retraction is kept while it lasts.
+    """
+
+    def step(key, batches: Iterator[pd.DataFrame], state) -> Iterator[pd.DataFrame]:
+        taxon, cell, since, reason, listed = state.get if state.exists else (None, None, None, None, False)
+        told = False
+        if state.hasTimedOut:
+            if listed and reason != "gone":
+                reason, told = "gone", True
+                since = since or (datetime.fromtimestamp(state.getCurrentWatermarkMs() / 1000, timezone.utc)).date()
+            state.update((taxon, cell, since, reason, listed))
+        else:
+            rows = sorted((r for pdf in batches for r in pdf.itertuples(index=False)), key=lambda r: (r.at, r.kind))
+            for r in rows:
+                if r.kind == "listed":
+                    taxon, cell, since, listed, told = r.taxon, int(r.cell), None if pd.isna(r.retracted_on) else r.retracted_on, True, True
+                elif listed:
+                    reason = "renamed" if r.taxon != taxon else "moved" if int(r.cell) != cell else None
+                    since, told = (since or r.at.date()) if reason else None, True
+            state.update((taxon, cell, since, reason, listed))
+            due = int(max(rows[-1].at.timestamp() + grace_days * 86_400, state.getCurrentWatermarkMs() / 1000 + 0.001) * 1000)
+            state.setTimeoutTimestamp(due)
+        if told:
+            yield pd.DataFrame({"record": [key[0]], "reason": [reason], "retracted_on": [since]})
+
+    rows = events.withWatermark("at", delay)
+    out = f"record {dict(events.dtypes)['record']}, reason string, retracted_on date"
+    return rows.groupBy("record").applyInPandasWithState(step, out, _KNOWN, "update", "EventTimeTimeout")
+
+
 def upsert(ledger: DataFrame, changed: DataFrame, key: str = "record") -> DataFrame:
     """STM2: rows replaced by key, others kept (the body of a foreachBatch sink)."""
     return ledger.join(changed.select(key), key, "left_anti").unionByName(changed, allowMissingColumns=True)
