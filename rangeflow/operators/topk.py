@@ -2,24 +2,21 @@
 
 from __future__ import annotations
 
+import hashlib
 import math
 
+import numpy as np
 import pandas as pd
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from rangeflow.functions.scalars import count_band
 from rangeflow.functions.text import search_key
-from rangeflow.operators.joins import within
 
 SEARCH_TIERS = ("exact", "prefix", "words", "contains", "similar")
 SNAP_KM, FAR_SHARE, SHIFT_TRIES = 25, 0.2, 200
-#: Free sites an effort-weighted point chooses among, and tries of a shifted null in its first batch (each batch has twice the last).
-SNAP_CHOICES, TRY_BATCH = 5, 20
-#: Good tries of a draw that are snapped at once.
-GOOD_TRIES = 3
-#: Sites are summed up in so many blocks when one is drawn by weight.
-WEIGHT_BLOCKS = 1024
+#: Free sites an effort-weighted point chooses among, and parts that a taxon's shifted draws are dealt to.
+SNAP_CHOICES, SHIFT_PARTS = 5, 8
 #: Clusters whose sums a bootstrap sends to every task.
 BROADCAST_CLUSTERS = 100_000
 
@@ -132,81 +129,59 @@ def background_sample(pool: DataFrame, n: int, seed: int = 1, by: tuple[str, ...
     return pool.withColumn("_o", hash_order(F.lit(seed), F.col(key))).withColumn("_k", F.row_number().over(w)).where(F.col("_k") <= n).drop("_o", "_k")
 
 
-def snap_to_sites(points: DataFrame, sites: DataFrame, key: list[str], by: list[str] | None = None, snap_km: float = SNAP_KM, choices: int = 1) -> DataFrame:
-    """TOP6: points (key..., from_site, x, y) to distinct sites (by..., site, x, y, weight) of their group: key..., from_site, site, d2, far.
+def _unit(*parts) -> float:
+    """``unit_hash`` of one row's parts."""
+    return (int(hashlib.sha256(":".join(map(str, parts)).encode()).hexdigest()[:12], 16) + 0.5) / float(16**12)
 
-    As if the points of a group were taken in the order of a hash of their key, each to its nearest free site (``far`` where that is beyond
-    ``snap_km``).  With ``choices`` over 1 a point first tries its nearest sites within ``snap_km``, that many, in an order drawn in proportion
-    to their weight (exponential keys).  A point that finds no free site is left out.
 
-    A point's list holds the sites within a distance, and a group's turns are taken in one task over the lists (a taxon's detections).  Points
-    whose lists run out look four times as far, and the turns are taken again, until every point has a site or all sites were on its list.
-    """
-    from rangeflow.operators.lineage import cut
+def _take_turns(name: tuple, ids: list, px: np.ndarray, py: np.ndarray, sx: np.ndarray, sy: np.ndarray, sites: list, weight: np.ndarray | None, snap_km: float) -> tuple[np.ndarray, np.ndarray]:
+    """(site, squared distance) of every point, -1 where none is free: points in the order of a hash, each to its nearest free site.
 
-    by = by or []
-    order = unit_hash(*[F.col(k) for k in key], F.col("from_site"), F.lit("order"))
-    base = cut(points.select(*key, *[b for b in by if b not in key], "from_site", "x", "y").dropna().withColumn("_order", order))
-    ends = base.select("x", "y").unionByName(sites.select("x", "y")).agg(*[f(c).alias(f"{n}{c}") for c in "xy" for n, f in (("low_", F.min), ("high_", F.max))]).first()
-    widest = 0.0 if ends["low_x"] is None else math.hypot(ends["high_x"] - ends["low_x"], ends["high_y"] - ends["low_y"]) / 1000
+    With weights a point chooses among its SNAP_CHOICES nearest free sites within ``snap_km``, in proportion to them (exponential keys by hash).
+    """
+    chosen, apart, free = np.full(len(ids), -1), np.full(len(ids), np.inf), np.ones(len(sites), dtype=bool)
     snap2 = (snap_km * 1000.0) ** 2
-
-    def lists(of: DataFrame, km: float) -> DataFrame:
-        met = within(of, sites, km * 1000.0, by).select(*key, "from_site", "_order", F.col("r_site").alias("site"), "d2", *(["r_weight"] if choices > 1 else []))
-        if choices <= 1:
-            return met.withColumns({"_tier": F.lit(1), "_cost": F.col("d2")})
-        near = F.row_number().over(Window.partitionBy(*key, "from_site").orderBy("d2", "site"))
-        drawn = -F.log(unit_hash(*[F.col(k) for k in key], F.col("from_site"), F.col("site"))) / F.col("r_weight")
-        first = (F.col("_near") <= choices) & (F.col("d2") <= snap2)
-        met = met.withColumn("_near", near).withColumns({"_tier": F.when(first, 0).otherwise(1), "_cost": F.when(first, drawn).otherwise(F.col("d2"))})
-        return met.drop("_near", "r_weight")
-
-    def turns(pdf: pd.DataFrame) -> pd.DataFrame:
-        pdf = pdf.sort_values(["_order", "from_site", "_tier", "_cost", "site"], kind="stable")
-        used, kept, served = set(), [], None
-        for k, (point, site) in enumerate(zip(pdf["from_site"].tolist(), pdf["site"].tolist(), strict=True)):
-            if point != served and site not in used:
-                used.add(site)
-                kept.append(k)
-                served = point
-        return pdf.iloc[kept][[*key, "from_site", "site", "d2"]]
-
-    listed, reach = cut(lists(base, snap_km)), snap_km
-    kinds = dict(listed.dtypes)
-    schema = ", ".join(f"`{c}` {kinds[c]}" for c in [*key, "from_site", "site", "d2"])
-    whole = None  # points whose lists hold all sites
-    while True:
-        taken = cut(listed.groupBy(*key).applyInPandas(turns, schema))
-        lost = base.join(taken.select(*key, "from_site"), [*key, "from_site"], "left_anti")
-        lost = cut(lost if whole is None else lost.join(whole, [*key, "from_site"], "left_anti"))
-        if lost.isEmpty():
+    for i in sorted(range(len(ids)), key=lambda k: _unit(*name, ids[k], "order")):
+        if not free.any():
             break
-        reach = reach if reach > widest else 4 * reach
-        if reach > widest:
-            now = lost.select(*key, "from_site")
-            whole = now if whole is None else whole.unionByName(now)
-        listed = cut(listed.join(lost.select(*key, "from_site"), [*key, "from_site"], "left_anti").unionByName(lists(lost, reach)))
-    return taken.select(*key, "from_site", "site", "d2", (F.col("d2") > snap2).alias("far"))
+        d2 = np.where(free, (sx - px[i]) ** 2 + (sy - py[i]) ** 2, np.inf)
+        j = int(d2.argmin())
+        if weight is not None and d2[j] <= snap2:
+            near = np.argpartition(d2, SNAP_CHOICES)[:SNAP_CHOICES] if len(d2) > SNAP_CHOICES else np.arange(len(d2))
+            near = near[d2[near] <= snap2]
+            j = int(min(near, key=lambda k: -math.log(_unit(*name, ids[i], sites[k])) / weight[k]))
+        chosen[i], apart[i], free[j] = j, d2[j], False
+    return chosen, apart
 
 
-def draw_by_weight(asked: DataFrame, sites: DataFrame, by: list[str], unit: Column) -> DataFrame:
-    """Each row of ``asked`` with a site (tx, ty) of its group in proportion to the sites' whole ``weight``; ``unit`` is in (0, 1).
+def snap_to_sites(points: DataFrame, sites: DataFrame, key: list[str], by: list[str] | None = None, snap_km: float = SNAP_KM, effort: bool = False) -> DataFrame:
+    """TOP6: points (key..., from_site, x, y) to distinct sites (by..., site, x, y, weight) of their group: key..., from_site, site, d2, far.
 
-    Weights are summed within blocks and over blocks; a row and the sites meet on slices of mean weight, two a site on average.
+    The points of a group take turns in the order of a hash of their key, each to its nearest free site (``far`` where that is beyond
+    ``snap_km``); with ``effort`` a point chooses among its nearest free sites within ``snap_km`` in proportion to their weight.  Points without a
+    place, and points that find no free site, are left out.  A group's points and sites (a taxon's) meet in one task.
     """
-    up = lambda c, w: F.coalesce(F.sum(c).over(w.rowsBetween(Window.unboundedPreceding, -1)), F.lit(0))
-    blocks = sites.withColumn("_b", F.pmod(F.xxhash64("site"), F.lit(WEIGHT_BLOCKS)))
-    group = Window.partitionBy(*by)
-    sums = blocks.groupBy(*by, "_b").agg(F.sum("weight").alias("_w"), F.count("*").alias("_n"))
-    sums = sums.select(*by, "_b", up("_w", group.orderBy("_b")).alias("_base"), F.sum("_w").over(group).alias("_total"), F.sum("_n").over(group).alias("_sites"))
-    mean = F.ceil(F.col("_total") / F.col("_sites")).alias("_mean")
-    placed = blocks.withColumn("_low", up("weight", Window.partitionBy(*by, "_b").orderBy("site"))).join(sums.select(*by, "_b", "_base", mean), [*by, "_b"])
-    placed = placed.select(*by, F.col("x").alias("tx"), F.col("y").alias("ty"), "_mean", (F.col("_base") + F.col("_low")).alias("_low"), "weight")
-    placed = placed.withColumn("_high", F.col("_low") + F.col("weight")).withColumn("_slice", F.explode(F.expr("sequence(_low div _mean, (_high - 1) div _mean)")))
-    size = sums.groupBy(*by).agg(F.first("_total").alias("_total"), F.first(mean).alias("_m"))
-    at = asked.join(size, by).withColumn("_at", F.least(F.floor(unit * F.col("_total")), F.col("_total") - 1)).withColumn("_slice", F.expr("_at div _m"))
-    met = at.join(placed.drop("_mean", "weight"), [*by, "_slice"]).where("_at >= _low and _at < _high")
-    return met.select(*asked.columns, "tx", "ty")
+    by = by or []
+    asked = points.select(*key, "from_site", "x", "y").dropna()
+    # a group's own copy of the sites, under other names for its key
+    groups = asked.select(*[F.col(k).alias(f"_of_{k}") for k in key]).distinct()
+    at = sites.select(*[F.col(b).alias(f"_at_{b}") for b in by], "site", "x", "y", *(["weight"] if effort else []))
+    same = [F.col(f"_of_{b}") == F.col(f"_at_{b}") for b in by]
+    beside = groups.join(at, same) if by else groups.join(at, how="cross")
+    kinds = dict(asked.dtypes)
+    site_kind = dict(sites.dtypes)["site"]
+
+    def run(of: pd.DataFrame, at: pd.DataFrame) -> pd.DataFrame:
+        of, at = of.sort_values("from_site", kind="stable"), at.sort_values("site", kind="stable")
+        ids, names = of["from_site"].tolist(), at["site"].tolist()
+        place = [f[c].to_numpy(float) for f in (of, at) for c in "xy"]
+        j, d2 = _take_turns(tuple(of[k].iloc[0] for k in key) if len(of) else (), ids, *place, names, at["weight"].to_numpy(float) if effort else None, snap_km)
+        out = of.assign(site=[names[k] if k >= 0 else None for k in j], d2=d2)[j >= 0]
+        return out[[*key, "from_site", "site", "d2"]]
+
+    schema = ", ".join([*[f"`{c}` {kinds[c]}" for c in [*key, "from_site"]], f"site {site_kind}", "d2 double"])
+    met = asked.groupBy(*key).cogroup(beside.groupBy(*[f"_of_{k}" for k in key])).applyInPandas(run, schema)
+    return met.withColumn("far", F.col("d2") > (snap_km * 1000.0) ** 2)
 
 
 def shifted_null(
@@ -224,69 +199,60 @@ def shifted_null(
 
     detections: taxon, site, x, y; sites: site, x, y, with ``taxon`` where each taxon has its own, and with ``records`` where
     busier sites are moved to more often.  A try is accepted when at most ``far_share`` of its points find no free site within
-    ``snap_km``; after the last try the one with the fewest far points stands (``best_effort``).  Points that are far take the nearest free site
-    wherever it is (``far`` is true), so a null has as many detections as its taxon, unless that has more than there are sites.
-    ``effort``: points choose among their near sites in proportion to records.  Draws are numbered from ``first_draw`` and depend on their number alone.
+    ``snap_km``; after the last try the one with the fewest points far from any site stands (``best_effort``).  Points that are far take the nearest
+    free site wherever it is (``far`` is true), so a null has as many detections as its taxon, unless that has more than there are sites.
+    ``effort``: points choose among near sites in proportion to records.  Draws are numbered from ``first_draw`` and depend on their number alone.
 
-    Points take turns in the order of a hash (``snap_to_sites``).  Tries go in batches, each one plan for all taxa and draws still open: rotation
-    is column arithmetic and snapping a join on squares.
+    One job: a task has some draws (one of ``SHIFT_PARTS`` parts) of a taxon, its detections and its sites.  Points take turns as in
+    ``snap_to_sites``.
     """
-    from rangeflow.operators.lineage import cut
-
-    by = ["taxon"] if "taxon" in sites.columns else []
+    own = "taxon" in sites.columns
     records = F.greatest(F.coalesce(F.col("records").cast("long"), F.lit(1)), F.lit(1)) if "records" in sites.columns else F.lit(1).cast("long")
-    sites = sites.select(*by, "site", "x", "y", records.alias("weight"))
-    own = by or ["_all"]
-    key = ["taxon", "draw", "try"]
-    centre = cut(detections.groupBy("taxon").agg(F.avg("x").alias("cx"), F.avg("y").alias("cy"), F.count("*").alias("n")))
-    start = detections.withColumnRenamed("site", "from_site")
-
-    def moved(asked: DataFrame) -> DataFrame:
-        """Where the tries (taxon, draw, try) put the detections."""
-        parts = [F.lit(seed), *[F.col(k) for k in key]]
-        pool = sites if by else sites.withColumn("_all", F.lit(0))
-        plan = asked.join(centre, "taxon").withColumns({"angle": 2 * math.pi * unit_hash(*parts, F.lit("a")), **({} if by else {"_all": F.lit(0)})})
-        plan = draw_by_weight(plan, pool, own, unit_hash(*parts, F.lit("s")))
-        dx, dy = F.col("x") - F.col("cx"), F.col("y") - F.col("cy")
-        return start.join(plan, "taxon").select(
-            *key, "n", "from_site",
-            (F.col("tx") + F.cos("angle") * dx - F.sin("angle") * dy).alias("x"), (F.col("ty") + F.sin("angle") * dx + F.cos("angle") * dy).alias("y"),
-        )
-
-    choices = SNAP_CHOICES if effort else 1
-    allowed = F.floor(F.lit(far_share) * F.col("n"))
-    open_ = cut(centre.select("taxon", "n", F.explode(F.sequence(F.lit(first_draw), F.lit(first_draw + draws - 1))).alias("draw")))
-    placed = seen = None
-    first, batch = 1, TRY_BATCH
-    while first <= tries:
-        asked = open_.withColumn("try", F.explode(F.sequence(F.lit(first), F.lit(min(tries, first + batch - 1)))))
-        first, batch = first + batch, 2 * batch
-        points = cut(moved(asked.select(*key)))
-        # points far from every site are far from every free one: such tries are not snapped point by point
-        reached = within(points, sites, snap_km * 1000.0, by).select(*key, "from_site").distinct().groupBy(*key).agg(F.count("*").alias("reached"))
-        counted = cut(asked.join(reached, key, "left").withColumn("far", F.col("n") - F.coalesce("reached", F.lit(0))).select(*key, "n", "far"))
-        seen = counted if seen is None else seen.unionByName(counted)
-        good = counted.where(F.col("far") <= allowed).withColumn("_k", F.row_number().over(Window.partitionBy("taxon", "draw").orderBy("try")))
-        for some in (F.col("_k") <= GOOD_TRIES, F.col("_k") > GOOD_TRIES):  # the first good tries of every draw, then the rest of the open ones
-            one = cut(good.where(some).join(open_.select("taxon", "draw"), ["taxon", "draw"], "left_semi").select(*key, "n"))
-            if one.isEmpty():
-                break
-            snapped = cut(snap_to_sites(points.join(one.select(*key), key), sites, key, by, snap_km, choices))
-            fine = snapped.groupBy(*key).agg(F.count_if("far").alias("k")).join(one, key).where(F.col("k") <= allowed)
-            fine = fine.groupBy("taxon", "draw").agg(F.min("try").alias("try"))
-            now = cut(snapped.join(fine, key, "left_semi").withColumn("best_effort", F.lit(False)))
-            placed = now if placed is None else placed.unionByName(now)
-            open_ = cut(open_.join(fine.select("taxon", "draw"), ["taxon", "draw"], "left_anti"))
-        if open_.isEmpty():
-            break
-    if not open_.isEmpty() and seen is not None:
-        best = seen.join(open_.select("taxon", "draw"), ["taxon", "draw"], "left_semi").groupBy("taxon", "draw").agg(F.min_by("try", F.struct("far", "try")).alias("try"))
-        rest = snap_to_sites(cut(moved(best.select(*key))), sites, key, by, snap_km, choices).withColumn("best_effort", F.lit(True))
-        placed = rest if placed is None else placed.unionByName(rest)
-    if placed is None:
-        kinds = dict(sites.dtypes)
-        return sites.sparkSession.createDataFrame([], f"taxon {dict(detections.dtypes)['taxon']}, draw int, site {kinds['site']}, try int, far boolean, best_effort boolean")
-    return placed.select("taxon", "draw", "site", "try", "far", "best_effort")
+    pool = sites.select(*(["taxon"] if own else []), "site", "x", "y", records.alias("weight")).dropna()
+    found = detections.select("taxon", F.col("site").alias("from_site"), "x", "y").dropna()
+    taxa = found.select(F.col("taxon").alias("_of")).distinct()
+    parts = min(draws, SHIFT_PARTS)
+    spread = lambda df, name: df.withColumn(name, F.explode(F.sequence(F.lit(0), F.lit(parts - 1))))
+    pool = taxa.join(pool, F.col("_of") == F.col("taxon")).drop("taxon") if own else taxa.join(pool, how="cross")
+    kinds = dict(sites.dtypes) | {"taxon": dict(detections.dtypes)["taxon"]}
+    snap2 = (snap_km * 1000.0) ** 2
+
+    def run(of: pd.DataFrame, at: pd.DataFrame) -> pd.DataFrame:
+        rows: list[tuple] = []
+        if len(of) and len(at):
+            of, at = of.sort_values("from_site", kind="stable"), at.sort_values("site", kind="stable")
+            taxon, ids, names = of["taxon"].iloc[0], of["from_site"].tolist(), at["site"].tolist()
+            x, y, sx, sy = (f[c].to_numpy(float) for f in (of, at) for c in "xy")
+            weight, up, allowed = at["weight"].to_numpy(float), np.cumsum(at["weight"].to_numpy(float)), math.floor(far_share * len(ids))
+
+            def moved(draw: int, n: int) -> tuple[np.ndarray, np.ndarray]:
+                angle = 2 * math.pi * _unit(seed, taxon, draw, n, "a")
+                to = min(int(np.searchsorted(up, _unit(seed, taxon, draw, n, "s") * up[-1], side="right")), len(up) - 1)
+                dx, dy = x - x.mean(), y - y.mean()
+                return sx[to] + math.cos(angle) * dx - math.sin(angle) * dy, sy[to] + math.sin(angle) * dx + math.cos(angle) * dy
+
+            def far_of(px: np.ndarray, py: np.ndarray) -> int:  # far from every site is far from every free one
+                return sum(int((((sx - px[k : k + 64, None]) ** 2 + (sy - py[k : k + 64, None]) ** 2).min(axis=1) > snap2).sum()) for k in range(0, len(px), 64))
+
+            for draw in range(first_draw + int(of["part"].iloc[0]), first_draw + draws, parts):
+                best, taken = None, None
+                for n in range(1, tries + 1):
+                    px, py = moved(draw, n)
+                    far = far_of(px, py)
+                    best = min(best or (far, n), (far, n))
+                    if far <= allowed:
+                        j, d2 = _take_turns((taxon, draw, n), ids, px, py, sx, sy, names, weight if effort else None, snap_km)
+                        if (d2 > snap2).sum() <= allowed:
+                            taken = (n, j, d2, False)
+                            break
+                if taken is None:
+                    taken = (best[1], *_take_turns((taxon, draw, best[1]), ids, *moved(draw, best[1]), sx, sy, names, weight if effort else None, snap_km), True)
+                n, j, d2, forced = taken
+                rows += [(taxon, draw, names[k], n, bool(d > snap2), forced) for k, d in zip(j.tolist(), d2.tolist(), strict=True) if k >= 0]
+        return pd.DataFrame(rows, columns=["taxon", "draw", "site", "try", "far", "best_effort"], dtype=object)
+
+    schema = f"taxon {kinds['taxon']}, draw int, site {kinds['site']}, try int, far boolean, best_effort boolean"
+    return spread(found, "part").groupBy("taxon", "part").cogroup(spread(pool, "_part").groupBy("_of", "_part")).applyInPandas(run, schema)
 
 
 def cluster_bootstrap(rows: DataFrame, cluster: str, values: list[str], reps: int = 1000, seed: int = 1, strata: str | None = None) -> DataFrame:
