@@ -574,7 +574,7 @@ def block_study(training: DataFrame, area: DataFrame, bands: list[str], sizes: t
         rows = spatial_folds(training.drop("block", "fold"), FOLDS, size)
         blocks = rows.where("presence = 1").groupBy("taxon").agg(F.count_distinct("block").alias("blocks"))
         apart = cut(held_out_distances(rows).where("distance is not null").select("taxon", (F.col("distance") / 1000).alias("km"), F.lit(True).alias("side")))
-        gaps = [quantile_gap(apart.unionByName(o), ["taxon"], "km", F.col("side")).withColumnRenamed("gap", n) for o, n in ((own, "gap_all"), (own.where(F.col("km") <= near_km), "gap_near"))]
+        gaps = [quantile_gap(apart.unionByName(o), ["taxon"], "km", "side").withColumnRenamed("gap", n) for o, n in ((own, "gap_all"), (own.where(F.col("km") <= near_km), "gap_near"))]
         one = blocks.join(gaps[0], "taxon", "left").join(gaps[1], "taxon", "left").join(cross_validate(rows, bands, ["taxon"], **how), "taxon", "left")
         one = cut(one.select("taxon", F.lit(size).alias("block_km"), "blocks", (F.col("blocks") >= min_blocks).alias("scorable"), "gap_all", "gap_near", "auc", "boyce", "folds_scored"))
         out = one if out is None else out.unionByName(one)

@@ -599,9 +599,9 @@ def mod13(spark, d):
     return M.null_test(M.spatial_folds(training(spark, d)), BANDS)
 
 
-@query("mod13_forest_null")
-def mod13_forest(spark, d):
-    return M.null_test(M.spatial_folds(training(spark, d)), BANDS, 19, learner=L.FOREST)
+@query("mod13_boosted_null")
+def mod13_boosted(spark, d):
+    return M.null_test(M.spatial_folds(training(spark, d)), BANDS, 19, learner=L.BOOSTED)
 
 
 @query("mod14_importance")
