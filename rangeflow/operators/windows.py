@@ -6,27 +6,20 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 
-#: A group's values are cut into ranges at up to so many of them, which they meet in so many parts.
-RANK_CUTS, RANK_PARTS = 64, 16
-
-
 def _below(counts: DataFrame, by: list[str], few: bool = False) -> DataFrame:
     """Distinct values (by..., _v) and their counts (_c), with the counts of smaller values of the group (_below) and of all (_all).
 
-    A group's values are cut into ranges at some of them, drawn by hash and so alike in every evaluation.  A window runs in each
-    range, and a range adds the totals of those before it, so that no task orders a whole group.  ``few``: groups are of a
-    bounded number of values, one window each.
+    Rows are dealt to ranges of (group, value), as many as the session's shuffles have, and kept there.  A window runs in each group's part of
+    a range, which adds the totals of the parts before it, so that no task orders a whole group and ranges grow in number with the cluster.
+    ``few``: groups are of a bounded number of values, one window each.
     """
+    from rangeflow.operators.lineage import cut
+
     group = Window.partitionBy(*by)
     before = lambda c, w: F.coalesce(F.sum(c).over(w.rowsBetween(Window.unboundedPreceding, -1)), F.lit(0))
     if few:
         return counts.select(*by, "_v", "_c", before("_c", group.orderBy("_v")).alias("_below"), F.sum("_c").over(group).alias("_all"))
-    h = F.xxhash64("_v")
-    drawn = counts.groupBy(*by, F.pmod(h, F.lit(RANK_CUTS)).alias("_k")).agg(F.min(F.struct(h.alias("h"), "_v", "_c")).alias("_m"))
-    cuts = drawn.groupBy(*by).agg(F.array_sort(F.collect_list("_m._v")).alias("_cuts"))
-    cuts = cuts.select(*by, "_cuts", F.explode(F.sequence(F.lit(0), F.lit(RANK_PARTS - 1))).alias("_part"))
-    ranged = counts.withColumn("_part", F.pmod(h, F.lit(RANK_PARTS)).cast("int")).join(cuts, [*by, "_part"])
-    ranged = ranged.select(*by, F.size(F.filter("_cuts", lambda c: c <= F.col("_v"))).alias("_range"), "_v", "_c")
+    ranged = cut(counts.select(*by, "_v", "_c").repartitionByRange(*by, "_v").withColumn("_range", F.spark_partition_id()))
     totals = ranged.groupBy(*by, "_range").agg(F.sum("_c").alias("_t"))
     totals = totals.select(*by, "_range", before("_t", group.orderBy("_range")).alias("_before"), F.sum("_t").over(group).alias("_all"))
     inside = ranged.withColumn("_in", before("_c", Window.partitionBy(*by, "_range").orderBy("_v")))
