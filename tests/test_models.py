@@ -309,3 +309,58 @@ def test_nulls_stop_where_a_full_run_says(spark, rows):
     assert few["q"]["stopped_early"] and few["q"]["reps"] == stop and few["q"]["p"] == pytest.approx(3 / stop) and few["q"]["auc_mean"] == pytest.approx(own[:stop].mean())
     assert few["p"]["reps"] == 24 and not few["p"]["stopped_early"]
     assert "q" not in sizes[-2][2]  # a decided taxon gets no further draws
+
+
+# ---- studies and applicability ------------------------------------------------------------
+
+
+def test_block_sizes_by_hand(spark, rows):
+    t = frame(spark, rows)
+    area = t.select("taxon", F.col("site").alias("cell"), "x", "y")
+    got = {(r["taxon"], r["block_km"]): r for r in M.block_study(t, area, ["a"], (300, 700)).collect()}
+    assert set(got) == {(t, s) for t in "pq" for s in (300.0, 700.0)}
+    p = rows[(rows["taxon"] == "p")]
+    for size in (300.0, 700.0):
+        found = p[p["presence"] == 1]
+        blocks = len({(int(x // (size * 1000)), int(y // (size * 1000))) for x, y in zip(found["x"], found["y"], strict=True)})
+        r = got["p", size]
+        assert r["blocks"] == blocks and r["scorable"] == (blocks >= 5) and r["auc"] > 0.8
+        folds = M.spatial_folds(t.drop("fold"), 5, size).where("taxon = 'p'").toPandas()
+        xy, fold = folds[["x", "y"]].to_numpy() / 1000, folds["fold"].to_numpy()
+        d = np.sqrt(((xy[:, None] - xy[None]) ** 2).sum(axis=2))
+        held = np.array([d[k, fold != fold[k]].min() for k in range(len(d))])
+        at = (np.arange(1000) + 0.5) / 1000
+        assert abs(r["gap_all"] - np.abs(np.quantile(held, at)).mean()) < 1e-6  # the area's cells are the sites themselves
+
+
+def test_arms_by_ratio_and_layer(spark, rows):
+    t = frame(spark, rows).withColumnsRenamed({"a": "clim_a", "b": "soil_b"})
+    arms = M.run_arms(t, {"few": {"bands": ["clim_a", "soil_b", "c"], "per_presence": 4}, "soil": {"bands": ["clim_a", "soil_b"], "layers": ["soil"]}, "clim": {"bands": ["clim_a"]}})
+    score = {(r["taxon"], r["arm"]): r["auc"] for r in arms.collect()}
+    want = {r["taxon"]: r["auc"] for r in M.cross_validate(t, ["soil_b"], ["taxon"]).collect()}
+    assert all(np.isclose(score[k, "soil"], want[k]) for k in "pq") and score["p", "few"] > 0.8 > score["p", "soil"]
+
+
+def test_applicability_by_hand(spark, rows):
+    t = frame(spark, rows)
+    cells = spark.createDataFrame([("p", 1, 0.0, 0.0), ("p", 2, 9.0, -9.0), ("p", 3, None, 0.0), ("q", 1, 0.1, 0.1)], "taxon string, cell long, a double, b double")
+    falls = spark.createDataFrame([("p", "predictor:a", 0.4), ("p", "predictor:b", -0.1), ("q", "predictor:a", -1.0), ("q", "predictor:b", 0.0)], "taxon string, name string, fall double")
+    got = {(r["taxon"], r["cell"]): r for r in M.applicability(t, cells, ["a", "b"], M.applicability_weights(falls, ["a", "b"])).collect()}
+    for taxon, weight in (("p", np.array([0.4, 0.0])), ("q", np.ones(2))):
+        own = rows[rows["taxon"] == taxon]
+        x = own[["a", "b"]].to_numpy()
+        mean, sd = x.mean(axis=0), x.std(axis=0, ddof=1)
+        z = (x - mean) * weight / sd
+        d = np.sqrt(((z[:, None] - z[None]) ** 2).sum(axis=2))
+        scale = d[np.triu_indices(len(d), 1)].mean()
+        fold = own["fold"].to_numpy()
+        cv = np.sort([d[k, fold != fold[k]].min() / scale for k in range(len(d))])
+        half = (len(cv) + 1) // 2
+        q1, q3 = np.median(cv[:half]), np.median(cv[-half:])
+        threshold = cv[cv <= q3 + 1.5 * (q3 - q1)].max()
+        for cell, at in ((1, (0.0, 0.0) if taxon == "p" else (0.1, 0.1)), (2, (9.0, -9.0))):
+            if (taxon, cell) in got:
+                index = np.sqrt((((np.array(at) - mean) * weight / sd - z) ** 2).sum(axis=1)).min() / scale
+                r = got[taxon, cell]
+                assert np.isclose(r["index"], index) and np.isclose(r["threshold"], threshold) and r["inside"] == (index <= threshold)
+    assert got["p", 3]["index"] is None
