@@ -146,3 +146,39 @@ def test_label_model_differs_from_any_one_vote(spark):
     model, _, _ = quality.train(docs)
     right = model.accuracies()
     assert 0.7 < model.clean < 0.95 and all(clean > 0.9 for clean, _ in right.values()) and any(clean < 0.999 for clean, _ in right.values())
+
+
+def test_the_whole_pipeline_packs_what_the_stages_keep(spark):
+    """``run`` gives the pieces of exactly the documents that the stages keep one after another, whole and gapless."""
+    folder = "/root/testdata/sf0.001"
+    pieces = corpus_pipeline.run(spark, folder).collect()
+    docs = spark.read.parquet(f"{folder}/documents.parquet")
+    for _, stage in corpus_pipeline.STAGES[:-1]:
+        docs = spark.createDataFrame(stage(spark, docs, folder).collect(), docs.schema)
+    kept = {r["doc_id"] for r in docs.collect()}
+    per_doc: dict[int, list] = {}
+    for r in pieces:
+        per_doc.setdefault(r["doc_id"], []).append(r)
+    assert set(per_doc) == kept and 0 < len(kept) < 200
+    for rows in per_doc.values():
+        at = 0
+        for r in sorted(rows, key=lambda r: r["start"]):
+            assert r["start"] == at
+            at += r["length"]
+        assert at == rows[0]["doc_tokens"]
+    windows: dict[int, list] = {}
+    for r in pieces:
+        windows.setdefault(r["sequence_id"], []).append(r)
+    for rows in windows.values():
+        at = 0
+        for r in sorted(rows, key=lambda r: r["offset"]):
+            assert r["offset"] == at
+            at += r["length"]
+        assert at <= 4096
+
+
+def test_packing_of_odd_rows(spark):
+    docs = spark.createDataFrame([(1, None, "a"), (2, "", "b"), (3, "word " * 9000, "c"), (4, "one two", "d")], "doc_id long, text string, start string")
+    rows = corpus_pipeline.packing(spark, docs, "").collect()
+    assert {r["doc_id"] for r in rows} == {1, 2, 3, 4} and {r["doc_tokens"] for r in rows if r["doc_id"] < 3} == {1}
+    assert sum(r["length"] for r in rows if r["doc_id"] == 3) > 4096 and corpus_pipeline.packing(spark, docs.limit(0), "").count() == 0
