@@ -293,30 +293,33 @@ def nearest_in_space(queries: DataFrame, references: DataFrame, features: list[s
     from rangeflow.operators.lineage import cut
 
     by, w = by or [], weights or {}
-    group, names = by or ["_g"], [f"_f{k}" for k in range(len(features))]
-    scaled = [(F.col(f).cast("double") * math.sqrt(w.get(f, 1.0))).alias(n) for f, n in zip(features, names, strict=True)]
+    group = by or ["_g"]
+    # one array of the features: a plan with a column each takes the optimiser minutes where there are dozens
+    vector = F.array(*[F.col(f).cast("double") * math.sqrt(w.get(f, 1.0)) for f in features])
+    whole = lambda df: df.where(~F.exists("_v", lambda v: v.isNull() | F.isnan(v)))
     one = [] if by else [F.lit(0).alias("_g")]
-    refs = cut(references.select(*by, *one, *scaled).dropna().distinct())
-    asked = queries.select(*by, *one, key, *scaled)
-    apart = lambda a, b: F.sqrt(sum((F.pow(a(n) - b(n), 2) for n in names), F.lit(0.0)))
-    h = F.xxhash64(*names)
+    refs = cut(whole(references.select(*by, *one, vector.alias("_v"))).distinct())
+    asked = whole(queries.select(*by, *one, key, vector.alias("_v")))
+    to = lambda p: F.sqrt(F.aggregate(F.zip_with(p["_v"], "_v", lambda a, b: (a - b) * (a - b)), F.lit(0.0), lambda s, v: s + v))
+    h = F.xxhash64("_v")
     sizes = refs.groupBy(*group).agg(F.count("*").alias("_n"), F.min(h).alias("_first"))
     some = F.least(F.ceil(F.sqrt("_n")), F.lit(MOST_PIVOTS))
-    pivots = cut(refs.join(sizes, group).where((F.pmod(h, F.col("_n")) < some) | (h == F.col("_first"))).select(*group, *names).withColumn("_p", F.monotonically_increasing_id()))
+    pivots = cut(refs.join(sizes, group).where((F.pmod(h, F.col("_n")) < some) | (h == F.col("_first"))).select(*group, "_v").withColumn("_p", F.monotonically_increasing_id()))
     # the drawn number varies around the wanted one; a group's list is that small table's row
-    listed = lambda df, *more: df.groupBy(*group).agg(F.collect_list(F.struct("_p", *names, *more)).alias("_pivots"))
+    listed = lambda df, *more: df.groupBy(*group).agg(F.collect_list(F.struct("_p", "_v", *more)).alias("_pivots"))
     beside = (lambda df: F.broadcast(df)) if not by else (lambda df: df)
-    to = lambda p: apart(lambda n: p[n], F.col)
     dealt = refs.join(beside(listed(pivots)), group).withColumn("_m", F.array_min(F.transform("_pivots", lambda p: F.struct(to(p).alias("d"), p["_p"].alias("p")))))
-    dealt = cut(dealt.select(*group, *names, F.col("_m.p").alias("_p"), F.col("_m.d").alias("_far")))
+    dealt = cut(dealt.select(*group, "_v", F.col("_m.p").alias("_p"), F.col("_m.d").alias("_far")))
     radii = dealt.groupBy(*group, "_p").agg(F.max("_far").alias("_radius"))
     known = cut(listed(pivots.join(radii, [*group, "_p"]), "_radius"))
-    met = asked.dropna(subset=names).join(beside(known), group)
+    met = asked.join(beside(known), group)
     met = met.withColumn("_to", F.transform("_pivots", lambda p: F.struct(p["_p"].alias("p"), to(p).alias("d"), p["_radius"].alias("r")))).drop("_pivots")
     met = met.withColumn("_bound", F.array_min(F.transform("_to", lambda t: t["d"])) * (1 + 1e-9) + 1e-12)
-    met = met.withColumn("_c", F.explode(F.filter("_to", lambda t: t["d"] - t["r"] <= F.col("_bound")))).select(*group, key, "_bound", F.col("_c.p").alias("_p"), F.col("_c.d").alias("_d"), *[F.col(n).alias(f"q{n}") for n in names])
+    met = met.withColumn("_c", F.explode(F.filter("_to", lambda t: t["d"] - t["r"] <= F.col("_bound"))))
+    met = met.select(*group, key, "_bound", F.col("_c.p").alias("_p"), F.col("_c.d").alias("_d"), F.col("_v").alias("_q"))
     pairs = met.join(dealt, [*group, "_p"]).where(F.abs(F.col("_d") - F.col("_far")) <= F.col("_bound"))
-    found = pairs.groupBy(*by, key).agg(F.min(apart(lambda n: F.col(f"q{n}"), F.col)).alias("distance"))
+    apart = F.sqrt(sum((F.pow(F.col("_q")[k] - F.col("_v")[k], 2) for k in range(len(features))), F.lit(0.0)))
+    found = pairs.groupBy(*by, key).agg(F.min(apart).alias("distance"))
     return queries.select(*by, key).distinct().join(found, [*by, key], "left")
 
 

@@ -29,10 +29,10 @@ def agg1_taxa(spark, d):
     return A.taxon_fingerprints(occurrences(spark, d), ("source", "observation_id", "scientific_name", "id"))
 
 
-@query("agg2_sites_per_taxon", f"{WITH_POINTS} SELECT scientific_name AS taxon, count(DISTINCT cell20) FILTER (WHERE id % 3 = 0) AS sites FROM pts GROUP BY 1")
+@query("agg2_sites_per_taxon", f"{WITH_POINTS} SELECT scientific_name AS taxon, count(DISTINCT cell20) AS sites FROM pts GROUP BY 1")
 def agg2(spark, d):
-    p = points(spark, d).select(F.col("scientific_name").alias("taxon"), F.col("cell20").alias("site"), "id")
-    return A.sites_per_taxon(p, p.where("id % 3 = 0"))
+    p = points(spark, d).select(F.col("scientific_name").alias("taxon"), F.col("cell20").alias("site"))
+    return A.sites_per_taxon(p, p)
 
 
 @query("agg3_batch_candidates", f"{WITH_POINTS} SELECT scientific_name AS taxon, count(DISTINCT cell20) AS sites FROM pts GROUP BY 1 HAVING count(DISTINCT cell20) BETWEEN 5 AND 60 ORDER BY sites DESC, taxon LIMIT 50")

@@ -5,9 +5,11 @@ from __future__ import annotations
 from pyspark.sql import functions as F
 
 from rangeflow.functions import text as X
+from rangeflow.functions.scalars import albers
 from rangeflow.operators import joins as J
+from rangeflow.operators.lineage import cut
 from rangeflow.plans.queries import _BOXES, _HALF, _REGION_OF, _regions, query, r
-from rangeflow.plans.stand_ins import KEY_SQL, MAP_SQL, WITH_OCC, WITH_POINTS, map_values, occurrences, points, table
+from rangeflow.plans.stand_ins import KEY_SQL, MAP_SQL, WITH_OCC, WITH_POINTS, X_SQL, Y_SQL, map_values, occurrences, points, table
 
 
 def _sequences(spark, d):
@@ -115,26 +117,27 @@ def _busy(spark, d):
     return points(spark, d).where("cell5 is not null").groupBy(F.col("cell5").alias("cell")).agg(F.min("x").alias("x"), F.min("y").alias("y"), F.count("*").alias("records"))
 
 
-_CENTRES = "ctr AS (SELECT cell, x, y FROM busy WHERE cell % 3 = 0)"
+#: The busy cells that stand after thinning to 60 km, one after another in SQL.
+_THINNED = f"""{_CELLS.replace('WITH ', 'WITH RECURSIVE ', 1)}, nb AS (SELECT *, row_number() OVER (ORDER BY records DESC, cell) AS n FROM busy),
+ walk(n, cell, chosen, cs) AS (SELECT 0::BIGINT, 0::BIGINT, false, []::STRUCT(x DOUBLE, y DOUBLE)[]
+  UNION ALL SELECT n, cell, chosen, CASE WHEN chosen THEN list_append(cs, {{'x': x, 'y': y}}) ELSE cs END
+   FROM (SELECT b.n, b.cell, b.x, b.y, cs, len(list_filter(cs, lambda c: pow(c.x - b.x, 2) + pow(c.y - b.y, 2) < 60000.0::DOUBLE * 60000)) = 0 AS chosen FROM walk w JOIN nb b ON b.n = w.n + 1)),
+ ctr AS (SELECT b.cell, b.x, b.y, b.records FROM walk w JOIN nb b ON b.n = w.n WHERE w.chosen)"""
 
 
 @query(
     "joi8_site_assignment",
-    f"{_CELLS}, {_CENTRES}, near AS (SELECT b.cell, arg_min(c.cell, (round(pow(b.x - c.x, 2) + pow(b.y - c.y, 2), 3), c.cell)) AS site FROM busy b JOIN ctr c ON pow(b.x - c.x, 2) + pow(b.y - c.y, 2) <= 90000.0::DOUBLE * 90000 GROUP BY 1) SELECT b.cell, coalesce(n.site, b.cell) AS site FROM busy b LEFT JOIN near n ON n.cell = b.cell",
+    f"""{_THINNED}, near AS (SELECT b.cell, arg_min(c.cell, (round(pow(b.x - c.x, 2) + pow(b.y - c.y, 2), 3), c.cell)) AS site
+  FROM busy b JOIN ctr c ON pow(b.x - c.x, 2) + pow(b.y - c.y, 2) <= 60000.0::DOUBLE * 60000 GROUP BY 1)
+ SELECT b.cell, coalesce(n.site, b.cell) AS site FROM busy b LEFT JOIN near n ON n.cell = b.cell""",
 )
 def joi8(spark, d):
-    busy = _busy(spark, d)
-    return J.attach_sites(busy, busy.where("cell % 3 = 0"), 90_000.0).select("cell", "site")
+    """Every cell at the nearest of the cells that thinning leaves."""
+    busy = cut(_busy(spark, d))
+    return J.attach_sites(busy, J.thin_by_distance(busy, 60_000.0), 60_000.0).select("cell", "site")
 
 
-@query(
-    "joi9_thinning",
-    f"""{_CELLS.replace('WITH ', 'WITH RECURSIVE ', 1)}, nb AS (SELECT *, row_number() OVER (ORDER BY records DESC, cell) AS n FROM busy),
- walk(n, cell, chosen, cs) AS (SELECT 0::BIGINT, 0::BIGINT, false, []::STRUCT(x DOUBLE, y DOUBLE)[]
-  UNION ALL SELECT n, cell, chosen, CASE WHEN chosen THEN list_append(cs, {{'x': x, 'y': y}}) ELSE cs END
-   FROM (SELECT b.n, b.cell, b.x, b.y, cs, len(list_filter(cs, lambda c: pow(c.x - b.x, 2) + pow(c.y - b.y, 2) < 60000.0::DOUBLE * 60000)) = 0 AS chosen FROM walk w JOIN nb b ON b.n = w.n + 1))
- SELECT b.cell, b.records FROM walk w JOIN nb b ON b.n = w.n WHERE w.chosen""",
-)
+@query("joi9_thinning", f"{_THINNED} SELECT cell, records FROM ctr")
 def joi9(spark, d):
     return J.thin_by_distance(_busy(spark, d), 60_000.0).select("cell", "records")
 
@@ -148,20 +151,32 @@ def joi10(spark, d):
     return J.accessible_sites(_busy(spark, d).select("cell", "x", "y"), det, 150).select("taxon", "cell")
 
 
-@query("joi11_nearest", f"{_CELLS}, {_CENTRES} SELECT b.cell AS q, round(sqrt(min(pow(b.x - c.x, 2) + pow(b.y - c.y, 2))), 3) AS distance FROM busy b, ctr c GROUP BY 1")
+@query(
+    "joi11_nearest",
+    f"""{_CELLS}, asked AS (SELECT c_custkey AS q, {X_SQL} AS ax, {Y_SQL} AS ay FROM
+  (SELECT c_custkey, 14 + CAST(c_custkey * 37 % 5800 AS DOUBLE) / 100 AS latitude, -170 + CAST(c_custkey * 91 % 11800 AS DOUBLE) / 100 AS longitude FROM customer))
+ SELECT q, round(sqrt(min(pow(ax - x, 2) + pow(ay - y, 2))), 3) AS distance FROM asked, busy GROUP BY 1""",
+)
 def joi11(spark, d):
-    busy = _busy(spark, d)
-    near = J.nearest(busy.withColumnRenamed("cell", "q"), busy.where("cell % 3 = 0"))
-    return near.select("q", r("distance", 3).alias("distance"))
+    """Every customer's place, with or without records, against all cells with records."""
+    k = F.col("c_custkey")
+    x, y = albers("latitude", "longitude")
+    asked = table(spark, d, "customer").select(k.alias("q"), (14 + (k * 37 % 5800).cast("double") / 100).alias("latitude"), (-170 + (k * 91 % 11800).cast("double") / 100).alias("longitude"))
+    return J.nearest(asked.select("q", x.alias("x"), y.alias("y")), _busy(spark, d)).select("q", r("distance", 3).alias("distance"))
 
 
 @query(
     "joi11_nearest_in_space",
-    "WITH e AS (SELECT vec_id, embedding[1]::DOUBLE AS a, embedding[2]::DOUBLE AS b, embedding[3]::DOUBLE AS c FROM embeddings) SELECT q.vec_id AS q, round(sqrt(min(pow(q.a - s.a, 2) + 2 * pow(q.b - s.b, 2) + pow(q.c - s.c, 2))), 6) AS distance FROM e q, e s WHERE s.vec_id % 5 = 0 GROUP BY 1",
+    """WITH e AS (SELECT vec_id, label % 2 AS side, embedding::DOUBLE[] AS v FROM embeddings)
+ SELECT q.vec_id AS q, round(sqrt(min(list_sum([pow(q.v[k] - s.v[k], 2) * CASE k WHEN 2 THEN 2 ELSE 1 END FOR k IN range(1, 65)]))), 6) AS distance
+ FROM e q LEFT JOIN e s ON s.side = 1 - q.side GROUP BY 1""",
 )
 def joi11_space(spark, d):
-    e = table(spark, d, "embeddings").select(F.col("vec_id").alias("q"), *[F.col("embedding")[k].cast("double").alias(n) for k, n in enumerate("abc")])
-    return J.nearest_in_space(e, e.where("q % 5 = 0"), ["a", "b", "c"], {"b": 2.0}).select("q", r("distance").alias("distance"))
+    """Every vector's distance to the nearest one of the labels of the other parity, over all components."""
+    names = [f"f{k}" for k in range(64)]
+    e = table(spark, d, "embeddings").select(F.col("vec_id").alias("q"), (F.col("label") % 2).alias("side"), *[F.col("embedding")[k].cast("double").alias(n) for k, n in enumerate(names)])
+    other = e.withColumn("side", 1 - F.col("side"))
+    return J.nearest_in_space(e, other, names, {"f1": 2.0}, by=["side"]).select("q", r("distance").alias("distance"))
 
 
 @query(
@@ -231,7 +246,7 @@ def joi15(spark, d):
 
 @query(
     "joi16_region_status",
-    """WITH rec AS (SELECT CAST(o_custkey % 40 AS VARCHAR) AS taxon, o_orderpriority AS code, count(*) AS records, count(DISTINCT o_custkey) AS localities FROM orders WHERE o_orderkey % 3 = 0 GROUP BY ALL),
+    """WITH rec AS (SELECT CAST(o_custkey % 40 AS VARCHAR) AS taxon, o_orderpriority AS code, count(*) AS records, count(DISTINCT o_custkey) AS localities FROM orders GROUP BY ALL),
  pred AS (SELECT CAST(s_suppkey % 60 AS VARCHAR) AS taxon, o_orderpriority AS code, max((s_suppkey % 30) / 100.0::DOUBLE) AS reach_share, max((s_suppkey % 17) / 100.0::DOUBLE) AS suitable_share, max((s_suppkey % 23) / 100.0::DOUBLE) AS best_share FROM supplier, (SELECT DISTINCT o_orderpriority FROM orders WHERE o_orderpriority < '3') GROUP BY ALL),
  b AS (SELECT coalesce(rec.taxon, pred.taxon) AS taxon, coalesce(rec.code, pred.code) AS code, coalesce(records, 0) AS records, coalesce(localities, 0) AS localities, reach_share, suitable_share, best_share, rec.taxon IS NOT NULL AS had FROM rec FULL JOIN pred ON rec.taxon = pred.taxon AND rec.code = pred.code),
  c AS (SELECT taxon, code, records, localities, CASE WHEN taxon IN (SELECT taxon FROM pred) THEN coalesce(reach_share, 0) END AS reach_share, CASE WHEN taxon IN (SELECT taxon FROM pred) THEN coalesce(suitable_share, 0) END AS suitable_share, CASE WHEN taxon IN (SELECT taxon FROM pred) THEN coalesce(best_share, 0) END AS best_share FROM b WHERE had OR best_share >= 0.1 - 1e-9)
@@ -239,7 +254,7 @@ def joi15(spark, d):
 )
 def joi16(spark, d):
     o = table(spark, d, "orders")
-    rec = o.where("o_orderkey % 3 = 0").groupBy((F.col("o_custkey") % 40).cast("string").alias("taxon"), F.col("o_orderpriority").alias("code")).agg(F.count("*").alias("records"), F.count_distinct("o_custkey").alias("localities"))
+    rec = o.groupBy((F.col("o_custkey") % 40).cast("string").alias("taxon"), F.col("o_orderpriority").alias("code")).agg(F.count("*").alias("records"), F.count_distinct("o_custkey").alias("localities"))
     k = F.col("s_suppkey")
     codes = o.where("o_orderpriority < '3'").select(F.col("o_orderpriority").alias("code")).distinct()
     pred = table(spark, d, "supplier").crossJoin(F.broadcast(codes)).groupBy((k % 60).cast("string").alias("taxon"), "code")
@@ -296,8 +311,10 @@ def joi20(spark, d):
     return J.change_reasons(refs, o)
 
 
-_FINDS = "SELECT DISTINCT user_id AS ref, CAST(ts AS DATE) AS day, concat('n', user_id) AS name FROM events WHERE event_id % 9 = 0"
-_LOG = "SELECT event_id AS id, user_id AS ref, CAST(ts AS DATE) AS day, concat('was ', event_id) AS old_name, CASE WHEN event_id % 4 = 0 THEN 'merge' ELSE 'rename' END AS kind FROM events WHERE event_id % 6 = 1"
+#: Finds are users' days with events; every event is also a change, dated up to six days later.
+_FINDS = "SELECT DISTINCT user_id AS ref, CAST(ts AS DATE) AS day, concat('n', user_id) AS name FROM events"
+_LOG = """SELECT event_id AS id, user_id AS ref, CAST(ts AS DATE) + CAST(event_id % 7 AS INT) AS day, concat('was ', event_id) AS old_name,
+ CASE WHEN event_id % 4 = 0 THEN 'merge' ELSE 'rename' END AS kind FROM events"""
 
 
 @query(
@@ -307,9 +324,10 @@ _LOG = "SELECT event_id AS id, user_id AS ref, CAST(ts AS DATE) AS day, concat('
 )
 def joi21(spark, d):
     e = table(spark, d, "events")
-    day = F.col("ts").cast("date")
-    finds = e.where("event_id % 9 = 0").select(F.col("user_id").alias("ref"), day.alias("day"), F.concat(F.lit("n"), F.col("user_id").cast("string")).alias("name")).distinct()
-    log = e.where("event_id % 6 = 1").select(F.col("event_id").alias("id"), F.col("user_id").alias("ref"), day.alias("day"), F.concat(F.lit("was "), F.col("event_id").cast("string")).alias("old_name"), F.when(F.col("event_id") % 4 == 0, "merge").otherwise("rename").alias("kind"))
+    user, day = F.col("user_id").alias("ref"), F.col("ts").cast("date")
+    finds = e.select(user, day.alias("day"), F.concat(F.lit("n"), F.col("user_id").cast("string")).alias("name")).distinct()
+    later, old = F.date_add(day, (F.col("event_id") % 7).cast("int")), F.concat(F.lit("was "), F.col("event_id").cast("string"))
+    log = e.select(F.col("event_id").alias("id"), user, later.alias("day"), old.alias("old_name"), F.when(F.col("event_id") % 4 == 0, "merge").otherwise("rename").alias("kind"))
     return J.name_as_of(finds, log).withColumn("day", F.col("day").cast("string"))
 
 
@@ -327,12 +345,15 @@ def joi22(spark, d):
 
 @query(
     "joi23_rank_at_points",
-    f"WITH v AS ({MAP_SQL}), rk AS (SELECT model, cell, round(value, 2) AS rank, cell % 3 <> 0 AS inside FROM v WHERE model % 2 = 0) SELECT v.model, v.cell, CASE WHEN inside THEN rank END AS rank, CASE WHEN inside THEN 'inside' WHEN inside IS NOT NULL THEN 'outside_aoa' ELSE 'beyond_reach' END AS place FROM v LEFT JOIN rk ON rk.model = v.model AND rk.cell = v.cell",
+    f"""WITH v AS ({MAP_SQL}), rk AS (SELECT model, cell, round(value, 2) AS rank, cell % 3 <> 0 AS inside FROM v)
+ SELECT v.model, v.cell + 1 AS cell, CASE WHEN inside THEN rank END AS rank, CASE WHEN inside THEN 'inside' WHEN inside IS NOT NULL THEN 'outside_aoa' ELSE 'beyond_reach' END AS place
+ FROM v LEFT JOIN rk ON rk.model = v.model AND rk.cell = v.cell + 1""",
 )
 def joi23(spark, d):
+    """The cell after each cell of a map looked up on the same map."""
     v = map_values(spark, d)
-    ranked = v.where("model % 2 = 0").select("model", "cell", F.round("value", 2).alias("rank"), (F.col("cell") % 3 != 0).alias("inside"))
-    return J.rank_at(v.select("model", "cell"), ranked, ["model", "cell"])
+    ranked = v.select("model", "cell", F.round("value", 2).alias("rank"), (F.col("cell") % 3 != 0).alias("inside"))
+    return J.rank_at(v.select("model", (F.col("cell") + 1).alias("cell")), ranked, ["model", "cell"])
 
 
 _CAND = "SELECT CAST(c_custkey AS VARCHAR) AS taxon, 'rf' AS algorithm, md5(c_mktsegment) AS fingerprint, 's1' AS settings, c_custkey % 50 AS sites FROM customer WHERE c_custkey % 5 <> 0"

@@ -384,10 +384,17 @@ def cel7(spark, d):
     return out.select("row", "col", r("slope", 5).alias("slope"), r("roughness", 4).alias("roughness"))
 
 
-@query("cel8_mask_to_area", f"{WITH_POINTS}, s AS (SELECT cell20 AS cell, avg(x) AS x, avg(y) AS y FROM pts WHERE cell20 IS NOT NULL GROUP BY 1) SELECT DISTINCT a.cell FROM s a JOIN s b ON b.cell % 50 = 0 AND pow(a.x - b.x, 2) + pow(a.y - b.y, 2) <= 200000.0::DOUBLE * 200000")
+@query(
+    "cel8_mask_to_area",
+    f"""{WITH_POINTS}, s AS (SELECT cell20 AS cell, avg(x) AS x, avg(y) AS y FROM pts WHERE cell20 IS NOT NULL GROUP BY 1),
+ det AS (SELECT DISTINCT regexp_extract(scientific_name, '^[A-Z][a-z]+') AS taxon, x, y FROM pts WHERE cell20 IS NOT NULL)
+ SELECT DISTINCT d.taxon, s.cell FROM det d JOIN s ON pow(d.x - s.x, 2) + pow(d.y - s.y, 2) <= 60000.0::DOUBLE * 60000""",
+)
 def cel8(spark, d):
+    """All cells, masked to 60 km around all records of each genus."""
     s = _sites(spark, d).select(F.col("site").alias("cell"), "x", "y")
-    return C.mask_to_area(s, s.where("cell % 50 = 0").withColumn("taxon", F.lit("t")), 200).select("cell")
+    found = points(spark, d).where("cell20 is not null").select(X.taxon_genus("scientific_name").alias("taxon"), "x", "y")
+    return C.mask_to_area(s, found, 60).select("taxon", "cell")
 
 
 @query(
@@ -719,6 +726,32 @@ def stm1_stream(spark, d):
     return spark.read.parquet(f"{folder}/counts").select(F.col("day").cast("date").cast("string").alias("day"), "event_type", "n")
 
 
+_GREEN = "p AS (SELECT concat(source, ':', id) AS record, regexp_extract(scientific_name, '^[A-Z][a-z]+') AS taxon, cell20 AS cell, first_green_on, updated_at FROM pts WHERE first_green_on IS NOT NULL)"
+
+
+@query(
+    "stm1_streamed_scores",
+    f"""{WITH_POINTS}, {_GREEN}, old AS (SELECT * FROM p WHERE first_green_on < DATE '1996-01-01'),
+ rk AS (SELECT taxon, cell, CAST(count(*) AS DOUBLE) AS rank, cell % 3 <> 0 AS inside FROM old WHERE taxon < 'I' AND cell IS NOT NULL GROUP BY 1, 2),
+ f AS (SELECT p.record, p.taxon, p.cell, CASE WHEN inside THEN rank END AS rank, CASE WHEN inside THEN 'inside' WHEN inside IS NOT NULL THEN 'outside_aoa' ELSE 'beyond_reach' END AS place
+  FROM p LEFT JOIN rk ON rk.taxon = p.taxon AND rk.cell = p.cell WHERE first_green_on >= DATE '1995-07-01')
+ SELECT *, CASE WHEN record IN (SELECT record FROM old) THEN 'trained on' WHEN taxon NOT IN (SELECT taxon FROM rk) THEN 'no map' WHEN rank IS NULL THEN place ELSE 'ranked' END AS status FROM f""",
+)
+def stm1_scores(spark, d):
+    """Finds since July 1995 as a file stream, each record once, scored against maps of what was known before 1996 and appended to a ledger."""
+    genus = X.taxon_genus("scientific_name").alias("taxon")
+    p = points(spark, d).where("first_green_on is not null").select(X.record_key("source", F.col("id").cast("string")).alias("record"), genus, F.col("cell20").alias("cell"), "first_green_on", "updated_at")
+    old = p.where("first_green_on < '1996-01-01'")
+    counts = old.where("taxon < 'I' and cell is not null").groupBy("taxon", "cell").agg(F.count("*").cast("double").alias("rank"))
+    ranked = cut(counts.withColumn("inside", F.col("cell") % 3 != 0))
+    finds = p.where("first_green_on >= '1995-07-01'").drop("first_green_on")
+    folder = f"{checkpoint_folder(spark)}/rangeflow_{os.urandom(6).hex()}"
+    finds.write.parquet(f"{folder}/finds")
+    rows = T.watch_finds(spark, f"{folder}/finds", finds.schema)
+    T.stream_scores(rows.drop("updated_at", "_at"), ranked, old.select("taxon", "record"), f"{folder}/ledger", f"{folder}/state").awaitTermination()
+    return spark.read.parquet(f"{folder}/ledger").select("record", "taxon", "cell", "rank", "place", "status")
+
+
 @query("src3_tsv_scan", "SELECT o_orderkey AS id, CAST(o_custkey AS VARCHAR) AS observation_id, o_orderpriority AS scientific_name FROM orders")
 def src3(spark, d):
     """The orders as tab-separated text, written and scanned again by the occurrence schema."""

@@ -236,3 +236,14 @@ def test_live_at_without_a_key(spark):
     days = spark.createDataFrame([(d,) for d in ("2024-01-05", "2024-01-06", "2024-03-01", "2024-05-01", "2024-05-02", "2024-05-02")], "day string")
     got = J.live_at(days, p.withColumn("promoted_at", F.col("promoted_at").cast("timestamp"))).orderBy("day").collect()
     assert [r["release"] for r in got] == [None, "r1", "r2", "r2", "r3", "r3"]
+
+
+def test_nearest_among_many_features(spark):
+    rng = np.random.default_rng(5)
+    names, a, b = [f"f{k}" for k in range(30)], rng.normal(size=(40, 30)), rng.normal(size=(60, 30))
+    frame = lambda m: spark.createDataFrame([(k, *map(float, row)) for k, row in enumerate(m)], ["q", *names])
+    got = {x["q"]: x["distance"] for x in J.nearest_in_space(frame(a), frame(b), names, {"f3": 4.0}).collect()}
+    w = np.ones(30)
+    w[3] = 4.0
+    want = np.sqrt((((a[:, None] - b[None]) ** 2) * w).sum(axis=2)).min(axis=1)
+    assert np.allclose([got[k] for k in range(40)], want)
