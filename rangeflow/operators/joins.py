@@ -29,6 +29,8 @@ LABEL_NONE = "no approved named sequence"
 COUNTRY_NAMES = {"US": "United States", "CA": "Canada", "MX": "Mexico"}
 #: Pivots of a group in the nearest search of a predictor space.
 MOST_PIVOTS = 256
+#: Pivots of all groups that are sent to every task.
+BROADCAST_PIVOTS = 10_000
 BUFFER_KM, THIN_KM, NEAR_KM = 500, 5, 50
 _AROUND = [(i, j) for i in (-1, 0, 1) for j in (-1, 0, 1)]
 
@@ -307,7 +309,8 @@ def nearest_in_space(queries: DataFrame, references: DataFrame, features: list[s
     pivots = cut(refs.join(sizes, group).where((F.pmod(h, F.col("_n")) < some) | (h == F.col("_first"))).select(*group, "_v").withColumn("_p", F.monotonically_increasing_id()))
     # the drawn number varies around the wanted one; a group's list is that small table's row
     listed = lambda df, *more: df.groupBy(*group).agg(F.collect_list(F.struct("_p", "_v", *more)).alias("_pivots"))
-    beside = (lambda df: F.broadcast(df)) if not by else (lambda df: df)
+    # few pivots go to every task, so that a large group's rows stay where they are; many meet the rows by group, where skewed joins are split at run time
+    beside = F.broadcast if not by or pivots.count() <= BROADCAST_PIVOTS else (lambda df: df)
     dealt = refs.join(beside(listed(pivots)), group).withColumn("_m", F.array_min(F.transform("_pivots", lambda p: F.struct(to(p).alias("d"), p["_p"].alias("p")))))
     dealt = cut(dealt.select(*group, "_v", F.col("_m.p").alias("_p"), F.col("_m.d").alias("_far")))
     radii = dealt.groupBy(*group, "_p").agg(F.max("_far").alias("_radius"))

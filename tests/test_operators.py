@@ -1,6 +1,7 @@
 import random
 
 import numpy as np
+import pytest
 from pyspark.sql import functions as F
 
 from rangeflow.operators import aggs as A
@@ -64,7 +65,9 @@ def test_points_take_turns_for_sites(spark):
         assert got == want and len(got) == 60
 
 
-def test_nearest_in_space_equals_brute_force(spark):
+@pytest.mark.parametrize("sent", [10_000, 0])
+def test_nearest_in_space_equals_brute_force(spark, monkeypatch, sent):
+    monkeypatch.setattr(J, "BROADCAST_PIVOTS", sent)
     rng = np.random.default_rng(9)
     refs = [("ab"[k % 2], float(x), float(y), float(z)) for k, (x, y, z) in enumerate(np.round(rng.normal(size=(400, 3)), 1))]
     asked = [("abc"[k % 3], k, float(x), None if k == 7 else float(y), float(z)) for k, (x, y, z) in enumerate(rng.normal(size=(90, 3)) * 2)]
