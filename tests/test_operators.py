@@ -234,6 +234,19 @@ def test_accessible_sites_equal_all_pairs(spark):
     assert J.accessible_sites(s, f.limit(0), 100).count() == 0
 
 
+
+def test_accessible_squares_are_neither_broadcast_nor_multiplied(spark):
+    rng = random.Random(5)
+    s = spark.createDataFrame([(i, rng.uniform(-6e6, 6e6), rng.uniform(-6e6, 6e6)) for i in range(300)], "site long, x double, y double")
+    f = s.where("site % 4 = 0").withColumn("taxon", F.when(F.col("site") % 3 > 0, (F.col("site") % 3).cast("string")))
+    out = J.accessible_sites(s, f, 900)
+    plan = out._jdf.queryExecution().executedPlan().toString()
+    assert "BroadcastHashJoin" not in plan and "FlatMapGroupsInPandas" in plan
+    rows, found = s.collect(), f.collect()
+    want = {(d.taxon, c.site) for d in found for c in rows if (c.x - d.x) ** 2 + (c.y - d.y) ** 2 <= 900_000**2}
+    assert {(r.taxon, r.site) for r in out.collect()} == want and out.count() == len(want)
+
+
 def test_live_at_without_a_key(spark):
     p = spark.createDataFrame([("r1", "2024-01-05 00:00:00"), ("r2", "2024-01-20 12:00:00"), (None, "2024-02-02 00:00:00"), ("r3", "2024-05-01 00:00:00")], "release string, promoted_at string")
     days = spark.createDataFrame([(d,) for d in ("2024-01-05", "2024-01-06", "2024-03-01", "2024-05-01", "2024-05-02", "2024-05-02")], "day string")
