@@ -63,3 +63,11 @@ def test_bands_and_intervals(spark):
     w = one(spark, S.wilson(F.lit(5), F.lit(10)))
     assert (w["low"], w["high"]) == (0.237, 0.763)
     assert one(spark, S.wilson(F.lit(0), F.lit(0)))["low"] is None
+
+
+def test_the_origin_lies_on_its_cell_edge(spark):
+    from rangeflow.functions.scalars import albers, grid_cell
+
+    at = spark.createDataFrame([(40.0, -96.0)], "lat double, lng double").withColumns(dict(zip(("x", "y"), albers("lat", "lng"))))
+    row = at.select("x", "y", grid_cell("x", "y", 5).alias("c5"), grid_cell("x", "y", 20).alias("c20")).first()
+    assert (row.x, row.y, row.c5, row.c20) == (0.0, 0.0, 2310818, 144706)
