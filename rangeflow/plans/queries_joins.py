@@ -49,7 +49,7 @@ _DNA = f"""keyed AS (SELECT id, species_name AS n, {KEY_SQL.replace('scientific_
 
 
 def labelled(spark, d):
-    return J.dna_names(occurrences(spark, d), _names(spark, d))
+    return J.sequenced_records(occurrences(spark, d), _sequences(spark, d), _links(spark, d))
 
 
 @query("joi2_dna_names", f"{WITH_OCC}, {_SEQ}, {_DNA} SELECT id, name_status, CASE WHEN name_status NOT IN ('sequences disagree (left out)', 'sequence name is one word (left out)', 'no approved named sequence') THEN nm END AS scientific_name FROM lab")

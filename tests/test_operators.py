@@ -263,3 +263,22 @@ def test_nearest_among_many_features(spark):
     w[3] = 4.0
     want = np.sqrt((((a[:, None] - b[None]) ** 2) * w).sum(axis=2)).min(axis=1)
     assert np.allclose([got[k] for k in range(40)], want)
+
+
+def test_sequence_names_are_gathered_by_key(spark):
+    rec = [(i, ("iNaturalist", "MO Observations", "MyCoPortal")[i % 3], str(i % 4), ("Amanita muscaria", "Amanita", "Boletus edulis Fr.")[i % 3]) for i in range(40)] + [(1, "iNaturalist", "1", "Amanita muscaria")]
+    records = spark.createDataFrame(rec, "id long, source string, observation_id string, scientific_name string")
+    seq = [("inat:0", "Amanita muscaria"), ("mo:1", "Amanita  muscaria"), ("mo:3", "Boletus edulis"), ("mo:2", " "), ("inat:3", "Russula")] * 50
+    sequences = spark.createDataFrame([(*s, True, None) for s in seq], "ref string, species_name string, approved boolean, flags string")
+    links = spark.createDataFrame([(f"inat:{k}", f"mo:{k}") for k in range(4)], "ref string, other_ref string")
+    names = J.sequence_names(records, sequences, links)
+    prefix = {"iNaturalist": "inat", "MO Observations": "mo", "MyCoPortal": "mycoportal"}
+    refs = {(i, f"{prefix[s]}:{o}") for i, s, o, _ in rec} | {(i, f"mo:{o}") for i, s, o, _ in rec if s == "iNaturalist"}
+    want = sorted((i, n.strip()) for i, f in refs for g, n in set(seq) if f == g and n.strip())
+    assert sorted(map(tuple, names.collect())) == want
+    single = records.where("id <> 1")
+    cols = ["id", "record_name", "scientific_name", "name_status"]
+    got = J.sequenced_records(single, sequences, links).select(cols).collect()
+    assert sorted(got, key=str) == sorted(J.dna_names(single, names).select(cols).collect(), key=str)
+    plan = J.sequenced_records(single, sequences, links)._jdf.queryExecution().optimizedPlan().toString()
+    assert "collect_set(id" not in plan and "Aggregate [id#" not in plan
