@@ -161,11 +161,31 @@ def boyce_of_ranks(histogram: DataFrame, by: list[str], expected: DataFrame | No
 
 
 def quantile_gap(df: DataFrame, by: list[str], value: str, side: str, n: int = 1000) -> DataFrame:
-    """WIN11: mean absolute difference of n quantiles of two samples (``side`` true and false)."""
-    at = [(k + 0.5) / n for k in range(n)]
-    q = df.groupBy(*by).agg(F.percentile(F.when(F.col(side), F.col(value)), at).alias("a"), F.percentile(F.when(~F.col(side), F.col(value)), at).alias("b"))
-    gap = F.aggregate(F.zip_with("a", "b", lambda x, y: F.abs(x - y)), F.lit(0.0), lambda s, x: s + x) / n
-    return q.select(*by, gap.alias("gap"))
+    """WIN11: mean absolute difference of n quantiles of two samples (``side`` true and false), null where a sample is empty.
+
+    Values are counted and ordered by ranges; of them only those at the places beside a quantile's go on, two for each.
+    """
+    known = df.where(F.col(value).isNotNull() & F.col(side).isNotNull())
+    counts = known.groupBy(F.struct(*by, F.col(side).alias("_side")).alias("_g"), F.col(value).cast("double").alias("_v")).agg(F.count("*").alias("_c"))
+    last, k = F.col("_all") - 1, F.col("_k")
+    at = F.lit(1.0) * last * ((k + 0.5) / n)
+    # the quantiles that can need a value, by arithmetic and one to each side; the comparison below decides
+    edge = lambda place: place * n / F.greatest(last, F.lit(1)) - 0.5
+    since = F.greatest(F.lit(0), F.floor(edge(F.col("_below") - 1)) - 1).cast("int")
+    until = F.least(F.lit(n - 1), F.when(last < 1, n - 1).otherwise(F.ceil(edge(F.col("_below") + F.col("_c"))) + 1)).cast("int")
+    near = _below(counts, ["_g"]).where(since <= until).select("*", F.explode(F.sequence(since, until)).alias("_k"))
+    holds = lambda place: (place >= F.col("_below")) & (place < F.col("_below") + F.col("_c"))
+    near = near.withColumns({"_at": at, "_low": F.floor(at), "_high": F.ceil(at)}).where(holds(F.col("_low")) | holds(F.col("_high")))
+    low, high = (F.max(F.when(holds(F.col(c)), F.col("_v"))) for c in ("_low", "_high"))
+    ends = near.groupBy("_g", "_k", "_at", "_low", "_high").agg(low.alias("_lo"), high.alias("_hi"))
+    between = (F.col("_high") - F.col("_at")) * F.col("_lo") + (F.col("_at") - F.col("_low")) * F.col("_hi")
+    q = ends.select(*[F.col(f"_g.{c}").alias(c) for c in by], F.col("_g._side").alias("_side"), "_k", F.when(F.col("_lo") == F.col("_hi"), F.col("_lo")).otherwise(between).alias("_q"))
+    sides = [F.max(F.when(F.col("_side") == s, F.col("_q"))) for s in (True, False)]
+    gaps = q.groupBy(*by, "_k").agg(F.abs(sides[0] - sides[1]).alias("_d"))
+    rows = gaps.unionByName(df.select(*by, F.lit(None).cast("int").alias("_k"), F.lit(None).cast("double").alias("_d")).distinct())
+    found = F.transform(F.array_sort(F.collect_list(F.when(F.col("_d").isNotNull(), F.struct("_k", "_d")))), lambda x: x["_d"])
+    total = F.aggregate(found, F.lit(0.0), lambda t, x: t + x) / n
+    return rows.groupBy(*by).agg(F.when(F.count("_d") == n, total).alias("gap"))
 
 
 def keyset_windows(bounds: DataFrame, bound: str = "bound") -> DataFrame:

@@ -282,3 +282,18 @@ def test_sequence_names_are_gathered_by_key(spark):
     assert sorted(got, key=str) == sorted(J.dna_names(single, names).select(cols).collect(), key=str)
     plan = J.sequenced_records(single, sequences, links)._jdf.queryExecution().optimizedPlan().toString()
     assert "collect_set(id" not in plan and "Aggregate [id#" not in plan
+
+
+def test_quantile_gap_orders_by_ranges(spark):
+    rng = random.Random(9)
+    rows = [(g, rng.random() < 0.4, float(rng.randrange(60)) if g else rng.gauss(0, 9)) for g in (0, 1, None) for _ in range(700)]
+    rows += [(2, True, 1.0), (3, True, 4.0), (3, False, 1.5), (4, True, None)]
+    df = spark.createDataFrame(rows, "g int, side boolean, v double")
+    out = W.quantile_gap(df, ["g"], "v", "side")
+    assert "percentile" not in out._jdf.queryExecution().optimizedPlan().toString()
+    got = {r.g: r.gap for r in out.collect()}
+    at = [(k + 0.5) / 1000 for k in range(1000)]
+    for g in (0, 1, None, 3):
+        a, b = (np.quantile([v for h, s, v in rows if h == g and s == side], at) for side in (True, False))
+        assert got[g] == pytest.approx(float(np.mean(np.abs(a - b))), abs=1e-9)
+    assert len(got) == 6 and got[2] is None and got[4] is None
