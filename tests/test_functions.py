@@ -71,3 +71,11 @@ def test_the_origin_lies_on_its_cell_edge(spark):
     at = spark.createDataFrame([(40.0, -96.0)], "lat double, lng double").withColumns(dict(zip(("x", "y"), albers("lat", "lng"))))
     row = at.select("x", "y", grid_cell("x", "y", 5).alias("c5"), grid_cell("x", "y", 20).alias("c20")).first()
     assert (row.x, row.y, row.c5, row.c20) == (0.0, 0.0, 2310818, 144706)
+
+
+def test_coarser_cells_beyond_the_extent_stay_apart(spark):
+    from rangeflow.functions.scalars import coarser_cell
+
+    cells = [1, 2436, 2436 * 1539, 2436 * 1539 + 1, 4_000_000, 20_000_000]
+    got = [r[0] for r in spark.createDataFrame([(c,) for c in cells], "cell long").select(coarser_cell("cell", 5, 20)).collect()]
+    assert got == [(c - 1) // 2436 // 4 * 609 + (c - 1) % 2436 // 4 + 1 for c in cells]
