@@ -364,3 +364,17 @@ def test_applicability_by_hand(spark, rows):
                 r = got[taxon, cell]
                 assert np.isclose(r["index"], index) and np.isclose(r["threshold"], threshold) and r["inside"] == (index <= threshold)
     assert got["p", 3]["index"] is None
+
+
+def test_kernels_store_no_pairs(spark, monkeypatch):
+    rng = np.random.default_rng(5)
+    place, asked, stored = rng.uniform(0, 4e5, (300, 2)), rng.uniform(-1e5, 5e5, (200, 2)), []
+    monkeypatch.setattr(M, "cut", lambda df, f=M.cut: stored.append((out := f(df)).count()) or out)
+    monkeypatch.setattr(M, "KERNEL_ROWS", 40, raising=False)
+    monkeypatch.setattr(M, "KERNEL_CELLS", 1000, raising=False)
+    q = spark.createDataFrame([("t", k, float(x), float(y)) for k, (x, y) in enumerate(asked)], "taxon string, site long, x double, y double")
+    got = M.kernel_scores(q, spark.createDataFrame([("t", float(x), float(y)) for x, y in place], "taxon string, x double, y double"), 20.0, ["taxon"])
+    for r in got.collect():
+        e = -((place - [r["x"], r["y"]]) ** 2).sum(axis=1) / (2 * 20_000.0**2)
+        assert abs(r["score"] - (e.max() + np.log(np.exp(e - e.max()).sum()))) < 1e-6
+    assert max(stored) < 20 * len(asked)
