@@ -2,9 +2,11 @@
 
 from __future__ import annotations
 
+import pickle
 from collections.abc import Iterator
 from datetime import datetime, timezone
 
+import numpy as np
 import pandas as pd
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
@@ -58,42 +60,79 @@ def retract(ledger: DataFrame, occurrences: DataFrame, today: str) -> tuple[Data
     return state, again
 
 
-_KNOWN = "taxon string, cell long, retracted_on date, reason string, listed boolean"
+_KNOWN = ["record", "taxon", "cell", "since", "reason", "due"]
+_NO_EVENTS = pd.DataFrame({"record": [], "kind": [], "taxon": [], "cell": [], "retracted_on": [], "at": pd.to_datetime([])})
+#: A timer that is not set.
+_NEVER = np.iinfo(np.int64).max
 
 
-def watch_retractions(events: DataFrame, grace_days: float = 1.0, delay: str = "0 seconds") -> DataFrame:
+def _told(known: pd.DataFrame, events: pd.DataFrame, watermark_ms: int, grace_days: float) -> tuple[pd.DataFrame, pd.DataFrame]:
+    """(the listed records of a part after a batch of its events, those of them whose state is told).
+
+    Events of a record go in the order of time; each round takes every record's next one, so all records go at once.
+    """
+    events = events.sort_values(["record", "at", "kind"], ignore_index=True)
+    turn = events.groupby("record", sort=False, dropna=False).cumcount().to_numpy()
+    fresh = pd.Index(events.loc[events["kind"] == "listed", "record"].unique()).difference(known["record"], sort=False)
+    known = pd.concat([known, pd.DataFrame({c: fresh if c == "record" else None for c in _KNOWN}, columns=_KNOWN)], ignore_index=True) if len(fresh) else known
+    taxon, cell, since, reason = (known[c].to_numpy(dtype=object, na_value=None).copy() for c in _KNOWN[1:5])
+    due = known["due"].to_numpy(dtype=object, na_value=_NEVER).astype(np.int64)
+    listed, told = np.arange(len(known)) < len(known) - len(fresh), np.zeros(len(known), dtype=bool)
+    row = pd.Index(known["record"].infer_objects()).get_indexer(events["record"])
+    ours = [events[c].to_numpy(dtype=object, na_value=None) for c in ("taxon", "cell", "retracted_on")]
+    is_listed, at = (events["kind"] == "listed").to_numpy(), events["at"]
+    day = at.dt.date.to_numpy()
+    gone = (due < watermark_ms) & listed
+    gone[row[row >= 0]] = False  # records with events are not timed out
+    for k in range(turn.max(initial=-1) + 1):
+        new = np.flatnonzero((turn == k) & (row >= 0) & is_listed)
+        to = row[new]
+        taxon[to], cell[to], since[to], listed[to], told[to] = ours[0][new], ours[1][new], ours[2][new], True, True
+        seen = np.flatnonzero((turn == k) & (row >= 0) & ~is_listed)
+        seen = seen[listed[row[seen]]]
+        to = row[seen]
+        renamed, moved = ours[0][seen] != taxon[to], ours[1][seen] != cell[to]
+        reason[to] = np.where(renamed, "renamed", np.where(moved, "moved", None))
+        first = np.where(pd.isna(since[to]), day[seen], since[to])
+        since[to], told[to] = np.where(renamed | moved, first, None), True
+    last = np.flatnonzero((row >= 0) & ~events["record"].duplicated(keep="last").to_numpy())
+    ends = (at.to_numpy().astype("datetime64[ms]").astype(np.int64) + int(grace_days * 86_400_000))[last]
+    due[row[last]] = np.maximum(ends, watermark_ms + 1)
+    due[gone] = _NEVER
+    newly = gone & (reason != "gone")
+    since[newly] = np.where(pd.isna(since[newly]), datetime.fromtimestamp(watermark_ms / 1000, timezone.utc).date(), since[newly])
+    reason[newly], told[newly] = "gone", True
+    known = pd.DataFrame({"record": known["record"], "taxon": taxon, "cell": cell, "since": since, "reason": reason, "due": due}, columns=_KNOWN)
+    return known, known[told]
+
+
+def watch_retractions(events: DataFrame, grace_days: float = 1.0, delay: str = "0 seconds", parts: int = 4096) -> DataFrame:
     """STM2: the ledger's state as a stream: a row (record, reason, retracted_on) whenever a listed record's state is told or changes.
 
     events, a stream: record, kind, taxon, cell, retracted_on, at.  ``listed`` rows are ledger rows as they stood; ``seen`` rows are records of a pull.  A
     record that no pull shows within ``grace_days`` (event time) is gone, by a timer; one with another taxon is renamed, on another
     cell moved; one seen as it was listed is restored.  The first day of a retraction is kept while it lasts.
+
+    Records are dealt to ``parts`` by a hash, and a part's records go through a batch at once; its state is their rows, its timer the
+    first of theirs.  The number of parts stays the same for a checkpoint's life.
     """
 
     def step(key, batches: Iterator[pd.DataFrame], state) -> Iterator[pd.DataFrame]:
-        taxon, cell, since, reason, listed = state.get if state.exists else (None, None, None, None, False)
-        told = False
-        if state.hasTimedOut:
-            if listed and reason != "gone":
-                reason, told = "gone", True
-                since = since or (datetime.fromtimestamp(state.getCurrentWatermarkMs() / 1000, timezone.utc)).date()
-            state.update((taxon, cell, since, reason, listed))
-        else:
-            rows = sorted((r for pdf in batches for r in pdf.itertuples(index=False)), key=lambda r: (r.at, r.kind))
-            for r in rows:
-                if r.kind == "listed":
-                    taxon, cell, since, listed, told = r.taxon, int(r.cell), None if pd.isna(r.retracted_on) else r.retracted_on, True, True
-                elif listed:
-                    reason = "renamed" if r.taxon != taxon else "moved" if int(r.cell) != cell else None
-                    since, told = (since or r.at.date()) if reason else None, True
-            state.update((taxon, cell, since, reason, listed))
-            due = int(max(rows[-1].at.timestamp() + grace_days * 86_400, state.getCurrentWatermarkMs() / 1000 + 0.001) * 1000)
-            state.setTimeoutTimestamp(due)
-        if told:
-            yield pd.DataFrame({"record": [key[0]], "reason": [reason], "retracted_on": [since]})
-
-    rows = events.withWatermark("at", delay)
+        known = pickle.loads(state.get[0]) if state.exists else pd.DataFrame(columns=_KNOWN)
+        new = [] if state.hasTimedOut else list(batches)
+        now = state.getCurrentWatermarkMs()
+        known, told = _told(known, pd.concat(new, ignore_index=True) if new else _NO_EVENTS, now, grace_days)
+        if len(known):
+            state.update((pickle.dumps(known),))
+            due = int(known["due"].min())
+            if due != _NEVER:
+                state.setTimeoutTimestamp(max(due, now + 1))
+        if len(told):
+            yield told[["record", "reason", "since"]].rename(columns={"since": "retracted_on"})
+
+    rows = events.withWatermark("at", delay).withColumn("_part", F.pmod(F.xxhash64("record"), F.lit(parts)))
     out = f"record {dict(events.dtypes)['record']}, reason string, retracted_on date"
-    return rows.groupBy("record").applyInPandasWithState(step, out, _KNOWN, "update", "EventTimeTimeout")
+    return rows.groupBy("_part").applyInPandasWithState(step, out, "known binary", "update", "EventTimeTimeout")
 
 
 def upsert(ledger: DataFrame, changed: DataFrame, key: str = "record") -> DataFrame:

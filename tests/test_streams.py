@@ -1,6 +1,8 @@
 import math
+from datetime import date, datetime, timezone
 
 import numpy as np
+import pandas as pd
 from pyspark.sql import functions as F
 
 from rangeflow.operators import aggs as A
@@ -64,3 +66,38 @@ def test_bootstrap_equals_its_slots(spark):
         assert K.cluster_bootstrap(rows, "cluster", ["v"], 50).first() == got
     finally:
         K.BROADCAST_CLUSTERS = kept
+
+
+def test_retractions_by_parts_equal_a_record_at_a_time(spark, tmp_path):
+    rng, known, plain, start = np.random.default_rng(7), pd.DataFrame(columns=T._KNOWN), {}, datetime(2024, 1, 1, tzinfo=timezone.utc).timestamp() * 1000
+    for k in range(8):
+        n, watermark = 150, int(start + k * 43_200_000)
+        rows = pd.DataFrame({
+            "record": rng.integers(0, 60, n), "kind": rng.choice(["listed", "seen", "seen"], n), "taxon": rng.choice(["t", "u", None], n), "cell": rng.integers(1, 3, n),
+            "retracted_on": [date(2023, 5, 1) if v else None for v in rng.random(n) < 0.3], "at": pd.to_datetime(start + rng.permutation(n) * 600_000 + k * 43_200_000, unit="ms"),
+        })
+        known, told = T._told(known, rows, watermark, 1.0)
+        want = {}
+        for record, s in plain.items():
+            if s["due"] is not None and s["due"] < watermark and record not in set(rows["record"]):
+                s["due"] = None
+                if s["listed"] and s["reason"] != "gone":
+                    s["reason"], s["since"] = "gone", s["since"] or datetime.fromtimestamp(watermark / 1000, timezone.utc).date()
+                    want[record] = s["reason"], s["since"]
+        for r in rows.sort_values("at").itertuples():
+            s = plain.setdefault(r.record, {"listed": False, "reason": None, "since": None, "due": None})
+            if r.kind == "listed":
+                s |= {"taxon": r.taxon, "cell": r.cell, "since": r.retracted_on, "listed": True}
+            elif s["listed"]:
+                s["reason"] = "renamed" if r.taxon != s["taxon"] else "moved" if r.cell != s["cell"] else None
+                s["since"] = (s["since"] or r.at.date()) if s["reason"] else None
+            s["due"] = max(r.at.timestamp() * 1000 + 86_400_000, watermark + 1)
+            if s["listed"]:
+                want[r.record] = s["reason"], s["since"]
+        assert {r.record: (r.reason, r.since) for r in told.itertuples()} == want
+    seen = spark.range(500).selectExpr("id as record", "'listed' as kind", "'t' as taxon", "1L as cell", "cast(null as date) as retracted_on", "timestamp '2024-01-01' as at")
+    seen.write.parquet(f"{tmp_path}/events")
+    events = spark.readStream.schema(EVENT).parquet(f"{tmp_path}/events")
+    q = T.watch_retractions(events, parts=4).writeStream.outputMode("update").format("memory").queryName("told").option("checkpointLocation", f"{tmp_path}/state").trigger(availableNow=True).start()
+    q.awaitTermination()
+    assert spark.table("told").count() == 500 and max(p["stateOperators"][0]["numRowsTotal"] for p in q.recentProgress) == 4
