@@ -59,3 +59,25 @@ def test_learners_take_the_librarys_procedures(spark, monkeypatch):
     for name in ("mod13_null_test", "mod19_fit_taxa"):
         entry.queries()[name](spark, DIR)
     assert seen == {"null": ((), {}), "taxa": ((), {})}
+
+
+@pytest.fixture(scope="module")
+def at_origin(tmp_path_factory):
+    """Records at 40 N 96 W, the projection's origin, which lies on an edge of cells (two customers, since places repeat after 342,200 keys), and at others."""
+    d, c = tmp_path_factory.mktemp("origin"), duckdb.connect()
+    c.execute(f"COPY (SELECT * FROM '{DIR}/nation.parquet') TO '{d}/nation.parquet'")
+    keys = "SELECT * FROM (VALUES (283800), (626000), (283801), (283810), (1)) v(k)"
+    c.execute(f"COPY (SELECT CAST(k AS BIGINT) AS c_custkey, CAST(k % 25 AS INT) AS c_nationkey FROM ({keys})) TO '{d}/customer.parquet'")
+    c.execute(f"COPY (SELECT CAST(row_number() OVER (ORDER BY k, n) AS BIGINT) AS o_orderkey, CAST(k AS BIGINT) AS o_custkey, 'F' AS o_orderstatus, 10.0::DOUBLE * n AS o_totalprice, TIMESTAMP '1995-08-01' + INTERVAL (n) DAY AS o_orderdate, '1-URGENT' AS o_orderpriority FROM ({keys}), range(8) r(n)) TO '{d}/orders.parquet'")
+    for t in ("nation", "customer", "orders"):
+        c.execute(f"CREATE VIEW {t} AS SELECT * FROM '{d}/{t}.parquet'")
+    return str(d), c
+
+
+@pytest.mark.parametrize("name", ["joi14_what_grows_here", "joi30_occurrence_points", "stm1_streamed_scores", "mod1_training_table"])
+def test_records_at_the_origin_equal_sql(spark, at_origin, name):
+    folder, c = at_origin
+    got = entry.queries()[name](spark, folder)
+    names = sorted(got.columns)
+    sql = c.execute(f"SELECT {', '.join(f'"{n}"' for n in names)} FROM ({entry.oracle_sql()[name]})").fetchall()
+    assert sql and cells(got.select(*names).collect()) == cells(sql)
