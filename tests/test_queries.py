@@ -81,3 +81,9 @@ def test_records_at_the_origin_equal_sql(spark, at_origin, name):
     names = sorted(got.columns)
     sql = c.execute(f"SELECT {', '.join(f'"{n}"' for n in names)} FROM ({entry.oracle_sql()[name]})").fetchall()
     assert sql and cells(got.select(*names).collect()) == cells(sql)
+
+
+def test_places_are_projected_once(spark, at_origin):
+    from rangeflow.plans.stand_ins import places
+
+    assert places(spark, at_origin[0]).count() == 4 and points(spark, at_origin[0]).count() == 40
