@@ -297,3 +297,26 @@ def test_quantile_gap_orders_by_ranges(spark):
         a, b = (np.quantile([v for h, s, v in rows if h == g and s == side], at) for side in (True, False))
         assert got[g] == pytest.approx(float(np.mean(np.abs(a - b))), abs=1e-9)
     assert len(got) == 6 and got[2] is None and got[4] is None
+
+
+def test_points_of_a_place_ask_once(spark):
+    from rangeflow.operators import joins as J
+
+    points = spark.range(400).selectExpr("id as point", "cast(40 + id % 2 as double) as lat", "-90.0D as lng")
+    cells = spark.range(50).selectExpr("if(id % 2 = 0, 'a', 'b') as taxon", "cast(40 + id / 1000 as double) as lat", "-90.0D as lng", "id as records")
+    got = J.recorded_near(points, cells, 20)
+    assert {r["point"]: r["records"] for r in got.where("taxon = 'a'").collect()} == {k: sum(range(0, 50, 2)) for k in range(0, 400, 2)}
+    pairs = got._jdf.queryExecution().executedPlan()
+    got.collect()
+    rows = []
+
+    def walk(node):
+        found = node.metrics().get("numOutputRows")
+        if "Join" in node.nodeName() and found.isDefined():
+            rows.append(found.get().value())
+        inner = [node.executedPlan()] if node.nodeName() == "AdaptiveSparkPlan" else [node.plan()] if "QueryStage" in node.nodeName() else []
+        for child in inner + [node.children().apply(k) for k in range(node.children().size())]:
+            walk(child)
+
+    walk(pairs)
+    assert not rows or max(rows) <= 400 * 2
