@@ -31,15 +31,15 @@ def in_covered_place(country: str = "country", state: str = "state") -> Column:
     return F.coalesce(F.col(country).isin(*COUNTRIES), F.lit(False)) | F.coalesce(F.col(state) == "Puerto Rico", F.lit(False))
 
 
-def _only(source: str, wanted: str, number: str) -> Column:
-    """A join key that is null for other sources, so that they pass by."""
-    return F.when(F.col(source) == wanted, F.col(number).cast("string"))
+def asking(asks: Column, number: str) -> Column:
+    """A join key: numbers marked by whether their rows ask, so that the others meet nothing and yet spread; null keys would all go to one task."""
+    return F.concat(F.when(asks, "=").otherwise("-"), F.col(number).cast("string"))
 
 
 def drop_obscured(df: DataFrame, answers: DataFrame, max_m: float = MAX_ACCURACY_M, source: str = "source", number: str = "observation_id") -> DataFrame:
     """FIL4: rows of one source with an obscured or coarse answer dropped; unknown accuracy kept; other sources untouched."""
-    bad = answers.where(F.col("obscured") | (F.col("accuracy_m") > max_m)).select(F.col("number").cast("string").alias("_k")).distinct()
-    return df.withColumn("_k", _only(source, INAT, number)).join(bad, "_k", "left_anti").drop("_k")
+    bad = answers.where(F.col("obscured") | (F.col("accuracy_m") > max_m)).select(asking(F.lit(True), "number").alias("_k")).distinct()
+    return df.withColumn("_k", asking(F.col(source) == INAT, number)).join(bad, "_k", "left_anti").drop("_k")
 
 
 def half_diagonal_m(north: str, south: str, east: str, west: str) -> Column:
@@ -52,8 +52,8 @@ def half_diagonal_m(north: str, south: str, east: str, west: str) -> Column:
 def small_location(df: DataFrame, answers: DataFrame, max_m: float = MAX_LOCATION_M, keep_unknown: bool = False, source: str = "source", number: str = "observation_id") -> DataFrame:
     """FIL5: rows of one source kept when their answer has a point or a small box; rows without an answer by the switch."""
     small = F.col("gps").isNotNull() | (half_diagonal_m("north", "south", "east", "west") <= max_m)
-    known = answers.select(F.col("number").cast("string").alias("_k"), F.coalesce(small, F.lit(False)).alias("_small")).groupBy("_k").agg(F.bool_or("_small").alias("_small"))
-    joined = df.withColumn("_k", _only(source, MO, number)).join(known, "_k", "left")
+    known = answers.select(asking(F.lit(True), "number").alias("_k"), F.coalesce(small, F.lit(False)).alias("_small")).groupBy("_k").agg(F.bool_or("_small").alias("_small"))
+    joined = df.withColumn("_k", asking(F.col(source) == MO, number)).join(known, "_k", "left")
     return joined.where((F.col(source) != MO) | F.coalesce("_small", F.lit(keep_unknown))).drop("_k", "_small")
 
 

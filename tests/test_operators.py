@@ -1,6 +1,7 @@
 import random
 
 import numpy as np
+import pandas as pd
 import pytest
 from pyspark.sql import functions as F
 
@@ -320,3 +321,28 @@ def test_points_of_a_place_ask_once(spark):
 
     walk(pairs)
     assert not rows or max(rows) <= 400 * 2
+
+
+def _plan(df) -> str:
+    return df._jdf.queryExecution().executedPlan().toString()
+
+
+@pytest.fixture
+def unadaptive(spark):
+    """Joins and shuffles as they are planned, without broadcasts by size."""
+    names = {"spark.sql.adaptive.enabled": "false", "spark.sql.autoBroadcastJoinThreshold": "-1"}
+    old = {k: spark.conf.get(k) for k in names}
+    for k, v in names.items():
+        spark.conf.set(k, v)
+    yield
+    for k, v in old.items():
+        spark.conf.set(k, v)
+
+
+def test_records_of_other_sources_spread_over_tasks(spark, unadaptive):
+    df = spark.range(4000).select("id", F.when(F.col("id") % 4 == 0, "MO Observations").otherwise("iNaturalist").alias("source"), (F.col("id") % 500).cast("string").alias("observation_id"), F.lit(1.0).alias("latitude"), F.lit(2.0).alias("longitude"))
+    ask = spark.createDataFrame([(4, 50.0, 60.0), (5, 51.0, 61.0)], "number int, gps_lat double, gps_lng double").withColumns({c: F.lit(None).cast("double") for c in ("north", "south", "east", "west")})
+    out = J.override_coordinates(df, ask)
+    assert max(r["count"] for r in out.groupBy(F.spark_partition_id()).count().collect()) < 2000
+    moved = out.where("latitude <> 1.0")
+    assert {(r["id"] % 500, r["source"], r["latitude"], r["longitude"]) for r in moved.collect()} == {(4, "MO Observations", 50.0, 60.0)} and moved.count() == 8 and out.count() == 4000
