@@ -346,3 +346,11 @@ def test_records_of_other_sources_spread_over_tasks(spark, unadaptive):
     assert max(r["count"] for r in out.groupBy(F.spark_partition_id()).count().collect()) < 2000
     moved = out.where("latitude <> 1.0")
     assert {(r["id"] % 500, r["source"], r["latitude"], r["longitude"]) for r in moved.collect()} == {(4, "MO Observations", 50.0, 60.0)} and moved.count() == 8 and out.count() == 4000
+
+
+def test_group_sums_shuffle_by_cell_not_by_species(spark, unadaptive):
+    values = spark.createDataFrame([(1, "a", 1.0), (1, "b", 2.0), (1, "z", 4.0), (2, "c", 8.0), (3, "z", 1.0), (4, "a", None)], "cell int, species string, value double")
+    groups = spark.createDataFrame([("a", "x"), ("b", "x"), ("b", "y"), ("b", "y"), ("c", "other")], "species string, group string")
+    out = A.group_sums(values, groups, ["x", "y"])
+    assert "hashpartitioning(species" not in _plan(out) and _plan(out).count("Exchange hashpartitioning(cell") == 1
+    assert {tuple(r) for r in out.select("cell", "x", "y", "total").collect()} == {(1, 3.0, 4.0, 7.0), (2, 0.0, 0.0, 8.0), (4, 0.0, 0.0, None)}
