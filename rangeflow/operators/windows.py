@@ -5,6 +5,9 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+#: Groups' totals that are sent to every task.
+BROADCAST_TOTALS = 100_000
+
 
 def _below(counts: DataFrame, by: list[str], few: bool = False) -> DataFrame:
     """Distinct values (by..., _v) and their counts (_c), with the counts of smaller values of the group (_below) and of all (_all).
@@ -26,6 +29,47 @@ def _below(counts: DataFrame, by: list[str], few: bool = False) -> DataFrame:
     return inside.join(totals, [*by, "_range"]).select(*by, "_v", "_c", (F.col("_before") + F.col("_in")).alias("_below"), "_all")
 
 
+def beside(rows: DataFrame, small: DataFrame, on: list[str]) -> DataFrame:
+    """Rows with the columns of a table of few rows for each key; it goes to every task up to ``BROADCAST_TOTALS`` rows, so that few keys do not draw all rows to few tasks."""
+    from rangeflow.operators.lineage import cut
+
+    small = cut(small)
+    return rows.join(F.broadcast(small) if small.count() <= BROADCAST_TOTALS else small, on)
+
+
+def placed(df: DataFrame, value: str, by: list[str], out: str) -> DataFrame:
+    """Rows with the places, from 0, of the first and the last row of their value in their group (``{out}_from``, ``{out}_to``) and the group's number of values (``{out}_n``).
+
+    Null values have no place, NaN is the largest; rows of a null group are left out.  Rows are ordered once, by ranges of (group, value), and carry their
+    other columns along: nothing is counted apart and joined back.  Rows of one value meet in a task, where they pass one after another.
+    """
+    from rangeflow.operators.lineage import cut
+
+    at = F.monotonically_increasing_id().bitwiseAND(F.lit((1 << 33) - 1))
+    rows = df.where(F.col(value).isNotNull()).repartitionByRange(*by, value).sortWithinPartitions(*by, value)
+    rows = rows.select("*", F.spark_partition_id().alias("_part"), at.alias("_at"))
+    same, group = Window.partitionBy(*by, value), Window.partitionBy(*by)
+    rows = cut(rows.select("*", F.min("_at").over(same).alias("_from"), F.max("_at").over(same).alias("_to")).drop("_at"))
+    totals = rows.groupBy(*by, "_part").agg(F.count("*").alias("_t"), F.min("_from").alias("_start"))
+    before = F.coalesce(F.sum("_t").over(group.orderBy("_part").rowsBetween(Window.unboundedPreceding, -1)), F.lit(0))
+    met = beside(rows, totals.select(*by, "_part", (before - F.col("_start")).alias("_shift"), F.sum("_t").over(group).alias(f"{out}_n")), [*by, "_part"])
+    met = met.select(*df.columns, *[(F.col(c) + F.col("_shift")).alias(f"{out}{c}") for c in ("_from", "_to")], f"{out}_n")
+    return met.unionByName(df.where(F.col(value).isNull()), allowMissingColumns=True)
+
+
+def placed_rank(value: str, out: str) -> Column:
+    """The average-tie rank of a row with places, null for NaN."""
+    return F.when(~F.isnan(F.col(value).cast("double")), (F.col(f"{out}_from") + F.col(f"{out}_to")) / 2 + 1)
+
+
+def placed_quantile(value: str, out: str, share: float) -> Column:
+    """A group's quantile, between the values at the two places beside it."""
+    at = F.lit(share) * (F.max(f"{out}_n") - 1)
+    spot = F.lit(share) * (F.col(f"{out}_n") - 1)
+    low, high = (F.max(F.when((f(spot) >= F.col(f"{out}_from")) & (f(spot) <= F.col(f"{out}_to")), F.col(value).cast("double"))) for f in (F.floor, F.ceil))
+    return F.when(low == high, low).otherwise((F.ceil(at) - at) * low + (at - F.floor(at)) * high)
+
+
 def average_rank(df: DataFrame, value: str, by: list[str], out: str, few: bool = False) -> DataFrame:
     """Average-tie ranks of a column within groups, nulls and NaN apart; values are counted before they are ordered by ranges."""
     fine = F.when(~F.isnan(F.col(value).cast("double")), F.col(value))

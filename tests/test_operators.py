@@ -343,7 +343,7 @@ def test_records_of_other_sources_spread_over_tasks(spark, unadaptive):
     df = spark.range(4000).select("id", F.when(F.col("id") % 4 == 0, "MO Observations").otherwise("iNaturalist").alias("source"), (F.col("id") % 500).cast("string").alias("observation_id"), F.lit(1.0).alias("latitude"), F.lit(2.0).alias("longitude"))
     ask = spark.createDataFrame([(4, 50.0, 60.0), (5, 51.0, 61.0)], "number int, gps_lat double, gps_lng double").withColumns({c: F.lit(None).cast("double") for c in ("north", "south", "east", "west")})
     out = J.override_coordinates(df, ask)
-    assert max(r["count"] for r in out.groupBy(F.spark_partition_id()).count().collect()) < 2000
+    assert max(r["n"] for r in out.groupBy(F.spark_partition_id()).agg(F.count("*").alias("n"), F.sum("latitude")).collect()) < 2000
     moved = out.where("latitude <> 1.0")
     assert {(r["id"] % 500, r["source"], r["latitude"], r["longitude"]) for r in moved.collect()} == {(4, "MO Observations", 50.0, 60.0)} and moved.count() == 8 and out.count() == 4000
 
@@ -354,3 +354,18 @@ def test_group_sums_shuffle_by_cell_not_by_species(spark, unadaptive):
     out = A.group_sums(values, groups, ["x", "y"])
     assert "hashpartitioning(species" not in _plan(out) and _plan(out).count("Exchange hashpartitioning(cell") == 1
     assert {tuple(r) for r in out.select("cell", "x", "y", "total").collect()} == {(1, 3.0, 4.0, 7.0), (2, 0.0, 0.0, 8.0), (4, 0.0, 0.0, None)}
+
+
+def test_truth_summary_reads_ranks_and_quantiles_off_one_order(spark):
+    rng = np.random.default_rng(3)
+    rows = [(t, None if k % 17 == 0 else float(rng.integers(0, 40)), float("nan") if k % 23 == 0 else float(rng.integers(0, 400))) for t in ("a", "b") for k in range(300)]
+    out = A.truth_summary(spark.createDataFrame([*rows, ("c", None, 1.0)], "taxon string, predicted double, truth double"), ["taxon"])
+    assert "percentile(" not in _plan(out)
+    got = {r["taxon"]: (r["spearman"], r["top_share"]) for r in out.collect()}
+    for t in ("a", "b"):
+        own = pd.DataFrame([r[1:] for r in rows if r[0] == t], columns=["p", "t"])
+        rank = pd.DataFrame({"p": own["p"].rank(), "t": own["t"].rank()})
+        last = own["t"].fillna(np.inf)  # NaN is the largest
+        cp, ct = own["p"].quantile(0.9), np.quantile(last, 0.9)
+        assert got[t] == (pytest.approx(rank.corr().iloc[0, 1]), pytest.approx(((last >= ct) & (own["p"] >= cp)).sum() / (last >= ct).sum()))
+    assert got["c"] == (None, 0.0)
