@@ -87,6 +87,21 @@ def test_nearest_in_space_equals_brute_force(spark, monkeypatch, sent):
     assert J.nearest_in_space(q, r.limit(0), ["u"]).where("distance is not null").count() == 0
 
 
+def test_nearest_in_space_meets_by_parts(spark, monkeypatch):
+    # nearly all rows in one cell: it is dealt to parts of both sides, and no pairs are joined
+    monkeypatch.setattr(J, "NEAR_ROWS", 16)
+    rng = np.random.default_rng(10)
+    z, a = rng.normal(size=(150, 2)) * 1e-3, np.vstack([rng.normal(size=(60, 2)) * 1e-3, rng.normal(size=(10, 2)) * 5])
+    z[:3] += 40
+    frame = lambda m: spark.createDataFrame([(f"q{k}", *map(float, row)) for k, row in enumerate(m)], "q string, u double, v double")
+    found = J.nearest_in_space(frame(a), frame(z), ["u", "v"])
+    want = np.sqrt(((a[:, None] - z[None]) ** 2).sum(axis=2)).min(axis=1)
+    got = {r["q"]: r["distance"] for r in found.collect()}
+    assert np.allclose([got[f"q{k}"] for k in range(70)], want, rtol=0, atol=1e-12)
+    none = J.nearest_in_space(frame(a).withColumn("q", F.when(F.col("q") != "q1", F.col("q"))), frame(z), ["u", "v"])
+    assert [r["distance"] for r in none.where("q is null").collect()] == [None] and none.count() == 70
+
+
 def test_recorded_near_equals_brute_force(spark):
     rng = np.random.default_rng(12)
     points = [(k, float(a), float(b)) for k, (a, b) in enumerate(zip(rng.uniform(-89.9, 89.9, 60), rng.uniform(-180, 180, 60), strict=True))] + [(60, 10.0, 179.9), (61, 89.95, 5.0), (62, -60.0, -179.99)]
