@@ -41,17 +41,42 @@ class Learner:
         return (self.null or self.default)(detections, bands)
 
 
+def average_ranks(value: np.ndarray) -> np.ndarray:
+    """Ranks from 1, ties at their mean."""
+    order = np.argsort(value, kind="stable")
+    s = value[order]
+    first = np.flatnonzero(np.r_[True, s[1:] != s[:-1]])
+    size = np.diff(np.r_[first, len(s)])
+    rank = np.empty(len(s))
+    rank[order] = np.repeat(first + (size + 1) / 2, size)
+    return rank
+
+
+def boyce_index(score: np.ndarray, y: np.ndarray, windows: int = 100, width: float = 0.1) -> float | None:
+    """The index of ``windows.boyce`` over one group's rows; None where it has none."""
+    known = ~np.isnan(score)
+    ones, zeros = (np.sort(score[known & (y == label)]) for label in (1, 0))
+    if len(ones) < 3 or len(zeros) < 3:
+        return None
+    lo, hi = min(ones[0], zeros[0]), max(ones[-1], zeros[-1])
+    if not hi > lo:
+        return None
+    span = width * (hi - lo)
+    begin = lo + (hi - span - lo) * np.arange(windows) / (windows - 1)
+    inside = lambda v: np.searchsorted(v, begin + span, side="right") - np.searchsorted(v, begin, side="left")
+    p, b = inside(ones) / len(ones), inside(zeros) / len(zeros)
+    ratio, middle = p[b > 0] / b[b > 0], (begin + span / 2)[b > 0]
+    if len(ratio) < 3 or (ratio == ratio[0]).all():
+        return None
+    return float(np.corrcoef(average_ranks(middle), average_ranks(ratio))[0, 1])
+
+
 def area(score: np.ndarray, y: np.ndarray) -> float:
     """Area under the curve from average ranks; NaN where a class is empty."""
     n1 = y.sum()
     if n1 == 0 or n1 == len(y):
         return np.nan
-    order = np.argsort(score, kind="stable")
-    s = score[order]
-    first = np.flatnonzero(np.r_[True, s[1:] != s[:-1]])
-    size = np.diff(np.r_[first, len(s)])
-    rank = np.empty(len(s))
-    rank[order] = np.repeat(first + (size + 1) / 2, size)
+    rank = average_ranks(score)
     return float((rank[y == 1].sum() - n1 * (n1 + 1) / 2) / (n1 * (len(y) - n1)))
 
 

@@ -311,6 +311,21 @@ def test_nulls_stop_where_a_full_run_says(spark, rows):
     assert "q" not in sizes[-2][2]  # a decided taxon gets no further draws
 
 
+@pytest.mark.parametrize("design", ["scatter", "shift"])
+def test_nulls_are_scored_in_their_tasks(spark, rows, design):
+    # the same areas and indices as the table of held-out scores gives, and no more draws than are needed
+    t = frame(spark, rows)
+    tables = M.cut(M.null_tables(t, 3, design, 1))
+    held = M.cut(M.cross_validated_scores(tables, ["a", "b"], ["taxon", "draw"], null=True))
+    enough = held.groupBy("taxon", "draw", "fold").agg(F.count_if(F.col("presence") == 1).alias("n")).where("n >= 2").drop("n")
+    areas = M.auc(held.join(enough, ["taxon", "draw", "fold"]), ["taxon", "draw", "fold"], few=True).groupBy("taxon", "draw").agg(F.avg("auc").alias("auc"))
+    want = {(r["taxon"], r["draw"]): (r["auc"], r["boyce"]) for r in areas.join(M.pooled_boyce(held, ["taxon", "draw"]), ["taxon", "draw"], "left").collect()}
+    got = {(r["taxon"], r["draw"]): (r["null_score"], r["null_boyce"]) for r in M._null_scores(tables, ["a", "b"]).collect()}
+    assert got.keys() == want.keys() and len(got) == 6
+    for k in got:
+        assert got[k] == pytest.approx(want[k], abs=1e-9)
+
+
 # ---- studies and applicability ------------------------------------------------------------
 
 
