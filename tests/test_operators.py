@@ -153,6 +153,29 @@ def test_ranks_of_many_values_equal_numpy(spark):
     assert np.allclose([r["percentile"] for r in place], np.arange(500) / 499)
 
 
+def test_turns_by_squares_equal_turns_over_all_sites():
+    rng = np.random.default_rng(3)
+    (sx, sy), (px, py), w = rng.uniform(0, 3e5, (2, 300)), rng.uniform(-5e4, 3e5, (2, 120)), rng.integers(1, 9, 300).astype(float)
+    for weight in (None, w):
+        free, want = np.ones(300, bool), np.full(120, -1)
+        for i in sorted(range(120), key=lambda k: K._unit("t", 1, k, "order")):
+            d2 = np.where(free, (sx - px[i]) ** 2 + (sy - py[i]) ** 2, np.inf)
+            near = [j for j in np.argsort(d2)[:5] if d2[j] <= 25000.0**2]
+            want[i] = min(near, key=lambda j: -np.log(K._unit("t", 1, i, j)) / w[j]) if weight is not None and near else d2.argmin()
+            free[want[i]] = False
+        assert (K._take_turns(("t", 1), list(range(120)), px, py, sx, sy, list(range(300)), weight, 25)[0] == want).all()
+
+
+def test_shared_sites_are_not_crossed_with_taxa(spark, monkeypatch):
+    rng = np.random.default_rng(4)
+    s = spark.createDataFrame([(k, float(x), float(y), 1 + k % 5) for k, (x, y) in enumerate(rng.uniform(0, 4e5, (200, 2)))], "site long, x double, y double, records long")
+    f = s.where("site % 2 = 0").select((F.col("site") % 7).cast("string").alias("taxon"), "site", "x", "y")
+    one = K.shifted_null(f, s, 2, tries=10, effort=True)
+    assert "Join" not in one._jdf.queryExecution().optimizedPlan().toString()
+    monkeypatch.setattr(K, "BUNDLE_ROWS", 40)
+    assert sorted(map(str, one.collect())) == sorted(map(str, K.shifted_null(f, s, 2, tries=10, effort=True).collect())) and one.count() == 200
+
+
 def test_shifted_nulls_place_every_detection(spark):
     rng = np.random.default_rng(8)
     sites = [(k, float(x), float(y), int(n)) for k, (x, y, n) in enumerate(zip(*rng.uniform(0, 4e5, (2, 250)), rng.integers(1, 50, 250), strict=True))]
