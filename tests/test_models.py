@@ -311,6 +311,20 @@ def test_nulls_stop_where_a_full_run_says(spark, rows):
     assert "q" not in sizes[-2][2]  # a decided taxon gets no further draws
 
 
+def test_settings_are_tried_fold_by_fold(spark, rows):
+    # a task fits one fold of one candidate; the mean over folds chooses
+    tried = lambda t, b, s, seed: (lambda at: at["a"].to_numpy() * s["sign"] if t["fold"].nunique() == at_folds - 1 else np.full(len(at), np.nan))
+    at_folds = rows["fold"].nunique()
+    one = M.Learner("one", tried, lambda n, p: [{"sign": -1.0}, {"sign": 1.0}], lambda n, p: {"sign": 1.0})
+    got = {r["taxon"]: r for r in M.tuned_settings(frame(spark, rows), ["a", "b"], ["taxon"], one).collect()}
+    for taxon, own in rows.groupby("taxon"):
+        fits = [M.area(f["a"].to_numpy(), f["presence"].to_numpy(float)) for _, f in own.groupby("fold")]
+        up = float(np.mean(fits))
+        assert got[taxon]["auc"] == pytest.approx(max(up, 1 - up)) and json.loads(got[taxon]["settings"])["sign"] == (1.0 if up > 0.5 else -1.0)
+    jobs = M.tuned_settings(frame(spark, rows), ["a", "b"], ["taxon"], one)._jdf.queryExecution().optimizedPlan().toString()
+    assert "FlatMapGroupsInPandas [taxon" in jobs and "_held" in jobs.split("FlatMapGroupsInPandas")[1].split("\n")[0]
+
+
 @pytest.mark.parametrize("design", ["scatter", "shift"])
 def test_nulls_are_scored_in_their_tasks(spark, rows, design):
     # the same areas and indices as the table of held-out scores gives, and no more draws than are needed
