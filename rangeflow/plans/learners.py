@@ -327,9 +327,9 @@ class Tree:
     def __call__(self, codes: np.ndarray) -> np.ndarray:
         node = np.zeros(len(codes), dtype=np.int64)
         rows = np.arange(len(codes))
-        while (inner := self.band[node] >= 0).any():
-            at = node[inner]
-            node[inner] = self.left[at] + (codes[rows[inner], self.band[at]] > self.last[at])
+        while len(rows := rows[self.band[node[rows]] >= 0]):  # those at a leaf stay there
+            at = node[rows]
+            node[rows] = self.left[at] + (codes[rows, self.band[at]] > self.last[at])
         return self.value[node]
 
 
@@ -339,9 +339,11 @@ def grow(
 ) -> Tree:
     """A tree by levels: one histogram over (node, band, bin) a level, and the best split of every node from its running sums.
 
-    A split's gain is the rise of the sum of ``up^2 / (weight + ridge)`` (second-order boosting; the Gini index for votes).  A child
-    weighs ``child`` at least, a node that splits more than ``node_over``.  ``mtry`` bands are drawn for each node.
+    A split's gain is the rise of the sum of ``up^2 / (weight + ridge)`` (second-order boosting).  A child weighs ``child`` at least.
+    With ``mtry`` it is a tree of votes (``grow_votes``), to which neither ridge, child nor columns apply.
     """
+    if mtry is not None:
+        return grow_votes(codes, size, up, weight, depth=depth, node_over=node_over, mtry=mtry, rng=rng)
     columns = np.arange(codes.shape[1]) if columns is None else columns
     p = len(columns)
     codes = codes[:, columns]
@@ -359,11 +361,7 @@ def grow(
         right_u, right_w = all_u - u, all_w - w
         with np.errstate(divide="ignore", invalid="ignore"):
             gain = u**2 / (w + ridge) + right_u**2 / (right_w + ridge) - all_u**2 / (all_w + ridge)
-        gain[(w < child - 1e-9) | (right_w < child - 1e-9) | (w <= 1e-12) | (right_w <= 1e-12) | (all_w <= node_over)] = -np.inf
-        if mtry is not None and mtry < p:
-            allowed = np.zeros((width, p), dtype=bool)
-            np.put_along_axis(allowed, np.argsort(rng.random((width, p)), axis=1)[:, :mtry], True, axis=1)
-            gain[~allowed] = -np.inf
+        gain[(w < child - 1e-9) | (right_w < child - 1e-9) | (w <= 1e-12) | (right_w <= 1e-12)] = -np.inf
         gain = gain.reshape(width, -1)
         best = gain.argmax(axis=1)
         split = np.flatnonzero(gain[np.arange(width), best] > 1e-10)
@@ -389,6 +387,61 @@ def grow(
     return Tree(np.concatenate(band), np.concatenate(last), np.concatenate(left), value)
 
 
+def grow_votes(codes: np.ndarray, size: int, up: np.ndarray, drawn: np.ndarray, *, depth: int, node_over: float, mtry: int, rng: np.random.Generator) -> Tree:
+    """A tree of votes by levels: the best split of every node by the Gini index, on ``mtry`` bands drawn for it; its value is the share of detections.
+
+    ``drawn`` tells how often a row was drawn, ``up`` the same of detections and 0 of others; a node that splits has more than ``node_over`` draws, of both classes.  Only such nodes and their drawn bands get
+    histograms, one over (node, class, bin) a band.  Counts are whole numbers, so sums are exact.
+    """
+    n, p = codes.shape
+    m = min(mtry, p)
+    flat, start, found = codes.ravel(), np.arange(n) * p, (up > 0).astype(np.int64)
+    band, last, left = [np.array([-1])], [np.array([0])], [np.array([0])]
+    ones, totals = [np.array([up.sum()])], [np.array([drawn.sum()])]
+    known, node = 1, np.zeros(n, dtype=np.int64)  # nodes so far; the rows' place among the last level's nodes
+    for _ in range(depth):
+        width = len(totals[-1])
+        bands = np.tile(np.arange(p), (width, 1)) if m == p else np.sort(np.argsort(rng.random((width, p)), axis=1)[:, :m], axis=1)
+        live = np.flatnonzero((totals[-1] > node_over) & (ones[-1] > 0) & (ones[-1] < totals[-1]))
+        if not len(live):
+            break
+        bands, slot = bands[live], np.full(width, -1)
+        slot[live] = np.arange(len(live))
+        at = slot[node]
+        if len(live) < width:
+            at, start, found, drawn = (v[kept] for kept in [at >= 0] for v in (at, start, found, drawn))
+        cells = np.empty((len(live), m, 2, size))
+        for k in range(m):
+            bins = (at * 2 + found) * size + flat[start + bands[at, k]]
+            cells[:, k] = np.bincount(bins, drawn, len(live) * 2 * size).reshape(-1, 2, size)
+        below = cells.cumsum(axis=3)
+        u, w = below[:, :, 1], below.sum(axis=2)
+        all_u, all_w = u[:, :1, -1:], w[:, :1, -1:]
+        right_u, right_w = all_u - u, all_w - w
+        with np.errstate(divide="ignore", invalid="ignore"):
+            gain = u**2 / w + right_u**2 / right_w - all_u**2 / all_w
+        gain[(w < 1) | (right_w < 1)] = -np.inf
+        gain = gain.reshape(len(live), -1)
+        best = gain.argmax(axis=1)
+        fine = np.flatnonzero(gain[np.arange(len(live)), best] > 1e-10)
+        if not len(fine):
+            break
+        b, c = np.divmod(best[fine], size)
+        by, k = bands[fine, b], 2 * np.arange(len(fine))
+        band[-1][live[fine]], last[-1][live[fine]], left[-1][live[fine]] = by, c, known + k
+        for sums, lower, upper in ((ones, u, right_u), (totals, w, right_w)):
+            sums.append(np.column_stack([lower[fine, b, c], upper[fine, b, c]]).ravel())
+        for values, empty in ((band, -1), (last, 0), (left, 0)):
+            values.append(np.full(2 * len(fine), empty))
+        first, cut_band, cut_bin = np.full(len(live), -1), np.zeros(len(live), dtype=np.int64), np.zeros(len(live), dtype=np.int64)
+        first[fine], cut_band[fine], cut_bin[fine] = k, by, c
+        if len(fine) < len(live):
+            at, start, found, drawn = (v[kept] for kept in [first[at] >= 0] for v in (at, start, found, drawn))
+        node = first[at] + (flat[start + cut_band[at]] > cut_bin[at])
+        known += 2 * len(fine)
+    return Tree(np.concatenate(band), np.concatenate(last), np.concatenate(left), np.concatenate(ones) / np.concatenate(totals))
+
+
 def balanced(y: np.ndarray) -> np.ndarray:
     """Weights under which detections count as much as the rest; plain where a class is empty."""
     n1 = y.sum()

@@ -3,6 +3,7 @@ import json
 import numpy as np
 import pandas as pd
 import pytest
+from pyspark import TaskContext
 from pyspark.sql import functions as F
 from rangeflow.plans import learners as L
 from rangeflow.plans import model as M
@@ -132,6 +133,38 @@ def test_a_forest_draws_equal_classes(monkeypatch):
     assert 0 <= score.min() and score.max() <= 1 and L.area(score, t["presence"].to_numpy(float)) > 0.8
 
 
+def plain_votes(x, y, drawn, node_over, mtry, rng):
+    """The share of detections at every row's leaf, level by level, by trying every split on the values of the bands drawn for a node."""
+    out, level = np.zeros(len(x)), [np.arange(len(x))]
+    share = lambda k: (drawn * y)[k].sum() / drawn[k].sum()
+    while level:
+        allowed, below = np.argsort(rng.random((len(level), x.shape[1])), axis=1)[:, :mtry], []
+        for k, bands in zip(level, allowed, strict=True):
+            out[k], n, best = share(k), drawn[k].sum(), (1e-9, None)
+            for j in sorted(bands) if n > node_over else ():
+                values = np.unique(x[:, j])
+                for cut in (values[1:] + values[:-1]) / 2:
+                    sides = k[x[k, j] < cut], k[x[k, j] >= cut]
+                    if all(map(len, sides)):
+                        gain = sum(share(s) ** 2 * drawn[s].sum() for s in sides) - share(k) ** 2 * n
+                        best = (gain, sides) if gain > best[0] + 1e-9 else best
+            below += best[1] or ()
+        level = below
+    return out
+
+
+@pytest.mark.parametrize("mtry", [1, 2, 3])
+def test_trees_of_votes_equal_a_plain_one(rows, mtry):
+    t = rows[rows["taxon"] == "p"]
+    x, y = t[["a", "b", "c"]].to_numpy(), t["presence"].to_numpy(float)
+    drawn = np.bincount(np.random.default_rng(2).integers(0, len(t), 200), minlength=len(t)).astype(float)
+    k, bins = np.flatnonzero(drawn), L.Bins(x, 256)
+    tree = L.grow_votes(bins(x)[k], bins.size, (drawn * y)[k], drawn[k], depth=64, node_over=10.0, mtry=mtry, rng=np.random.default_rng(4))
+    got = tree(bins(x)[k])
+    assert np.allclose(got, plain_votes(x[k], y[k], drawn[k], 10.0, mtry, np.random.default_rng(4)))
+    assert len(np.unique(got)) > 3
+
+
 def plain_l1(x, penalty, curve, start, steps=60000):
     """Accelerated proximal gradient steps until they no longer move."""
     x = np.column_stack([np.ones(len(x)), x])
@@ -325,6 +358,17 @@ def test_settings_are_tried_fold_by_fold(spark, rows):
     assert "FlatMapGroupsInPandas [taxon" in jobs and "_held" in jobs.split("FlatMapGroupsInPandas")[1].split("\n")[0]
 
 
+def test_settings_are_fitted_in_tasks_of_their_own(spark, rows):
+    # small groups do not end in one task, where their models would be fitted one after another
+    def where(detections, bands):
+        return [{"task": TaskContext.get().partitionId() if TaskContext.get() else -1}]
+
+    some = pd.concat([rows.assign(taxon=rows["taxon"] + str(k)) for k in range(4)])
+    one = M.Learner("one", lambda t, b, s, seed: lambda at: at["a"].to_numpy(), where, lambda n, p: {})
+    got = M.tuned_settings(frame(spark, some), ["a", "b"], ["taxon"], one).collect()
+    assert len(got) == 8 and len({r["settings"] for r in got}) >= 6
+
+
 @pytest.mark.parametrize("design", ["scatter", "shift"])
 def test_nulls_are_scored_in_their_tasks(spark, rows, design):
     # the same areas and indices as the table of held-out scores gives, and no more draws than are needed
