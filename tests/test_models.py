@@ -439,6 +439,32 @@ def test_applicability_by_hand(spark, rows):
     assert got["p", 3]["index"] is None
 
 
+def test_applicability_means_all_pairs(spark):
+    rng, n = np.random.default_rng(6), 2300
+    t = pd.DataFrame({"taxon": "p", "site": np.arange(n), "fold": np.arange(n) % 5 + 1, "a": rng.lognormal(size=n), "b": rng.normal(size=n)})
+    x = t[["a", "b"]].to_numpy()
+    z = (x - x.mean(axis=0)) / x.std(axis=0, ddof=1)
+    scale = np.sqrt(((z[:, None] - z[None]) ** 2).sum(axis=2)).sum() / (n * (n - 1))
+    cells = spark.createDataFrame([("p", 1, 30.0, 0.0), ("p", 2, 1.0, 4.0)], "taxon string, cell long, a double, b double")
+    got = M.applicability(spark.createDataFrame(t), cells, ["a", "b"]).collect()
+    for r in got:
+        at = (np.array([r["a"], r["b"]]) - x.mean(axis=0)) / x.std(axis=0, ddof=1)
+        assert r["index"] == pytest.approx(np.sqrt(((at - z) ** 2).sum(axis=1)).min() / scale, rel=1e-11)
+    assert len(got) == 2
+
+
+def test_pairs_meet_part_by_part(spark):
+    rng, n = np.random.default_rng(6), 700
+    t = pd.DataFrame({"taxon": "p", "site": np.arange(n), "_parts": 5, "a": rng.lognormal(size=n), "b": rng.normal(size=n)})
+    gone = t.head(3).assign(site=[n, n + 1, n + 2], a=np.nan)  # rows without a band are in no pair
+    alike = t.head(1).assign(taxon="alike", _parts=2)
+    rows = pd.concat([t, gone, alike, alike.assign(site=1), alike.assign(taxon="alone")])
+    got = {r["taxon"]: r["mean"] for r in M._pair_means(spark.createDataFrame(rows), ["a", "b"]).collect()}
+    z = t[["a", "b"]].to_numpy()
+    d = np.sqrt(((z[:, None] - z[None]) ** 2).sum(axis=2))
+    assert got == {"p": pytest.approx(d[np.triu_indices(n, 1)].mean(), rel=1e-12), "alike": 1.0, "alone": 1.0}
+
+
 def test_kernels_store_no_pairs(spark, monkeypatch):
     rng = np.random.default_rng(5)
     place, asked, stored = rng.uniform(0, 4e5, (300, 2)), rng.uniform(-1e5, 5e5, (200, 2)), []
